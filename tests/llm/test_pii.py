@@ -1,0 +1,65 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import pii, tagger
+
+
+def brute(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0,
+                "phone": 9 <= len(d) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda x: (x[0], pii.ORDER[x[2]]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.@-_% +()0123456789é\n", max_size=60))
+def test_base_spans_equal_plain_patterns(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_base_spans_on_long_runs():
+    for text in ("1" * 200_000, "a" * 300_000 + "@", "1." * 100_000, "+1" * 50_000, "a@" * 50_000):
+        pii.base_spans(text)
+
+
+def test_tagger_on_held_out_windows():
+    examples = tagger._examples(300, 987)
+    x, y = tagger.encoded(examples)
+    got = tagger.trained().decode(x)
+    hit = guess = gold = 0
+    for a, b in zip(y, got, strict=True):
+        a, b = set(tagger.spans_of(a)), set(tagger.spans_of(b))
+        hit, guess, gold = hit + len(a & b), guess + len(b), gold + len(a)
+    assert hit / guess > 0.95 and hit / gold > 0.93
+
+
+def test_windows_of_a_long_region_agree_with_the_span():
+    text = "alpha beta " * 30 + "call (275) 555-5927 now " + "gamma delta " * 30
+    (_, every), = pii.find_spans([text], tagger.trained())
+    assert [text[s:e] for s, e, _ in every] == ["(275) 555-5927"]
+
+
+def test_rows(spark):
+    texts = [None, "", "mail a.b@c.de and 10.0.0.1", "clean text without any", "mail a.b@c.de and 10.0.0.1", "é " * 3 + "+1 (275) 555-5927"]
+    docs = spark.createDataFrame([(i if i != 3 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    rows = pii.find(docs).collect()
+    assert len(rows) == len(texts)
+    by = {r.doc_id: r for r in rows}
+    assert by[0].base_sha256 == hashlib.sha256(b"").hexdigest() and by[0].spans == ""
+    assert (by[2].n_email, by[2].n_ip) == (1, 1) and by[2].spans == by[4].spans == "email:5:13,ip:18:26"
+    assert by[5].spans == "phone:6:23"
+    out = {r.doc_id: r for r in pii.redact(docs.withColumn("n_chars", spark.range(1).select("id").first()[0] * docs.doc_id)).collect()}
+    assert out[2].text == "mail <email> and <ip>" and out[2].n_chars == 21 and out[0].text is None and out[2].spans == "x"
+    assert pii.find(docs.limit(0)).count() == 0
