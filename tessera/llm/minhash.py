@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -184,6 +184,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs per component, columns unchanged. Rows that repeat the kept id: the one with the least hash of its
+    text. Rows without an id all stay."""
+    judged = durable(near_duplicates(docs, width, percent, doc_id, text), "mh-judged")
+    out = docs.join(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col(doc_id) == F.col("_gone"), "left_anti")
+    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return out
+    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    return out.withColumn("_k", F.row_number().over(first)).where((F.col("_k") == 1) | F.col(doc_id).isNull()).drop("_k")
+
+
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 

@@ -68,12 +68,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs, each row as often as the mix takes it (ids must be unique in docs)."""
-    copies = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("copies").cast("int").alias("_mix_copies"))
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_mix_id")))
-    many = joined.where("_mix_copies > 0").withColumn("_mix_rep", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return many.select(*[docs[c] for c in docs.columns])
+def emit(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, each row as often as the mix takes it, columns unchanged.
+
+    Rows are matched by id. Where ids repeat or are null, rows of one id, source and size are alike to the sampler and are
+    matched by their number within these."""
+    copies = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_c"))
+    shared = durable(copies.groupBy("_i").agg(F.count("*").alias("n")).where("n > 1 or _i is null").select(F.col("_i").alias("_r")), "mix-repeats")
+    own = docs.columns
+
+    def repeat(rows: DataFrame) -> DataFrame:
+        return rows.where("_c > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*own)
+
+    if shared.isEmpty():
+        return repeat(docs.join(copies, F.col(doc_id) == F.col("_i")))
+    one, many = (lambda x, i: x.join(shared, F.col(i).eqNullSafe(F.col("_r")), "left_anti")), (lambda x, i: x.join(shared, F.col(i).eqNullSafe(F.col("_r")), "left_semi"))
+    alike = many(docs.withColumn("_size", F.size(words(F.col(text))).cast("long")), doc_id).withColumn("_k", F.row_number().over(Window.partitionBy(doc_id, source, "_size").orderBy(F.xxhash64(text))))
+    counted = many(copies, "_i").withColumn("_j", F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy("_c")))
+    same = F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_k") == F.col("_j"))
+    return repeat(one(docs, doc_id).join(one(copies, "_i"), F.col(doc_id) == F.col("_i"))).unionByName(repeat(alike.join(counted, same)))
 
 
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

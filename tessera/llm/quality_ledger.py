@@ -95,6 +95,15 @@ def apply_policy(led: DataFrame, policy: Policy, out: str = "kept") -> DataFrame
     return led.withColumn(out, F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def passing(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of docs that the policy passes, columns unchanged.
+
+    The row number is a barrier: without it the optimizer would push the filter below the ledger and evaluate the
+    measurements anew inside it, each many times over."""
+    led = apply_policy(ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text"), policy, "_pass")
+    return led.withColumn("_at", F.monotonically_increasing_id()).where("_pass and _at >= 0").select("_row.*")
+
+
 def ablation(led: DataFrame, policy: Policy) -> DataFrame:
     """One row per rule of the policy: documents it fails, and those it alone rejects. A count by bit pattern comes first."""
     patterns = led.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count("*").alias("n"))
