@@ -13,7 +13,10 @@ nothing; extra columns are ignored.
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -26,40 +29,64 @@ from .common import durable, table
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, WELL_FILLED = 4000, 2, 2, 3, 3, 0.985
-MEMO = 1_200_000
+MEMO = 800_000
+#: The tokenizer's own split of a lower-case word, restricted to ASCII and to bytes of other characters (checked to be letters).
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 _loaded: dict = {}
 
 
-def _encoder(path: str | None):
-    """The tokenizer and its memo of words, once per worker. Words may be encoded alone: no merge crosses white space."""
-    if path not in _loaded:
+class _Memo(dict):
+    """word -> bytes of its ids. Words may be encoded alone, and so may the letter runs, digits and signs of which the
+    tokenizer's own split would make one: no merge crosses them. A word with anything else is encoded as it is."""
+
+    def __init__(self, path: str | None) -> None:
         from tokenizers import Tokenizer
 
         if path is None:
             import public_tokenizers
 
-            path_here = public_tokenizers.path(VOCABULARY)
-        _loaded[path] = (Tokenizer.from_file(path or path_here), {})
-    return _loaded[path]
+            path = public_tokenizers.path(VOCABULARY)
+        self.tok, self.parts = Tokenizer.from_file(path), {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        pieces = _PARTS.findall(word)
+        got = [self.parts.get(p) or self._part(p) for p in pieces] if len(b"".join(pieces)) == len(word) and b"<|" not in word else [None]
+        if None in got:
+            got = [array("I", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()]
+        self[word] = ids = got[0] if len(got) == 1 else b"".join(got)
+        return ids
+
+    def _part(self, part: bytes) -> bytes | None:
+        if part.isascii():
+            text = part.decode()
+        else:
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", part.decode())])
+            if not (part.decode().isalpha() and text.isalpha()):
+                return None
+            text = text.encode().decode("latin-1").translate(_BYTE_CHARS)
+        self.parts[part] = ids = array("I", [x.id for x in self.tok.model.tokenize(text)]).tobytes()
+        return ids
 
 
 def token_bytes(texts: list[str | None], path: str | None = None) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
-    tok, memo = _encoder(path)
-    split = []
-    for t in texts:
-        raw = (t or "").encode("utf-8", "replace")
-        split.append((raw if b"<|" in raw else raw.translate(_LOWER)).split())  # the vocabulary is lower case; <| may begin a special token
+    if path not in _loaded:
+        _loaded[path] = _Memo(path)
+    memo = _loaded[path]
     if len(memo) > MEMO:
         memo.clear()
-    new = list({w for ws in split for w in ws if w not in memo})
-    for i in range(0, len(new), 5000):
-        part = new[i : i + 5000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-    end = np.array([END_ID], "<u4").tobytes()
-    return [b"".join([memo[w] for w in ws]) + end for ws in split]
+        memo.parts.clear()
+    end, look = array("I", [END_ID]).tobytes(), memo.__getitem__
+    out = []
+    for t in texts:
+        raw = (t or "").encode("utf-8", "replace")
+        ws = (raw if b"<|" in raw else raw.translate(_LOWER)).split()  # the vocabulary is lower case; <| may begin a special token
+        out.append(b"".join(map(look, ws)) + end)
+    return out
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

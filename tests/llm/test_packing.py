@@ -1,22 +1,29 @@
+import functools
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import packing
 
 pytest.importorskip("tokenizers")
 
 
-def _reference(text):
+@functools.cache
+def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    return [*tok.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+
+
+def _reference(text):
+    return [*_tokenizer().encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
-TEXTS = ["Hello, World's fair!!", None, "", "  ", "Élan İstanbul DON'T éA K", "a<|endoftext|>b <|STARTOFTEXT|>", "x y z\x0bq ...,$$$ 12345", "word " * 9000]
+TEXTS = ["Hello, World's fair!!", None, "", "  ", "Élan İstanbul DON'T éA K", "a<|endoftext|>b <|STARTOFTEXT|>", "x y z\x0bq ...,$$$ 12345", "word " * 9000, "it's 'TIS we'll ... !'s x'quiet... «é» é###à\u0301 a\u0301b ½ 3٣\x01z\x7f ñ'll ǅ ß ﬁ Ω\u0345 한글 日本.語 e\u0301.e"]
 
 
 def test_token_bytes_equal_whole_text_encoding():
@@ -24,6 +31,12 @@ def test_token_bytes_equal_whole_text_encoding():
         assert np.frombuffer(got, "<u4").tolist() == _reference(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abS' .,!<|#0é\u0301Ñß½«…"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=30))
+def test_any_text_encodes_as_a_whole(text):
+    assert np.frombuffer(packing.token_bytes([text])[0], "<u4").tolist() == _reference(text)
+
+
 def test_pack_is_gapless_and_complete(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(1, None, 2), (None, "null id", 3)] + [(100 + i, "lorem ipsum " * (17 * i % 600), 4) for i in range(300)], "doc_id long, text string, bin int")
     rows = packing.pack(packing.cut(docs), cell_items=40).collect()
