@@ -6,7 +6,8 @@ Components are found by alternating large-star and small-star.
 
 Documents with equal sets form a class and stand as one (its smallest id). Within a bucket, members are first compared with
 a hub (each document with the hub it meets most often); a bucket whose members are then in one component needs no more.
-What is left over, pairs of a bucket in different components, is compared pair by pair, so no proposed link is lost.
+The members in different components of the buckets left over are compared pair by pair in small buckets and block by block
+in large ones, so no proposed link is lost and no group is emitted as pairs.
 With 40 bands of 5 minima a link of similarity 0.8 is not proposed with a chance of 1.3e-7.
 
 Defined results: null or empty texts have no shingles and link with nothing; texts with fewer words than a shingle are one
@@ -111,8 +112,17 @@ def _likely(pairs: DataFrame, sigs: DataFrame, at_least: float) -> DataFrame:
     return pairs.join(a, "doc").join(b, "hub").mapInPandas(run, "hub long, doc long").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text", per_task: int = 2000) -> DataFrame:
-    """(hub, doc) of pairs whose full sets have 100 * intersection >= percent * union.
+def _alike(s: np.ndarray, h: np.ndarray, percent: int) -> bool:
+    if not len(s) or 100 * min(len(s), len(h)) < percent * max(len(s), len(h)):
+        return False
+    both = np.concatenate([s, h])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(s) + len(h) - common)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 2000) -> DataFrame:
+    """(hub, doc) of pairs whose full sets have 100 * intersection >= percent * union. texts: (doc, text).
 
     Texts are sent to their hub's group; large groups are dealt over salts, to each of which the hub's text goes. A task
     streams over its groups, hub first, and holds one hub's set."""
@@ -120,8 +130,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id:
     salts = many.select("hub", F.ceil(F.col("_n") / per_task).cast("int").alias("_s"))
     sent = pairs.join(salts, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.col("_s")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     hubs = salts.select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    grouped = sent.unionByName(hubs).join(texts, "doc").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    grouped = texts.hint("merge").join(sent.unionByName(hubs), "doc").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, sets = None, []
@@ -133,21 +142,88 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id:
                     at, sets = (hub, salt), []
                 if kind == 0:
                     sets.append(s)
-                    continue
-                for h in sets:
-                    if 100 * min(len(s), len(h)) >= percent * max(len(s), len(h)):
-                        both = np.concatenate([s, h])
-                        both.sort()
-                        common = int((both[1:] == both[:-1]).sum())
-                        if len(s) and 100 * common >= percent * (len(s) + len(h) - common):
-                            out.append((hub, doc))
-                            break
+                elif any(_alike(s, h, percent) for h in sets):
+                    out.append((hub, doc))
             yield pd.DataFrame(out, columns=["hub", "doc"], dtype="int64")
 
     return grouped.mapInPandas(run, "hub long, doc long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
+def _joined_in_block(ids: list[int], comps: list[int], side: list[int], sets: list[np.ndarray], percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+    """Links between different components of a pair of blocks, no more than connect them. Intersections by matrix products
+    over the shingles that more than one of the texts has, some columns at a time."""
+    sizes = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[where]
+    rows, cols = rows[keep], number[where[keep]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(cols, [c, c + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[rows[lo:hi], cols[lo:hi] - c] = 1
+        common += m @ m.T
+    inter = np.rint(common).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - inter
+    side_, comp_ = np.array(side), np.array(comps)
+    across = (side_[:, None] < side_[None, :]) if side_.min() < side_.max() else np.triu(np.ones_like(inter, bool), 1)
+    a, b = np.nonzero(across & (100 * inter >= percent * union) & (union > 0) & (comp_[:, None] != comp_[None, :]))
+    root = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(comps[i]), find(comps[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def compare_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
+    """(hub, doc) links that join different components inside each cluster. members: (cluster, doc, comp), texts: (doc, text).
+
+    The members of a cluster stand in order of component and are cut into blocks; each pair of blocks that do not both lie
+    in one component is compared in a task of its own, which holds two blocks whatever the cluster's size and gives out
+    spanning links only."""
+    order = Window.partitionBy("cluster").orderBy("comp", "doc")
+    placed = durable(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int")), "mh-blocks")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    left, right = blocks.select("cluster", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), blocks.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j"))
+    two = left.join(right, "cluster").where("i <= j and not (li = hi_i and lj = hi_j and li = lj)").select("cluster", "i", "j")
+    sides = two.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(two.where("i < j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    rows = texts.hint("merge").join(placed.join(sides, ["cluster", "block"]), "doc").select("cluster", "i", "j", "side", "doc", "comp", "text")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+
+        def done() -> pd.DataFrame:
+            docs, comps, side, sets = (list(v) for v in zip(*held, strict=True))
+            return pd.DataFrame(_joined_in_block(docs, comps, side, sets, percent), columns=["hub", "doc"], dtype="int64")
+
+        for x in batches:
+            for cluster, i, j, side, doc, comp, t in x.itertuples(index=False, name=None):
+                if at != (cluster, i, j):
+                    if held:
+                        yield done()
+                    at, held = (cluster, i, j), []
+                held.append((doc, comp, side, shingle_set(t, width)))
+        if held:
+            yield done()
+
+    return rows.mapInPandas(run, "hub long, doc long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2, small: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
     signed = durable(sign(docs, width, doc_id, text), "mh-signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -156,30 +232,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = durable(keys.join(shared, "key").select("key", F.col("rep").alias("doc")).distinct(), "mh-members")
+    involved = members.select("doc").distinct()
+    texts = durable(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).hint("merge").join(involved, "doc"), "mh-texts")
     links, tested, comp = None, None, None
-    for k in range(star_rounds + 1):
-        lab = members.select("key", "doc", F.col("doc").alias("comp")) if comp is None else members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-        hub = F.min_by("doc", F.struct(F.xxhash64("doc", F.lit(k)), "doc")) if k else F.min("doc")
-        mixed = lab.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        if k < star_rounds:
-            met = lab.join(mixed.select("key", "hub"), "key").join(lab.select("key", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp")), ["key", "hub"]) if k else lab.join(mixed.select("key", "hub", F.col("hub").alias("hub_comp")), "key")
-            pairs = met.where("comp <> hub_comp").groupBy("doc", "hub").agg(F.count("*").alias("n"))
-            pairs = pairs if tested is None else pairs.join(tested, ["hub", "doc"], "left_anti")
-            pairs = pairs.groupBy("doc").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "doc")
-        else:
-            left = lab.join(mixed.select("key"), "key", "left_semi")
-            pairs = left.select("key", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp")).join(left, "key").where("hub_comp < comp").select("hub", "doc").distinct()
-            pairs = pairs.join(tested, ["hub", "doc"], "left_anti").join(tested.select(F.col("hub").alias("doc"), F.col("doc").alias("hub")), ["hub", "doc"], "left_anti")
-        pairs = durable(pairs, "mh-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = durable(confirm(durable(_likely(pairs, sigs, percent / 100), "mh-likely"), docs, width, percent, doc_id, text), "mh-links")
+
+    def labelled() -> DataFrame:
+        if comp is None:
+            return members.select("key", "doc", F.col("doc").alias("comp"))
+        return members.join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, comp
+        found = durable(found, "mh-links")
         links = found if links is None else links.unionByName(found)
         comp = components(links, "hub", "doc")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        nonlocal tested
+        pairs = durable(pairs, "mh-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        return confirm(durable(_likely(pairs, sigs, percent / 100), "mh-likely"), texts, width, percent)
+
+    for k in range(star_rounds):  # every member against one hub of its buckets
+        lab = labelled()
+        hub = F.min_by("doc", F.struct(F.xxhash64("doc", F.lit(k)), "doc"))
+        mixed = lab.groupBy("key").agg(hub.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        met = lab.join(mixed.select("key", "hub"), "key")
+        if comp is None:
+            met = met.withColumn("hub_comp", F.col("hub"))
+        else:
+            met = met.join(comp.select(F.col("node").alias("hub"), F.col("component").alias("_hc")), "hub", "left").withColumn("hub_comp", F.coalesce("_hc", "hub"))
+        pairs = met.where("comp <> hub_comp").groupBy("doc", "hub").agg(F.count("*").alias("n"))
+        pairs = pairs if tested is None else pairs.join(tested, ["hub", "doc"], "left_anti")
+        add(check(pairs.groupBy("doc").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "doc")))
+    lab = durable(labelled(), "mh-labelled")
+    mixed = durable(lab.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "mh-mixed")
+    left = lab.join(mixed.where(F.col("n") <= small).select("key"), "key", "left_semi")  # few members: pair by pair
+    pairs = left.select("key", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp")).join(left, "key").where("hub_comp < comp").select("hub", "doc").distinct()
+    pairs = pairs.join(tested, ["hub", "doc"], "left_anti").join(tested.select(F.col("hub").alias("doc"), F.col("doc").alias("hub")), ["hub", "doc"], "left_anti")
+    add(check(pairs))
+    star = durable(members.join(mixed.where(F.col("n") > small).select("key", "hub"), "key").select("hub", "doc").distinct(), "mh-large")  # many: block by block
+    if not star.isEmpty():
+        cluster = components(star, "hub", "doc")
+        inside = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).unionByName(cluster.select(F.col("component").alias("doc"), F.col("component").alias("cluster")).distinct())
+        inside = inside.join(comp, F.col("doc") == F.col("node"), "left").select("cluster", "doc", F.coalesce("component", "doc").alias("comp"))
+        add(compare_blocks(inside, texts, width, percent))
     own = classes.select("k1", "k2", "n_shingles", "rep")
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(own, ["k1", "k2", "n_shingles"], "left")
-    out = out.withColumn("component", F.lit(None).cast("long")) if comp is None else out.join(comp, F.col("rep") == F.col("node"), "left")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(own, ["k1", "k2", "n_shingles"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
