@@ -272,5 +272,14 @@ def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op8_vector_graph": """
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+f as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) m from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+l as (select a.vec_id a, b.vec_id b from f a join f b on a.vec_id <> b.vec_id where a.m > 0 and b.m > 0 and list_inner_product(a.e, b.e) / (a.m * b.m) >= 0.9),
+r as (select vec_id, vec_id c from v union select l.b, r.c from r join l on l.a = r.vec_id),
+k as (select vec_id, min(c) component_id from r group by vec_id)
+select v.vec_id, coalesce(n, 0)::bigint n_links, component_id, v.vec_id = component_id kept from v join k using (vec_id) left join (select a, count(*) n from l group by a) x on x.a = v.vec_id
+"""
+}
 QUERIES = {"op8_vector_graph": op8_vector_graph}
