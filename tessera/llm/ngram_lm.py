@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .elias_fano import EliasFano
 
-MU2, MU3, CHUNK, DOCS_PER_SHARD, HELD_OUT = 60.0, 20.0, 1_500_000, 4000, (7, 2)
+MU2, MU3, CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 1_500_000, 4000, (7, 2)
 LOWEST, STEPS = -12.0, 65535
 MEMO = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
