@@ -1 +1 @@
-
+"""Column functions: names and keys, vectors, numbers."""

@@ -1 +1 @@
-
+"""Resumable processing by Structured Streaming."""
