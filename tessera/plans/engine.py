@@ -1,7 +1,9 @@
-"""The pipeline: bank -> scores -> filter -> prompts -> metrics, as one lazy plan; only the bank is written in between."""
+"""The pipeline: bank -> scores -> filter -> prompts -> metrics. What several later plans read (scored bank, filtered bank,
+prompts) is kept in between, as tables in a workspace that all executors share (spark.checkpoint.dir, or a local folder where that is unset)."""
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -60,8 +62,14 @@ class Config:
 class Engine:
     """Stages over a patch table (vec_id, image_id, class_id, patch_no, row, col, file_key, embedding)."""
 
-    def __init__(self, config: Config) -> None:
-        self.config = config
+    def __init__(self, config: Config, workspace: str | None = None) -> None:
+        self.config, self.workspace = config, workspace
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        root = self.workspace or rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        path = f"{root}/tessera-{self.config.fingerprint}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def build(self, patches: DataFrame) -> DataFrame:
         """The first images_per_class images of each class in id order."""
@@ -102,11 +110,11 @@ class Engine:
     def run(self, references: DataFrame, queries: DataFrame, instances: DataFrame | None = None) -> dict[str, DataFrame]:
         """Tables of the stages from start_stage to end_stage (1 bank, 2 filter, 3 prompts, 4 metrics)."""
         c, out = self.config, {}
-        out["bank"] = self.score(self.build(references), references)
+        out["bank"] = self._kept(self.score(self._kept(self.build(references), "raw_bank"), references), "bank")
         if c.end_stage >= 2:
-            out["filtered"] = self.filter(out["bank"])
+            out["filtered"] = self._kept(self.filter(out["bank"]), "filtered")
         if c.end_stage >= 3:
-            out["prompts"] = self.match(queries, out["filtered"])
+            out["prompts"] = self._kept(self.match(queries, out["filtered"]), "prompts")
         if c.end_stage >= 4 and instances is not None:
             out["metrics"] = self.evaluate(out["prompts"], instances, int(c.size[1]), int(c.size[0]))
         return {k: v for i, (k, v) in enumerate(out.items(), 1) if i >= c.start_stage}

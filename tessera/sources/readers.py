@@ -148,7 +148,7 @@ def label_list(spark: SparkSession, path: str) -> DataFrame:
 
 def tab_list(spark: SparkSession, path: str) -> DataFrame:
     """(label, name): last column of tab-separated lines, lower case, numbered from 1 in the file's order (one small file)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
     return lines.select((F.col("k") + 1).alias("label"), F.lower(F.trim(F.element_at(F.split("line", "\t"), -1))).alias("name"))
 
 
