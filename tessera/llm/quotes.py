@@ -42,16 +42,15 @@ def normalised(body: Column) -> Column:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_conv, root_turn, depth) from (conv_id, turn, pc, pt); the pointers double until all are roots."""
-    at = durable(parents.select("conv_id", "turn", F.coalesce("pc", "conv_id").alias("rc"), F.coalesce("pt", "turn").alias("rt"), F.when(F.col("pc").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quote-roots")
-    left = None
-    while True:
-        up = at.select(F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), F.col("rc").alias("nc"), F.col("rt").alias("nt"), F.col("depth").alias("more"))
-        at = durable(at.join(up, ["rc", "rt"]).select("conv_id", "turn", F.col("nc").alias("rc"), F.col("nt").alias("rt"), (F.col("depth") + F.col("more")).alias("depth")), "quote-roots")
-        now = at.agg(F.sum("depth")).first()[0]
-        if now == left or not now:
-            return at
-        left = now
+    """(conv_id, turn, rc, rt, depth) from (conv_id, turn, pc, pt): pointers double until they point to roots. A message whose
+    pointer has reached its root takes no further part."""
+    root = F.col("pc").isNull()
+    at = durable(parents.select("conv_id", "turn", F.coalesce("pc", "conv_id").alias("rc"), F.coalesce("pt", "turn").alias("rt"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("there")), "quote-roots")
+    while not at.where("not there").isEmpty():
+        up = at.select(F.col("conv_id").alias("rc"), F.col("turn").alias("rt"), F.col("rc").alias("nc"), F.col("rt").alias("nt"), F.col("depth").alias("more"), F.col("there").alias("ends"))
+        moved = at.where("not there").join(up, ["rc", "rt"]).select("conv_id", "turn", F.col("nc").alias("rc"), F.col("nt").alias("rt"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("there"))
+        at = durable(at.where("there").unionByName(moved), "quote-roots")
+    return at.drop("there")
 
 
 def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
