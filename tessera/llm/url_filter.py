@@ -48,11 +48,11 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     Trust follows links, distrust goes from a link's target to its source. A lone seed without links keeps 1."""
     both = edges.select(F.lit("t").alias("way"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("way", "src").agg(F.sum("n").alias("total"))
-    shares = durable(both.join(total, ["way", "src"]).select("way", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
+    shares = durable(both.join(total, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
     seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("way"), F.col("trusted").alias("seed")), F.struct(F.lit("d").alias("way"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.way", F.col("x.seed").cast("double").alias("seed"))
     score = seeds.select("host", "way", F.col("seed").alias("score"))
     for k in range(0 if shares.isEmpty() else rounds):
-        got = score.join(shares, (score["host"] == shares["src"]) & (score["way"] == shares["way"])).groupBy(shares["dst"].alias("host"), shares["way"].alias("way")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        got = score.join(shares, ["host", "way"]).groupBy(F.col("dst").alias("host"), "way").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = seeds.join(got, ["host", "way"], "left").select("host", "way", (F.col("seed") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
         if (k + 1) % CUT_EVERY == 0:
             score = durable(score, "url-score")

@@ -185,13 +185,13 @@ def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
             root[v] = v = root[root[v]]
         return v
 
-    out = [(int(ids[i]), None, int(k)) for i, k in enumerate(links) if k]
+    out = [(int(ids[i]), int(ids[i]), int(k)) for i, k in enumerate(links) if k]  # a count; rows of two nodes are links
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         p, q = find(i), find(j)
         if p != q:
             root[max(p, q)] = min(p, q)
             out.append((int(ids[i]), int(ids[j]), 0))
-    return pd.DataFrame(out, columns=["node", "other", "n"]).astype({"node": "int64", "other": "Int64", "n": "int64"})
+    return pd.DataFrame(out, columns=["node", "other", "n"], dtype="int64")
 
 
 def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -240,7 +240,7 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_i
         tasks = pairs.select("shard", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), F.when(F.col("block") == F.col("_o"), 0).otherwise(F.when(F.col("block") < F.col("_o"), 1).otherwise(2)).alias("side"), "node", "mult", "embedding", "shards", "near")
         linked = durable(tasks.groupBy("shard", "i", "j").applyInPandas(lambda g: _linked_in_task(g, at_least), "node long, other long, n long"), "vg-links")
         links = linked.groupBy("node").agg(F.sum("n").alias("n"))
-        spans = components(linked.where("other is not null").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
+        spans = components(linked.where("other <> node").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
     own = classes.select("node", "mult", "rep")
     if links is None:
         return result.join(own, "node", "left").select("vec_id", F.coalesce(F.col("mult") - 1, F.lit(0)).alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -253,8 +253,10 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_i
 
 def audit_recall(vectors: DataFrame, result: DataFrame, at_least: float = 0.9, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(true_links, found_links, recall) over the stated query set vec_id % every = 0, brute-forced in blocks against all rows."""
-    queries = vectors.where(F.col(vec_id) % every == 0).select(F.col(vec_id).alias("q"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(16)))
-    rows = vectors.select(F.col(vec_id).alias("r"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
+    blocks = max(1, -(-vectors.count() // 20_000))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = vectors.where(F.col(vec_id) % every == 0).select(F.col(vec_id).alias("q"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_a", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("_b", each)
+    rows = vectors.select(F.col(vec_id).alias("r"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")).withColumn("_a", each)
 
     def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
@@ -263,7 +265,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, at_least: float = 0.9, e
         hits = (sims >= at_least).sum(axis=1) - (q["q"].to_numpy()[:, None] == r["r"].to_numpy()[None]).sum(axis=1)
         return pd.DataFrame({"q": q["q"], "n": hits})
 
-    true = queries.groupBy("_b").cogroup(rows.groupBy("_b")).applyInPandas(count, "q long, n long")
+    true = queries.groupBy("_a", "_b").cogroup(rows.groupBy("_a", "_b")).applyInPandas(count, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
     both = true.join(result.select(F.col("vec_id").alias("q"), "n_links"), "q")
     return both.agg(F.sum("n").alias("true_links"), F.sum("n_links").alias("found_links")).withColumn("recall", F.col("found_links") / F.greatest(F.col("true_links"), F.lit(1)))
 
