@@ -45,7 +45,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust). hosts: (host, trusted, blocked); edges: (src, dst, n), one row per pair.
 
-    Trust follows links, distrust goes from a link's target to its source. A lone seed without links keeps 1."""
+    Trust follows links, distrust goes from a link's target to its source. Scores are those of PageRank over 1 - damping: a
+    seed that nothing reaches has 1."""
     both = edges.select(F.lit("t").alias("way"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("way", "src").agg(F.sum("n").alias("total"))
     shares = durable(both.join(total, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
@@ -53,7 +54,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     score = seeds.select("host", "way", F.col("seed").alias("score"))
     for k in range(0 if shares.isEmpty() else rounds):
         got = score.join(shares, ["host", "way"]).groupBy(F.col("dst").alias("host"), "way").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        score = seeds.join(got, ["host", "way"], "left").select("host", "way", (F.col("seed") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
+        score = seeds.join(got, ["host", "way"], "left").select("host", "way", (F.col("seed") + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
         if (k + 1) % CUT_EVERY == 0:
             score = durable(score, "url-score")
     seen = score.groupBy("host").agg(F.max(F.when(F.col("way") == "t", F.col("score"))).alias("trust"), F.max(F.when(F.col("way") == "d", F.col("score"))).alias("distrust"))
