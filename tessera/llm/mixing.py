@@ -30,7 +30,8 @@ _CLASS = "greatest(length(bin({s})) - 7, 0) * 128 + shiftright({s}, greatest(len
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """(source, source_size, target, offset) per source. A target stops at max_repeat times the source's size; the excess
     goes to the others by weight until none is above. That is a water level: sources sorted by cap / weight fill up
-    first, and the level is right for the first count of full sources at which the next one stays below its cap."""
+    first, and the level is right for the first count of full sources at which the next one stays below its cap: the greatest
+    of the levels that keep their source below it."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ws = F.array(*[F.lit(float(w)) for w in weights])
@@ -39,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     per = per.withColumn("_level", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    per = per.withColumn("_water", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything))
+    per = per.withColumn("_water", F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything))
     target = F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("_w"), F.col("_cap")))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -99,7 +100,7 @@ p as (select source, sum(size)::bigint source_size from s group by source),
 w as (select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double wt, (source_size * 2.0)::double cap from p),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / wt, source nulls last rows between unbounded preceding and 1 preceding), 0))
   / (sum(wt) over () - coalesce(sum(wt) over (order by cap / wt, source nulls last rows between unbounded preceding and 1 preceding), 0)) lev from w),
-t as (select source, source_size, least(cap, coalesce((min(case when lev * wt <= cap then lev end) over ()) * wt, cap)) as target,
+t as (select source, source_size, least(cap, coalesce((max(case when lev * wt <= cap then lev end) over ()) * wt, cap)) as target,
   ('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'n')), 1, 8))::bigint::double / 4294967296.0::double u from l),
 r as (select rid, doc_id, size, s.source, source_size, target, u, case when source_size > 0 then target / source_size else 0 end e,
   (row_number() over (partition by s.source order by greatest(length(bin(size)) - 7, 0) * 128 + (size >> greatest(length(bin(size)) - 7, 0)), md5(coalesce(doc_id::varchar, '')), doc_id))::double k

@@ -57,6 +57,14 @@ def water(sizes, weights, total):
         full |= over
 
 
+@pytest.mark.parametrize("words", [{"a": 78, "b": 78, "c": 78, None: 78}, {"a": 10, "b": 1000, "c": 10, "d": 500}, {"a": 1}, {"a": 0, "b": 5}, {"a": 900, "b": 3, "c": 40, "d": 7, "e": 60, "f": 2}])
+def test_targets_equal_iterated_resharing(spark, words):
+    sizes = spark.createDataFrame([(s, n) for s, n in words.items()], "source string, size long")
+    order = sorted((s for s in words if s is not None)) + ([None] if None in words else [])
+    want = water(words, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(words.values()))
+    assert {r.source: r.target for r in mixing.source_targets(sizes).collect()} == pytest.approx(want)
+
+
 def test_mix_targets_bounds_and_reruns(spark):
     rng = random.Random(2)
     names = ["a", "B", "é", None, "zz", "", "c"]
