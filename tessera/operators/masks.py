@@ -214,3 +214,20 @@ def painted(objects: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFram
 def remapped(labels: DataFrame, mapping: DataFrame) -> DataFrame:
     """labels (..., label) with mapped: mapping (label, target), 0 where there is none."""
     return labels.join(mapping.select("label", F.col("target").alias("_t")), "label", "left").withColumn("mapped", F.coalesce("_t", F.lit(0))).drop("_t")
+
+
+def normal_mask(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A model's mask as 0/1 of the image's size: extra axes dropped, above 0 is 1, nearest-neighbour resize."""
+    from .geometry import resized
+
+    flat = (np.squeeze(mask) > 0).astype(np.uint8)
+    return flat if flat.shape == (height, width) else resized(flat, height, width)
+
+
+def label_instances(runs: DataFrame, allowed: tuple[int, int] = (1, 255), ignored: tuple[int, ...] = (255,), height: str = "height") -> DataFrame:
+    """One annotation per (image_id, label) present: area and bounding box from column-major runs (image_id, label, start,
+    len, height); ids are to be numbered by protocol.numbered."""
+    kept = runs.where(F.col("label").between(*allowed) & ~F.col("label").isin(*ignored))
+    px = kept.select("image_id", "label", height, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p"))
+    cells = px.select("image_id", "label", F.floor(F.col("p") / F.col(height)).alias("x"), (F.col("p") % F.col(height)).alias("y"))
+    return area_bbox(cells, ("image_id", "label"))

@@ -216,3 +216,53 @@ class _ArrowReader(DataSourceReader):
 def arrow_streams(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.dataSource.register(ArrowStreams)
     return spark.read.format("arrow_stream").option("path", ",".join(paths)).load()
+
+
+def image_root(spark: SparkSession, root: str, candidates: list[str], samples: list[str]) -> str:
+    """The first candidate folder that holds the first 3 of at most 10 sample files; else the folder under root that holds
+    most of the samples (the least name on a tie), by a listing that reads no contents."""
+    for c in candidates:
+        if all(exists(spark, f"{c}/{s}") for s in samples[:10][:3]):
+            return c
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    ends = F.array(*[F.lit("/" + s) for s in samples[:10]])
+    hits = listed.withColumn("s", F.explode(ends)).where(F.endswith("path", "s")).select(F.expr("substr(path, 1, length(path) - length(s))").alias("root"))
+    top = hits.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").first()
+    if top is None:
+        raise FileNotFoundError(f"no folder under {root} holds any of {samples[:10]}")
+    return top["root"]
+
+
+def label_masks(images: DataFrame, content: str = "content") -> DataFrame:
+    """(path, label, start, len): column-major runs of each label of label images (PNG through an imaging library, .mat with
+    the key LabelMap through a scientific one); files that cannot be read give no rows."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def load(path: str, data: bytes):
+        if path.endswith(".mat"):
+            from scipy.io import loadmat
+
+            return np.asarray(loadmat(io.BytesIO(data))["LabelMap"])
+        if path.endswith(".npy"):
+            return np.load(io.BytesIO(data))
+        from PIL import Image
+
+        return np.asarray(Image.open(io.BytesIO(data)))
+
+    def run(batches):
+        for x in batches:
+            out = []
+            for path, data in zip(x["path"], x[content], strict=True):
+                try:
+                    flat = load(path, data).ravel(order="F")
+                except (ValueError, KeyError, OSError):
+                    continue
+                edges = np.flatnonzero(np.diff(flat)) + 1
+                starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(flat)]])
+                out += [(path, int(flat[s]), int(s), int(e - s)) for s, e in zip(starts, ends, strict=True)]
+            yield pd.DataFrame(out, columns=["path", "label", "start", "len"])
+
+    return images.select("path", content).mapInPandas(run, "path string, label int, start long, len long")

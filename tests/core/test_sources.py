@@ -170,3 +170,21 @@ def test_engine_end_to_end(spark, tmp_path):
     assert Config().fingerprint == Config().fingerprint != Config(method="absolute").fingerprint
     with pytest.raises(ValueError, match="not one of"):
         Config(method="other")
+
+
+def test_image_root_and_label_masks(spark, tmp_path):
+    import io
+
+    (tmp_path / "deep" / "val").mkdir(parents=True)
+    for k in range(4):
+        (tmp_path / "deep" / "val" / f"{k}.jpg").write_bytes(b"x")
+    names = [f"{k}.jpg" for k in range(4)]
+    assert readers.image_root(spark, str(tmp_path), [str(tmp_path), str(tmp_path / "deep" / "val")], names).endswith("deep/val")
+    assert readers.image_root(spark, str(tmp_path), [], names).endswith("deep/val")
+    buf = io.BytesIO()
+    np.save(buf, np.array([[1, 1, 0], [1, 255, 2]]))
+    runs = readers.label_masks(spark.createDataFrame([("a.npy", bytearray(buf.getvalue())), ("b.npy", bytearray(b"?"))], "path string, content binary"))
+    assert sorted((r.label, r.start, r.len) for r in runs.collect()) == [(0, 4, 1), (1, 0, 3), (2, 5, 1), (255, 3, 1)]
+    inst = masks.label_instances(runs.withColumn("image_id", F.lit(1)).withColumn("height", F.lit(2)))
+    assert {r.label: (r.area, r.bbox_x, r.bbox_y, r.bbox_w, r.bbox_h) for r in inst.collect()} == {1: (3, 0, 0, 2, 2), 2: (1, 2, 1, 1, 1)}
+    assert masks.normal_mask(np.array([[[0.2, -1.0]]]), 2, 2).tolist() == [[1, 0], [1, 0]]
