@@ -220,7 +220,7 @@ def normal_mask(mask: np.ndarray, height: int, width: int) -> np.ndarray:
     """A model's mask as 0/1 of the image's size: extra axes dropped, above 0 is 1, nearest-neighbour resize."""
     from .geometry import resized
 
-    flat = (np.squeeze(mask) > 0).astype(np.uint8)
+    flat = (mask.reshape(mask.shape[-2:]) > 0).astype(np.uint8)
     return flat if flat.shape == (height, width) else resized(flat, height, width)
 
 
