@@ -101,4 +101,26 @@ def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quote_linking": op1_quote_linking}
-SQL: dict[str, str] = {}
+LINK_SQL = r"""
+with recursive raw as (select row_number() over () rid, conv_id, turn, role, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)^[^\n>]{0,300}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+([ \t]*>)', '\1', 'g'), chr(10)) ls from conversations),
+ln as (select rid, conv_id, turn, unnest(generate_series(1, len(ls))) pos, unnest(ls) l from raw),
+lv as (select *, len(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+')) - len(replace(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+'), '>', '')) lvl, regexp_replace(l, '^[ \t]*(?:>[ \t]*)+', '') body from ln),
+nm as (select *, trim(regexp_replace(regexp_replace(lower(body), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) norm from lv where conv_id is not null and turn is not null),
+ps as (select *, sum(case when lvl is not distinct from pl then 0 else 1 end) over (partition by conv_id, turn order by pos rows unbounded preceding) passage from (select *, lag(lvl) over (partition by conv_id, turn order by pos) pl from nm)),
+quoted as (select conv_id, turn, passage, pos, lvl, norm from ps where lvl > 0 and len(norm) >= 4),
+own as (select distinct conv_id, turn, norm from nm where lvl = 0 and len(norm) >= 4),
+fst as (select norm, min((conv_id, turn)) f from own group by norm),
+hit as (select q.*, (select max(o.turn) from own o where o.conv_id = q.conv_id and o.norm = q.norm and o.turn < q.turn) near, f from quoted q left join fst using (norm)),
+src as (select conv_id, turn, passage, lvl, case when near is not null then (conv_id, near) when f < (conv_id, turn) then f end s from hit),
+votes as (select conv_id, turn, passage, lvl, s, count(*) n from src where s is not null group by all),
+chosen as (select conv_id, turn, passage, lvl, max((n, s)) v from votes group by all),
+direct as (select conv_id, turn, (max((n, s)))[2] p from (select conv_id, turn, v[2] s, sum(v[1]) n from chosen where lvl = 1 group by all) group by all),
+node as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prev from (select distinct conv_id, turn from raw where conv_id is not null and turn is not null)),
+par as (select n.conv_id, n.turn, case when p is not null then p[1] when prev is not null then n.conv_id end pc, case when p is not null then p[2] else prev end pt from node n left join direct d on d.conv_id = n.conv_id and d.turn = n.turn),
+tree as (select conv_id, turn, conv_id rc, turn rt, 0::bigint depth from par where pc is null union all select p.conv_id, p.turn, rc, rt, depth + 1 from par p join tree t on t.conv_id = p.pc and t.turn = p.pt),
+st as (select q.conv_id, q.turn, max(q.lvl) quote_depth, count(*) n_passages, count(v) n_linked from (select distinct conv_id, turn, passage, lvl from quoted) q left join chosen c on c.conv_id = q.conv_id and c.turn = q.turn and c.passage = q.passage group by all),
+clean as (select rid, trim(string_agg(body, chr(10) order by pos) filter (where lvl = 0), ' ' || chr(10) || chr(9)) t from lv group by rid)
+select r.conv_id, r.turn, r.role, coalesce(t, '') as text, coalesce(quote_depth, 0)::int quote_depth, coalesce(n_passages, 0)::bigint n_passages, coalesce(n_linked, 0)::bigint n_linked, pc parent_conv, pt parent_turn, coalesce(rc, r.conv_id) thread_conv, coalesce(rt, r.turn) thread_turn, coalesce(depth, 0)::bigint depth
+from raw r left join clean using (rid) left join par p on p.conv_id = r.conv_id and p.turn = r.turn left join tree x on x.conv_id = r.conv_id and x.turn = r.turn left join st s on s.conv_id = r.conv_id and s.turn = r.turn
+"""
+SQL = {"op1_quote_linking": LINK_SQL}
