@@ -35,10 +35,16 @@ def durable(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    swept(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession, path: str) -> str:
+    """path, to be deleted at the driver's end."""
+    _made.append((spark, path))
+    return path
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

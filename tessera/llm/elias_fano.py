@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+_ONE, _ALL, RATE = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), 16
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -24,7 +24,7 @@ def _select(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """n values, ascending. low: packed low bits; high: unary bucket sizes; samples: place of every 64th zero of high."""
+    """n values, ascending. low: packed low bits; high: unary bucket sizes; samples: place of every 16th zero of high."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
         self.n, self.bits, self.low, self.high, self.samples = n, bits, low, high, samples
@@ -35,9 +35,9 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(1, n)).bit_length() - 1)
         up = (values >> np.uint64(bits)).astype(np.int64)
-        flags = np.zeros(n + (top >> bits) + 65, np.uint8)
+        flags = np.zeros(n + (top >> bits) + 2 * RATE, np.uint8)
         flags[up + np.arange(n)] = 1
-        samples = np.flatnonzero(flags == 0)[::64].astype(np.uint64)
+        samples = np.flatnonzero(flags == 0)[::RATE].astype(np.uint32 if len(flags) < 1 << 32 else np.uint64)
         packed = np.packbits(flags, bitorder="little")
         high = np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8 + 8), "<u8")
         low = np.zeros(n * bits // 64 + 2, np.uint64)
@@ -69,9 +69,9 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place in high of the k-th (from 0) zero."""
-        start = self.samples[k >> 6].astype(np.int64)
-        left, word, out = k & 63, start >> 6, np.empty(len(k), np.int64)
-        zeros = ~self.high[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (start & 63).astype(np.uint64))
+        start = self.samples[k // RATE].astype(np.int64)
+        left, word, out = k % RATE, start >> 6, np.empty(len(k), np.int64)
+        zeros = ~self.high[word] & (_ALL << (start & 63).astype(np.uint64))
         live = np.arange(len(k))
         while len(live):
             have = _popcount(zeros)
@@ -81,14 +81,28 @@ class EliasFano:
             zeros = ~self.high[word]
         return out
 
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Place of the first zero of high from each place on."""
+        word, out = at >> 6, np.empty(len(at), np.int64)
+        zeros = ~self.high[word] & (_ALL << (at & 63).astype(np.uint64))
+        live = np.arange(len(at))
+        while True:
+            here = zeros != 0
+            z = zeros[here]
+            out[live[here]] = (word[here] << 6) + _popcount((z & (~z + _ONE)) - _ONE)
+            if here.all():
+                return out
+            live, word = live[~here], word[~here] + 1
+            zeros = ~self.high[word]
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first stored value >= value, whether it is equal). The index may be n."""
         index, equal = np.full(len(values), self.n, np.int64), np.zeros(len(values), bool)
         up = values >> np.uint64(self.bits)
-        inside = np.flatnonzero(up < np.uint64(max(1, len(self.samples) * 64 - 64))) if self.n else np.empty(0, np.int64)
+        inside = np.flatnonzero(up < np.uint64(max(1, (len(self.samples) - 1) * RATE))) if self.n else np.empty(0, np.int64)
         k = up[inside].astype(np.int64)
-        end = self._zero(k) - k
-        begin = np.where(k > 0, self._zero(np.maximum(k - 1, 0)) - (k - 1), 0)
+        before = np.where(k > 0, self._zero(np.maximum(k - 1, 0)), -1)
+        begin, end = before - k + 1, self._next_zero(before + 1) - k
         want = values[inside] & np.uint64((1 << self.bits) - 1)
         lo, hi = begin.copy(), end.copy()
         live = np.flatnonzero(lo < hi)
@@ -105,7 +119,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at indexes i: buckets are found by binary search over their ends."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), max(0, len(self.samples) * 64 - 65), np.int64)
+        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), max(0, (len(self.samples) - 1) * RATE - 1), np.int64)
         while (lo < hi).any():
             mid = (lo + hi) >> 1
             after = self._zero(mid) - mid > i

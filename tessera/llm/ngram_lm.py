@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -30,49 +31,62 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, swept, table
 from .elias_fano import EliasFano
 
-MU2, MU3, CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 1_500_000, 4000, (7, 2)
+MU2, MU3, CHUNK, SCORE_CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 600_000, 1_000_000, 4000, (7, 2)
 LOWEST, STEPS = -12.0, 65535
-MEMO = 400_000
+MEMO = 300_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = xxhash.xxh3_64_intdigest(b" end")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _open: dict = {}
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _hash_text(text: str | None) -> list[int]:
-    """Hashes of the text's words, then the end."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    return [*map(_hashes.__getitem__, raw.split()), END]
+class _Words(dict):
+    """word -> number in order of appearance, with hashes and, once looked up, vocabulary ids and counts by number.
+    Number 0 is the end token. A new one is begun when it is full: a bound on memory, not on vocabulary."""
 
+    def __init__(self) -> None:
+        self.hashes = array("Q", [END])
+        self.ids, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(rows, hashes of all tokens, their text's number) over whole texts, about size tokens at a time."""
-    rows, parts, n = [], [], 0
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return i
+
+    def look(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) by number; only words new since the last call are searched for."""
+        new = np.array(self.hashes[len(self.ids) :], np.uint64)
+        if len(new):
+            order = np.argsort(new)
+            ids, counts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+            ids[order], counts[order] = vocabulary.look(new[order])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return self.ids, self.counts
+
+
+def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, _Words]]:
+    """(rows, word numbers of all tokens, their text's number, words) over whole texts, about size tokens at a time."""
+    words = _Words()
+    rows, parts, lengths, n = [], [], [], 0
     for x in batches:
         for row in x.itertuples(index=False):
-            h = np.array(_hash_text(row.text), np.uint64)
+            ws = (row.text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+            part = np.zeros(len(ws) + 1, np.int32)
+            part[:-1] = np.fromiter(map(words.__getitem__, ws), np.int32, len(ws))
             rows.append(row)
-            parts.append(h)
-            n += len(h)
+            parts.append(part)
+            lengths.append(len(part))
+            n += len(part)
             if n >= size:
-                yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                rows, parts, n = [], [], 0
+                yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), lengths), words
+                rows, parts, lengths, n = [], [], [], 0
+                if len(words) > MEMO:
+                    words = _Words()
     if rows:
-        yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), lengths), words
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -107,7 +121,7 @@ def _mapped(path: str) -> dict[str, np.ndarray]:
             _open.clear()
         with open(path, "rb") as f:
             first = f.readline()
-        whole = np.memmap(path, np.uint8, "r", offset=0)
+        whole = np.asarray(np.memmap(path, np.uint8, "r"))
         _open[path] = {k: whole[len(first) + at : len(first) + at + n * np.dtype(d).itemsize].view(d) for k, (d, n, at) in json.loads(first).items()}
     return _open[path]
 
@@ -116,8 +130,8 @@ def _quantised(p: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(np.log10(p), LOWEST, 0) - LOWEST) * (STEPS / -LOWEST)).astype(np.uint16)
 
 
-def _restored(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) * (-LOWEST / STEPS) + LOWEST)
+#: Probability of each code.
+_CODES = 10.0 ** (np.arange(STEPS + 1) * (-LOWEST / STEPS) + LOWEST)
 
 
 class Vocabulary:
@@ -156,22 +170,7 @@ def _range_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
     x = (pairs ^ (pairs >> np.uint64(29))) * _MIX
-    return _range_of(x ^ (x >> np.uint64(32)), shards)
-
-
-def _numbered(vocabulary: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) per token."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    ids, counts = vocabulary.look(distinct)
-    return ids[back], counts[back]
-
-
-def _contexts(ids: np.ndarray, text: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token before, token before that, whether there is a token before) per token; begin pads."""
-    first = np.concatenate([[True], text[1:] != text[:-1]])
-    one = np.where(first, begin, np.concatenate([[begin], ids[:-1]]))
-    two = np.where(first, begin, np.concatenate([[begin], one[:-1]]))
-    return one, two, ~first
+    return _range_of(x ^ (x >> np.uint64(32)), shards).astype(np.uint16)  # sorted by radix
 
 
 class Trie:
@@ -186,43 +185,48 @@ class Trie:
         return EliasFano.load({k: a[f"{name}.{k}"] for k in ("head", "low", "high", "samples")})
 
     def probabilities(self, ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """p(token | the two before it) of each token."""
+        """p(token | the two before it) of each token.
+
+        A token's pair is (token before, token); the context of its trigram is the pair of the token before. Distinct pairs
+        stand in order of (shard, pair), distinct trigrams in order of (shard, pair, word): levels are read in ascending order."""
         v = self.vocabulary
-        one, two, inner = _contexts(ids, text, v.size + 1)
-        p = (counts + 1) / (v.tokens + v.size + 1)
-        context = np.where(inner, np.concatenate([[0], counts[:-1]]), v.texts)
-        pair = one.astype(np.uint64) * v.width + ids.astype(np.uint64)
-        before = two.astype(np.uint64) * v.width + one.astype(np.uint64)
-        keys, back = np.unique(np.concatenate([pair, before[inner]]), return_inverse=True)
-        q, weight, rank = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64)
+        first = np.concatenate([[True], text[1:] != text[:-1]])
+        pair = np.where(first, v.size + 1, np.concatenate([[0], ids[:-1]])).astype(np.uint64) * v.width + ids.astype(np.uint64)
+        keys, back = np.unique(pair, return_inverse=True)
         shard = _shard_of(keys, self.shards)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        at, keys = place[back], keys[order]
+        del pair, back, place, order, shard
+        q, weight, rank = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64)
         for s in range(self.shards):
-            mine = order[edges[s] : edges[s + 1]]
-            if len(mine):
-                a = _mapped(f"{self.folder}/trie-{s}")
-                index, hit = self._level(s, "pairs").successor(keys[mine])
-                mine, index = mine[hit], index[hit]
-                q[mine], weight[mine], rank[mine] = _restored(a["p2"][index]), _restored(a["back"][index]), index
-        pos_pair, pos_before = back[: len(ids)], back[len(ids) :]
-        p = q[pos_pair] + MU2 / (context + MU2) * p
-        at = np.flatnonzero(inner)[rank[pos_before] >= 0]
-        ctx = pos_before[rank[pos_before] >= 0]
-        third = rank[ctx].astype(np.uint64) * v.width + ids[at].astype(np.uint64)
-        shard, found = shard[ctx], np.zeros(len(at))
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+            lo, hi = edges[s], edges[s + 1]
+            if lo < hi:
+                index, hit = self._level(s, "pairs").successor(keys[lo:hi])
+                mine, index = lo + np.flatnonzero(hit), index[hit]
+                both = _mapped(f"{self.folder}/trie-{s}")["p2back"][index]
+                q[mine], weight[mine], rank[mine] = _CODES[both & np.uint32(65535)], _CODES[both >> np.uint32(16)], index
+        context = np.where(first, v.texts, np.concatenate([[0], counts[:-1]]))
+        p = q[at] + MU2 / (context + MU2) * ((counts + 1) / (v.tokens + v.size + 1))
+        inner = np.flatnonzero(~first)
+        ctx = at[inner - 1]
+        known = rank[ctx] >= 0
+        inner, ctx = inner[known], ctx[known]
+        third = ctx.astype(np.uint64) << np.uint64(32) | ids[inner].astype(np.uint64)
+        order = np.argsort(third)
+        third, found = third[order], np.zeros(len(third))
+        owner = (third >> np.uint64(32)).astype(np.int64)
+        asked = rank[owner].astype(np.uint64) * v.width + (third & np.uint64(0xFFFFFFFF))
+        cuts = np.searchsorted(owner, edges)
+        del third, owner
         for s in range(self.shards):
-            mine = order[edges[s] : edges[s + 1]]
-            if len(mine):
-                a = _mapped(f"{self.folder}/trie-{s}")
-                asked, again = np.unique(third[mine], return_inverse=True)
-                index, hit = self._level(s, "next").successor(asked)
-                got = np.zeros(len(asked))
-                got[hit] = _restored(a["p3"][index[hit]])
-                found[mine] = got[again]
-        p[at] = found + weight[ctx] * p[at]
+            lo, hi = cuts[s], cuts[s + 1]
+            if lo < hi:
+                index, hit = self._level(s, "next").successor(asked[lo:hi])
+                found[order[lo + np.flatnonzero(hit)]] = _CODES[_mapped(f"{self.folder}/trie-{s}")["p3"][index[hit]]]
+        p[inner] = found + weight[ctx] * p[inner]
         return p
 
     def successors(self, first: int, second: int) -> np.ndarray:
@@ -246,16 +250,29 @@ def _local(path: str) -> str:
 def build(train: DataFrame, texts: int) -> str:
     """Folder of the model of train (text). texts: number of all rows, from which the number of shards follows."""
     spark = train.sparkSession
-    folder = f"{_local(shared_dir(spark))}/tessera-lm-{uuid.uuid4().hex}"
+    folder = _local(swept(spark, f"{shared_dir(spark)}/tessera-lm-{uuid.uuid4().hex}"))
     os.makedirs(folder, exist_ok=True)
     shards = max(4, min(1 << 16, texts // DOCS_PER_SHARD))
 
+    def packed(words: _Words, counts: np.ndarray, n: int) -> pd.DataFrame:
+        h, c = np.array(words.hashes, np.uint64)[: len(counts)], counts
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        edges = np.searchsorted(_range_of(h, shards), np.arange(shards + 1))
+        full = [r for r in range(shards) if edges[r] < edges[r + 1]]
+        return pd.DataFrame({"shard": full, "n": [n if k == 0 else 0 for k in range(len(full))], "a": [h[edges[r] : edges[r + 1]].tobytes() for r in full], "b": [_planes(c[edges[r] : edges[r + 1]].astype("<i8")) for r in full]})
+
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, hashes, _ in _chunks(batches):
-            h, c = np.unique(hashes, return_counts=True)
-            edges = np.searchsorted(_range_of(h, shards), np.arange(shards + 1))
-            full = [r for r in range(shards) if edges[r] < edges[r + 1]]
-            yield pd.DataFrame({"shard": full, "n": [len(rows) if k == 0 else 0 for k in range(len(full))], "a": [h[edges[r] : edges[r + 1]].tobytes() for r in full], "b": [_planes(c[edges[r] : edges[r + 1]].astype("<i8")) for r in full]})
+        held, counts, n = None, np.zeros(0, np.int64), 0
+        for rows, numbers, _, words in _chunks(batches):
+            if held is not None and held is not words:
+                yield packed(held, counts, n)
+                counts, n = np.zeros(0, np.int64), 0
+            more = np.bincount(numbers, minlength=max(len(words.hashes), len(counts)))
+            more[: len(counts)] += counts
+            held, counts, n = words, more, n + len(rows)
+        if held is not None:
+            yield packed(held, counts, n)
 
     def merge_words(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])
@@ -276,17 +293,15 @@ def build(train: DataFrame, texts: int) -> str:
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(folder)
-        for _, hashes, text in _chunks(batches):
-            ids, _ = _numbered(v, hashes)
-            one, two, inner = _contexts(ids, text, v.size + 1)
-            pair = one.astype(np.uint64) * v.width + ids.astype(np.uint64)
-            before = two.astype(np.uint64) * v.width + one.astype(np.uint64)
+        for _, numbers, text, words in _chunks(batches):
+            ids = words.look(v)[0][numbers]
+            inner = np.concatenate([[False], text[1:] == text[:-1]])
+            pair = np.where(inner, np.concatenate([[0], ids[:-1]]), v.size + 1).astype(np.uint64) * v.width + ids.astype(np.uint64)
             # a pair's successors are looked for under the pair, which also occurs as a pair of its own
             keys, back = np.unique(pair, return_inverse=True)
             count = np.bincount(back).astype("<u4")
             parent = np.concatenate([[0], back[:-1]])[inner].astype(np.uint64)
             follow, times = np.unique(parent << np.uint64(32) | ids[inner].astype(np.uint64), return_counts=True)
-            assert (keys[(follow[:1] >> np.uint64(32)).astype(int)] == before[inner][np.argmin(parent)]).all()
             owner = (follow >> np.uint64(32)).astype(np.int64)
             shard = _shard_of(keys, shards)
             out = []
@@ -321,7 +336,7 @@ def build(train: DataFrame, texts: int) -> str:
                 word_count[lo:hi] = _mapped(f"{folder}/words-{r}")["count"][(first[lo:hi] - np.uint64(v.starts[r])).astype(np.int64)]
         levels = {"pairs": EliasFano.build(keys), "pointers": EliasFano.build(np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.uint64)), "next": EliasFano.build(third)}
         arrays = {f"{k}.{n}": a for k, ef in levels.items() for n, a in ef.arrays().items()}
-        arrays |= {"p2": _quantised(count / (word_count + MU2)), "back": _quantised(MU3 / (count + MU3)), "p3": _quantised(times / (count[owner] + MU3)) if len(third) else np.empty(0, np.uint16)}
+        arrays |= {"p2back": _quantised(count / (word_count + MU2)).astype(np.uint32) | _quantised(MU3 / (count + MU3)).astype(np.uint32) << np.uint32(16), "p3": _quantised(times / (count[owner] + MU3)) if len(third) else np.empty(0, np.uint16)}
         _save(f"{folder}/trie-{s}", arrays)
         return pd.DataFrame({"shard": [s], "pairs": [len(keys)], "thirds": [len(third)]})
 
@@ -330,7 +345,7 @@ def build(train: DataFrame, texts: int) -> str:
     for s in range(shards):  # shards without pairs
         if not os.path.exists(f"{folder}/trie-{s}"):
             none = EliasFano.build(np.empty(0, np.uint64)).arrays()
-            _save(f"{folder}/trie-{s}", {f"{k}.{n}": a for k in ("pairs", "pointers", "next") for n, a in none.items()} | {k: np.empty(0, np.uint16) for k in ("p2", "back", "p3")})
+            _save(f"{folder}/trie-{s}", {f"{k}.{n}": a for k in ("pairs", "pointers", "next") for n, a in none.items()} | {"p2back": np.empty(0, np.uint32), "p3": np.empty(0, np.uint16)})
     return folder
 
 
@@ -340,10 +355,10 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(folder)
         v = trie.vocabulary
-        for rows, hashes, text in _chunks(batches):
-            ids, counts = _numbered(v, hashes)
+        for rows, numbers, text, words in _chunks(batches, SCORE_CHUNK):
+            ids, counts = (a[numbers] for a in words.look(v))
             n = len(rows)
-            base = np.bincount(text, np.log10((counts + 1) / (v.tokens + v.size + 1)), n)
+            base = np.bincount(text, np.log10((words.counts + 1) / (v.tokens + v.size + 1))[numbers], n)
             yield pd.DataFrame({
                 "doc_id": pd.array([None if r.doc_id is None or r.doc_id != r.doc_id else int(r.doc_id) for r in rows], "Int64"), "held_out": [bool(r.held_out) for r in rows], "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, counts > 0, n).astype(np.int64),
                 "train_tokens": v.tokens, "base_score": base, "score": np.bincount(text, np.log10(trie.probabilities(ids, counts, text)), n),

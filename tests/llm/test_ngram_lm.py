@@ -55,7 +55,7 @@ def test_probabilities_sum_to_one_and_pointers(spark, tmp_path):
     import numpy as np
 
     v = trie.vocabulary
-    word = {w: lm.Vocabulary(folder).look(np.array([lm._hash_text(w)[0]], np.uint64))[0][0] for w in "abcd"}
+    word = {w: lm.Vocabulary(folder).look(np.array([lm.xxhash.xxh3_64_intdigest(w.encode())], np.uint64))[0][0] for w in "abcd"}
     a, b, c, d = (word[w] for w in "abcd")
     assert sorted(trie.successors(a, b).tolist()) == sorted(x for x in {c, d, v.look(np.array([lm.END], np.uint64))[0][0]})
     every = np.arange(v.size + 1)
