@@ -97,7 +97,9 @@ def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
 
 
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations"))[1]
+    """The messages in reply order; a thread's first message has the parent (-1, -1)."""
+    rows = link(table(spark, sf_dir, "conversations"))[1]
+    return rows.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("parent_conv", "parent_turn")})
 
 
 QUERIES = {"op1_quote_linking": op1_quote_linking}
@@ -123,4 +125,4 @@ clean as (select rid, trim(string_agg(body, chr(10) order by pos) filter (where
 select r.conv_id, r.turn, r.role, coalesce(t, '') as text, coalesce(quote_depth, 0)::int quote_depth, coalesce(n_passages, 0)::bigint n_passages, coalesce(n_linked, 0)::bigint n_linked, pc parent_conv, pt parent_turn, coalesce(rc, r.conv_id) thread_conv, coalesce(rt, r.turn) thread_turn, coalesce(depth, 0)::bigint depth
 from raw r left join clean using (rid) left join par p on p.conv_id = r.conv_id and p.turn = r.turn left join tree x on x.conv_id = r.conv_id and x.turn = r.turn left join st s on s.conv_id = r.conv_id and s.turn = r.turn
 """
-SQL = {"op1_quote_linking": LINK_SQL}
+SQL = {"op1_quote_linking": LINK_SQL.replace("pc parent_conv, pt parent_turn", "coalesce(pc, -1)::bigint parent_conv, coalesce(pt, -1)::bigint parent_turn")}
