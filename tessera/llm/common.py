@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: ASCII white space \x09-\x0D; with the blank these separate words.
 WS = "\t\n\x0b\x0c\r"
 _made: list[tuple[SparkSession, str]] = []
+_memos: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,15 @@ def _sweep() -> None:
             return
 
 
+def memo_of(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins, with what empties the operator's memo if it has one: workers are reused
+    from stage to stage, and the memos of all other operators are emptied, so that they do not add up."""
+    for other in [k for k in _memos if k != name]:
+        _memos.pop(other)()
+    if clear is not None:
+        _memos[name] = clear
+
+
 def words(text: Column) -> Column:
     """Array of maximal runs of characters other than \\x20 and \\x09-\\x0D; null text gives an empty array."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), WS, " " * 5), " "), "")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, memo_of, table
 from .graph import components
 
 BANDS, ROWS, MEMO = 40, 5, 400_000
@@ -80,6 +80,7 @@ def sign(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"
     """(doc_id, n_shingles, k1, k2: hash of the set, bands, sig: low byte of each minimum)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo_of("minhash", _memo.clear)
         for batch in batches:
             rows = []
             for text in batch["text"]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, swept, table
+from .common import memo_of, shared_dir, swept, table
 from .elias_fano import EliasFano
 
 MU2, MU3, CHUNK, SCORE_CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 600_000, 1_000_000, 4000, (7, 2)
@@ -69,6 +69,7 @@ class _Words(dict):
 
 def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, _Words]]:
     """(rows, word numbers of all tokens, their text's number, words) over whole texts, about size tokens at a time."""
+    memo_of("ngram_lm")
     words = _Words()
     rows, parts, lengths, n = [], [], [], 0
     for x in batches:

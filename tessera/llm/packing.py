@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, memo_of, table
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, WELL_FILLED = 4000, 2, 2, 3, 3, 0.985
-MEMO = 800_000
+MEMO = 500_000
 #: The tokenizer's own split of a lower-case word, restricted to ASCII and to bytes of other characters (checked to be letters).
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,6 +93,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_
     """(doc_id, piece, start, length, ids_crc32) per piece of at most capacity tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo_of("packing", _loaded.clear)
         for batch in batches:
             rows = []
             for i in range(0, len(batch), 256):

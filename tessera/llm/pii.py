@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tagger
-from .common import table
+from .common import memo_of, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "other")
@@ -124,6 +124,15 @@ def find_spans(texts: list[str | None], model: tagger.Tagger) -> list[tuple[list
     return [(b, sorted(a, key=lambda x: (x[0], ORDER[x[2]]))) for b, a in zip(base, out, strict=True)]
 
 
+def _by_parts(texts: pd.Series, model: tagger.Tagger, part: int = 500) -> Iterator[tuple[str | None, list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
+    """(text, base spans, all spans), some texts at a time."""
+    memo_of("pii")
+    for i in range(0, len(texts), part):
+        own = list(texts.iloc[i : i + part])
+        for t, (base, every) in zip(own, find_spans(own, model), strict=True):
+            yield t, base, every
+
+
 def _digest(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -134,7 +143,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = find_spans(list(x["text"]), model)
+            found = [(b, a) for _, b, a in _by_parts(x["text"], model)]
             out = pd.DataFrame({f"n_{k}": np.array([sum(s[2] == k for s in b) for b, _ in found], np.int64) for k in BASE})
             out.insert(0, "doc_id", x["doc_id"].to_numpy())
             out["base_sha256"] = [hashlib.sha256(_digest(b).encode()).hexdigest() for b, _ in found]
@@ -161,7 +170,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
 
     @F.pandas_udf("string")
     def mask(x: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else masked(t, a) for t, (_, a) in zip(x, find_spans(list(x), model), strict=True)], dtype=object)
+        return pd.Series([t if t is None or not a else masked(t, a) for t, _, a in _by_parts(x, model)], dtype=object)
 
     out = docs.withColumn(text, mask(F.col(text)))
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
