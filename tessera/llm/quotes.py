@@ -1,15 +1,13 @@
 """Quotation linking of messages.
 
-Lines are parsed into quote levels (> marks, blanks between them allowed); maximal runs of one level are passages. Normalised
-quoted lines are hashed and joined to the level-0 lines of original messages: to the latest earlier message of the same
-conversation that has the line, else to the first message anywhere that has it and comes before in (conv_id, turn).
-A passage's source is the message that most of its lines point to. A message replies to the source of its level-1 passages
-with most lines; without one, to the turn before it. Threads and depths come from the parents by pointer doubling, and
-(thread, depth, conv_id, turn) is the reply order: a parent always stands before its replies. Texts are given back without
-quotes and without the attribution lines directly above them.
-
-A line that stands in very many messages is reduced to one candidate per hash (or per conversation, by a running window)
-before it is joined, so frequent lines make no pairs.
+Lines are parsed into quote levels (> marks, blanks between them allowed); maximal runs of one level are passages. The hash of a
+passage's normalised lines is joined to the runs of as many consecutive level-0 lines in other messages (quoted lines and lines
+without a normal form between them do not count): its source is the latest earlier message of the same conversation with such a
+run, else the first message anywhere that has one and comes before in (conv_id, turn). The source of a passage without such a
+run is, of all earlier messages that have lines of it, the one with most (then of the same conversation the latest, else the
+first). A message replies to the source of its level-1 passages with most lines; without one, to the turn before it. Threads
+and depths come from the parents by pointer doubling, and (thread, depth, conv_id, turn) is the reply order: a parent always
+stands before its replies. Texts are given back without quotes and without the attribution lines directly above them.
 
 Defined results: null and empty texts have no lines; rows without conv_id or turn are threads of their own at depth 0 and
 neither quote nor are quoted; rows that repeat a (conv_id, turn) are one message with several texts, each returned; an empty
@@ -27,6 +25,8 @@ from .common import durable, table
 _ATTRIBUTION = r"(?m)^[^\n>]{0,300}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+(?=[ \t]*>)"
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 LEAST = 4
+#: Lines of at most so many messages are joined to them one by one; a matter of cost, not of results.
+RARE = 64
 
 
 def parsed(text: Column) -> Column:
@@ -53,34 +53,79 @@ def _roots(parents: DataFrame) -> DataFrame:
     return at.drop("there")
 
 
+def _runs(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(conv_id, turn, key): the digests of passages that stand as consecutive lines in a text. own: (conv_id, turn, txt, i, h),
+    i counting the lines of the text. Each line is the start of as many runs as there are lengths of passages that begin with it."""
+    lengths = texts.groupBy("h").agg(F.collect_set(F.col("lines").cast("int")).alias("ks"))
+    line = F.array_sort(F.collect_list(F.struct("i", "h", F.coalesce("ks", F.array().cast("array<int>")).alias("ks"))))
+    rows = own.join(lengths, "h", "left").groupBy("conv_id", "turn", "txt").agg(line.alias("a")).withColumn("hs", F.transform("a", lambda x: x["h"]))
+    whole = lambda x, j, k: F.get("a", j + k - 1)["i"] == x["i"] + k - 1
+    run = F.flatten(F.transform("a", lambda x, j: F.transform(x["ks"], lambda k: F.when(whole(x, j, k), F.xxhash64(F.slice("hs", j + 1, k))))))
+    return rows.select("conv_id", "turn", F.explode(run).alias("key")).where("key is not null").join(texts.select(F.col("digest").alias("key")).distinct(), "key", "left_semi").distinct()
+
+
+def _source(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """asked with (sc, st): the latest earlier message of the same conversation that has the key, else the first anywhere that
+    has it and comes before; rows without one are left out. A key of very many messages makes no pairs."""
+    extra = [c for c in asked.columns if c not in ("conv_id", "turn", "key")]
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
+    events = own.select("conv_id", "turn", "key", F.col("turn").alias("src"), *none).unionByName(asked.withColumn("src", F.lit(None).cast("long")))
+    back = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = events.withColumn("src", F.max("src").over(back)).where("passage is not null")
+    hit = near.join(own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "key", "left")
+    before = F.col("first") < F.struct("conv_id", "turn")
+    out = hit.withColumns({"sc": F.when(F.col("src").isNotNull(), F.col("conv_id")).when(before, F.col("first.conv_id")), "st": F.when(F.col("src").isNotNull(), F.col("src")).when(before, F.col("first.turn"))})
+    return out.where("sc is not null").drop("src", "first")
+
+
+def _voted(rest: DataFrame, own: DataFrame) -> DataFrame:
+    """(conv_id, turn, passage, v): the earlier message with most lines of the passage, v.n of them, at (v.sc, v.st). rest:
+    (conv_id, turn, passage, h), a row per line; own: (conv_id, turn, h). All earlier messages with a line of the passage count.
+
+    Rare lines are joined to their messages. Of frequent lines a message has one set and a passage one list; the overlap is
+    counted once per pair of different sets and lists, and a set stands for its messages as a line does in _source."""
+    at = ["conv_id", "turn", "passage"]
+    own = durable(own.join(rest.select("h").distinct(), "h", "left_semi"), "quote-sets")
+    often = durable(own.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("h"), "quote-often")
+    rare = rest.join(often, "h", "left_anti").join(own.select(F.col("conv_id").alias("sc"), F.col("turn").alias("st"), "h"), "h").where(F.struct("sc", "st") < F.struct("conv_id", "turn")).groupBy(*at, "sc", "st").agg(F.count("*").alias("n"))
+    lists = rest.join(often, "h", "left_semi").groupBy(*at).agg(F.array_sort(F.collect_list("h")).alias("hs")).withColumn("list", F.xxhash64("hs"))
+    sets = own.join(often, "h", "left_semi").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("h")).alias("hs")).withColumn("key", F.xxhash64("hs"))
+    lists, sets = durable(lists, "quote-lists"), durable(sets, "quote-sets")
+    one = lambda d, k: d.select(k, "hs").dropDuplicates([k]).select(k, F.explode("hs").alias("h"))
+    shared = durable(one(lists, "list").join(one(sets, "key"), "h").groupBy("list", "key").agg(F.count("*").alias("o")), "quote-shared")
+    more = rare.join(lists.select(*at, "list"), at, "left").join(sets.select(F.col("conv_id").alias("sc"), F.col("turn").alias("st"), "key"), ["sc", "st"], "left").join(shared, ["list", "key"], "left")
+    rare = durable(more.select(*at, "sc", "st", (F.col("n") + F.coalesce("o", F.lit(0))).alias("n")), "quote-rare")
+    best = rare.groupBy(*at).agg(F.max("n").alias("best"))
+    asked = lists.select(*at, "list").join(shared, "list").join(best, at, "left").where(F.col("o") >= F.coalesce("best", F.lit(0))).select(*at, "key", F.col("o").alias("n"))
+    votes = rare.unionByName(_source(asked, sets.select("conv_id", "turn", "key")).select(*rare.columns))
+    here = F.col("sc") == F.col("conv_id")
+    return votes.groupBy(*at).agg(F.max_by(F.struct("n", "sc", "st"), F.struct("n", here, F.when(here, F.col("st")).otherwise(-F.col("sc")), F.when(here, 0).otherwise(-F.col("st")))).alias("v"))
+
+
 def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(passages, rows). passages: (conv_id, turn, passage, level, digest, source_conv, source_turn, lines, matched), one row
     per quoted passage; rows: messages in reply order with their texts without quotes."""
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", parsed(F.col("text")).alias("ls"))
     read = durable(base, "quote-lines")
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    lines = read.where(whole).select("conv_id", "turn", F.posexplode("ls").alias("pos", "x")).select("conv_id", "turn", "pos", F.col("x.level").alias("level"), normalised(F.col("x.body")).alias("norm"))
-    lines = lines.where(F.length("norm") >= least).withColumn("h", F.xxhash64("norm"))
-    quoting = read.where(whole & F.exists("ls", lambda x: x["level"] > 0))
-    quoted = quoting.select("conv_id", "turn", F.posexplode("ls").alias("pos", "x")).select("conv_id", "turn", "pos", F.col("x.level").alias("level"), normalised(F.col("x.body")).alias("norm"))
-    order = Window.partitionBy("conv_id", "turn").orderBy("pos")
-    quoted = quoted.withColumn("_new", F.when(F.col("level") == F.lag("level").over(order), 0).otherwise(1)).withColumn("passage", F.sum("_new").over(order))
-    quoted = durable(quoted.where((F.col("level") > 0) & (F.length("norm") >= least)).withColumn("h", F.xxhash64("norm")).select("conv_id", "turn", "passage", "pos", "level", "norm", "h"), "quote-quoted")
-    asked = quoted.select("h").distinct()
-    own = lines.where("level = 0").join(asked, "h", "left_semi").select("conv_id", "turn", "h").distinct()
-    own = durable(own, "quote-own")
-    events = own.select("conv_id", "h", "turn", F.col("turn").alias("src"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("pos")).unionByName(
-        quoted.select("conv_id", "h", "turn", F.lit(None).cast("long").alias("src"), "passage", "pos"))
-    back = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = events.withColumn("src", F.max("src").over(back)).where("passage is not null").select("conv_id", "turn", "passage", "pos", "h", "src")
-    firsts = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    hit = near.join(firsts, "h", "left")
-    before = (F.col("first.conv_id") < F.col("conv_id")) | ((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") < F.col("turn")))
-    hit = hit.select("conv_id", "turn", "passage", "pos", F.when(F.col("src").isNotNull(), F.col("conv_id")).when(before, F.col("first.conv_id")).alias("sc"), F.when(F.col("src").isNotNull(), F.col("src")).when(before, F.col("first.turn")).alias("st"))
-    votes = hit.where("sc is not null").groupBy("conv_id", "turn", "passage", "sc", "st").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("conv_id", "turn", "passage").agg(F.max(F.struct("n", "sc", "st")).alias("v"))
-    texts = quoted.groupBy("conv_id", "turn", "passage", "level").agg(F.count("*").alias("lines"), F.xxhash64(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]))).alias("digest"))
-    passages = durable(texts.join(chosen, ["conv_id", "turn", "passage"], "left").select("conv_id", "turn", "passage", "level", "digest", F.col("v.sc").alias("source_conv"), F.col("v.st").alias("source_turn"), "lines", F.coalesce("v.n", F.lit(0)).alias("matched")), "quote-passages")
+    each = read.where(whole).withColumn("txt", F.xxhash64("ls")).dropDuplicates(["conv_id", "turn", "txt"])
+    lines = each.select("conv_id", "turn", "txt", F.posexplode("ls").alias("pos", "x")).select("conv_id", "turn", "txt", "pos", F.col("x.level").alias("level"), normalised(F.col("x.body")).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    quoting = each.where(F.exists("ls", lambda x: x["level"] > 0)).select("conv_id", "turn", "txt")
+    order = Window.partitionBy("conv_id", "turn").orderBy("txt", "pos")
+    same = (F.col("level") == F.lag("level").over(order)) & (F.col("txt") == F.lag("txt").over(order))
+    quoted = lines.join(quoting, ["conv_id", "turn", "txt"], "left_semi").withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("passage", F.sum("_new").over(order))
+    quoted = durable(quoted.where((F.col("level") > 0) & (F.length("norm") >= least)).select("conv_id", "turn", "passage", "pos", "level", "h"), "quote-quoted")
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
+    texts = quoted.groupBy("conv_id", "turn", "passage", "level").agg(hashes.alias("hs")).select("conv_id", "turn", "passage", "level", F.size("hs").cast("long").alias("lines"), F.xxhash64("hs").alias("digest"), F.col("hs")[0].alias("h"))
+    texts = durable(texts, "quote-texts")
+    own = lines.where((F.col("level") == 0) & (F.length("norm") >= least)).withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "turn", "txt").orderBy("pos")))
+    own = durable(own.join(quoted.select("h").distinct(), "h", "left_semi").select("conv_id", "turn", "txt", "i", "h"), "quote-own")
+    exact = _source(texts.select("conv_id", "turn", "passage", F.col("digest").alias("key")), _runs(own, texts))
+    found = durable(texts.drop("h").join(exact.drop("key"), ["conv_id", "turn", "passage"], "left"), "quote-exact")
+    chosen = _voted(quoted.join(found.where("sc is null"), ["conv_id", "turn", "passage"], "left_semi").select("conv_id", "turn", "passage", "h"), own.select("conv_id", "turn", "h").distinct())
+    matched = F.when(F.col("sc").isNotNull(), F.col("lines")).otherwise(F.coalesce("v.n", F.lit(0)))
+    passages = found.join(chosen, ["conv_id", "turn", "passage"], "left").select("conv_id", "turn", "passage", "level", "digest", F.coalesce("sc", "v.sc").alias("source_conv"), F.coalesce("st", "v.st").alias("source_turn"), "lines", matched.alias("matched"))
+    passages = durable(passages, "quote-passages")
     direct = passages.where("level = 1 and source_conv is not null").groupBy("conv_id", "turn", "source_conv", "source_turn").agg(F.sum("matched").alias("n")).groupBy("conv_id", "turn").agg(F.max(F.struct("n", "source_conv", "source_turn")).alias("p"))
     nodes = read.where(whole).select("conv_id", "turn").distinct()
     along = Window.partitionBy("conv_id").orderBy("turn")

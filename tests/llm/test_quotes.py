@@ -48,3 +48,26 @@ def test_long_chain_and_empty(spark):
     rows = {r.turn: (r.thread_turn, r.depth) for r in quotes.link(chain)[1].collect()}
     assert rows == {k: (0, k) for k in range(300)}
     assert quotes.link(chain.limit(0))[1].count() == 0
+
+
+def sources(spark, rows):
+    got = quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))[0].collect()
+    return {(p.conv_id, p.turn): ((p.source_conv, p.source_turn), p.lines, p.matched) for p in got}
+
+
+FIVE = [f"line number {k} of the text" for k in range(5)]
+QUOTE = "\n".join(f"> {x}" for x in FIVE)
+
+
+def test_a_passage_goes_to_the_message_that_has_all_of_it(spark):
+    rows = [(1, 0, "\n".join(FIVE)), (1, 1, "\n".join(FIVE[:3])), (1, 2, QUOTE), (1, 3, "\n\n".join(FIVE[::-1])), (1, 4, QUOTE.replace(" number 0", "")), (0, 9, "\n".join(FIVE)), (2, 0, QUOTE)]
+    assert sources(spark, rows) == {(1, 2): ((1, 0), 5, 5), (1, 4): ((1, 3), 5, 4), (2, 0): ((0, 9), 5, 5)}
+
+
+def test_votes_over_rare_and_frequent_lines(spark, monkeypatch):
+    rows = [(1, 0, "\n".join(FIVE[:4]) + "\nother")] + [(1, k, FIVE[3]) for k in range(1, 6)] + [(1, k, FIVE[4] + "\n" + FIVE[2]) for k in range(6, 9)]
+    rows += [(1, 9, QUOTE), (1, 10, f"> {FIVE[4]}\n> {FIVE[3]}\n> nowhere at all"), (3, 0, QUOTE)]
+    want = {(1, 9): ((1, 0), 5, 4), (1, 10): ((1, 8), 3, 1), (3, 0): ((1, 0), 5, 4)}
+    for rare in (64, 2, 0):
+        monkeypatch.setattr(quotes, "RARE", rare)
+        assert sources(spark, rows) == want
