@@ -5,7 +5,8 @@ passage's normalised lines is joined to the runs of as many consecutive level-0
 without a normal form between them do not count): its source is the latest earlier message of the same conversation with such a
 run, else the first message anywhere that has one and comes before in (conv_id, turn). The source of a passage without such a
 run is, of all earlier messages that have lines of it, the one with most (then of the same conversation the latest, else the
-first). A message replies to the source of its level-1 passages with most lines; without one, to the turn before it. Threads
+first). Lines of fewer than 4 signs point to another conversation only as a whole passage that no third conversation has. Lines
+without a normal form are part of passages but point to nothing. A message replies to the source of its level-1 passages with most lines; without one, to the turn before it. Threads
 and depths come from the parents by pointer doubling, and (thread, depth, conv_id, turn) is the reply order: a parent always
 stands before its replies. Texts are given back without quotes and without the attribution lines directly above them.
 
@@ -24,6 +25,7 @@ from .common import durable, table
 #: Fixed value: words that end an attribution line above a quotation.
 _ATTRIBUTION = r"(?m)^[^\n>]{0,300}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+(?=[ \t]*>)"
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
+#: Shorter lines are linked within the conversation, and elsewhere only where a single other conversation has them.
 LEAST = 4
 #: Lines of at most so many messages are joined to them one by one; a matter of cost, not of results.
 RARE = 64
@@ -66,16 +68,18 @@ def _runs(own: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _source(asked: DataFrame, own: DataFrame) -> DataFrame:
     """asked with (sc, st): the latest earlier message of the same conversation that has the key, else the first anywhere that
-    has it and comes before; rows without one are left out. A key of very many messages makes no pairs."""
+    has it and comes before (for a short one only if no other conversation has it); rows without one are left out. A key of very many messages makes no pairs."""
     extra = [c for c in asked.columns if c not in ("conv_id", "turn", "key")]
     none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
     events = own.select("conv_id", "turn", "key", F.col("turn").alias("src"), *none).unionByName(asked.withColumn("src", F.lit(None).cast("long")))
     back = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = events.withColumn("src", F.max("src").over(back)).where("passage is not null")
-    hit = near.join(own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "key", "left")
+    hit = near.join(own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.max("conv_id").alias("last")), "key", "left")
     before = F.col("first") < F.struct("conv_id", "turn")
+    if "short" in extra:
+        before = before & (~F.col("short") | (F.col("first.conv_id") == F.col("last")))
     out = hit.withColumns({"sc": F.when(F.col("src").isNotNull(), F.col("conv_id")).when(before, F.col("first.conv_id")), "st": F.when(F.col("src").isNotNull(), F.col("src")).when(before, F.col("first.turn"))})
-    return out.where("sc is not null").drop("src", "first")
+    return out.where("sc is not null").drop("src", "first", "last")
 
 
 def _voted(rest: DataFrame, own: DataFrame) -> DataFrame:
@@ -114,17 +118,20 @@ def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     order = Window.partitionBy("conv_id", "turn").orderBy("txt", "pos")
     same = (F.col("level") == F.lag("level").over(order)) & (F.col("txt") == F.lag("txt").over(order))
     quoted = lines.join(quoting, ["conv_id", "turn", "txt"], "left_semi").withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("passage", F.sum("_new").over(order))
-    quoted = durable(quoted.where((F.col("level") > 0) & (F.length("norm") >= least)).select("conv_id", "turn", "passage", "pos", "level", "h"), "quote-quoted")
+    near = F.when(F.length("norm") < least, F.xxhash64("h", "conv_id")).otherwise(F.col("h")).alias("near")
+    quoted = durable(quoted.where("level > 0").select("conv_id", "turn", "passage", "pos", "level", "norm", "h", near), "quote-quoted")
+    known = quoted.where("norm <> ''")
     hashes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    texts = quoted.groupBy("conv_id", "turn", "passage", "level").agg(hashes.alias("hs")).select("conv_id", "turn", "passage", "level", F.size("hs").cast("long").alias("lines"), F.xxhash64("hs").alias("digest"), F.col("hs")[0].alias("h"))
+    texts = known.groupBy("conv_id", "turn", "passage").agg(hashes.alias("hs"), (F.max(F.length("norm")) < least).alias("short")).select("conv_id", "turn", "passage", F.size("hs").cast("long").alias("lines"), F.xxhash64("hs").alias("digest"), F.col("hs")[0].alias("h"), "short")
     texts = durable(texts, "quote-texts")
-    own = lines.where((F.col("level") == 0) & (F.length("norm") >= least)).withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "turn", "txt").orderBy("pos")))
-    own = durable(own.join(quoted.select("h").distinct(), "h", "left_semi").select("conv_id", "turn", "txt", "i", "h"), "quote-own")
-    exact = _source(texts.select("conv_id", "turn", "passage", F.col("digest").alias("key")), _runs(own, texts))
-    found = durable(texts.drop("h").join(exact.drop("key"), ["conv_id", "turn", "passage"], "left"), "quote-exact")
-    chosen = _voted(quoted.join(found.where("sc is null"), ["conv_id", "turn", "passage"], "left_semi").select("conv_id", "turn", "passage", "h"), own.select("conv_id", "turn", "h").distinct())
+    own = lines.where("level = 0 and norm <> ''").withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "turn", "txt").orderBy("pos")))
+    own = durable(own.join(known.select("h").distinct(), "h", "left_semi").select("conv_id", "turn", "txt", "i", "h", near), "quote-own")
+    exact = _source(texts.select("conv_id", "turn", "passage", "short", F.col("digest").alias("key")), _runs(own, texts))
+    found = durable(texts.drop("h", "short").join(exact.drop("key", "short"), ["conv_id", "turn", "passage"], "left"), "quote-exact")
+    chosen = _voted(known.join(found.where("sc is null"), ["conv_id", "turn", "passage"], "left_semi").select("conv_id", "turn", "passage", F.col("near").alias("h")), own.select("conv_id", "turn", F.col("near").alias("h")).distinct())
     matched = F.when(F.col("sc").isNotNull(), F.col("lines")).otherwise(F.coalesce("v.n", F.lit(0)))
-    passages = found.join(chosen, ["conv_id", "turn", "passage"], "left").select("conv_id", "turn", "passage", "level", "digest", F.coalesce("sc", "v.sc").alias("source_conv"), F.coalesce("st", "v.st").alias("source_turn"), "lines", matched.alias("matched"))
+    every = quoted.select("conv_id", "turn", "passage", "level").distinct()
+    passages = every.join(found, ["conv_id", "turn", "passage"], "left").withColumn("lines", F.coalesce("lines", F.lit(0))).join(chosen, ["conv_id", "turn", "passage"], "left").select("conv_id", "turn", "passage", "level", "digest", F.coalesce("sc", "v.sc").alias("source_conv"), F.coalesce("st", "v.st").alias("source_turn"), "lines", matched.alias("matched"))
     passages = durable(passages, "quote-passages")
     direct = passages.where("level = 1 and source_conv is not null").groupBy("conv_id", "turn", "source_conv", "source_turn").agg(F.sum("matched").alias("n")).groupBy("conv_id", "turn").agg(F.max(F.struct("n", "source_conv", "source_turn")).alias("p"))
     nodes = read.where(whole).select("conv_id", "turn").distinct()

@@ -71,3 +71,12 @@ def test_votes_over_rare_and_frequent_lines(spark, monkeypatch):
     for rare in (64, 2, 0):
         monkeypatch.setattr(quotes, "RARE", rare)
         assert sources(spark, rows) == want
+
+
+def test_short_lines_form_passages_and_link(spark):
+    rows = [(1, 0, "Yes"), (1, 1, "well then"), (1, 2, "> Yes\nfine"), (1, 3, "好的吗"), (1, 4, "so"), (1, 5, "> > Yes\n> 好的吗"), (1, 6, "> :-)\nglad"), (2, 0, "> Yes"), (2, 1, "ok"), (3, 0, "> ok"), (4, 0, "ok"), (5, 0, "> so\n> never written before"), (5, 1, "> so")]
+    docs = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.quote_depth, r.n_passages, r.n_linked, (r.parent_conv, r.parent_turn)) for r in quotes.link(docs)[1].collect()}
+    none = (None, None)
+    assert got[1, 2] == (1, 1, 1, (1, 0)) and got[1, 5] == (2, 2, 2, (1, 3)) and got[1, 6] == (1, 1, 0, (1, 5))
+    assert got[2, 0] == (1, 1, 1, (1, 0)) and got[3, 0] == (1, 1, 0, none) and got[5, 0] == (1, 1, 0, none) and got[5, 1] == (1, 1, 1, (1, 4))
