@@ -21,7 +21,9 @@ from .common import durable, lower_ascii, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, BLOCK_AT, CUT_EVERY = 0.85, 8, 0.15, 4
+DAMPING, BLOCK_AT, CUT_EVERY = 0.85, 0.15, 4
+#: No score is further from its limit than this.
+TOLERANCE = 1e-6
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -42,21 +44,28 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust). hosts: (host, trusted, blocked); edges: (src, dst, n), one row per pair.
 
     Trust follows links, distrust goes from a link's target to its source. Scores are those of PageRank over 1 - damping: a
-    seed that nothing reaches has 1."""
+    seed that nothing reaches has 1. Without rounds, the iteration goes on until no score can change by TOLERANCE."""
     both = edges.select(F.lit("t").alias("way"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("way", "src").agg(F.sum("n").alias("total"))
     shares = durable(both.join(total, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
     seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("way"), F.col("trusted").alias("seed")), F.struct(F.lit("d").alias("way"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.way", F.col("x.seed").cast("double").alias("seed"))
     score = seeds.select("host", "way", F.col("seed").alias("score"))
-    for k in range(0 if shares.isEmpty() else rounds):
+    # scores only rise, and what a round adds is in total at most damping times what the round before it added
+    mass = lambda d: d.agg(F.sum("score")).first()[0] or 0.0
+    k, before, on = 0, mass(score) if rounds is None else 0.0, not shares.isEmpty()
+    while on and k != rounds:
         got = score.join(shares, ["host", "way"]).groupBy(F.col("dst").alias("host"), "way").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = seeds.join(got, ["host", "way"], "left").select("host", "way", (F.col("seed") + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
-        if (k + 1) % CUT_EVERY == 0:
+        k += 1
+        if k % CUT_EVERY == 0:
             score = durable(score, "url-score")
+            if rounds is None:
+                now = mass(score)
+                on, before = (now - before) * damping / (1 - damping) > max(TOLERANCE, 1e-13 * now), now
     seen = score.groupBy("host").agg(F.max(F.when(F.col("way") == "t", F.col("score"))).alias("trust"), F.max(F.when(F.col("way") == "d", F.col("score"))).alias("distrust"))
     return seen
 

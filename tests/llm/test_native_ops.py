@@ -128,6 +128,31 @@ def test_propagation_equals_dense_iteration(spark):
         assert [got[h][way] for h in hosts] == pytest.approx(s.tolist())
 
 
+def solved(hosts, edges, seeds, way):
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in edges.items():
+        i, j = hosts.index(a), hosts.index(b)
+        m[(i, j) if way == 0 else (j, i)] = n
+    m = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
+    return np.linalg.solve(np.eye(len(hosts)) - 0.85 * m.T, np.array([float(seeds[h][way]) for h in hosts]))
+
+
+def test_propagation_reaches_its_limit(spark):
+    ring = [f"r{k}" for k in range(4)]
+    hosts = [f"c{k}" for k in range(14)] + ring
+    edges = {(hosts[k + 1], hosts[k]): 1 for k in range(13)} | {(a, b): 2 for a in ring for b in ring if a != b} | {("r0", "c3"): 1, ("c5", "r1"): 3}
+    seeds = {h: (h == "r2", h == "c0") for h in hosts}
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trusted boolean, blocked boolean"), spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")).collect()}
+    for way in (0, 1):
+        assert [got[h][way] for h in hosts] == pytest.approx(solved(hosts, edges, seeds, way).tolist(), abs=url_filter.TOLERANCE)
+
+
+def test_a_chain_is_blocked_as_far_as_the_threshold_goes(spark):
+    pages = [(0, "http://bad.com/de/1", "")] + [(k, f"http://c{k}.net/", f'<a href="http://{"bad.com" if k == 1 else f"c{k - 1}.net"}/">t</a>') for k in range(1, 14)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k for k in got if got[k] == "block"} == set(range(12))
+
+
 @pytest.mark.parametrize("rows", [4000, 90])
 def test_vector_graph_recall_and_components(spark, rows, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD_ROWS", rows)
