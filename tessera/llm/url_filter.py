@@ -2,8 +2,11 @@
 
 Hosts that the rules mostly allow are trusted seeds, hosts that they mostly block are blocked seeds. Personalised PageRank
 runs from the trusted seeds along the host edges and, for distrust, from the blocked seeds against them; both in one
-iteration over a signed edge table, pre-aggregated to one row per pair of hosts. A url that no rule fits is blocked if its
-host's distrust, as a share of what a lone seed keeps, reaches the threshold and exceeds its trust.
+iteration over a signed edge table, pre-aggregated to one row per pair of hosts. These scores are divided among all links of a
+seed, so they fall as the crawl grows. The verdict goes by exposure and backing, which are divided among the host's own links:
+exposure is the damped share of a host's out-links that lead to blocked seeds, directly or over other hosts, backing that of
+its in-links that come from trusted seeds. A url that no rule fits is blocked if its host's exposure reaches the threshold and
+exceeds its backing.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is judged by the (empty)
 host's score; null html has no links; links without a host and links to the own host are no edges; an empty table gives an
@@ -45,16 +48,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
-    """(host, trust, distrust). hosts: (host, trusted, blocked); edges: (src, dst, n), one row per pair.
+    """(host, trust, distrust, backing, exposure). hosts: (host, trusted, blocked); edges: (src, dst, n), one row per pair.
 
     Trust follows links, distrust goes from a link's target to its source. Scores are those of PageRank over 1 - damping: a
-    seed that nothing reaches has 1. Without rounds, the iteration goes on until no score can change by TOLERANCE."""
+    seed that nothing reaches has 1. Backing and exposure go the same ways, but what a host gets is divided by its own links
+    instead of the giver's, and seeds keep 1: they are the damped chances that a walk along the host's links ends at a seed. Without rounds, the iteration goes on until no score can change by TOLERANCE."""
     both = edges.select(F.lit("t").alias("way"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    total = both.groupBy("way", "src").agg(F.sum("n").alias("total"))
-    shares = durable(both.join(total, ["way", "src"]).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
-    seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("way"), F.col("trusted").alias("seed")), F.struct(F.lit("d").alias("way"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.way", F.col("x.seed").cast("double").alias("seed"))
+    flags = {"t": "trusted", "d": "blocked", "b": "trusted", "e": "blocked"}
+    seeds = hosts.select("host", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.col(c).alias("seed")) for w, c in flags.items()])).alias("x")).select("host", "x.way", F.col("x.seed").cast("double").alias("seed"))
+    given = both.join(both.groupBy("way", "src").agg(F.sum("n").alias("total")), ["way", "src"]).select("way", "src", "dst", "n", "total")
+    taken = both.join(both.groupBy("way", "dst").agg(F.sum("n").alias("total")), ["way", "dst"]).select(F.when(F.col("way") == "t", "b").otherwise("e").alias("way"), "src", "dst", "n", "total")
+    taken = taken.join(seeds.where("seed > 0").select("way", F.col("host").alias("dst")), ["way", "dst"], "left_anti")
+    shares = durable(given.unionByName(taken).select("way", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "url-shares")
     score = seeds.select("host", "way", F.col("seed").alias("score"))
-    # scores only rise, and what a round adds is in total at most damping times what the round before it added
+    # scores only rise, and what a round adds is at most damping times what the round before it added: in total for trust and
+    # distrust, for the host with most for backing and exposure
     mass = lambda d: d.agg(F.sum("score")).first()[0] or 0.0
     k, before, on = 0, mass(score) if rounds is None else 0.0, not shares.isEmpty()
     while on and k != rounds:
@@ -66,12 +74,12 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
             if rounds is None:
                 now = mass(score)
                 on, before = (now - before) * damping / (1 - damping) > max(TOLERANCE, 1e-13 * now), now
-    seen = score.groupBy("host").agg(F.max(F.when(F.col("way") == "t", F.col("score"))).alias("trust"), F.max(F.when(F.col("way") == "d", F.col("score"))).alias("distrust"))
-    return seen
+    names = {"t": "trust", "d": "distrust", "b": "backing", "e": "exposure"}
+    return score.groupBy("host").agg(*[F.max(F.when(F.col("way") == w, F.col("score"))).alias(name) for w, name in names.items()])
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_at: float = BLOCK_AT, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, host, path, rule, verdict, trust, distrust) per page."""
+    """(id, host, path, rule, verdict, trust, distrust, backing, exposure) per page."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
@@ -82,8 +90,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block
     linked = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").select("host", F.lit(False).alias("trusted"), F.lit(False).alias("blocked"))
     scores = propagate(hosts.unionByName(linked), edges)
     out = judged.join(scores, "host", "left")
-    bad = (F.coalesce("distrust", F.lit(0.0)) >= block_at) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
-    return out.select(id_col, "host", "path", "rule", F.coalesce("_fixed", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    bad = (F.coalesce("exposure", F.lit(0.0)) >= block_at) & (F.coalesce("exposure", F.lit(0.0)) > F.coalesce("backing", F.lit(0.0)))
+    return out.select(id_col, "host", "path", "rule", F.coalesce("_fixed", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "backing", "exposure")
 
 
 def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

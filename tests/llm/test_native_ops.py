@@ -153,6 +153,16 @@ def test_a_chain_is_blocked_as_far_as_the_threshold_goes(spark):
     assert {k for k in got if got[k] == "block"} == set(range(12))
 
 
+@pytest.mark.parametrize("n", [1, 6, 40])
+def test_verdicts_do_not_depend_on_how_many_link_to_a_seed(spark, n):
+    a = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+    pages = [(0, "http://bad.com/de/1", a("b.net")), (1, "http://site.org/", a("fine.net", *[f"l{k}.net" for k in range(50)]))] + [(k, f"http://s{k}.net/", a("bad.com")) for k in range(2, n + 2)]
+    pages += [(100, "http://fine.net/", a("bad.com", *["x.net"] * 4)), (101, "http://far.net/", a("s2.net", "y.net")), (102, "http://little.net/", a("bad.com", *["x.net"] * 9)), (103, "http://b.net/", a("bad.com"))]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k for k, r in got.items() if r.verdict == "block"} == {0, 101, 103, *range(2, n + 2)}
+    assert [got[k].exposure for k in (0, 2, 100, 101, 102)] == pytest.approx([1, 0.85, 0.17, 0.85**2 / 2, 0.085]) and got[100].backing == pytest.approx(0.85)
+
+
 @pytest.mark.parametrize("rows", [4000, 90])
 def test_vector_graph_recall_and_components(spark, rows, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD_ROWS", rows)
