@@ -213,3 +213,19 @@ def test_decode_policies():
     assert square.sum() == 6 and square[1:3, 1:4].all()
     assert masks.decode('{"size": [2, 2], "counts": [1, 2, 1]}', 2, 2).tolist() == [[0, 1], [1, 0]]
     assert masks.decode("{", 2, 2) is None and masks.decode(None, 2, 2) is None
+
+
+def test_kmeans_centres_come_from_all_rows(spark):
+    rng = np.random.default_rng(4)
+    far = np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]])
+    m = np.vstack([far[k % 3] + rng.normal(size=2) for k in range(900)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, 1 + i // 600, v.tolist()) for i, v in enumerate(m)], "vec_id long, class_id int, embedding array<float>")
+    got = {r.vec_id: r.cluster for r in bank.with_clusters(rows, sample=12).collect()}
+    assert len(got) == 900
+    for c in (range(600), range(600, 900)):
+        own, near = m[list(c)], np.array([got[i] for i in c])
+        assert set(near) == set(range(bank.cluster_count(len(own))))
+        centres = np.array([own[near == k].mean(axis=0) for k in sorted(set(near))])
+        again = ((own[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        assert (again != near).mean() < 0.01  # each row is nearest to the mean of its own cluster
