@@ -16,6 +16,8 @@ from . import search
 
 #: Order of a bank: file key as text, then patch.
 ORDER = ("file_key", "patch_no")
+#: A patch is of a class that covers more than this share of it: in the bank, in target images.
+BANK_COVERAGE, TARGET_COVERAGE = 0.90, 0.50
 
 
 def file_key(image_id: Column, ann_id: Column) -> Column:
@@ -31,7 +33,11 @@ def target_images(bank: DataFrame, limit: int | None = 100) -> DataFrame:
 
 
 def targets(patches: DataFrame, images: DataFrame) -> DataFrame:
-    """All patches of each class's target images, with inside: the patch is of the class."""
+    """All patches of each class's target images, with inside: the patch is of the class. Patches with a coverage have a row per
+    class in them and are of those that cover more than TARGET_COVERAGE."""
+    if "coverage" in patches.columns:
+        whole = patches.groupBy("image_id", "patch_no").agg(F.first("embedding").alias("embedding"), F.collect_set(F.when(F.col("coverage") > TARGET_COVERAGE, F.col("class_id"))).alias("_cs"))
+        return whole.join(images, "image_id").select("class_id", "image_id", "patch_no", F.expr("array_contains(_cs, class_id)").alias("inside"), "embedding")
     return patches.select("image_id", "patch_no", "embedding", F.col("class_id").alias("_c")).join(images, "image_id").select("class_id", "image_id", "patch_no", (F.col("_c") == F.col("class_id")).alias("inside"), "embedding")
 
 

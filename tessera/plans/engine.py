@@ -60,7 +60,7 @@ class Config:
 
 
 class Engine:
-    """Stages over a patch table (vec_id, image_id, class_id, patch_no, row, col, file_key, embedding)."""
+    """Stages over a patch table (vec_id, image_id, class_id, patch_no, row, col, file_key, embedding, and coverage if known)."""
 
     def __init__(self, config: Config, workspace: str | None = None) -> None:
         self.config, self.workspace = config, workspace
@@ -72,7 +72,10 @@ class Engine:
         return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def build(self, patches: DataFrame) -> DataFrame:
-        """The first images_per_class images of each class in id order."""
+        """The first images_per_class images of each class in id order, of the patches that the class covers far enough. Without
+        a column coverage every patch counts as covered."""
+        if "coverage" in patches.columns:
+            patches = patches.where(F.col("coverage") > banks.BANK_COVERAGE)
         own = banks.target_images(patches, self.config.images_per_class)
         return patches.join(own, ["class_id", "image_id"], "left_semi")
 

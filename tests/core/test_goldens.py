@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import names
 from tessera.functions.vectors import adaptive_threshold, cell_centre
 from tessera.operators import bank, geometry, masks, metrics, protocol, search
+from tessera.plans.engine import Config, Engine
 
 
 def one(spark, *columns):
@@ -229,3 +230,11 @@ def test_kmeans_centres_come_from_all_rows(spark):
         centres = np.array([own[near == k].mean(axis=0) for k in sorted(set(near))])
         again = ((own[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
         assert (again != near).mean() < 0.01  # each row is nearest to the mean of its own cluster
+
+
+def test_coverage_of_bank_and_target_patches(spark):
+    rows = [(1, 1, 0, 1, 0.95), (2, 1, 1, 1, 0.90), (3, 1, 1, 2, 0.10), (4, 2, 0, 1, 0.51), (5, 2, 1, 1, 0.50), (6, 2, 1, 2, 0.50), (7, 3, 0, 1, 1.0), (8, 3, 1, 2, 0.91)]
+    patches = spark.createDataFrame([(*r, [1.0, float(r[0])]) for r in rows], "vec_id long, image_id long, patch_no int, class_id int, coverage double, embedding array<float>")
+    assert {r.vec_id for r in Engine(Config(images_per_class=2)).build(patches).collect()} == {1, 7, 8}
+    got = {(r.image_id, r.patch_no): r.inside for r in bank.targets(patches, spark.createDataFrame([(1, i) for i in (1, 2, 3)], "class_id int, image_id long")).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): True, (2, 1): False, (3, 0): True, (3, 1): False}
