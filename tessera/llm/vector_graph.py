@@ -4,7 +4,7 @@ Cluster centres are fitted on a bounded sample; every vector goes to the shards
 shard candidates are pruned by the robust rule (an edge goes if a kept neighbour is, by the factor alpha, nearer to its
 end than the vector is), adjacency lists of overlapping shards are united per vector, and every vector is then searched
 from the shard's medoid: greedily until the beam is settled, then expanding every vector in range. Hits are verified by the
-cosine in double precision. A pair is counted only in the lowest shard that both have, so pairs need not be gathered;
+cosine in double precision. A pair with a single shard in common is counted in its task, others are gathered and counted once;
 for the components a shard gives out spanning links only.
 
 Equal vectors are one class with a multiplicity. A shard above SHARD_ROWS classes is cut into blocks, and each pair of blocks
@@ -141,7 +141,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 
 def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
-    """Partial link counts and spanning links of one shard or pair of blocks."""
+    """Partial link counts, pairs that share further shards, and spanning links of one shard or pair of blocks."""
     shard, side = int(g["shard"].iloc[0]), g["side"].to_numpy()
     raw = np.array(g["embedding"].tolist(), np.float64)
     norm = np.sqrt((raw**2).sum(axis=1))
@@ -174,7 +174,7 @@ def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
     ok = (a != b) & (cos >= percent) & ((side[a] != side[b]) | (side.min() == side.max()))
     a, b = a[ok], b[ok]
     sets = [set(map(int, s)) for s in lists]
-    own = np.array([min(sets[i] & sets[j]) == shard for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+    own = np.array([sets[i] & sets[j] == {shard} for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
     links = np.zeros(n, np.int64)
     np.add.at(links, a[own], mult[b[own]])
     np.add.at(links, b[own], mult[a[own]])
@@ -185,13 +185,23 @@ def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
             root[v] = v = root[root[v]]
         return v
 
-    out = [(int(ids[i]), int(ids[i]), int(k)) for i, k in enumerate(links) if k]  # a count; rows of two nodes are links
+    out = [(int(ids[i]), int(ids[i]), int(k), 0) for i, k in enumerate(links) if k]  # a count; rows of two nodes are links
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         p, q = find(i), find(j)
         if p != q:
             root[max(p, q)] = min(p, q)
-            out.append((int(ids[i]), int(ids[j]), 0))
-    return pd.DataFrame(out, columns=["node", "other", "n"], dtype="int64")
+            out.append((int(ids[i]), int(ids[j]), 0, 0))
+    # pairs that another shard may find too: n is what the link counts for node, m what it counts for other
+    i, j = np.where(ids[a] < ids[b], a, b)[~own], np.where(ids[a] < ids[b], b, a)[~own]
+    shared = pd.DataFrame({"node": ids[i], "other": ids[j], "n": mult[j], "m": mult[i]}, dtype="int64")
+    return pd.concat([pd.DataFrame(out, columns=["node", "other", "n", "m"], dtype="int64"), shared], ignore_index=True)
+
+
+def _counted(linked: DataFrame) -> DataFrame:
+    """(node, n): links of each node, a pair once whichever tasks found it."""
+    pairs = linked.where("m > 0").dropDuplicates(["node", "other"])
+    ends = pairs.select(F.explode(F.array(F.struct("node", "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n")))).alias("x")).select("x.*")
+    return linked.where("node = other").select("node", "n").unionByName(ends).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -238,9 +248,9 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_i
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         pairs = spread.join(united, "node").withColumn("_o", other)
         tasks = pairs.select("shard", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), F.when(F.col("block") == F.col("_o"), 0).otherwise(F.when(F.col("block") < F.col("_o"), 1).otherwise(2)).alias("side"), "node", "mult", "embedding", "shards", "near")
-        linked = durable(tasks.groupBy("shard", "i", "j").applyInPandas(lambda g: _linked_in_task(g, at_least), "node long, other long, n long"), "vg-links")
-        links = linked.groupBy("node").agg(F.sum("n").alias("n"))
-        spans = components(linked.where("other <> node").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
+        linked = durable(tasks.groupBy("shard", "i", "j").applyInPandas(lambda g: _linked_in_task(g, at_least), "node long, other long, n long, m long"), "vg-links")
+        links = _counted(linked)
+        spans = components(linked.where("other <> node and m = 0").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
     own = classes.select("node", "mult", "rep")
     if links is None:
         return result.join(own, "node", "left").select("vec_id", F.coalesce(F.col("mult") - 1, F.lit(0)).alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

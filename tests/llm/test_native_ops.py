@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import mixing, quality_ledger, url_filter, vector_graph
@@ -189,5 +190,22 @@ def test_vector_graph_recall_and_components(spark, rows, monkeypatch):
     assert vector_graph.near_vectors(docs.limit(0)).count() == 0 and vector_graph.near_vectors(docs.limit(1)).first().kept
 
 
+def test_a_link_counts_whichever_shared_shard_finds_it(spark):
+    vectors = {1: [1.0, 0.0, 0.0], 2: [0.99, 0.1, 0.0], 3: [0.0, 0.0, 5.0], 4: [0.1, 0.1, 5.0]}
+    shards, mult = {1: [0, 1], 2: [0, 1], 3: [0], 4: [0]}, {1: 1, 2: 3, 3: 1, 4: 1}
+
+    def task(shard, near):
+        rows = [(shard, 0, v, mult[v], vectors[v], shards[v], near.get(v, [])) for v in vectors if shard in shards[v]]
+        return vector_graph._linked_in_task(pd.DataFrame(rows, columns=["shard", "side", "node", "mult", "embedding", "shards", "near"]), 0.9)
+
+    def counts(*tasks):
+        rows = spark.createDataFrame(pd.concat(tasks), "node long, other long, n long, m long")
+        return {r.node: r.n for r in vector_graph._counted(rows).collect()}
+
+    ring = {1: [2], 2: [1, 3], 3: [4, 2], 4: [3]}
+    missed, found = task(0, {3: [4], 4: [3]}), task(1, {1: [2], 2: [1]})
+    assert counts(missed) == {3: 1, 4: 1} and counts(missed, found) == {1: 3, 2: 1, 3: 1, 4: 1} == counts(task(0, ring), found)
+
+
 def test_seeded_offsets_are_those_of_the_sql():
     assert int(hashlib.md5(b"mix-1:ssrc0").hexdigest()[:8], 16) / 2**32 < 1
