@@ -1,10 +1,18 @@
-"""Elias-Fano coded monotone sequences over memory-mapped words, with vectorised successor search."""
+"""A level of a trie as an Elias-Fano sequence: the upper bits are the monotone pointers, the lower bits the words.
+
+The sequence holds (context << bits) | word in ascending order. Its upper part, coded in unary, tells where each context's
+words begin and end (a pointer is the place of a zero among the ones); its lower part is packed. A query goes to the range
+that its context's pointers give and looks for the first word not below it there. All searches are vectorised and read the
+arrays where they lie, which may be memory-mapped files.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 _ONE, _ALL, RATE = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), 16
+#: Blocks of RATE zeros that span more words than this keep the places of all their zeros.
+LONG = 24
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -24,55 +32,68 @@ def _select(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """n values, ascending. low: packed low bits; high: unary bucket sizes; samples: place of every 16th zero of high."""
+    """n values, ascending. low: packed low bits; high: unary sizes of the contexts; samples: place of every 16th zero of
+    high; far, far_at: the zeros of long blocks and their places."""
+
+    PARTS = ("head", "low", "high", "samples", "far", "far_at")
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.samples = n, bits, low, high, samples
+    def __init__(self, n: int, words: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray, far: np.ndarray, far_at: np.ndarray) -> None:
+        self.n, self.words, self.bits = n, words, max(0, words - 1).bit_length()
+        self.low, self.high, self.samples, self.far, self.far_at = low, high, samples, far, far_at
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
-        n = len(values)
-        top = int(values[-1]) + 1 if n else 1
-        bits = max(0, (top // max(1, n)).bit_length() - 1)
-        up = (values >> np.uint64(bits)).astype(np.int64)
-        flags = np.zeros(n + (top >> bits) + 2 * RATE, np.uint8)
-        flags[up + np.arange(n)] = 1
-        samples = np.flatnonzero(flags == 0)[::RATE].astype(np.uint32 if len(flags) < 1 << 32 else np.uint64)
+    def build(cls, context: np.ndarray, word: np.ndarray, contexts: int, words: int) -> EliasFano:
+        """Of pairs in ascending order; 0 <= context < contexts, 0 <= word < words."""
+        n, bits = len(word), max(0, words - 1).bit_length()
+        flags = np.zeros(n + contexts + 2 * RATE, np.uint8)
+        flags[context.astype(np.int64) + np.arange(n)] = 1
+        zeros = np.flatnonzero(flags == 0)
+        samples = zeros[::RATE]
+        span = np.diff(samples, append=len(flags)) // 64
+        far = np.flatnonzero(np.repeat(span > LONG, RATE)[: len(zeros)])
+        small = np.uint32 if len(flags) < 1 << 32 else np.uint64
         packed = np.packbits(flags, bitorder="little")
         high = np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8 + 8), "<u8")
         low = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
-            v = values & np.uint64((1 << bits) - 1)
             at = np.arange(n, dtype=np.int64) * bits
-            word, shift = at >> 6, (at & 63).astype(np.uint64)
-            _or_at(low, word, v << shift)
+            where, shift, v = at >> 6, (at & 63).astype(np.uint64), word.astype(np.uint64)
+            _or_at(low, where, v << shift)
             over = shift + np.uint64(bits) > np.uint64(64)
-            _or_at(low, word[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, bits, low, high, samples)
+            _or_at(low, where[over] + 1, v[over] >> (np.uint64(64) - shift[over]))
+        return cls(n, words, low, high, samples.astype(small), far.astype(small), zeros[far].astype(small))
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"head": np.array([self.n, self.bits], np.uint64), "low": self.low, "high": self.high, "samples": self.samples}
+        return {"head": np.array([self.n, self.words], np.uint64)} | {k: getattr(self, k) for k in self.PARTS[1:]}
 
     @classmethod
     def load(cls, a: dict[str, np.ndarray]) -> EliasFano:
-        return cls(int(a["head"][0]), int(a["head"][1]), a["low"], a["high"], a["samples"])
+        return cls(*(int(x) for x in a["head"]), *(a[k] for k in cls.PARTS[1:]))
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
+    def word(self, i: np.ndarray) -> np.ndarray:
+        """Words at indexes i."""
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         at = i * self.bits
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        v = self.low[word] >> shift
-        rest = shift + np.uint64(self.bits) > np.uint64(64)
-        v[rest] |= self.low[word[rest] + 1] << (np.uint64(64) - shift[rest])
+        where, shift = at >> 6, (at & 63).astype(np.uint64)
+        v = self.low[where] >> shift
+        rest = np.flatnonzero(shift > np.uint64(64 - self.bits))
+        v[rest] |= self.low[where[rest] + 1] << (np.uint64(64) - shift[rest])
         return v & np.uint64((1 << self.bits) - 1)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place in high of the k-th (from 0) zero."""
+        out = np.empty(len(k), np.int64)
+        live = np.arange(len(k))
+        if len(self.far):
+            at = np.minimum(np.searchsorted(self.far, k), len(self.far) - 1)
+            known = self.far[at] == k
+            out[known] = self.far_at[at[known]]
+            live = live[~known]
+            k = k[live]
         start = self.samples[k // RATE].astype(np.int64)
-        left, word, out = k % RATE, start >> 6, np.empty(len(k), np.int64)
+        left, word = k % RATE, start >> 6
         zeros = ~self.high[word] & (_ALL << (start & 63).astype(np.uint64))
-        live = np.arange(len(k))
         while len(live):
             have = _popcount(zeros)
             here = left < have
@@ -81,51 +102,55 @@ class EliasFano:
             zeros = ~self.high[word]
         return out
 
-    def _next_zero(self, at: np.ndarray) -> np.ndarray:
-        """Place of the first zero of high from each place on."""
-        word, out = at >> 6, np.empty(len(at), np.int64)
-        zeros = ~self.high[word] & (_ALL << (at & 63).astype(np.uint64))
-        live = np.arange(len(at))
-        while True:
+    def bounds(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of each context's words, by its pointers."""
+        k = context.astype(np.int64)
+        before = np.where(k > 0, self._zero(np.maximum(k - 1, 0)), -1)
+        after, word, live = np.empty(len(k), np.int64), (before + 1) >> 6, np.arange(len(k))
+        zeros = ~self.high[word] & (_ALL << ((before + 1) & 63).astype(np.uint64))
+        for _ in range(3):  # most ranges end in the word in which they begin or the next one
             here = zeros != 0
             z = zeros[here]
-            out[live[here]] = (word[here] << 6) + _popcount((z & (~z + _ONE)) - _ONE)
-            if here.all():
-                return out
+            after[live[here]] = (word[here] << 6) + _popcount((z & (~z + _ONE)) - _ONE)
             live, word = live[~here], word[~here] + 1
+            if not len(live):
+                break
             zeros = ~self.high[word]
-
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first stored value >= value, whether it is equal). The index may be n."""
-        index, equal = np.full(len(values), self.n, np.int64), np.zeros(len(values), bool)
-        up = values >> np.uint64(self.bits)
-        inside = np.flatnonzero(up < np.uint64(max(1, (len(self.samples) - 1) * RATE))) if self.n else np.empty(0, np.int64)
-        k = up[inside].astype(np.int64)
-        before = np.where(k > 0, self._zero(np.maximum(k - 1, 0)), -1)
-        begin, end = before - k + 1, self._next_zero(before + 1) - k
-        want = values[inside] & np.uint64((1 << self.bits) - 1)
-        lo, hi = begin.copy(), end.copy()
-        live = np.flatnonzero(lo < hi)
+        if len(live):
+            after[live] = self._zero(k[live])
+        return before - k + 1, after - k
+
+    def find(self, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word >= word in its range, whether it is equal). The index may be end."""
+        lo, hi, want = begin.copy(), end.copy(), word.astype(np.uint64)
+        equal = np.zeros(len(lo), bool)
+        live, rounds = np.flatnonzero(lo < hi), 0
+        share = np.minimum(want.astype(np.float64) / self.words, 1.0)
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < want[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
+            a, b = lo[live], hi[live]
+            size = b - a
+            if not rounds:  # words are numbered by hash, so a context's words are spread evenly
+                mid = a + np.minimum((size * share[live]).astype(np.int64), size - 1)
+            else:
+                mid = a + (size >> 1)
+            got, asked = self.word(mid), want[live]
+            less, same = got < asked, got == asked
+            if not rounds:  # the place lies near: a second probe brackets it
+                reach = (2.0 * np.sqrt(size)).astype(np.int64) + 2
+                probe = np.where(less, mid + reach, mid - reach)
+                inner = np.flatnonzero((probe >= a) & (probe < b) & ~same)
+                at = probe[inner]
+                below = self.word(at) < asked[inner]
+                lo[live[inner[below]]], hi[live[inner[~below]]] = at[below] + 1, at[~below]
+            lo[live[less]] = np.maximum(lo[live[less]], mid[less] + 1)
+            hi[live[~less]] = np.minimum(hi[live[~less]], mid[~less])
+            lo[live[same]] = hi[live[same]] = mid[same]
+            equal[live[same]] = True
             live = live[lo[live] < hi[live]]
-        index[inside] = lo
-        hit = np.flatnonzero(lo < end)
-        equal[inside[hit]] = self._low(lo[hit]) == want[hit]
-        return index, equal
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at indexes i: buckets are found by binary search over their ends."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), max(0, (len(self.samples) - 1) * RATE - 1), np.int64)
-        while (lo < hi).any():
-            mid = (lo + hi) >> 1
-            after = self._zero(mid) - mid > i
-            hi = np.where(after, mid, hi)
-            lo = np.where(after, lo, np.minimum(mid + 1, hi))
-        return (lo.astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
+            rounds += 1
+        rest = np.flatnonzero(~equal & (lo < end))
+        equal[rest] = self.word(lo[rest]) == want[rest]
+        return lo, equal
 
 
 def _or_at(out: np.ndarray, where: np.ndarray, values: np.ndarray) -> None:

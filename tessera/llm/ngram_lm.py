@@ -1,11 +1,20 @@
 """A trigram language model in an Elias-Fano trie, built and queried in Spark.
 
-Counting: each task numbers its words, counts pairs and their successors over chunks of tokens, and sends one packed
-block per shard of the trie (a shard is a hash of the pair, so a frequent context is spread). A shard's task merges its
-blocks and writes three compact levels to the shared folder: the pairs (Elias-Fano), monotone pointers from pairs to their
-successors (Elias-Fano), the successors (Elias-Fano of rank * words + word), with quantised smoothed probabilities and
-back-off weights. Vocabulary shards hold sorted word hashes and counts. Files are written aside and renamed, so a repeated
-task does no harm, and readers map them into memory; nothing is broadcast.
+The trie has three levels. The first is the vocabulary: words are numbered by their hashes and cut into shards by ranges of
+them. The second holds the successors of each word, the third those of each pair; both are Elias-Fano sequences whose upper
+parts are the pointers from their contexts and whose lower parts are the words (elias_fano). A query starts at the word's
+own place in its shard, follows the pointers to the range of its successors, finds the pair there, follows the pair's
+pointers to the next range, and finds the third word in it.
+
+A shard of the trie has the pairs of its range's words. The pairs of frequent words (more than a quarter of an average shard
+of tokens; there are at most four times as many of them as shards) and of the beginning of texts are dealt over all shards
+by a hash of the pair, in each of which such a word is one more context after the range's own: no shard holds all
+successors of a frequent word.
+
+Counting: each task numbers its words, counts pairs and their successors over chunks of tokens, and sends one packed block
+per shard. A shard's task merges its blocks and its own words' counts and writes the levels to the shared folder, with
+quantised smoothed probabilities and back-off weights. Files are written aside and renamed, so a repeated task does no harm,
+and readers map them into memory; nothing is broadcast.
 
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1); a context's counts and a prior of MU times the lower order's probability give
 p(w|h) = (c(hw) + MU p(w|h')) / (c(h) + MU). The discounted parts and back-off weights are kept in 16 bits of log10.
@@ -27,6 +36,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,17 +77,19 @@ class _Words(dict):
         return self.ids, self.counts
 
 
-def _chunks(batches: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, _Words]]:
-    """(rows, word numbers of all tokens, their text's number, words) over whole texts, about size tokens at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, _Words]]:
+    """(other columns' values per row, word numbers of all tokens, their text's number, words) over whole texts, about size
+    tokens at a time. The last column of a batch is the text."""
     memo_of("ngram_lm")
     words = _Words()
     rows, parts, lengths, n = [], [], [], 0
     for x in batches:
-        for row in x.itertuples(index=False):
-            ws = (row.text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        *others, texts = (c.to_pylist() for c in x.columns)
+        for k, text in enumerate(texts):
+            ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
             part = np.zeros(len(ws) + 1, np.int32)
             part[:-1] = np.fromiter(map(words.__getitem__, ws), np.int32, len(ws))
-            rows.append(row)
+            rows.append(tuple(o[k] for o in others))
             parts.append(part)
             lengths.append(len(part))
             n += len(part)
@@ -136,23 +148,25 @@ _CODES = 10.0 ** (np.arange(STEPS + 1) * (-LOWEST / STEPS) + LOWEST)
 
 
 class Vocabulary:
-    """Word ids are ranks by hash; shard r holds the hashes whose top part is r. Id size = unknown, size + 1 = begin."""
+    """The trie's first level. Word ids are ranks by hash; shard r holds the hashes whose top part is r. Id size = unknown,
+    size + 1 = the beginning of a text."""
 
     def __init__(self, folder: str) -> None:
         with open(f"{folder}/vocabulary.json") as f:
             about = json.load(f)
         self.folder, self.shards, self.starts = folder, about["shards"], np.array(about["starts"], np.int64)
         self.size, self.tokens, self.texts = about["size"], about["tokens"], about["texts"]
+        self.sizes, self.number = np.diff(self.starts), np.uint16 if self.shards < 65535 else np.int32
+        often = _mapped(f"{folder}/frequent") if os.path.exists(f"{folder}/frequent") else {"id": np.empty(0, np.int64), "count": np.empty(0, np.int64)}
+        self.often, self.often_counts = often["id"], often["count"]
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of sorted hashes."""
         ids, counts = np.full(len(hashes), self.size, np.int64), np.zeros(len(hashes), np.int64)
         shard = _range_of(hashes, self.shards)
         edges = np.searchsorted(shard, np.arange(self.shards + 1))
-        for r in range(self.shards):
+        for r in np.flatnonzero((edges[1:] > edges[:-1]) & (self.sizes > 0)).tolist():
             lo, hi = edges[r], edges[r + 1]
-            if lo == hi or self.starts[r] == self.starts[r + 1]:
-                continue
             a = _mapped(f"{self.folder}/words-{r}")
             at = np.minimum(np.searchsorted(a["hash"], hashes[lo:hi]), len(a["hash"]) - 1)
             hit = a["hash"][at] == hashes[lo:hi]
@@ -160,9 +174,28 @@ class Vocabulary:
             counts[lo:hi][hit] = a["count"][at[hit]]
         return ids, counts
 
-    @property
-    def width(self) -> np.uint64:
-        return np.uint64(self.size + 2)
+    def contexts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, context within it) of the pairs first << 32 | second, ascending; shard = shards where first is unknown."""
+        first = (keys >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(keys) else np.empty(0, np.int64)
+        word, times = first[cut], np.diff(np.append(cut, len(keys)))
+        home = np.searchsorted(self.starts, word, "right") - 1
+        row = word - self.starts[np.minimum(home, self.shards)]
+        home[word == self.size] = self.shards
+        at = np.minimum(np.searchsorted(self.often, word), max(0, len(self.often) - 1))
+        hot = (self.often[at] == word) if len(self.often) else np.zeros(len(word), bool)
+        row[hot], home[hot] = at[hot], -1
+        shard, row = np.repeat(home, times), np.repeat(row, times)
+        spread = np.flatnonzero(shard < 0)
+        shard[spread] = _shard_of(keys[spread], self.shards)
+        row[spread] += self.sizes[shard[spread]]
+        return shard.astype(self.number), row  # few bits: sorted by radix
+
+    def counts_of(self, shard: int, contexts: np.ndarray) -> np.ndarray:
+        """Counts of a shard's contexts, from its own words and the frequent ones."""
+        own = int(self.sizes[shard])
+        every = np.concatenate([_mapped(f"{self.folder}/words-{shard}")["count"] if own else np.empty(0, np.int64), self.often_counts])
+        return every[contexts]
 
 
 def _range_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -171,19 +204,33 @@ def _range_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
     x = (pairs ^ (pairs >> np.uint64(29))) * _MIX
-    return _range_of(x ^ (x >> np.uint64(32)), shards).astype(np.uint16)  # sorted by radix
+    return _range_of(x ^ (x >> np.uint64(32)), shards)
+
+
+def _pairs_of(ids: np.ndarray, first: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """first << 32 | second of each token and the one before it."""
+    return np.where(first, v.size + 1, np.concatenate([[0], ids[:-1]])).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+
+
+def _ranges(level: EliasFano, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bounds() of contexts of which equal ones stand together, each looked up once."""
+    cut = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    times = np.diff(np.append(cut, len(contexts)))
+    begin, end = level.bounds(contexts[cut])
+    return np.repeat(begin, times), np.repeat(end, times)
 
 
 class Trie:
-    """The shards of one model."""
+    """The second and third levels of one model, by shards."""
 
     def __init__(self, folder: str) -> None:
         self.vocabulary = Vocabulary(folder)
         self.folder, self.shards = folder, self.vocabulary.shards
+        self.made = _mapped(f"{folder}/made")["pairs"] > 0
 
-    def _level(self, shard: int, name: str) -> EliasFano:
+    def level(self, shard: int, name: str) -> EliasFano:
         a = _mapped(f"{self.folder}/trie-{shard}")
-        return EliasFano.load({k: a[f"{name}.{k}"] for k in ("head", "low", "high", "samples")})
+        return EliasFano.load({k: a[f"{name}.{k}"] for k in EliasFano.PARTS})
 
     def probabilities(self, ids: np.ndarray, counts: np.ndarray, text: np.ndarray) -> np.ndarray:
         """p(token | the two before it) of each token.
@@ -192,23 +239,23 @@ class Trie:
         stand in order of (shard, pair), distinct trigrams in order of (shard, pair, word): levels are read in ascending order."""
         v = self.vocabulary
         first = np.concatenate([[True], text[1:] != text[:-1]])
-        pair = np.where(first, v.size + 1, np.concatenate([[0], ids[:-1]])).astype(np.uint64) * v.width + ids.astype(np.uint64)
-        keys, back = np.unique(pair, return_inverse=True)
-        shard = _shard_of(keys, self.shards)
+        keys, back = np.unique(_pairs_of(ids, first, v), return_inverse=True)
+        shard, row = v.contexts(keys)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        at, keys = place[back], keys[order]
-        del pair, back, place, order, shard
+        at, row, second = place[back], row[order], keys[order] & np.uint64(0xFFFFFFFF)
+        del back, place, order, shard
         q, weight, rank = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64)
-        for s in range(self.shards):
+        del keys
+        for s in np.flatnonzero((edges[1:] > edges[:-1]) & self.made).tolist():
             lo, hi = edges[s], edges[s + 1]
-            if lo < hi:
-                index, hit = self._level(s, "pairs").successor(keys[lo:hi])
-                mine, index = lo + np.flatnonzero(hit), index[hit]
-                both = _mapped(f"{self.folder}/trie-{s}")["p2back"][index]
-                q[mine], weight[mine], rank[mine] = _CODES[both & np.uint32(65535)], _CODES[both >> np.uint32(16)], index
+            level = self.level(s, "pairs")
+            index, hit = level.find(*_ranges(level, row[lo:hi]), second[lo:hi])
+            mine, index = lo + np.flatnonzero(hit), index[hit]
+            both = _mapped(f"{self.folder}/trie-{s}")["p2back"][index]
+            q[mine], weight[mine], rank[mine] = _CODES[both & np.uint32(65535)], _CODES[both >> np.uint32(16)], index
         context = np.where(first, v.texts, np.concatenate([[0], counts[:-1]]))
         p = q[at] + MU2 / (context + MU2) * ((counts + 1) / (v.tokens + v.size + 1))
         inner = np.flatnonzero(~first)
@@ -219,26 +266,28 @@ class Trie:
         order = np.argsort(third)
         third, found = third[order], np.zeros(len(third))
         owner = (third >> np.uint64(32)).astype(np.int64)
-        asked = rank[owner].astype(np.uint64) * v.width + (third & np.uint64(0xFFFFFFFF))
+        third &= np.uint64(0xFFFFFFFF)
         cuts = np.searchsorted(owner, edges)
-        del third, owner
-        for s in range(self.shards):
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             lo, hi = cuts[s], cuts[s + 1]
-            if lo < hi:
-                index, hit = self._level(s, "next").successor(asked[lo:hi])
-                found[order[lo + np.flatnonzero(hit)]] = _CODES[_mapped(f"{self.folder}/trie-{s}")["p3"][index[hit]]]
+            level = self.level(s, "next")
+            index, hit = level.find(*_ranges(level, rank[owner[lo:hi]]), third[lo:hi])
+            found[order[lo + np.flatnonzero(hit)]] = _CODES[_mapped(f"{self.folder}/trie-{s}")["p3"][index[hit]]]
         p[inner] = found + weight[ctx] * p[inner]
         return p
 
     def successors(self, first: int, second: int) -> np.ndarray:
-        """Word ids that follow the pair in training, by its pointers."""
-        key = np.array([first], np.uint64) * self.vocabulary.width + np.uint64(second)
-        s = int(_shard_of(key, self.shards)[0])
-        index, hit = self._level(s, "pairs").successor(key)
+        """Word ids that follow the pair in training."""
+        shard, row = self.vocabulary.contexts(np.array([first << 32 | second], np.uint64))
+        s = int(shard[0])
+        if s == self.shards or not self.made[s]:
+            return np.empty(0, np.int64)
+        pairs, after = self.level(s, "pairs"), self.level(s, "next")
+        index, hit = pairs.find(*pairs.bounds(row), np.array([second]))
         if not hit[0]:
             return np.empty(0, np.int64)
-        a, b = self._level(s, "pointers").get(np.array([index[0], index[0] + 1])).astype(np.int64)
-        return (self._level(s, "next").get(np.arange(a, b)) - np.uint64(index[0]) * self.vocabulary.width).astype(np.int64)
+        begin, end = after.bounds(index)
+        return after.word(np.arange(begin[0], end[0])).astype(np.int64)
 
 
 def _local(path: str) -> str:
@@ -253,7 +302,7 @@ def build(train: DataFrame, texts: int) -> str:
     spark = train.sparkSession
     folder = _local(swept(spark, f"{shared_dir(spark)}/tessera-lm-{uuid.uuid4().hex}"))
     os.makedirs(folder, exist_ok=True)
-    shards = max(4, min(1 << 16, texts // DOCS_PER_SHARD))
+    shards = max(4, texts // DOCS_PER_SHARD)
 
     def packed(words: _Words, counts: np.ndarray, n: int) -> pd.DataFrame:
         h, c = np.array(words.hashes, np.uint64)[: len(counts)], counts
@@ -261,19 +310,19 @@ def build(train: DataFrame, texts: int) -> str:
         h, c = h[order], c[order]
         edges = np.searchsorted(_range_of(h, shards), np.arange(shards + 1))
         full = [r for r in range(shards) if edges[r] < edges[r + 1]]
-        return pd.DataFrame({"shard": full, "n": [n if k == 0 else 0 for k in range(len(full))], "a": [h[edges[r] : edges[r + 1]].tobytes() for r in full], "b": [_planes(c[edges[r] : edges[r + 1]].astype("<i8")) for r in full]})
+        return pd.DataFrame({"shard": np.array(full, np.int32), "n": np.array([n if k == 0 else 0 for k in range(len(full))], np.int64), "a": [h[edges[r] : edges[r + 1]].tobytes() for r in full], "b": [_planes(c[edges[r] : edges[r + 1]].astype("<i8")) for r in full]})
 
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, n = None, np.zeros(0, np.int64), 0
         for rows, numbers, _, words in _chunks(batches):
             if held is not None and held is not words:
-                yield packed(held, counts, n)
+                yield pa.RecordBatch.from_pandas(packed(held, counts, n), preserve_index=False)
                 counts, n = np.zeros(0, np.int64), 0
             more = np.bincount(numbers, minlength=max(len(words.hashes), len(counts)))
             more[: len(counts)] += counts
             held, counts, n = words, more, n + len(rows)
         if held is not None:
-            yield packed(held, counts, n)
+            yield pa.RecordBatch.from_pandas(packed(held, counts, n), preserve_index=False)
 
     def merge_words(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])
@@ -284,7 +333,7 @@ def build(train: DataFrame, texts: int) -> str:
         _save(f"{folder}/words-{r}", {"hash": h, "count": c})
         return pd.DataFrame({"shard": [r], "size": [len(h)], "tokens": [int(c.sum())], "texts": [int(x["n"].sum())]})
 
-    blocks = train.select("text").mapInPandas(count_words, "shard int, n long, a binary, b binary")
+    blocks = train.select("text").mapInArrow(count_words, "shard int, n long, a binary, b binary")
     made = blocks.groupBy("shard").applyInPandas(merge_words, "shard int, size long, tokens long, texts long").collect()  # one row a shard
     sizes = {m.shard: m.size for m in made}
     starts = np.concatenate([[0], np.cumsum([sizes.get(r, 0) for r in range(shards)])]).tolist()
@@ -292,80 +341,85 @@ def build(train: DataFrame, texts: int) -> str:
     with open(f"{folder}/vocabulary.json", "w") as f:
         json.dump(about, f)
 
-    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frequent = about["tokens"] // (4 * shards)
+
+    def find_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(folder)
+        for x in batches:
+            for r in x.column(0).to_pylist():
+                if v.sizes[r]:
+                    c = np.asarray(_mapped(f"{folder}/words-{r}")["count"])
+                    at = np.flatnonzero(c > frequent)
+                    yield pa.RecordBatch.from_arrays([pa.array(v.starts[r] + at), pa.array(c[at])], ["id", "count"])
+
+    often = sorted((x.id, x["count"]) for x in spark.range(0, shards, 1, min(shards, 200)).mapInArrow(find_frequent, "id long, count long").collect())  # at most 4 * shards rows
+    often.append((about["size"] + 1, about["texts"]))  # the beginning of a text
+    _save(f"{folder}/frequent", {"id": np.array([w for w, _ in often], np.int64), "count": np.array([c for _, c in often], np.int64)})
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(folder)
         for _, numbers, text, words in _chunks(batches):
             ids = words.look(v)[0][numbers]
             inner = np.concatenate([[False], text[1:] == text[:-1]])
-            pair = np.where(inner, np.concatenate([[0], ids[:-1]]), v.size + 1).astype(np.uint64) * v.width + ids.astype(np.uint64)
             # a pair's successors are looked for under the pair, which also occurs as a pair of its own
-            keys, back = np.unique(pair, return_inverse=True)
+            keys, back = np.unique(_pairs_of(ids, ~inner, v), return_inverse=True)
             count = np.bincount(back).astype("<u4")
             parent = np.concatenate([[0], back[:-1]])[inner].astype(np.uint64)
             follow, times = np.unique(parent << np.uint64(32) | ids[inner].astype(np.uint64), return_counts=True)
             owner = (follow >> np.uint64(32)).astype(np.int64)
-            shard = _shard_of(keys, shards)
+            shard, row = v.contexts(keys)
+            keys = row.astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
             out = []
             rank = np.empty(len(keys), np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.lexsort((keys, shard))
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             rank[order] = np.arange(len(keys)) - edges[shard[order]]
-            order3 = np.argsort(shard[owner], kind="stable")
+            order3 = np.lexsort((follow & np.uint64(0xFFFFFFFF), rank[owner], shard[owner]))
             edges3 = np.searchsorted(shard[owner][order3], np.arange(shards + 1))
-            for s in range(shards):
+            for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 mine, mine3 = order[edges[s] : edges[s + 1]], order3[edges3[s] : edges3[s + 1]]
-                if len(mine):
-                    f3 = follow[mine3]
-                    out.append((s, _planes(keys[mine]), _planes(count[mine]), _planes(np.bincount(rank[owner[mine3]], minlength=len(mine)).astype("<u4")), _planes((f3 & np.uint64(0xFFFFFFFF)).astype("<u4")), _planes(times[mine3].astype("<u4"))))
-            yield pd.DataFrame(out, columns=["shard", "a", "b", "c", "d", "e"])
+                f3 = follow[mine3]
+                out.append((s, _planes(keys[mine]), _planes(count[mine]), _planes(np.bincount(rank[owner[mine3]], minlength=len(mine)).astype("<u4")), _planes((f3 & np.uint64(0xFFFFFFFF)).astype("<u4")), _planes(times[mine3].astype("<u4"))))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["shard", "a", "b", "c", "d", "e"]).astype({"shard": "int32"}), preserve_index=False)
 
     def merge_pairs(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         s, v = int(key[0]), Vocabulary(folder)
-        raw = [_unplanes(a, "<u8") for a in x["a"]]
-        keys, back = np.unique(np.concatenate(raw), return_inverse=True)
+        keys, back = np.unique(np.concatenate([_unplanes(a, "<u8") for a in x["a"]]), return_inverse=True)
         count = np.bincount(back, np.concatenate([_unplanes(b, "<u4") for b in x["b"]]))
         rank = np.repeat(back, np.concatenate([_unplanes(c, "<u4") for c in x["c"]])).astype(np.uint64)
-        third, back3 = np.unique(rank * v.width + np.concatenate([_unplanes(d, "<u4") for d in x["d"]]).astype(np.uint64), return_inverse=True)
+        third, back3 = np.unique(rank << np.uint64(32) | np.concatenate([_unplanes(d, "<u4") for d in x["d"]]), return_inverse=True)
         times = np.bincount(back3, np.concatenate([_unplanes(e, "<u4") for e in x["e"]])) if len(third) else np.empty(0)
-        owner = (third // v.width).astype(np.int64)
-        # counts of the first words: those of the vocabulary; of begin: the texts
-        first = keys // v.width
-        word_count = np.full(len(keys), float(v.texts))
-        for r in range(shards):
-            lo, hi = np.searchsorted(first, [v.starts[r], v.starts[r + 1]])
-            if lo < hi:
-                word_count[lo:hi] = _mapped(f"{folder}/words-{r}")["count"][(first[lo:hi] - np.uint64(v.starts[r])).astype(np.int64)]
-        levels = {"pairs": EliasFano.build(keys), "pointers": EliasFano.build(np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.uint64)), "next": EliasFano.build(third)}
+        owner, context, low = (third >> np.uint64(32)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64), np.uint64(0xFFFFFFFF)
+        levels = {"pairs": EliasFano.build(context, keys & low, int(v.sizes[s]) + len(v.often), v.size), "next": EliasFano.build(owner, third & low, len(keys), v.size)}
         arrays = {f"{k}.{n}": a for k, ef in levels.items() for n, a in ef.arrays().items()}
-        arrays |= {"p2back": _quantised(count / (word_count + MU2)).astype(np.uint32) | _quantised(MU3 / (count + MU3)).astype(np.uint32) << np.uint32(16), "p3": _quantised(times / (count[owner] + MU3)) if len(third) else np.empty(0, np.uint16)}
+        arrays |= {"p2back": _quantised(count / (v.counts_of(s, context) + MU2)).astype(np.uint32) | _quantised(MU3 / (count + MU3)).astype(np.uint32) << np.uint32(16), "p3": _quantised(times / (count[owner] + MU3)) if len(third) else np.empty(0, np.uint16)}
         _save(f"{folder}/trie-{s}", arrays)
         return pd.DataFrame({"shard": [s], "pairs": [len(keys)], "thirds": [len(third)]})
 
-    blocks = train.select("text").mapInPandas(count_pairs, "shard int, a binary, b binary, c binary, d binary, e binary")
-    blocks.groupBy("shard").applyInPandas(merge_pairs, "shard int, pairs long, thirds long").collect()  # one row a shard
-    for s in range(shards):  # shards without pairs
-        if not os.path.exists(f"{folder}/trie-{s}"):
-            none = EliasFano.build(np.empty(0, np.uint64)).arrays()
-            _save(f"{folder}/trie-{s}", {f"{k}.{n}": a for k in ("pairs", "pointers", "next") for n, a in none.items()} | {"p2back": np.empty(0, np.uint32), "p3": np.empty(0, np.uint16)})
+    blocks = train.select("text").mapInArrow(count_pairs, "shard int, a binary, b binary, c binary, d binary, e binary")
+    made = np.zeros(shards, np.int64)
+    for m in blocks.groupBy("shard").applyInPandas(merge_pairs, "shard int, pairs long, thirds long").collect():  # one row a shard
+        made[m.shard] = m.pairs
+    _save(f"{folder}/made", {"pairs": made})
     return folder
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, held_out, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(folder)
         v = trie.vocabulary
         for rows, numbers, text, words in _chunks(batches, SCORE_CHUNK):
             ids, counts = (a[numbers] for a in words.look(v))
             n = len(rows)
             base = np.bincount(text, np.log10((words.counts + 1) / (v.tokens + v.size + 1))[numbers], n)
-            yield pd.DataFrame({
-                "doc_id": pd.array([None if r.doc_id is None or r.doc_id != r.doc_id else int(r.doc_id) for r in rows], "Int64"), "held_out": [bool(r.held_out) for r in rows], "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, counts > 0, n).astype(np.int64),
-                "train_tokens": v.tokens, "base_score": base, "score": np.bincount(text, np.log10(trie.probabilities(ids, counts, text)), n),
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r[0] for r in rows], pa.int64()), "held_out": pa.array([r[1] for r in rows], pa.bool_()), "n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, counts > 0, n).astype(np.int64),
+                "train_tokens": np.full(n, v.tokens, np.int64), "base_score": base, "score": np.bincount(text, np.log10(trie.probabilities(ids, counts, text)), n),
             })
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: tuple[int, int] = HELD_OUT) -> DataFrame:

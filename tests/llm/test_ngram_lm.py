@@ -39,7 +39,7 @@ def brute(rows):
 
 def test_scores_equal_brute_force(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["the", "of", "And", "é", "x%d" % rng.randrange(60)]) for _ in range(rng.randrange(0, 80)))) for i in range(400)] + [(400, None), (401, ""), (402, " \t\n"), (9, "the of"), (None, "the of and")]
+    rows = [(i, " ".join(rng.choice(["the", "of", "And", "é", "x%d" % rng.randrange(60)]) for _ in range(rng.randrange(0, 80)))) for i in range(400)] + [(400, None), (401, ""), (402, " \t\n"), (9, "the of"), (None, "the of and"), ((1 << 60) + 1, "of the"), ((1 << 60) + 3, "the")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, held_out string").repartition(3)
     got = sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.train_and_score(docs).collect()), key=str)
     want = sorted(((i is None, i, n, out, known, total, base, full) for (i, _), (out, n, known, total, base, full) in zip(rows, brute(rows), strict=True)), key=str)
@@ -69,5 +69,28 @@ def test_probabilities_sum_to_one_and_pointers(spark, tmp_path):
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_scoring_walks_the_pointers_of_both_levels(spark, monkeypatch):
+    folder = lm.build(spark.createDataFrame([("a b c a b d",), ("a b c",), ("b c a b",)], "text string"), 3)
+    trie, asked = lm.Trie(folder), []
+    plain = lm.EliasFano.bounds
+    monkeypatch.setattr(lm.EliasFano, "bounds", lambda self, k: asked.append(len(k)) or plain(self, k))
+    ids, counts = trie.vocabulary.look(lm.np.sort(lm.np.array([lm.xxhash.xxh3_64_intdigest(w) for w in (b"a", b"b", b"c")], lm.np.uint64)))
+    p = trie.probabilities(ids, counts, lm.np.zeros(3, int))
+    assert len(asked) >= 2 and (p > 0).all()
+    blind = lm.Trie(folder)
+    monkeypatch.setattr(lm.EliasFano, "bounds", lambda self, k: (lm.np.zeros(len(k), lm.np.int64), lm.np.zeros(len(k), lm.np.int64)))
+    assert (blind.probabilities(ids, counts, lm.np.zeros(3, int)) < p).any()
+
+
+def test_frequent_words_are_dealt_over_shards(spark):
+    texts = [" ".join(f"the w{(7 * i + k) % 900}" for k in range(60)) for i in range(200)]
+    folder = lm.build(spark.createDataFrame([(t,) for t in texts], "text string"), 40_000)  # ten shards
+    v = lm.Vocabulary(folder)
+    the = int(v.look(lm.np.array([lm.xxhash.xxh3_64_intdigest(b"the")], lm.np.uint64))[0][0])
+    assert the in v.often.tolist() and v.size + 1 == v.often[-1] and len(v.often) <= 4 * v.shards + 1
+    keys = lm.np.array(sorted(the << 32 | w for w in range(v.size)), lm.np.uint64)
+    assert len(set(v.contexts(keys)[0].tolist())) == v.shards
+
+
 def test_empty_table(spark):
     assert lm.train_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
