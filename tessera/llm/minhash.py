@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, memo_of, table
@@ -79,23 +80,27 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def sign(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, k1, k2: hash of the set, bands, sig: low byte of each minimum)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo_of("minhash", _memo.clear)
+        step = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                s = shingle_set(text, width)
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), width)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
                     continue
                 m = minima(s)
-                keys = _mix((m.reshape(BANDS, ROWS).astype(np.uint64) * _K).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-                rows.append((len(s), int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mix(s * _C[1])).view(np.int64)), keys.view(np.int64), (m & np.uint32(255)).astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "sig"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+                keys = _mix((m.reshape(BANDS, ROWS).astype(np.uint64) * _K).sum(axis=1) + step)
+                one, two = int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mix(s * _C[1])).view(np.int64))
+                rows.append((len(s), one, two, keys.view(np.int64), (m & np.uint32(255)).astype(np.uint8).tobytes()))
+            n, k1, k2, bands, sig = zip(*rows, strict=True) if rows else ((),) * 5
+            whole = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
+            columns = [batch.column(0), *whole, pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, at_least: float) -> DataFrame:
@@ -189,19 +194,28 @@ def _joined_in_block(ids: list[int], comps: list[int], side: list[int], sets: li
     return out
 
 
-def compare_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
-    """(hub, doc) links that join different components inside each cluster. members: (cluster, doc, comp), texts: (doc, text).
-
-    The members of a cluster stand in order of component and are cut into blocks; each pair of blocks that do not both lie
-    in one component is compared in a task of its own, which holds two blocks whatever the cluster's size and gives out
-    spanning links only."""
-    order = Window.partitionBy("cluster").orderBy("comp", "doc")
-    placed = durable(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int")), "mh-blocks")
-    blocks = placed.groupBy("cluster", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left, right = blocks.select("cluster", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), blocks.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j"))
-    two = left.join(right, "cluster").where("i <= j and not (li = hi_i and lj = hi_j and li = lj)").select("cluster", "i", "j")
-    sides = two.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(two.where("i < j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    rows = texts.hint("merge").join(placed.join(sides, ["cluster", "block"]), "doc").select("cluster", "i", "j", "side", "doc", "comp", "text")
+def compare_blocks(members: DataFrame, buckets: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
+    """(hub, doc) links that join different components inside each cluster. members: (cluster, doc, comp), buckets: (key,
+    doc), texts: (doc, text).
+
+    A component of some size is cut into blocks by a hash of its documents, small ones are put together by a hash of the
+    component. Two blocks that share a bucket and do not lie in one component are compared in a task of its own, which holds
+    them whatever the cluster's size and gives out spanning links only."""
+    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("n")).withColumn("own", F.col("n") > block // 4)
+    few = sizes.where("not own").groupBy("cluster").agg(F.sum("n").alias("small"))
+    parts = F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("small")) / block)
+    sizes = durable(sizes.join(few, "cluster", "left").select("cluster", "comp", "own", parts.alias("parts")), "mh-sizes")
+    home = F.when(F.col("own"), F.col("comp"))
+    at = F.pmod(F.when(F.col("own"), F.xxhash64("doc")).otherwise(F.xxhash64("comp")), F.col("parts"))
+    named = F.struct(F.col("own"), F.coalesce(home, F.lit(0)).alias("home"), at.alias("at"))
+    placed = durable(members.join(sizes, ["cluster", "comp"]).select("cluster", "doc", "comp", named.alias("block")), "mh-blocks")
+    met = durable(buckets.join(placed, "doc").select("key", "cluster", "block").distinct(), "mh-met")
+    left, right = met.select("key", "cluster", F.col("block").alias("i")), met.select("key", F.col("block").alias("j"))
+    two = left.join(right, "key").where("i <= j and not (i.own and j.own and i.home = j.home)").select("cluster", "i", "j").distinct()
+    sides = two.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side"))
+    sides = sides.unionByName(two.where("i < j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    rows = texts.hint("merge").join(placed.join(sides, ["cluster", "block"]), "doc")
+    rows = rows.select("cluster", F.to_json("i").alias("i"), F.to_json("j").alias("j"), "side", "doc", "comp", "text")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,23 +291,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         cluster = components(star, "hub", "doc")
         inside = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).unionByName(cluster.select(F.col("component").alias("doc"), F.col("component").alias("cluster")).distinct())
         inside = inside.join(comp, F.col("doc") == F.col("node"), "left").select("cluster", "doc", F.coalesce("component", "doc").alias("comp"))
-        add(compare_blocks(inside, texts, width, percent))
+        large = members.join(mixed.where(F.col("n") > small).select("key"), "key", "left_semi")
+        add(compare_blocks(inside, large, texts, width, percent))
     own = classes.select("k1", "k2", "n_shingles", "rep")
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(own, ["k1", "k2", "n_shingles"], "left").join(comp, F.col("rep") == F.col("node"), "left")
+    asked = signed.select("doc_id", "n_shingles", "k1", "k2")
+    out = asked.where("n_shingles > 0").join(own, ["k1", "k2", "n_shingles"], "left").join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", "component", "rep")
+    none = F.lit(None).cast("long")
+    out = out.unionByName(asked.where("n_shingles = 0").select("doc_id", "n_shingles", none.alias("component"), none.alias("rep")))  # not one key of all
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs per component, columns unchanged. Rows that repeat the kept id: the one with the least hash of its
-    text. Rows without an id all stay."""
+    """One row of docs per component, columns unchanged. Of rows that repeat the kept id, the one with the least hash of its
+    columns (of those that can be hashed) stays. Rows without an id all stay."""
     judged = durable(near_duplicates(docs, width, percent, doc_id, text), "mh-judged")
     out = docs.join(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col(doc_id) == F.col("_gone"), "left_anti")
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = durable(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many")), "mh-repeated")
     if repeated.isEmpty():
         return out
-    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    return out.withColumn("_k", F.row_number().over(first)).where((F.col("_k") == 1) | F.col(doc_id).isNull()).drop("_k")
+    one = out.join(repeated, F.col(doc_id) == F.col("_many"), "left_anti")
+    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    many = out.join(repeated, F.col(doc_id) == F.col("_many"), "left_semi").groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row"))
+    return one.unionByName(many.select("_row.*"))
 
 
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,11 @@ def test_repeated_and_null_ids_and_extra_columns(spark):
     assert minhash.near_duplicates(docs.limit(0), 2, 80).count() == 0
 
 
+def test_null_ids_beside_large_ones(spark):
+    docs = spark.createDataFrame([((1 << 60) + 1, "a b c"), (None, "c d e f"), ((1 << 60) + 3, "d")], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0) for r in minhash.near_duplicates(docs, 2).collect()) == [0, (1 << 60) + 1, (1 << 60) + 3]
+
+
 def test_block_comparison_connects_what_pairs_connect():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 100).astype(np.uint64)
