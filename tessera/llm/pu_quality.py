@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,31 +119,37 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """(doc_id, held_out, score, predicted) per row of docs."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "x": [np.array(features(t), np.float32) for t in x["text"]]})
+            found = pa.array([np.array(features(t.as_py()), np.float32) for t in x.column(1)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([x.column(0), found], ["doc_id", "x"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    feats = durable(base.mapInPandas(extract, "doc_id long, x array<float>"), "pu-features").withColumn("held_out", F.coalesce(rest == 0, F.lit(False)))
+    feats = durable(base.mapInArrow(extract, "doc_id long, x array<float>"), "pu-features").withColumn("held_out", F.coalesce(rest == 0, F.lit(False)))
     trusted = labels.select(F.col("doc_id").cast("long").alias("_l"), "quality").where("quality = 1").select("_l").distinct()
     learn = feats.where("not held_out and doc_id is not null")
     order = F.xxhash64("doc_id", F.lit(SEED))
 
     def bounded(df: DataFrame) -> np.ndarray:
-        rows = df.orderBy(order).limit(sample).select("x").toPandas()["x"]
-        return np.array(rows.tolist(), np.float64).reshape(len(rows), len(_NAMES))
+        """At most sample rows, those of least hash: first the ones below a bound that lets about twice as many pass, so that
+        what the partitions send does not grow with their number."""
+        n = df.count()
+        near = df if n <= 2 * sample else df.where(order < F.lit(int((2.0 * (2 * sample / n) - 1) * 2**63)))
+        rows = near.orderBy(order).limit(sample).select("x").collect()
+        if len(rows) < min(n, sample):  # ids that repeat very often
+            rows = df.orderBy(order).limit(sample).select("x").collect()
+        return np.array([r.x for r in rows], np.float64).reshape(len(rows), len(_NAMES))
 
     pos = bounded(learn.join(trusted, F.col("doc_id") == F.col("_l"), "left_semi"))
     model, prior = train(pos, bounded(learn))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            if len(x):
-                raw = np.array(x["x"].tolist(), np.float64)
-                s = np.full(len(x), prior) if model is None else 1 / (1 + np.exp(-np.clip(model.logit(raw), -30, 30)))
-                yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(2).flatten().to_numpy().astype(np.float64).reshape(len(b), len(_NAMES))
+            s = np.full(len(b), prior) if model is None else 1 / (1 + np.exp(-np.clip(model.logit(raw), -30, 30)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return feats.mapInPandas(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return feats.select("doc_id", "held_out", "x").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

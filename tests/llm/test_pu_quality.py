@@ -48,6 +48,13 @@ def test_rows(spark):
     assert pu.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_null_ids_beside_large_ones(spark):
+    ids = [(1 << 60) + 1, None, (1 << 60) + 3]
+    docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").coalesce(1)
+    rows = pu.score_quality(docs, spark.createDataFrame([(ids[0], 1)], "doc_id long, quality int")).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids}
+
+
 def test_unlearned_columns_do_not_matter(spark):
     good, bad = _texts(60, 3)
     rows = [(i, t) for i, t in enumerate(good + bad)]
