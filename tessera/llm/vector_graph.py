@@ -3,26 +3,34 @@
 Cluster centres are fitted on a bounded sample; every vector goes to the shards of its nearest centres (overlap). In each
 shard candidates are pruned by the robust rule (an edge goes if a kept neighbour is, by the factor alpha, nearer to its
 end than the vector is), adjacency lists of overlapping shards are united per vector, and every vector is then searched
-from the shard's medoid: greedily until the beam is settled, then expanding every vector in range. Hits are verified by the
-cosine in double precision. A pair with a single shard in common is counted in its task, others are gathered and counted once;
-for the components a shard gives out spanning links only.
+from the shard's medoid: greedily until the beam is settled, then expanding every vector in range over all edges, those that
+point to a vector as well as its own. Hits are verified by the cosine in double precision. A pair with a single shard in
+common is counted in its task, others are gathered and counted once; for the components a shard gives out spanning links only.
+
+Recall is audited in every run: the links of up to AUDIT vectors, chosen by a hash, are counted by brute force against all
+rows in blocks and compared with what was found. Below RECALL the search is repeated with twice the overlap, beam and slack.
 
 Equal vectors are one class with a multiplicity. A shard above SHARD_ROWS classes is cut into blocks, and each pair of blocks
-is a task: nothing is capped, and no task holds more than two blocks. Above CENTRES * SHARD_TARGET vectors a second codebook,
-of residuals, refines the shards; both codebooks have fixed bounds and are the only data sent to all tasks.
+is a task: nothing is capped, and no task holds more than two blocks. Vectors of another length are in shards of their own.
+Above CENTRES * SHARD_TARGET vectors a second codebook, of residuals, refines the shards; both codebooks have fixed bounds and
+are the only data sent to all tasks.
+
+Vectors are brought to a largest component between 1/2 and 1 by a power of two, which leaves cosines as they are and keeps
+very small and very large ones from losing their norm.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components link
-with nothing and are their own component; rows that repeat a vec_id are separate vectors; an empty table gives an empty
-result; extra columns are ignored.
+Defined results: vectors that are null, zero, or that hold null or non-finite components link with nothing and are their
+own component; vectors of different lengths do not link; rows that repeat a vec_id are separate vectors; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -30,6 +38,8 @@ from .graph import components
 
 SAMPLE, CENTRES, SHARD_TARGET, SHARD_ROWS, OVERLAP = 20_000, 1024, 1000, 4000, 3
 DEGREE, NEAREST, ALPHA, BEAM, SLACK = 24, 48, 1.2, 32, 0.04
+AUDIT, RECALL, TRIES = 200, 0.9, 3
+_log = logging.getLogger(__name__)
 
 
 def _centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -82,14 +92,16 @@ def _pruned(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranged(x: np.ndarray, adjacency: np.ndarray, start: int, queries: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) with inner product >= at_least that the search meets."""
-    q, n, rows = len(queries), len(x), np.arange(len(queries))
+def _ranged(x: np.ndarray, adjacency: np.ndarray, edges: tuple[np.ndarray, np.ndarray], start: int, queries: np.ndarray, at_least: float, wider: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) with inner product >= at_least that the search meets. The greedy phase follows adjacency (n, degree; -1
+    padded), the expansion all edges: those of row i are edges[1][edges[0][i] : edges[0][i + 1]]."""
+    q, n, rows, beam, slack = len(queries), len(x), np.arange(len(queries)), BEAM * wider, SLACK * wider
+    first, ends = edges
     seen = np.zeros((q, n), bool)
     seen[:, start] = True
-    ids = np.full((q, BEAM), -1, np.int32)
-    sims = np.full((q, BEAM), -3.0)
-    done = np.ones((q, BEAM), bool)
+    ids = np.full((q, beam), -1, np.int32)
+    sims = np.full((q, beam), -3.0)
+    done = np.ones((q, beam), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = start, x[queries] @ x[start], False
     hit_q, hit_x, hit_s = [rows], [np.full(q, start)], [sims[:, 0].copy()]
     while True:
@@ -108,19 +120,18 @@ def _ranged(x: np.ndarray, adjacency: np.ndarray, start: int, queries: np.ndarra
         hit_s.append(got[qq, rr])
         all_s, all_i = np.concatenate([sims[live], got], 1), np.concatenate([ids[live], near], 1)
         all_d = np.concatenate([done[live], ~fresh], 1)
-        top = np.argpartition(-all_s, BEAM - 1, axis=1)[:, :BEAM]
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
         sims[live], ids[live], done[live] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1), np.take_along_axis(all_d, top, 1)
     qs, xs, ss = np.concatenate(hit_q), np.concatenate(hit_x), np.concatenate(hit_s)
-    near_by = ss >= at_least - SLACK
+    near_by = ss >= at_least - slack
     found_q, found_x, edge_q, edge_x = [qs[ss >= at_least]], [xs[ss >= at_least]], qs[near_by], xs[near_by]
     while len(edge_q):  # every vector in range (or nearly) is expanded
         next_q, next_x = [], []
         for i in range(0, len(edge_q), 20_000):
-            near = adjacency[edge_x[i : i + 20_000]]
-            qq = np.repeat(edge_q[i : i + 20_000], near.shape[1])
-            near = near.ravel()
-            ok = near >= 0
-            qq, near = qq[ok], near[ok]
+            from_ = edge_x[i : i + 20_000]
+            many = first[from_ + 1] - first[from_]
+            qq = np.repeat(edge_q[i : i + 20_000], many)
+            near = ends[np.repeat(first[from_] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             key = np.unique(qq.astype(np.int64) * n + near)
             qq, near = key // n, key % n
             new = ~seen[qq, near]
@@ -129,21 +140,28 @@ def _ranged(x: np.ndarray, adjacency: np.ndarray, start: int, queries: np.ndarra
             s = np.einsum("kd,kd->k", x[near], x[queries[qq]])
             found_q.append(qq[s >= at_least])
             found_x.append(near[s >= at_least])
-            next_q.append(qq[s >= at_least - SLACK])
-            next_x.append(near[s >= at_least - SLACK])
+            next_q.append(qq[s >= at_least - slack])
+            next_x.append(near[s >= at_least - slack])
         edge_q, edge_x = np.concatenate(next_q), np.concatenate(next_x)
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def _scaled(rows: pd.Series) -> np.ndarray:
+    """Rows brought to a largest component in [1/2, 1) by a power of two; rows are finite and not zero."""
     x = np.array(rows.tolist(), np.float64)
+    x = x.reshape(len(rows), x.shape[1] if x.ndim > 1 else 0)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = _scaled(rows)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
+def _linked_in_task(g: pd.DataFrame, percent: float, wider: int = 1) -> pd.DataFrame:
     """Partial link counts, pairs that share further shards, and spanning links of one shard or pair of blocks."""
     shard, side = int(g["shard"].iloc[0]), g["side"].to_numpy()
-    raw = np.array(g["embedding"].tolist(), np.float64)
+    raw = _scaled(g["embedding"])
     norm = np.sqrt((raw**2).sum(axis=1))
     x = raw / norm[:, None]
     ids, mult, lists, n = g["node"].to_numpy(), g["mult"].to_numpy(), g["shards"].tolist(), len(g)
@@ -154,19 +172,20 @@ def _linked_in_task(g: pd.DataFrame, percent: float) -> pd.DataFrame:
         local[i, : len(a)] = a
     middle = int((x @ x.mean(axis=0)).argmax())
     # links of the united lists run one way; the search may use them either way
-    both = [(i, j) for i, a in enumerate(adjacency) for j in a]
+    source, target = np.repeat(np.arange(n), [len(a) for a in adjacency]), np.array([j for a in adjacency for j in a], np.int64)
+    key = np.unique(np.concatenate([source * n + target, target * n + source]))
+    first, ends = np.searchsorted(key, np.arange(n + 1) * n), key % n
     back: dict[int, list[int]] = {}
-    for i, j in both:
-        if i not in adjacency[j]:
-            back.setdefault(j, []).append(i)
-    extra = np.full((n, DEGREE), -1, np.int32)
+    for i, j in zip(source.tolist(), target.tolist(), strict=True):
+        back.setdefault(j, []).append(i)
+    extra = np.full((n, DEGREE), -1, np.int32)  # a fixed degree for the greedy phase; the expansion has all
     for j, a in back.items():
         extra[j, : len(a[:DEGREE])] = a[:DEGREE]
     graph = np.concatenate([local, extra], axis=1)
     found = []
     for i in range(0, n, 1024):
         queries = np.arange(i, min(n, i + 1024))
-        q, r = _ranged(x, graph, middle, queries, percent - 1e-9)
+        q, r = _ranged(x, graph, (first, ends), middle, queries, percent - 1e-9, wider)
         found.append(np.minimum(queries[q], r).astype(np.int64) * n + np.maximum(queries[q], r))
     key = np.unique(np.concatenate(found))
     a, b = key // n, key % n
@@ -204,80 +223,136 @@ def _counted(linked: DataFrame) -> DataFrame:
     return linked.where("node = other").select("node", "n").unionByName(ends).groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row."""
+def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", audit: int = AUDIT, least: float = RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row. The audit's figures are logged."""
     e = F.col("embedding")
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    most = base.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = most["d"] if most else 0
-    fine = e.isNotNull() & (F.size(e) == dim) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    fine = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = durable(base.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("embedding"))), "vg-rows")
-    classes = durable(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding")), "vg-classes")
+    classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
+    classes = durable(classes.withColumn("dim", F.size("embedding")), "vg-classes")
     n = classes.count()
-    result = rows.select("vec_id", "node")
-    if n < 2:
-        links, spans = None, None
-    else:
-        sample = _unit(classes.select("embedding").orderBy(F.xxhash64("node", F.lit(3))).limit(SAMPLE).toPandas()["embedding"])
-        first = _centres(sample, max(1, min(CENTRES, n // SHARD_TARGET, len(sample))))
-        second = None
-        if n > 4 * CENTRES * SHARD_TARGET:
+    for k in range(TRIES):
+        found = durable(_searched(classes, n, at_least, 1 << k), "vg-found")
+        if not audit or n < 2:
+            break
+        asked = classes.where(_chosen(n, audit)).select(F.col("node").alias("q"), F.col("embedding").alias("v"))
+        every = classes.select(F.col("node").alias("r"), F.col("embedding").alias("v"), "mult")
+        true = _counted_by_force(asked, every, n, 1, at_least).join(found.select(F.col("node").alias("q"), "n_links", "mult"), "q")
+        seen = _recall(true.select("n", (F.col("n_links") - F.col("mult") + 1).alias("n_links"))).first()
+        _log.info("recall audited on up to %d vectors: %s of %s links", 2 * audit, seen["found_links"], seen["true_links"])
+        if seen["true_links"] is None or seen["recall"] >= least:
+            break
+    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
+    linked = rows.where("node is not null").select("vec_id", "node").join(found, "node").select("vec_id", "n_links", F.col("low").alias("component_id"))
+    out = linked.unionByName(rows.where("node is null").select("vec_id", *alone))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _chosen(n: int, audit: int) -> Column:
+    """About audit of n classes, by a hash."""
+    return F.xxhash64("node", F.lit(11)) < F.lit(min(2**63 - 1, int((2 * audit / max(1, n) - 1) * 2**63)))
+
+
+def _codebooks(classes: DataFrame, n: int) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
+    """Centres of shards and residuals per length of vectors, fitted on a sample below a hash bound. Lengths that the sample
+    does not hold have one shard."""
+    order = F.xxhash64("node", F.lit(3))
+    near = classes if n <= 2 * SAMPLE else classes.where(order < F.lit(int((2.0 * (2 * SAMPLE / n) - 1) * 2**63)))
+    taken = near.orderBy(order).limit(SAMPLE).select("dim", "embedding").toPandas()
+    books = {}
+    for dim, part in taken.groupby("dim"):
+        sample, own = _unit(part["embedding"]), n * len(part) // len(taken)
+        first, second = _centres(sample, max(1, min(CENTRES, own // SHARD_TARGET, len(sample)))), None
+        if own > 4 * CENTRES * SHARD_TARGET:
             rest = sample - first[(sample @ first.T).argmax(axis=1)]
-            pick = np.random.default_rng(5).choice(len(rest), min(len(rest), CENTRES, n // (CENTRES * SHARD_TARGET)), replace=False)
+            pick = np.random.default_rng(5).choice(len(rest), min(len(rest), CENTRES, own // (CENTRES * SHARD_TARGET)), replace=False)
             second = rest[pick]
+        books[int(dim)] = first, second
+    return books
+
 
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                if len(x):
-                    yield pd.DataFrame({"node": x["node"], "mult": x["mult"], "embedding": x["embedding"], "shards": list(_shards(_unit(x["embedding"]), first, second, OVERLAP))})
-
-        dealt = durable(classes.select("node", "mult", "embedding").mapInPandas(assign, "node long, mult long, embedding array<double>, shards array<long>"), "vg-shards")
-        members = dealt.select("node", F.explode("shards").alias("shard"))
-        counts = members.groupBy("shard").agg(F.count("*").alias("rows"))
-        counts = counts.withColumn("blocks", F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
-        block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
-        spread = dealt.withColumn("shard", F.explode("shards")).join(counts.select("shard", "blocks"), "shard").withColumn("block", block)
-
-        def build(g: pd.DataFrame) -> pd.DataFrame:
-            near = _pruned(_unit(g["embedding"]))
-            ids = g["node"].to_numpy()
-            return pd.DataFrame({"node": ids, "near": [ids[a[a >= 0]] for a in near]})
-
-        built = spread.select("shard", "block", "node", "embedding").groupBy("shard", "block").applyInPandas(build, "node long, near array<long>")
-        united = durable(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vg-graph")  # OVERLAP lists a vector
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pairs = spread.join(united, "node").withColumn("_o", other)
-        tasks = pairs.select("shard", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), F.when(F.col("block") == F.col("_o"), 0).otherwise(F.when(F.col("block") < F.col("_o"), 1).otherwise(2)).alias("side"), "node", "mult", "embedding", "shards", "near")
-        linked = durable(tasks.groupBy("shard", "i", "j").applyInPandas(lambda g: _linked_in_task(g, at_least), "node long, other long, n long, m long"), "vg-links")
-        links = _counted(linked)
-        spans = components(linked.where("other <> node and m = 0").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
+def _searched(classes: DataFrame, n: int, at_least: float, wider: int) -> DataFrame:
+    """One search: (node, mult, n_links, low: least id of the component) per class."""
     own = classes.select("node", "mult", "rep")
-    if links is None:
-        return result.join(own, "node", "left").select("vec_id", F.coalesce(F.col("mult") - 1, F.lit(0)).alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    if n < 2:
+        return own.select("node", "mult", (F.col("mult") - 1).alias("n_links"), F.col("rep").alias("low"))
+    books = _codebooks(classes, n)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, x in batch.groupby("dim"):
+                first, second = books.get(int(dim), (np.zeros((1, int(dim))), None))
+                own = _shards(_unit(x["embedding"]), first, second, OVERLAP * wider) + (int(dim) << 32)
+                yield pd.DataFrame({"node": x["node"], "mult": x["mult"], "embedding": x["embedding"], "shards": list(own)})
+
+    dealt = classes.select("node", "mult", "embedding", "dim").mapInPandas(assign, "node long, mult long, embedding array<double>, shards array<long>")
+    dealt = durable(dealt, "vg-shards")
+    members = dealt.select("node", F.explode("shards").alias("shard"))
+    counts = members.groupBy("shard").agg(F.count("*").alias("rows"))
+    counts = counts.withColumn("blocks", F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
+    block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
+    spread = dealt.withColumn("shard", F.explode("shards")).join(counts.select("shard", "blocks"), "shard").withColumn("block", block)
+
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        near = _pruned(_unit(g["embedding"]))
+        ids = g["node"].to_numpy()
+        return pd.DataFrame({"node": ids, "near": [ids[a[a >= 0]] for a in near]})
+
+    built = spread.select("shard", "block", "node", "embedding").groupBy("shard", "block").applyInPandas(build, "node long, near array<long>")
+    united = durable(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vg-graph")  # OVERLAP lists a vector
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = spread.join(united, "node").withColumn("_o", other)
+    tasks = pairs.select("shard", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), F.when(F.col("block") == F.col("_o"), 0).otherwise(F.when(F.col("block") < F.col("_o"), 1).otherwise(2)).alias("side"), "node", "mult", "embedding", "shards", "near")
+    linked = durable(tasks.groupBy("shard", "i", "j").applyInPandas(lambda g: _linked_in_task(g, at_least, wider), "node long, other long, n long, m long"), "vg-links")
+    links = _counted(linked)
+    spans = components(linked.where("other <> node and m = 0").select("node", "other"), "node", "other").withColumnRenamed("node", "_n")
     grouped = own.join(spans, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("component", "node"))
-    lowest = grouped.groupBy("root").agg(F.min("rep").alias("low"))
-    grouped = grouped.join(lowest, "root").join(links, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "low")
-    out = result.join(grouped, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    lowest = durable(grouped.groupBy("root").agg(F.min("rep").alias("low")), "vg-lowest")
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long")
+    return grouped.join(lowest, "root").join(links, "node", "left").select("node", "mult", n_links.alias("n_links"), "low")
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, at_least: float = 0.9, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(true_links, found_links, recall) over the stated query set vec_id % every = 0, brute-forced in blocks against all rows."""
-    blocks = max(1, -(-vectors.count() // 20_000))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = vectors.where(F.col(vec_id) % every == 0).select(F.col(vec_id).alias("q"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_a", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("_b", each)
-    rows = vectors.select(F.col(vec_id).alias("r"), F.col(embedding).cast("array<double>").alias("v")).withColumn("_b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")).withColumn("_a", each)
+def _counted_by_force(asked: DataFrame, every: DataFrame, n: int, groups: int, at_least: float) -> DataFrame:
+    """(q, n): the rows of every (r, v, mult; about n of them) in range of each of asked (q, v), in blocks; those with r = q
+    are left out."""
+    blocks = max(1, -(-n // 20_000))
+    to = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = asked.withColumn("_a", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")).withColumn("_b", to(blocks))
+    every = every.withColumn("_b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")).withColumn("_a", to(groups))
+
+    def whole(x: pd.DataFrame) -> pd.DataFrame:
+        ok = [a is not None and len(a) > 0 and bool(np.isfinite(np.array(a, np.float64)).all() and np.any(a)) for a in x["v"]]
+        return x[np.array(ok, bool)].reset_index(drop=True)
 
     def count(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"q": [], "n": []}).astype("int64")
-        sims = _unit(q["v"]) @ _unit(r["v"]).T
-        hits = (sims >= at_least).sum(axis=1) - (q["q"].to_numpy()[:, None] == r["r"].to_numpy()[None]).sum(axis=1)
+        q, r = whole(q), whole(r)
+        hits = np.zeros(len(q), np.int64)
+        for dim in sorted(set(q["v"].map(len))):
+            a, b = np.flatnonzero(q["v"].map(len) == dim), np.flatnonzero(r["v"].map(len) == dim)
+            if len(b):
+                other = q["q"].to_numpy()[a][:, None] != r["r"].to_numpy()[b][None]
+                near = _unit(q["v"].iloc[a]) @ _unit(r["v"].iloc[b]).T >= at_least
+                hits[a] += (near & other) @ r["mult"].to_numpy()[b]
         return pd.DataFrame({"q": q["q"], "n": hits})
 
-    true = queries.groupBy("_a", "_b").cogroup(rows.groupBy("_a", "_b")).applyInPandas(count, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
-    both = true.join(result.select(F.col("vec_id").alias("q"), "n_links"), "q")
-    return both.agg(F.sum("n").alias("true_links"), F.sum("n_links").alias("found_links")).withColumn("recall", F.col("found_links") / F.greatest(F.col("true_links"), F.lit(1)))
+    counted = asked.groupBy("_a", "_b").cogroup(every.groupBy("_a", "_b")).applyInPandas(count, "q long, n long")
+    return counted.groupBy("q").agg(F.sum("n").alias("n"))
+
+
+def _recall(both: DataFrame) -> DataFrame:
+    """(true_links, found_links, recall) from (n, n_links) per query."""
+    sums = both.agg(F.sum("n").alias("true_links"), F.sum(F.least("n_links", "n")).alias("found_links"))
+    return sums.withColumn("recall", F.col("found_links") / F.greatest(F.col("true_links"), F.lit(1)))
+
+
+def audit_recall(vectors: DataFrame, result: DataFrame, at_least: float = 0.9, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(true_links, found_links, recall) over the stated query set vec_id % every = 0, brute-forced in blocks against all rows."""
+    v, n = F.col(embedding).cast("array<double>").alias("v"), vectors.count()
+    asked = vectors.where(F.col(vec_id) % every == 0).select(F.col(vec_id).alias("q"), v)
+    rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("r"), v, F.lit(1).alias("mult"))
+    true = _counted_by_force(asked, rows, n, max(1, n // (20_000 * every)), at_least)
+    return _recall(true.join(result.select(F.col("vec_id").alias("q"), "n_links"), "q"))
 
 
 def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +363,7 @@ SQL = {
     "op8_vector_graph": """
 with recursive v as (select vec_id, embedding::double[] e from embeddings),
 f as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) m from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
-l as (select a.vec_id a, b.vec_id b from f a join f b on a.vec_id <> b.vec_id where a.m > 0 and b.m > 0 and list_inner_product(a.e, b.e) / (a.m * b.m) >= 0.9),
+l as (select a.vec_id a, b.vec_id b from f a join f b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.m > 0 and b.m > 0 and list_inner_product(a.e, b.e) / (a.m * b.m) >= 0.9),
 r as (select vec_id, vec_id c from v union select l.b, r.c from r join l on l.a = r.vec_id),
 k as (select vec_id, min(c) component_id from r group by vec_id)
 select v.vec_id, coalesce(n, 0)::bigint n_links, component_id, v.vec_id = component_id kept from v join k using (vec_id) left join (select a, count(*) n from l group by a) x on x.a = v.vec_id

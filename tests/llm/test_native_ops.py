@@ -190,6 +190,40 @@ def test_vector_graph_recall_and_components(spark, rows, monkeypatch):
     assert vector_graph.near_vectors(docs.limit(0)).count() == 0 and vector_graph.near_vectors(docs.limit(1)).first().kept
 
 
+def test_vectors_of_any_size_and_length(spark):
+    tiny, huge = [1e-200, 0.0], [1e200, 1e199]
+    data = [(1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, [5.0, 0.2]), (4, [0.0, 1.0]), (5, tiny), (6, huge), (7, [0.0, 1e-310]), (8, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 3.0]), (10, [2.0, 4.1, 6.0]), (11, [float("inf"), 1.0]), (12, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{k: (4, 1) for k in (1, 2, 3, 5, 6)}, 4: (1, 4), 7: (1, 4), 8: (2, 8), 9: (2, 8), 10: (2, 8), 11: (0, 11), 12: (0, 12)}
+
+
+def test_no_edge_towards_a_vector_is_lost():
+    g = np.random.default_rng(2)
+    x = np.concatenate([[[1.0, 0, 0, 0]], np.array([1.0, 0, 0, 0]) + 0.05 * g.normal(size=(200, 4))])
+    near = {k: [0] for k in range(1, 201)} | {0: [1]}  # a hub that points to one vector only
+    rows = [(0, 0, k, 1, x[k].tolist(), [0], near[k]) for k in range(201)]
+    out = vector_graph._linked_in_task(pd.DataFrame(rows, columns=["shard", "side", "node", "mult", "embedding", "shards", "near"]), 0.9)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    counts = out[(out.node == out.other)].set_index("node")["n"]
+    assert counts.sum() == (u @ u.T >= 0.9).sum() - 201
+
+
+def test_low_recall_is_seen_and_the_search_widened(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    base = g.normal(size=(40, 12))
+    data = [(i, (base[i % 40] + 0.1 * g.normal(size=12)).tolist()) for i in range(400)]
+    tried, plain = [], vector_graph._searched
+
+    def blunt(classes, n, at_least, wider):
+        tried.append(wider)
+        found = plain(classes, n, at_least, wider)
+        return found.withColumn("n_links", found.mult - 1) if wider < 4 else found
+
+    monkeypatch.setattr(vector_graph, "_searched", blunt)
+    out = vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert tried == [1, 2, 4] and out.where("n_links > 0").count() > 300
+
+
 def test_a_link_counts_whichever_shared_shard_finds_it(spark):
     vectors = {1: [1.0, 0.0, 0.0], 2: [0.99, 0.1, 0.0], 3: [0.0, 0.0, 5.0], 4: [0.1, 0.1, 5.0]}
     shards, mult = {1: [0, 1], 2: [0, 1], 3: [0], 4: [0]}, {1: 1, 2: 3, 3: 1, 4: 1}
