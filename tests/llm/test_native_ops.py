@@ -94,6 +94,15 @@ def test_mix_targets_bounds_and_reruns(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_mixed_alike_in_reruns(spark):
+    rows = [(1, "w " * n, "a") for n in (200, 201)] + [(None, f"w{k} " * 200, "a") for k in range(6)] + [(2, "x " * 9, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda n: sorted((str(r.doc_id), r["size"], r._text, r.taken) for r in mixing.mix(docs.repartition(n)).collect())
+    assert key(1) == key(2) == key(3)
+    out = [sorted((str(r.doc_id), r.text) for r in mixing.emit(d, mixing.mix(d)).collect()) for d in (docs.repartition(3), docs.coalesce(1))]
+    assert out[0] == out[1]
+
+
 def test_url_rules_and_trust(spark):
     a = lambda *hosts: "".join(f'<p><A class=x\nhref="https://{h}/p?q">t</a>' for h in hosts)
     pages = [

@@ -76,7 +76,7 @@ def mixed(rows):
 
         def rank(r):
             k = max(len(bin(size[r[0]])) - 2 - 7, 0)
-            return k * 128 + (size[r[0]] >> k), hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]
+            return k * 128 + (size[r[0]] >> k), hashlib.md5(f"{r[0]}:{size[r[0]]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
 
         for k, r in enumerate(sorted((r for r in rows if r[3] == s), key=rank), 1):
             out += [r] * (math.floor(e * k + u) - math.floor(e * (k - 1) + u))
