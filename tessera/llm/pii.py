@@ -1,22 +1,25 @@
 """Personal data in whole texts: exact patterns, and spans added by a character-level BiLSTM-CRF.
 
-The patterns find e-mail addresses, IPv4 addresses, payment cards (Luhn) and international phone numbers. The tagger is run
-on the regions around every digit and @ outside those spans (none of its kinds is without one); overlapping windows are
-decoded and reconciled over the whole text. A tagger span that overlaps a base span is dropped; of the others, credentials
-are added as kind secret and personal data that the patterns miss (a domestic phone number, say) as kind other.
-
-Defined results: null and empty texts have no spans; repeated rows are judged row by row; an empty table gives an empty
-result; extra columns are kept by redact() and ignored by find().
+The patterns find e-mail addresses, IPv4 addresses, payment cards (Luhn) and international phone numbers. The tagger reads
+every character of every text in overlapping windows, which are decoded and reconciled over the whole text. Its spans are
+credentials (kind secret) and personal data in forms that the patterns miss (kind other: a domestic phone number, an account
+number, an address written out, say). Base spans stay: of a tagger's span that overlaps one, only the parts outside are added
+(all of a credential's, those of four letters or digits of others); white space at its ends goes.
+
+Defined results: null and empty texts have no spans; repeated rows are judged row by row; null ids stay null; an empty table
+gives an empty result; extra columns are kept by redact() and ignored by find().
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +27,17 @@ from . import tagger
 from .common import memo_of, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "other")
+ADDED = tagger.KINDS
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
-CONTEXT = 40
+#: Characters of texts that are read side by side, a bound on memory.
+PART = 1_500_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # The look-behinds change no match (a match starts where a run of digits does) and keep long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_MAYBE = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -74,61 +78,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
-def _plausible(kind: str, value: str) -> str | None:
-    """The added kind of a tagger's span, or None where its form contradicts its kind."""
-    digits = sum(c.isdigit() for c in value)
-    if kind == "secret":
-        return "secret" if len(value) >= 20 and digits and re.fullmatch(r"[A-Za-z0-9+/=_-]+", value) else None
-    if kind == "email":
-        return "other" if re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]*\w", value) else None
-    if kind == "phone":
-        return "other" if 9 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", value) and re.search(r"[ ().-]|^00", value) else None
-    if kind == "ip":
-        return "other" if re.fullmatch(r"[0-9]{1,3}(?:[ .,:]+[0-9]{1,3}){3}", value) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", value)) else None
-    d = re.sub(r"[^0-9]", "", value)
-    return "other" if 13 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9]+(?:[ .:/-][0-9]+)*", value) else None
+def added_spans(text: str, tagged: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The tagger's spans without what base spans cover and without white space at the ends."""
+    out = []
+    for s, e, kind in tagged:
+        parts = [(s, e)]
+        for a, b, _ in base:
+            parts = [p for x, y in parts for p in ((x, min(y, a)), (max(x, b), y)) if p[0] < p[1]] if a < e and s < b else parts
+        whole, least = parts == [(s, e)], 1 if kind == "secret" else 4
+        for x, y in parts:
+            while x < y and text[x].isspace():
+                x += 1
+            while x < y and text[y - 1].isspace():
+                y -= 1
+            if x < y and (whole or sum(c.isalnum() for c in text[x:y]) >= least):
+                out.append((x, y, kind))
+    return out
 
 
 def find_spans(texts: list[str | None], model: tagger.Tagger) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """(base spans, all spans) per text."""
-    base, regions, where = [], [], []
-    for k, t in enumerate(texts):
-        if not t or not _TRIGGER.search(t):
-            base.append([])
-            continue
-        own = base_spans(t)
-        base.append(own)
-        covered, last = iter(own), 0
-        span = next(covered, None)
-        spread: list[list[int]] = []
-        for m in _TRIGGER.finditer(t):
-            p = m.start()
-            while span and span[1] <= p:
-                last = max(last, span[1])
-                span = next(covered, None)
-            if (span and span[0] <= p < span[1]) or p < last:
-                continue
-            if spread and p - CONTEXT <= spread[-1][1]:
-                spread[-1][1] = p + CONTEXT
-            else:
-                spread.append([p - CONTEXT, p + CONTEXT])
-        for s, e in spread:
-            where.append((k, max(0, s)))
-            regions.append(t[max(0, s) : e])
-    out = [list(b) for b in base]
-    for (k, s), text, tags in zip(where, regions, tagger.tag_regions(model, regions), strict=True):
-        for a, b, kind in tagger.spans_of(tags):
-            added = _plausible(kind, text[a:b])
-            if added and not any(x < s + b and s + a < y for x, y, _ in out[k]):
-                out[k].append((s + a, s + b, added))
-    return [(b, sorted(a, key=lambda x: (x[0], ORDER[x[2]]))) for b, a in zip(base, out, strict=True)]
-
-
-def _by_parts(texts: pd.Series, model: tagger.Tagger, part: int = 500) -> Iterator[tuple[str | None, list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """(text, base spans, all spans), some texts at a time."""
+    base = [base_spans(t) if t and _MAYBE.search(t) else [] for t in texts]  # every pattern has a digit or an @
+    tagged = tagger.tag_texts(model, [t or "" for t in texts])
+    out = []
+    for k, (t, own) in enumerate(zip(texts, base, strict=True)):
+        more = added_spans(t, tagger.spans_of(tagged[k]), own) if k in tagged else []
+        out.append((own, sorted([*own, *more], key=lambda x: (x[0], ORDER[x[2]]))))
+    return out
+
+
+def _by_parts(texts: list[str | None], model: tagger.Tagger) -> Iterator[tuple[str | None, list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
+    """(text, base spans, all spans), about PART characters at a time."""
     memo_of("pii")
-    for i in range(0, len(texts), part):
-        own = list(texts.iloc[i : i + part])
+    ends = np.cumsum([len(t or "") for t in texts]) // PART
+    for lo, hi in itertools.pairwise(np.searchsorted(ends, np.arange(ends[-1] + 2)).tolist() if len(texts) else [0]):
+        own = texts[lo:hi]
         for t, (base, every) in zip(own, find_spans(own, model), strict=True):
             yield t, base, every
 
@@ -138,20 +122,20 @@ def _digest(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_other) per row."""
     model = tagger.trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = [(b, a) for _, b, a in _by_parts(x["text"], model)]
-            out = pd.DataFrame({f"n_{k}": np.array([sum(s[2] == k for s in b) for b, _ in found], np.int64) for k in BASE})
-            out.insert(0, "doc_id", x["doc_id"].to_numpy())
-            out["base_sha256"] = [hashlib.sha256(_digest(b).encode()).hexdigest() for b, _ in found]
-            out["spans"] = [_digest(a) for _, a in found]
-            yield out
+            found = [(b, a) for _, b, a in _by_parts(x.column(1).to_pylist(), model)]
+            count = lambda k: pa.array([sum(s[2] == k for s in a) for _, a in found], pa.int64())
+            out = {"doc_id": x.column(0)} | {f"n_{k}": count(k) for k in BASE}
+            out["base_sha256"] = pa.array([hashlib.sha256(_digest(b).encode()).hexdigest() for b, _ in found], pa.string())
+            out["spans"] = pa.array([_digest(a) for _, a in found], pa.string())
+            yield pa.RecordBatch.from_pydict(out | {f"n_{k}": count(k) for k in ADDED})
 
     columns = ", ".join(f"n_{k} long" for k in BASE)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {columns}, base_sha256 string, spans string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {columns}, base_sha256 string, spans string, n_secret long, n_other long")
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -170,7 +154,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
 
     @F.pandas_udf("string")
     def mask(x: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not a else masked(t, a) for t, _, a in _by_parts(x, model)], dtype=object)
+        return pd.Series([t if t is None or not a else masked(t, a) for t, _, a in _by_parts(x.tolist(), model)], dtype=object)
 
     out = docs.withColumn(text, mask(F.col(text)))
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
