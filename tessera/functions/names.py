@@ -62,6 +62,32 @@ def optional_number(value: Column) -> Column:
     return F.when(~flat.isin("none", "null", ""), flat.try_cast("double"))
 
 
+def cluster_number(value: Column) -> Column:
+    """A number of clusters; "auto", "none", "null" and other text are null, which stands for a number by class size."""
+    return optional_number(value).cast("int")
+
+
+def ignore_policy(dataset: Column) -> Column:
+    """How pixels without a class count, by words in the data set's name; see query_rule."""
+    low = F.lower(dataset)
+    return F.when(low.contains("pascal") | low.contains("voc"), "ignore_255").when(low.contains("city"), "ignore_unlabelled").when(low.contains("ade"), "ignore_0").when(low.contains("lvis"), "not_exhaustive").otherwise("none")
+
+
+def query_rule(dataset: Column) -> Column:
+    """Which images are asked for a class: all that hold it, but of data sets that list unchecked classes only checked ones."""
+    return F.when(F.lower(dataset).contains("lvis"), "exhaustive_only").otherwise("class_present")
+
+
+def utc_text(time: Column) -> Column:
+    """ISO time in seconds with the zone written out."""
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def elapsed(start: Column, end: Column) -> Column:
+    """Seconds between two times, rounded to tenths."""
+    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, 1)
+
+
 def normal_text(value: Column, other: Column) -> Column:
     """value with white space collapsed, else other, else null."""
     tidy = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))

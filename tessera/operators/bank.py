@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import adaptive_threshold, ratio
+from ..sources.stored import stored
 from . import search
 
 #: Order of a bank: file key as text, then patch.
@@ -24,12 +21,21 @@ def file_key(image_id: Column, ann_id: Column) -> Column:
     return F.concat(image_id.cast("string"), F.lit("_"), ann_id.cast("string"), F.lit(".pt"))
 
 
+def first_rows(rows: DataFrame, by: tuple[str, ...], order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """The first n rows of each group in the given order. Rows are first cut to n inside salted parts of a group, so that a
+    group with a third of all rows is sorted by many tasks, and the last one sees at most n rows of each."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]), F.lit(salts))
+    inside = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))
+    part = rows.withColumn("_salt", salt).withColumn("_first", inside).where(F.col("_first") <= n).drop("_salt", "_first")
+    return part.withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_first") <= n).drop("_first")
+
+
 def target_images(bank: DataFrame, limit: int | None = 100) -> DataFrame:
     """(class_id, image_id): the first limit image ids of each class."""
     own = bank.select("class_id", "image_id").distinct()
     if limit is None:
         return own
-    return own.withColumn("_k", F.row_number().over(Window.partitionBy("class_id").orderBy("image_id"))).where(F.col("_k") <= limit).drop("_k")
+    return first_rows(own, ("class_id",), [F.col("image_id")], limit)
 
 
 def targets(patches: DataFrame, images: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def top_k(bank: DataFrame, threshold: float | None, k: int | None) -> DataFrame:
     """Rows with score >= threshold, the k best of each class."""
     out = bank.where("score is not null")
     out = out if threshold is None else out.where(F.col("score") >= threshold)
-    return out if k is None else out.withColumn("_k", _rank(F.desc("score"))).where(F.col("_k") <= k).drop("_k")
+    return out if k is None else first_rows(out, ("class_id",), [F.desc("score"), *[F.col(c) for c in ORDER]], k)
 
 
 def adaptive(bank: DataFrame, low: float = 0.65, high: float = 0.82, factor: float = 0.90, k: int | None = None) -> DataFrame:
@@ -88,29 +94,6 @@ def cluster_count(n: int) -> int:
     return 1 if n < 200 else max(1, min(max(2, min(8, round((n / 250) ** 0.5))), max(1, n // 25)))
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def _stored(rows: DataFrame) -> DataFrame:
-    """rows as a table in spark.checkpoint.dir (a temporary folder where that is unset), deleted when the driver ends."""
-    spark = rows.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/tessera-clusters-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-@atexit.register
-def _sweep() -> None:
-    while _made:
-        spark, path = _made.pop()
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone; the folder's owner cleans up then
-            return
-
-
 def _nearest(m: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (2 * m @ c.T - (c**2).sum(axis=1)).argmax(axis=1)
 
@@ -147,7 +130,7 @@ def with_clusters(bank: DataFrame, sample: int = 20_000, seed: int = 42, rounds:
     """bank with a k-means cluster per class. Starting centres are fitted on a sample of each class; then Lloyd rounds go over
     all rows of a class until its centres move by less than tolerance of the mean variance (the reference's rule and number of
     rounds). Centres, at most 8 per class, pass through the driver. Labels are not comparable with those of other libraries."""
-    bank = _stored(bank.withColumn("class_id", F.col("class_id").cast("int")))
+    bank = stored(bank.withColumn("class_id", F.col("class_id").cast("int")))
     sizes = bank.groupBy("class_id").agg(F.count("*").alias("_n"))
     picked = bank.join(sizes, "class_id").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("_n")) < sample)
 
@@ -185,19 +168,22 @@ def with_clusters(bank: DataFrame, sample: int = 20_000, seed: int = 42, rounds:
 
 def keep_floor(bank: DataFrame, threshold: float, min_ratio: float = 0.30) -> DataFrame:
     """bank with keep: unscored or score >= threshold; if fewer than max(1, int(ratio * n)) of a class survive, its best so
-    many are kept instead, unscored ranked as 0.5."""
-    own = Window.partitionBy("class_id")
+    many are kept instead, unscored ranked as 0.5. Only classes that fall short are ranked."""
     passes = F.col("score").isNull() | (F.col("score") >= threshold)
-    out = bank.withColumn("_p", passes).withColumn("_n", F.count("*").over(own)).withColumn("_s", F.sum(F.col("_p").cast("int")).over(own))
+    counts = bank.groupBy("class_id").agg(F.count("*").alias("_n"), F.sum(passes.cast("int")).alias("_s"))
     need = F.greatest(F.lit(1), F.floor(F.col("_n") * min_ratio).cast("long"))
-    out = out.withColumn("_k", _rank(F.desc(F.coalesce("score", F.lit(0.5)))))
-    return out.withColumn("keep", F.when(F.col("_s") >= need, F.col("_p")).otherwise(F.col("_k") <= need)).drop("_p", "_n", "_s", "_k")
+    out = bank.join(counts.select("class_id", need.alias("_need"), (F.col("_s") >= need).alias("_enough")), "class_id")
+    full = out.where("_enough").withColumn("keep", passes)
+    short = out.where("not _enough").withColumn("keep", _rank(F.desc(F.coalesce("score", F.lit(0.5)))) <= F.col("_need"))
+    return full.unionByName(short).drop("_need", "_enough")
 
 
 def cap_references(bank: DataFrame, n: int) -> DataFrame:
     """keep cut to the n best kept rows of each class, unscored ranked as 0.5."""
-    ranked = bank.withColumn("_k", _rank(F.desc("keep"), F.desc(F.coalesce("score", F.lit(0.5)))))
-    return ranked.withColumn("keep", F.col("keep") & (F.col("_k") <= n)).drop("_k")
+    order = [F.desc(F.coalesce("score", F.lit(0.5))), *[F.col(c) for c in ORDER]]
+    best = first_rows(bank.where("keep").select("class_id", "score", *ORDER), ("class_id",), order, n)
+    kept = best.select("class_id", *ORDER, F.lit(True).alias("_in"))
+    return bank.join(kept, ["class_id", *ORDER], "left").withColumn("keep", F.col("keep") & F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def reweighted(bank: DataFrame) -> DataFrame:
@@ -207,18 +193,20 @@ def reweighted(bank: DataFrame) -> DataFrame:
 
 def early_accept(bank: DataFrame, threshold: float, n: int, min_matches: int = 3) -> DataFrame:
     """In bank order rows with score >= threshold are accepted until n are; rows after that are not looked at (score 0, tp 0,
-    fp min_matches)."""
-    along = Window.partitionBy("class_id").orderBy(*ORDER)
-    out = bank.withColumn("_a", F.coalesce(F.col("score") >= threshold, F.lit(False)).cast("int"))
-    seen = F.coalesce(F.sum("_a").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) < n
-    out = out.withColumn("looked", seen)
-    take = F.col("looked") & (F.col("_a") == 1)
-    return out.withColumn("accepted", take).withColumn("score", F.when(take, F.col("score")).otherwise(F.lit(0.0))).withColumn("tp", F.when(take, F.col("tp")).otherwise(F.lit(0))).withColumn("fp", F.when(take, F.col("fp")).otherwise(F.lit(min_matches))).drop("_a")
+    fp min_matches). The n-th accepted row of a class ends the look; no class is walked through."""
+    place, passes = F.struct(*ORDER), F.coalesce(F.col("score") >= threshold, F.lit(False))
+    good = first_rows(bank.where(passes).select("class_id", *ORDER), ("class_id",), [F.col(c) for c in ORDER], n)
+    last = good.groupBy("class_id").agg(F.count("*").alias("_n"), F.max(place).alias("_end")).where(F.col("_n") >= n)
+    out = bank.join(last.select("class_id", "_end"), "class_id", "left")
+    out = out.withColumn("looked", F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end")
+    out = out.withColumn("accepted", F.col("looked") & passes)
+    swap = lambda c, other: F.when(F.col("accepted"), F.col(c)).otherwise(F.lit(other)).alias(c)
+    return out.withColumns({"score": swap("score", 0.0), "tp": swap("tp", 0), "fp": swap("fp", min_matches)})
 
 
 def first_n(bank: DataFrame, n: int) -> DataFrame:
     """The first n rows of each class in bank order."""
-    return bank.withColumn("_k", F.row_number().over(Window.partitionBy("class_id").orderBy(*ORDER))).where(F.col("_k") <= n).drop("_k")
+    return first_rows(bank, ("class_id",), [F.col(c) for c in ORDER], n)
 
 
 def quota(annotations: DataFrame, max_images: int | None = None, max_features: int | None = None) -> DataFrame:
@@ -235,6 +223,40 @@ def quota(annotations: DataFrame, max_images: int | None = None, max_features: i
     return own.withColumn("_b", F.coalesce(F.sum("n_patches").over(before), F.lit(0))).where(F.col("_b") < max_features).drop("_b")
 
 
+def cluster_report(bank: DataFrame, low: float = 0.65, high: float = 0.82, factor: float = 0.90, smallest: int = 5) -> DataFrame:
+    """Per class: the kept and the discarded (too small) clusters, and least, mean and greatest threshold of the kept ones."""
+    q = bank.where("score is not null").groupBy("class_id", "cluster").agg(F.percentile("score", F.lit(0.75)).alias("_q"), F.count("*").alias("_n"))
+    t = F.when(F.col("_n") >= smallest, adaptive_threshold(F.col("_q"), low, high, factor))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("cluster")))).cast("array<string>"), ",")
+    return q.withColumn("_t", t).groupBy("class_id").agg(
+        F.count("_t").alias("kept_clusters"), listed(F.col("_t").isNotNull()).alias("kept"), listed(F.col("_t").isNull()).alias("discarded"),
+        F.min("_t").alias("min_threshold"), F.avg("_t").alias("mean_threshold"), F.max("_t").alias("max_threshold"),
+    )
+
+
+def bank_counts(bank: DataFrame) -> DataFrame:
+    """Per class: vectors, files and source images in the bank."""
+    return bank.groupBy("class_id").agg(F.count("*").alias("features"), F.countDistinct("file_key").alias("files"), F.countDistinct("image_id").alias("images"))
+
+
+def build_quotas(annotations: DataFrame, max_images: int, max_features: int) -> set[tuple[int, int]]:
+    """(class_id, image_id) that a sequential build under both quotas takes.
+
+    Images come in id order; one is skipped when every class in it has reached a quota; else all its annotations count for
+    their classes that have not. Which images count depends on all classes before, so the walk is sequential: over one row an
+    (image, class), streamed, with two counters a class."""
+    own = annotations.where("n_patches > 0").groupBy("image_id", "class_id").agg(F.sum("n_patches").alias("n")).orderBy("image_id", "class_id")
+    images: dict[int, int] = {}
+    features: dict[int, int] = {}
+    taken = set()
+    for r in own.toLocalIterator(prefetchPartitions=True):
+        if images.get(r.class_id, 0) < max_images and features.get(r.class_id, 0) < max_features:
+            taken.add((r.class_id, r.image_id))
+            images[r.class_id] = images.get(r.class_id, 0) + 1
+            features[r.class_id] = features.get(r.class_id, 0) + r.n
+    return taken
+
+
 def report(bank: DataFrame, keep: Column) -> DataFrame:
     """One row per class: counts, removal, precision, and the summary of scores (lower median, population deviation)."""
     s = F.col("score")

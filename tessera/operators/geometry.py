@@ -109,6 +109,18 @@ def nms_points(points: DataFrame, distance: float, value: str = "sim", by: tuple
     return by_group(points, by, others, thin, ", ".join(f"{x} {kinds[x]}" for x in (*by, *others)))
 
 
+def window_maxima(at: dict[tuple[int, int], float], distance: int) -> list[tuple[int, int]]:
+    """Cells that no cell within distance rows and columns exceeds, by sliding maxima over the cells' bounding box."""
+    rows, cols = np.array([r for r, _ in at]), np.array([c for _, c in at])
+    r, c, values = rows - rows.min() + distance, cols - cols.min() + distance, np.array(list(at.values()), float)
+    box = np.full((r.max() + distance + 1, c.max() + distance + 1), -np.inf)
+    box[r, c] = values
+    high = np.lib.stride_tricks.sliding_window_view(box, 2 * distance + 1, axis=0).max(axis=-1)
+    high = np.lib.stride_tricks.sliding_window_view(high, 2 * distance + 1, axis=1).max(axis=-1)
+    top = values >= high[r - distance, c - distance]
+    return list(zip(rows[top].tolist(), cols[top].tolist(), strict=True))
+
+
 def component_prompts(cells: DataFrame, loose: float = 0.8, smallest: int = 4, distance: int = 10, grid: tuple[int, int] = (96, 96), size: tuple[float, float] = (1536.0, 1536.0)) -> DataFrame:
     """Prompts of a similarity map: cells with sim >= loose, 8-connected, components of at least smallest cells, their local
     maxima suppressed (the largest cell where none is left), in order of score, component, peak.
@@ -124,7 +136,7 @@ def component_prompts(cells: DataFrame, loose: float = 0.8, smallest: int = 4, d
         for comp, at in parts.items():
             if len(at) < smallest:
                 continue
-            peaks = [(r, c) for (r, c), s in at.items() if s >= max(v for (a, b), v in at.items() if abs(a - r) <= distance and abs(b - c) <= distance)]
+            peaks = window_maxima(at, distance)
             peaks.sort(key=lambda p: (-at[p], p))
             peaks = [peaks[i] for i in suppress(peaks, distance)] or [max(at, key=lambda p: (at[p], -p[0], -p[1]))]
             out += [(comp, k, r, c, at[r, c]) for k, (r, c) in enumerate(peaks)]

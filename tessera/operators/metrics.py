@@ -116,3 +116,25 @@ def merged_state(*states: DataFrame) -> DataFrame:
     for s in states[1:]:
         out = out.unionByName(s)
     return out.groupBy("class_id").agg(*[F.sum(c).alias(c) for c in states[0].columns if c != "class_id"])
+
+
+def class_table(counts: DataFrame, instances: DataFrame) -> DataFrame:
+    """Classes with ground truth by number of instances, most first (then by class), with their ratios. counts: (class_id, tp,
+    fp, fn); instances: (class_id, gt_instances)."""
+    rows = with_ratios(counts).join(instances.where("gt_instances > 0"), "class_id")
+    return rows.orderBy(F.desc("gt_instances"), "class_id")
+
+
+def state(counts: DataFrame, records: DataFrame, gt_counts: DataFrame) -> DataFrame:
+    """An evaluator's state as lines (kind, class_id, payload): pixel counters, scored records and ground-truth counts."""
+    line = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "class_id", F.to_json(F.struct(*[c for c in rows.columns if c != "class_id"])).alias("payload"))
+    return line(counts, "counts").unionByName(line(records, "records")).unionByName(line(gt_counts, "truth"))
+
+
+def restored(states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, records, gt_counts) of the lines of one or more states: counters add up, records are put together and numbered
+    anew by payload, so that a run may go on from any number of checkpoints."""
+    part = lambda kind, shape: states.where(F.col("kind") == kind).select("class_id", F.from_json("payload", shape).alias("p")).select("class_id", "p.*")
+    counts = part("counts", "tp long, fp long, fn long").groupBy("class_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    truth = part("truth", "gt_count long").groupBy("class_id").agg(F.sum("gt_count").alias("gt_count"))
+    return counts, part("records", "score double, is_tp int, rec_id long"), truth

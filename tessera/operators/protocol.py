@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import category_name, split_name, stem
 from ..functions.vectors import ratio
+from ..sources.stored import stored
 
 SHOTS = (1, 5, 20, 50, 100)
 
@@ -80,6 +81,44 @@ def fill(available: DataFrame, candidates: DataFrame, target: int, refilter_ever
     return ranked.where(F.col("_k") <= F.lit(target) - F.col("n")).select("class_id", "image_id", F.floor((F.col("_k") - 1) / refilter_every).cast("int").alias("batch"))
 
 
+#: States of a class that is being filled, and the version of their records.
+PENDING, RUNNING, DONE, EXHAUSTED, SHORT = "pending", "running", "done", "exhausted", "insufficient_targets"
+STATE_VERSION = 1
+
+
+def fill_to_shots(available: DataFrame, candidates: DataFrame, judge, target: int, batch: int = 5, least_targets: int = 2, state: DataFrame | None = None, rounds: int = 1000):
+    """(taken, state): supports added until a class has target of them or no candidate is left.
+
+    Each round takes the next batch candidates of every open class in id order, judges them together with what the class has
+    (judge(rows) -> rows with a column accepted: scoring and refiltering as one plan), and adds the accepted ones. available:
+    (class_id, n); candidates: (class_id, image_id). state: (class_id, state, n, seen, version) of an earlier run: classes go on
+    after the candidates that were seen; records of another version begin anew. A class with fewer than least_targets
+    candidates and supports together cannot be scored. The loop's data stay in tables; the driver sees counts."""
+    order = Window.partitionBy("class_id").orderBy("image_id")
+    ranked = candidates.withColumn("_k", F.row_number().over(order))
+    total = ranked.groupBy("class_id").agg(F.max("_k").alias("total"))
+    now = available.select("class_id", "n").join(total, "class_id", "left").fillna(0, ["total"]).withColumn("seen", F.lit(0))
+    if state is not None:
+        old = state.where(F.col("version") == STATE_VERSION).select("class_id", F.col("n").alias("_n"), F.col("seen").alias("_seen"))
+        now = now.join(old, "class_id", "left").select("class_id", F.coalesce("_n", "n").alias("n"), "total", F.coalesce("_seen", "seen").alias("seen"))
+    now, taken = stored(now), candidates.select("class_id", "image_id").limit(0)
+    for _ in range(rounds):
+        open_ = now.where((F.col("n") < target) & (F.col("seen") < F.col("total")) & (F.col("n") + F.col("total") >= least_targets))
+        asked = ranked.join(open_.select("class_id", "seen"), "class_id").where((F.col("_k") > F.col("seen")) & (F.col("_k") <= F.col("seen") + batch)).select("class_id", "image_id")
+        if asked.isEmpty():
+            break
+        good = judge(asked).where("accepted").select("class_id", "image_id")
+        room = now.select("class_id", (F.lit(target) - F.col("n")).alias("_room"))
+        good = stored(good.withColumn("_g", F.row_number().over(order)).join(room, "class_id").where("_g <= _room").select("class_id", "image_id"))
+        taken = taken.unionByName(good)
+        more = good.groupBy("class_id").agg(F.count("*").alias("_more"))
+        step = open_.select("class_id", F.lit(batch).alias("_step"))
+        moved = [(F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"), "total", F.least(F.col("seen") + F.coalesce("_step", F.lit(0)), F.col("total")).alias("seen")]
+        now = stored(now.join(more, "class_id", "left").join(step, "class_id", "left").select("class_id", *moved))
+    word = F.when(F.col("n") >= target, DONE).when(F.col("n") + F.col("total") < least_targets, SHORT).when(F.col("seen") >= F.col("total"), EXHAUSTED).when(F.col("seen") > 0, RUNNING).otherwise(PENDING)
+    return taken, now.select("class_id", word.alias("state"), "n", "seen", F.lit(STATE_VERSION).alias("version"))
+
+
 def confusion(rows: DataFrame, raw: str, ref: str) -> DataFrame:
     return rows.groupBy(F.col(raw).alias("raw"), F.col(ref).alias("ref")).agg(F.count("*").alias("n"))
 
@@ -93,6 +132,19 @@ def label_mapping(counts: DataFrame, low_purity: float = 0.95, top: int = 5) ->
     return out.withColumn("low_confidence", F.col("purity") < low_purity)
 
 
+def low_confidence(mapping: DataFrame) -> DataFrame:
+    """The mapping's uncertain labels, least pure first, with their rank."""
+    order = Window.orderBy("purity", "raw")  # as many rows as there are labels
+    return mapping.where("low_confidence").withColumn("rank", F.row_number().over(order))
+
+
+def mismatches(rows: DataFrame, mapping: DataFrame, raw: str, ref: str, order: list[str], n: int = 50) -> DataFrame:
+    """The first n rows (a report's examples) whose mapped label differs from the reference."""
+    m = mapping.select(F.col("raw").alias(raw), F.col("target").alias("mapped"))
+    joined = rows.join(m, raw, "left").withColumn("mapped", F.coalesce("mapped", F.lit(0)))
+    return joined.where(F.col("mapped") != F.col(ref)).orderBy(*order).limit(n)
+
+
 def mapping_validation(rows: DataFrame, mapping: DataFrame, raw: str, ref: str, by: str) -> DataFrame:
     """Pixel accuracy, exact-match share over groups, mean IoU of the references seen, and unseen raw labels."""
     m = mapping.select(F.col("raw").alias(raw), F.col("target").alias("_m"))
@@ -103,7 +155,7 @@ def mapping_validation(rows: DataFrame, mapping: DataFrame, raw: str, ref: str,
     a, b = joined.groupBy(F.col(ref).alias("c")).agg(F.count("*").alias("a")), joined.where("_m is not null").groupBy(F.col("_m").alias("c")).agg(F.count("*").alias("b"))
     iou = a.join(inter, "c", "left").join(b, "c", "left").fillna(0).select((F.col("i") / (F.col("a") + F.col("b") - F.col("i"))).alias("iou")).agg(F.avg("iou").alias("mean_iou"))
     unseen = rows.select(raw).distinct().join(m, raw, "left_anti").agg(F.count("*").alias("unseen_labels"))
-    return total.join(iou).join(unseen)
+    return total.crossJoin(iou).crossJoin(unseen)  # one row each
 
 
 def holdout_split(stems: list[str], ratio_: float = 0.2, seed: int = 20260324) -> tuple[list[str], list[str]]:
@@ -128,10 +180,11 @@ def zipped(objects: Column, instances: Column) -> Column:
 def numbered(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
     """Dense ids from 1 in the given order, without a single task for all rows: rows are ranged into partitions, the
     partitions counted, and each row's place added to the count before its partition."""
+    keys = [F.col(c) for c in order]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.monotonically_increasing_id())
-    own = Window.partitionBy("_p").orderBy("_r")
-    placed = ranged.withColumn("_k", F.row_number().over(own))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    kept = stored(ranged)  # what is counted is what is numbered: a second reading could be cut differently
+    placed = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys, "_r")))
+    counts = kept.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return placed.join(before, "_p").withColumn(name, F.col("_b") + F.col("_k")).drop("_p", "_r", "_k", "_b")
 

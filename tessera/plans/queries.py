@@ -223,7 +223,11 @@ def local_maxima_2d(spark, sf):
     return geometry.local_maxima(search.best_similarity(queries_of(p), bank_of(p)), 1, 0.0).select("image_id", "class_id", "row", "col", q6("sim"))
 
 
-@query()
+@query(f"""with recursive {SIM[5:] if SIM.startswith("with ") else SIM}, o as (select image_id, class_id, "row" r, col c, sim, row_number() over (partition by image_id, class_id order by sim desc, "row", col) k from sims),
+w as (select image_id, class_id, k, sim, r, c, [[r, c]] kept, true ok from o where k = 1
+  union all select o.image_id, o.class_id, o.k, o.sim, o.r, o.c, case when z.free then list_append(w.kept, [o.r, o.c]) else w.kept end, z.free
+  from w join o on o.image_id = w.image_id and o.class_id = w.class_id and o.k = w.k + 1, lateral (select len(list_filter(w.kept, lambda p: (p[1] - o.r) * (p[1] - o.r) + (p[2] - o.c) * (p[2] - o.c) < 4)) = 0 free) z)
+select image_id, class_id, r as "row", c as col, round(sim, 6) sim from w where ok""")
 def nms_points(spark, sf):
     p = patches(spark, sf)
     return geometry.nms_points(search.best_similarity(queries_of(p), bank_of(p)), 2.0).withColumn("sim", F.round("sim", 6))
@@ -234,7 +238,13 @@ def _instances(spark, sf):
     return read(spark, sf, "lineitem").selectExpr("l_orderkey image_id", "l_returnflag class_id", "cast(l_quantity as int) % 3 inst", "cast(l_linenumber as bigint) pixel", "l_tax score")
 
 
-@query()
+@query("""with recursive i as (select l_orderkey image_id, l_returnflag class_id, l_quantity::int % 3 inst, l_linenumber::bigint pixel, l_tax score from lineitem),
+g as (select image_id, class_id, inst, max(score) score, list(distinct pixel) px from i group by all),
+o as (select *, row_number() over (partition by image_id, class_id order by score desc, inst) k from g),
+w as (select image_id, class_id, inst, score, k, [px] kept, true ok from o where k = 1
+  union all select o.image_id, o.class_id, o.inst, o.score, o.k, case when z.free then list_append(w.kept, o.px) else w.kept end, z.free
+  from w join o on o.image_id = w.image_id and o.class_id = w.class_id and o.k = w.k + 1, lateral (select len(list_filter(w.kept, lambda q: len(list_intersect(q, o.px)) > 0.5 * (len(q) + len(o.px) - len(list_intersect(q, o.px))))) = 0 free) z)
+select image_id, class_id, inst, score from w where ok""")
 def nms_masks(spark, sf):
     inst = _instances(spark, sf).groupBy("image_id", "class_id", "inst").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("pixel")).alias("pixels"))
     return masks.nms_masks(inst, 0.5)
@@ -304,7 +314,17 @@ def map50(spark, sf):
     return metrics.mean_ap(_aps(spark, sf)).withColumn("map50", F.round("map50", 6))
 
 
-@query()
+@query("""with recursive i as (select l_orderkey image_id, l_returnflag class_id, l_quantity::int % 3 inst, l_linenumber::bigint pixel, l_tax score from lineitem),
+a as (select image_id, class_id, inst, max(score) score, list(distinct pixel) px from i where score >= 0.03 group by all),
+b as (select image_id, class_id, list({'inst': inst, 'px': px}) gt from (select image_id, class_id, inst, list(distinct pixel) px from i where score <= 0.05 group by all) group by all),
+o as (select a.*, coalesce(gt, []) gt, row_number() over (partition by a.image_id, a.class_id order by score desc, inst) k from a left join b using (image_id, class_id)),
+u as (select image_id, class_id, inst, score, k, unnest(case when len(gt) = 0 then [null] else gt end) g, px from o),
+v as (select image_id, class_id, inst, score, k, g.inst other, len(list_intersect(px, g.px)) / (len(px) + len(g.px) - len(list_intersect(px, g.px)))::double iou from u),
+l as (select image_id, class_id, inst, score, k, list({'o': other, 'iou': iou} order by iou desc, other) filter (iou > 0) options from v group by all),
+w as (select image_id, class_id, inst, score, k, case when options[1].iou >= 0.5 then [options[1].o] else [] end taken, (coalesce(options[1].iou, 0) >= 0.5)::int hit from l where k = 1
+  union all select l.image_id, l.class_id, l.inst, l.score, l.k, case when z.best.iou >= 0.5 then list_append(w.taken, z.best.o) else w.taken end, (coalesce(z.best.iou, 0) >= 0.5)::int
+  from w join l on l.image_id = w.image_id and l.class_id = w.class_id and l.k = w.k + 1, lateral (select list_filter(coalesce(l.options, []), lambda p: not list_contains(w.taken, p.o))[1] best) z)
+select image_id, class_id, inst inst_a, score, hit is_tp from w""")
 def greedy_gt_match(spark, sf):
     i = _instances(spark, sf)
     a = i.where("score >= 0.03").select("image_id", "class_id", "inst", "pixel").distinct()

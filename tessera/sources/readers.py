@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import png
+
 COCO = (
     "images array<struct<id:bigint,width:int,height:int,file_name:string,coco_url:string,not_exhaustive_category_ids:array<int>>>, "
     "annotations array<struct<id:bigint,image_id:bigint,category_id:int,segmentation:string,bbox:array<double>,area:double,iscrowd:int>>, "
@@ -157,24 +161,35 @@ def image_files(spark: SparkSession, root: str, pattern: str = "*.{png,jpg,jpeg}
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length", "content")
 
 
+def raw_bytes(cell: Column) -> Column:
+    """Bytes of an image cell struct<bytes, data, ...>: the first of the two that is there."""
+    return F.coalesce(cell["bytes"], cell["data"])
+
+
 def decoded(images: DataFrame, content: str = "content") -> DataFrame:
-    """images with pixels struct<height, width, data>; needs an imaging library, and gives null where bytes cannot be read."""
-    try:
-        import io
+    """images with pixels struct<height, width, data> as RGB, null where bytes cannot be read: PNG by this package's reader,
+    other formats by an imaging library if there is one."""
+    import io
 
+    def load(b):
+        if b[:8] == png.SIGNATURE:
+            try:
+                return png.decode(bytes(b), colours=True)
+            except ValueError:
+                pass
         from PIL import Image
-    except ImportError as e:
-        raise RuntimeError("decoding images needs Pillow") from e
-    import pandas as pd
+
+        im = Image.open(io.BytesIO(b)).convert("RGB")
+        return np.asarray(im)
 
     @F.pandas_udf("struct<height:int,width:int,data:binary>")
     def decode(x: pd.Series) -> pd.DataFrame:
         out = []
         for b in x:
             try:
-                im = Image.open(io.BytesIO(b)).convert("RGB")
-                out.append((im.height, im.width, im.tobytes()))
-            except Exception:
+                pixels = load(b)
+                out.append((*pixels.shape[:2], pixels.tobytes()))
+            except Exception:  # a row that cannot be read is null, whatever the reason
                 out.append((None, None, None))
         return pd.DataFrame(out, columns=["height", "width", "data"])
 
@@ -234,13 +249,10 @@ def image_root(spark: SparkSession, root: str, candidates: list[str], samples: l
 
 
 def label_masks(images: DataFrame, content: str = "content") -> DataFrame:
-    """(path, label, start, len): column-major runs of each label of label images (PNG through an imaging library, .mat with
-    the key LabelMap through a scientific one); files that cannot be read give no rows."""
+    """(path, label, start, len): column-major runs of each label of label images (PNG, .npy, and .mat with the key LabelMap
+    through a scientific library); files that cannot be read give no rows."""
     import io
 
-    import numpy as np
-    import pandas as pd
-
     def load(path: str, data: bytes):
         if path.endswith(".mat"):
             from scipy.io import loadmat
@@ -248,9 +260,7 @@ def label_masks(images: DataFrame, content: str = "content") -> DataFrame:
             return np.asarray(loadmat(io.BytesIO(data))["LabelMap"])
         if path.endswith(".npy"):
             return np.load(io.BytesIO(data))
-        from PIL import Image
-
-        return np.asarray(Image.open(io.BytesIO(data)))
+        return png.decode(bytes(data))
 
     def run(batches):
         for x in batches:
