@@ -3,7 +3,6 @@ prompts) is kept in between, as tables in a workspace that all executors share (
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fingerprint
 from ..operators import bank as banks
-from ..operators import matching, metrics
+from ..operators import masks, matching, metrics, protocol
+from ..sources.stored import workspace as shared
 
 METHODS = ("absolute", "relative", "hybrid")
 FILTERS = ("fixed", "adaptive", "clustered")
@@ -47,7 +47,8 @@ class Config:
     grid: tuple[int, int] = (96, 96)
     size: tuple[float, float] = (1536.0, 1536.0)
     start_stage: int = 1
-    end_stage: int = 4
+    end_stage: int = 6
+    shots: tuple[int, ...] = protocol.SHOTS
 
     def __post_init__(self) -> None:
         for value, known in ((self.method, METHODS), (self.filter, FILTERS), (self.segmentation, SEGMENTATION)):
@@ -66,7 +67,7 @@ class Engine:
         self.config, self.workspace = config, workspace
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
-        root = self.workspace or rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        root = self.workspace or shared(rows.sparkSession)
         path = f"{root}/tessera-{self.config.fingerprint}/{name}"
         rows.write.mode("overwrite").parquet(path)
         return rows.sparkSession.read.schema(rows.schema).parquet(path)
@@ -110,14 +111,38 @@ class Engine:
         points = prompts.select("image_id", "class_id", F.monotonically_increasing_id().alias("point_id"), "x", "y", F.lit(width).alias("width"), F.lit(height).alias("height"))
         return metrics.point_metrics(points, instances)
 
-    def run(self, references: DataFrame, queries: DataFrame, instances: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Tables of the stages from start_stage to end_stage (1 bank, 2 filter, 3 prompts, 4 metrics)."""
+    def merge(self, text: DataFrame, point: DataFrame) -> DataFrame:
+        """The masks that the segmentation asks for: one side's pixels or the union of both. Sides: (image_id, class_id, pixel,
+        score)."""
+        if self.config.segmentation == "text_point":
+            return masks.merged_union(text, point)
+        return text if self.config.segmentation == "text" else point
+
+    def evaluate_masks(self, merged: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(per class, over all) of pixel metrics. truth: (image_id, class_id, inst, pixel)."""
+        counts = metrics.pixel_counts(merged, truth)
+        instances = truth.select("image_id", "class_id", "inst").distinct().groupBy("class_id").agg(F.count("*").alias("gt_instances"))
+        return metrics.class_table(counts, instances), metrics.global_metrics(counts)
+
+    def shot_lists(self, supports: DataFrame, filtered: DataFrame) -> DataFrame:
+        """Supports in order of the quality of their filtered vectors, as nested k-shot lists."""
+        return protocol.k_shots(protocol.support_order(supports, banks.image_quality(filtered)), self.config.shots)
+
+    def run(self, references: DataFrame, queries: DataFrame, instances: DataFrame | None = None, sides: tuple[DataFrame, DataFrame] | None = None, truth: DataFrame | None = None, supports: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Tables of the stages from start_stage to end_stage: 1 bank, 2 filter, 3 prompts, 4 point metrics (with instances),
+        5 merged masks and their metrics (with both sides and truth), 6 k-shot lists (with supports)."""
         c, out = self.config, {}
-        out["bank"] = self._kept(self.score(self._kept(self.build(references), "raw_bank"), references), "bank")
+        out["bank"] = 1, self._kept(self.score(self._kept(self.build(references), "raw_bank"), references), "bank")
         if c.end_stage >= 2:
-            out["filtered"] = self._kept(self.filter(out["bank"]), "filtered")
+            out["filtered"] = 2, self._kept(self.filter(out["bank"][1]), "filtered")
         if c.end_stage >= 3:
-            out["prompts"] = self._kept(self.match(queries, out["filtered"]), "prompts")
+            out["prompts"] = 3, self._kept(self.match(queries, out["filtered"][1]), "prompts")
         if c.end_stage >= 4 and instances is not None:
-            out["metrics"] = self.evaluate(out["prompts"], instances, int(c.size[1]), int(c.size[0]))
-        return {k: v for i, (k, v) in enumerate(out.items(), 1) if i >= c.start_stage}
+            out["metrics"] = 4, self.evaluate(out["prompts"][1], instances, int(c.size[1]), int(c.size[0]))
+        if c.end_stage >= 5 and sides is not None and truth is not None:
+            merged = self._kept(self.merge(*sides), "merged")
+            per_class, overall = self.evaluate_masks(merged, truth)
+            out |= {"merged": (5, merged), "mask_metrics": (5, per_class), "mask_totals": (5, overall)}
+        if c.end_stage >= 6 and supports is not None:
+            out["shots"] = 6, self.shot_lists(supports, out["filtered"][1])
+        return {k: v for k, (stage, v) in out.items() if stage >= c.start_stage}

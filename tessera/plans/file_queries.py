@@ -18,7 +18,8 @@ from ..operators import masks, metrics, protocol
 from ..sources import exports, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
-from .queries import P, QUERIES, SQL, VOTES, patches, query, read, scored_bank
+from .engine import Config, Engine
+from .queries import KEEP, P, QUERIES, SQL, VOTES, patches, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -505,3 +506,28 @@ def copied_files(spark, sf):
     there = readers.image_files(spark, target, "*.png").select(names.basename(F.col("path")).alias("f"))
     done = got.select(names.basename(F.col("path")).alias("f"), "status").join(there, "f")
     return done.select(names.stem(F.col("f")).cast("long").alias("image_id"), "status")
+
+
+_RUN = f"{VOTES}, f as (select * from sc where score >= {KEEP}), y as (select class_id, image_id, max(score) mx, avg(score) av, median(score) md, count(distinct file_key) files from f group by all), s as (select distinct class_id, image_id from p where image_id % 2 = 0), o as (select s.class_id, s.image_id, row_number() over (partition by s.class_id order by (mx is not null) desc, mx desc nulls last, av desc nulls last, md desc nulls last, files desc nulls last, s.image_id) k, count(*) over (partition by s.class_id) n from s left join y using (class_id, image_id))"
+
+
+@query(f"with {_RUN} select shot, class_id, image_id, k::int rank_within_class from o cross join (values (1), (3)) v(shot) where n >= shot and k <= shot")
+def engine_shots(spark, sf):
+    """A run of the engine's stages up to the k-shot lists."""
+    p = patches(spark, sf)
+    refs = p.where("image_id % 2 = 0")
+    config = Config(filter="fixed", keep_threshold=KEEP, end_stage=6, start_stage=6, shots=(1, 3), images_per_class=10_000)
+    supports = refs.select("class_id", "image_id").distinct()
+    out = Engine(config, place(spark, "run")).run(refs, refs.select("class_id", "image_id", "row", "col", "embedding").limit(0), supports=supports)
+    return out["shots"].select("shot", "class_id", "image_id", "rank_within_class")
+
+
+@query(f"with {_MERGE} select tp::bigint tp, fp::bigint fp, fn::bigint fn, round(iou, 6) iou, round(miou, 6) miou from (select sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(tp) / sum(tp + fp + fn) iou, avg(case when tp + fn > 0 then tp / (tp + fp + fn) end) miou from k)")
+def engine_mask_totals(spark, sf):
+    """Merging and evaluation as the engine's stage: text and point masks against the truth."""
+    p = patches(spark, sf).select("vec_id", "image_id", "class_id", F.col("patch_no").alias("pixel"))
+    side = lambda c, s: p.where(c).select("image_id", "class_id", "pixel", F.lit(s).alias("score"))
+    engine = Engine(Config())
+    merged = engine.merge(side("vec_id % 3 <> 0", 0.5), side("vec_id % 4 <> 0 and image_id % 2 = 0", 0.7))
+    truth = p.where("pixel % 5 <> 0").select("image_id", "class_id", F.lit(0).alias("inst"), "pixel")
+    return engine.evaluate_masks(merged, truth)[1].select("tp", "fp", "fn", F.round("iou", 6).alias("iou"), F.round("miou", 6).alias("miou"))
