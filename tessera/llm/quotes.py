@@ -8,7 +8,8 @@ run is, of all earlier messages that have lines of it, the one with most (then o
 first). Lines of fewer than 4 signs point to another conversation only as a whole passage that no third conversation has. Lines
 without a normal form are part of passages but point to nothing. A message replies to the source of its level-1 passages with most lines; without one, to the turn before it. Threads
 and depths come from the parents by pointer doubling, and (thread, depth, conv_id, turn) is the reply order: a parent always
-stands before its replies. Texts are given back without quotes and without the attribution lines directly above them.
+stands before its replies; position counts the messages of a thread in it from 1. Texts are given back without quotes and
+without the attribution lines directly above them.
 
 Defined results: null and empty texts have no lines; rows without conv_id or turn are threads of their own at depth 0 and
 neither quote nor are quoted; rows that repeat a (conv_id, turn) are one message with several texts, each returned; an empty
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.protocol import numbered
 from .common import durable, table
 
 #: Fixed value: words that end an attribution line above a quotation.
-_ATTRIBUTION = r"(?m)^[^\n>]{0,300}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+(?=[ \t]*>)"
+_ATTRIBUTION = r"(?m)^[^\n>]*(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+(?=[ \t]*>)"
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 #: Shorter lines are linked within the conversation, and elsewhere only where a single other conversation has them.
 LEAST = 4
@@ -55,6 +57,14 @@ def _roots(parents: DataFrame) -> DataFrame:
     return at.drop("there")
 
 
+def _positions(tree: DataFrame) -> DataFrame:
+    """tree with position: place in the thread's reply order. All messages are numbered in order over ranges, and a thread's
+    first number is taken away, so that no task has a whole thread."""
+    placed = durable(numbered(tree, "rc", "rt", "depth", "conv_id", "turn", name="_number"), "quote-order")
+    first = durable(placed.groupBy("rc", "rt").agg(F.min("_number").alias("_first")), "quote-first")
+    return placed.join(first, ["rc", "rt"]).withColumn("position", (F.col("_number") - F.col("_first") + 1).cast("long")).drop("_number", "_first")
+
+
 def _runs(own: DataFrame, texts: DataFrame) -> DataFrame:
     """(conv_id, turn, key): the digests of passages that stand as consecutive lines in a text. own: (conv_id, turn, txt, i, h),
     i counting the lines of the text. Each line is the start of as many runs as there are lengths of passages that begin with it."""
@@ -138,13 +148,13 @@ def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     along = Window.partitionBy("conv_id").orderBy("turn")
     placed = nodes.withColumn("prev", F.lag("turn").over(along)).join(direct, ["conv_id", "turn"], "left")
     placed = durable(placed.select("conv_id", "turn", F.coalesce("p.source_conv", F.when(F.col("prev").isNotNull(), F.col("conv_id"))).alias("pc"), F.coalesce("p.source_turn", "prev").alias("pt"), F.col("p").isNotNull().alias("quotes_parent")), "quote-parents")
-    tree = placed.join(_roots(placed), ["conv_id", "turn"])
+    tree = _positions(placed.join(_roots(placed), ["conv_id", "turn"]))
     stats = passages.groupBy("conv_id", "turn").agg(F.max("level").alias("quote_depth"), F.count("*").alias("n_passages"), F.count("source_conv").alias("n_linked"))
     clean = F.btrim(F.array_join(F.transform(F.filter("ls", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), F.lit(" \n\t"))
     rows = read.select("conv_id", "turn", "role", clean.alias("text")).join(tree, ["conv_id", "turn"], "left").join(stats, ["conv_id", "turn"], "left")
     return passages, rows.select(
         "conv_id", "turn", "role", "text", F.coalesce("quote_depth", F.lit(0)).alias("quote_depth"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.col("pc").alias("parent_conv"), F.col("pt").alias("parent_turn"), F.coalesce("rc", "conv_id").alias("thread_conv"), F.coalesce("rt", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.col("pc").alias("parent_conv"), F.col("pt").alias("parent_turn"), F.coalesce("rc", "conv_id").alias("thread_conv"), F.coalesce("rt", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("position", F.lit(1)).cast("long").alias("position"),
     )
 
 
@@ -156,7 +166,7 @@ def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_quote_linking": op1_quote_linking}
 LINK_SQL = r"""
-with recursive raw as (select row_number() over () rid, conv_id, turn, role, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)^[^\n>]{0,300}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+([ \t]*>)', '\1', 'g'), chr(10)) ls from conversations),
+with recursive raw as (select row_number() over () rid, conv_id, turn, role, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)^[^\n>]*(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+([ \t]*>)', '\1', 'g'), chr(10)) ls from conversations),
 ln as (select rid, conv_id, turn, unnest(generate_series(1, len(ls))) pos, unnest(ls) l from raw),
 lv as (select *, len(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+')) - len(replace(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+'), '>', '')) lvl, regexp_replace(l, '^[ \t]*(?:>[ \t]*)+', '') body from ln),
 nm as (select *, trim(regexp_replace(regexp_replace(lower(body), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) norm from lv where conv_id is not null and turn is not null),
@@ -172,9 +182,10 @@ direct as (select conv_id, turn, (max((n, s)))[2] p from (select conv_id, turn,
 node as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prev from (select distinct conv_id, turn from raw where conv_id is not null and turn is not null)),
 par as (select n.conv_id, n.turn, case when p is not null then p[1] when prev is not null then n.conv_id end pc, case when p is not null then p[2] else prev end pt from node n left join direct d on d.conv_id = n.conv_id and d.turn = n.turn),
 tree as (select conv_id, turn, conv_id rc, turn rt, 0::bigint depth from par where pc is null union all select p.conv_id, p.turn, rc, rt, depth + 1 from par p join tree t on t.conv_id = p.pc and t.turn = p.pt),
+ps2 as (select conv_id, turn, row_number() over (partition by rc, rt order by depth, conv_id, turn) position from tree),
 st as (select q.conv_id, q.turn, max(q.lvl) quote_depth, count(*) n_passages, count(v) n_linked from (select distinct conv_id, turn, passage, lvl from quoted) q left join chosen c on c.conv_id = q.conv_id and c.turn = q.turn and c.passage = q.passage group by all),
 clean as (select rid, trim(string_agg(body, chr(10) order by pos) filter (where lvl = 0), ' ' || chr(10) || chr(9)) t from lv group by rid)
-select r.conv_id, r.turn, r.role, coalesce(t, '') as text, coalesce(quote_depth, 0)::int quote_depth, coalesce(n_passages, 0)::bigint n_passages, coalesce(n_linked, 0)::bigint n_linked, pc parent_conv, pt parent_turn, coalesce(rc, r.conv_id) thread_conv, coalesce(rt, r.turn) thread_turn, coalesce(depth, 0)::bigint depth
-from raw r left join clean using (rid) left join par p on p.conv_id = r.conv_id and p.turn = r.turn left join tree x on x.conv_id = r.conv_id and x.turn = r.turn left join st s on s.conv_id = r.conv_id and s.turn = r.turn
+select r.conv_id, r.turn, r.role, coalesce(t, '') as text, coalesce(quote_depth, 0)::int quote_depth, coalesce(n_passages, 0)::bigint n_passages, coalesce(n_linked, 0)::bigint n_linked, pc parent_conv, pt parent_turn, coalesce(rc, r.conv_id) thread_conv, coalesce(rt, r.turn) thread_turn, coalesce(depth, 0)::bigint depth, coalesce(position, 1)::bigint position
+from raw r left join clean using (rid) left join par p on p.conv_id = r.conv_id and p.turn = r.turn left join tree x on x.conv_id = r.conv_id and x.turn = r.turn left join st s on s.conv_id = r.conv_id and s.turn = r.turn left join ps2 y on y.conv_id = r.conv_id and y.turn = r.turn
 """
 SQL = {"op1_quote_linking": LINK_SQL.replace("pc parent_conv, pt parent_turn", "coalesce(pc, -1)::bigint parent_conv, coalesce(pt, -1)::bigint parent_turn")}

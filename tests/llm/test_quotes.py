@@ -1,3 +1,7 @@
+import random
+
+import duckdb
+
 from tessera.llm import quotes
 
 A = "First message here\nwith a second line\nThanks a lot"
@@ -50,6 +54,50 @@ def test_long_chain_and_empty(spark):
     assert quotes.link(chain.limit(0))[1].count() == 0
 
 
+def test_rows_equal_the_sql_on_quoted_conversations(spark, tmp_path):
+    """Made conversations in which messages quote earlier ones whole, nested and in part, with attributions and answers between."""
+    rng, rows = random.Random(12), []
+    for conv in range(25):
+        said, turns = [], rng.randrange(1, 9)
+        for turn in range(turns):
+            own = [f"conversation {conv} message {turn} line {k} {rng.choice(['alpha', 'beta', 'gamma'])}" for k in range(rng.randrange(1, 5))]
+            text = list(own)
+            if said and rng.random() < 0.75:
+                at = rng.randrange(len(said))
+                lo = rng.randrange(len(said[at]))
+                part = said[at][lo : lo + rng.randrange(1, 4)]
+                quote = ["> " + x.upper().replace(" line", ",  line") for x in part]
+                if rng.random() < 0.4 and at:
+                    quote = ["> > " + x for x in said[rng.randrange(at)][:2]] + quote
+                text = ([f"On day {turn}, someone wrote:"] if rng.random() < 0.5 else []) + quote + own
+            said.append(own)
+            rows.append((conv, turn * 2, rng.choice(["user", "assistant"]), "\n".join(text)))
+    rows += [(90, 0, "user", None), (90, 3, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = quotes.op1_quote_linking(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(quotes.SQL["op1_quote_linking"])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    plain = lambda xs, order: sorted(str([x[order.index(c)] for c in sorted(order)]) for x in xs)
+    assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), names)
+    assert got.where("n_linked > 0").count() > 40
+
+
+def test_positions_follow_the_reply_order(spark):
+    docs = spark.createDataFrame([(*r, 7) for r in ROWS], "conv_id long, turn long, role string, text string, depth int")
+    rows = {(r.conv_id, r.turn): r for r in quotes.link(docs)[1].collect()}
+    threads = {}
+    for r in rows.values():
+        threads.setdefault((r.thread_conv, r.thread_turn), []).append((r.depth, r.conv_id, r.turn, r.position))
+        parent = rows.get((r.parent_conv, r.parent_turn))
+        assert parent is None or parent.position < r.position
+    for members in threads.values():
+        if members[0][1] is not None:
+            assert [m[3] for m in sorted(members)] == list(range(1, len(members) + 1))
+
+
 def sources(spark, rows):
     got = quotes.link(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))[0].collect()
     return {(p.conv_id, p.turn): ((p.source_conv, p.source_turn), p.lines, p.matched) for p in got}
