@@ -393,18 +393,19 @@ def query_manifest(spark, sf):
     return rows.withColumn("ann_ids", F.array_join(F.transform("ann_ids", lambda x: x.cast("string")), ","))
 
 
-@query(f"with {_ANN}, {_IMAGES}, ref as (select distinct class_id, image_id from p where image_id % 2 = 0 and patch_no < 10) select class_id, image_id, file_name, string_agg(ann_id::varchar, ',' order by ann_id) ann_ids, 'eval' split from ann join im using (image_id) where class_id < 8 and (class_id, image_id) in (select * from ref) group by all")
+@query(f"with {_ANN}, {_IMAGES}, ref as (select distinct class_id, image_id from bank) select class_id, image_id, file_name, string_agg(ann_id::varchar, ',' order by ann_id) ann_ids, 'eval' split from ann join im using (image_id) where class_id in (select r_regionkey from region) and (class_id, image_id) in (select * from ref) group by all")
 def support_manifest(spark, sf):
     p = patches(spark, sf)
-    cats = p.select("class_id").distinct().where("class_id < 8")
-    rows = protocol.support_manifest(_annotations(spark, sf), _images(spark, sf), cats, p.where("image_id % 2 = 0 and patch_no < 10"))
+    cats = read(spark, sf, "region").select(F.col("r_regionkey").alias("class_id"))
+    rows = protocol.support_manifest(_annotations(spark, sf), _images(spark, sf), cats, bank_of(p))
     return rows.withColumn("ann_ids", F.array_join(F.transform("ann_ids", lambda x: x.cast("string")), ","))
 
 
-@query(f"with {P}, c as (select distinct class_id from p), n as (select class_id, count(*) n from p where vec_id % 50 = 0 group by 1) select class_id, coalesce(n, 0) n from c left join n using (class_id)")
+@query("with n as (select label class_id, count(*) n from embeddings group by 1) select n_nationkey class_id, coalesce(n, 0) n from nation left join n on class_id = n_nationkey")
 def counts_with_zero(spark, sf):
-    p = patches(spark, sf)
-    return protocol.counts_with_zero(p.select("class_id").distinct(), p.where("vec_id % 50 = 0"))
+    """Vectors per class, with the nations as the classes that there are."""
+    classes = read(spark, sf, "nation").select(F.col("n_nationkey").alias("class_id"))
+    return protocol.counts_with_zero(classes, patches(spark, sf).select("class_id"))
 
 
 _QUAL = VOTES + f", ok as (select * from sc where score >= {KEEP}), ql as (select class_id, image_id, max(score) max_score, avg(score) mean_score, median(score) median_score, count(distinct file_key) file_count from ok group by all), sup as (select distinct class_id, image_id from bank), ord as (select s.class_id, s.image_id, coalesce(max_score is not null, false) has_scores, max_score, mean_score, median_score, file_count, case when q.class_id is not null then 'filtered_bank' else 'prefilter_fallback' end selection_source from sup s left join ql q on q.class_id = s.class_id and q.image_id = s.image_id), rk as (select *, row_number() over (partition by class_id order by has_scores desc, round(max_score, 9) desc nulls last, round(mean_score, 9) desc nulls last, round(median_score, 9) desc nulls last, file_count desc nulls last, image_id) rank_within_class from ord)"
@@ -441,18 +442,20 @@ def candidate_metrics(spark, sf):
     return banks.candidate_metrics(scored_bank(spark, sf), KEEP, 3).withColumn("max_passing", F.round("max_passing", 6)).withColumn("median_passing", F.round("median_passing", 6))
 
 
-@query(f"with {_MET}, pool as (select distinct class_id, image_id from bank where image_id < 8), av as (select class_id, count(distinct image_id) n from bank where image_id < 8 group by 1) select b.class_id, b.image_id, n_passing from (select distinct class_id, image_id from bank) b join av using (class_id) join met m on m.class_id = b.class_id and m.image_id = b.image_id where n < 4 and accepted and not exists (select 1 from pool p where p.class_id = b.class_id and p.image_id = b.image_id)")
+@query(f"with {_MET}, pool as (select distinct class_id, image_id from bank where image_id in (select doc_id from labels where quality = 1)), av as (select class_id, count(*) n from pool group by 1) select b.class_id, b.image_id, n_passing from (select distinct class_id, image_id from bank) b join av using (class_id) join met m on m.class_id = b.class_id and m.image_id = b.image_id where n < 4 and accepted and not exists (select 1 from pool p where p.class_id = b.class_id and p.image_id = b.image_id)")
 def fill_candidates(spark, sf):
     s = scored_bank(spark, sf)
     own = s.select("class_id", "image_id").distinct()
-    pool = own.where("image_id < 8")
+    good = read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("image_id"))
+    pool = own.join(good, "image_id", "left_semi")
     return protocol.fill_candidates(own, pool, banks.candidate_metrics(s, KEEP, 3), pool.groupBy("class_id").agg(F.count("*").alias("n")), 4).select("class_id", "image_id", "n_passing")
 
 
-@query(f"with {P}, a as (select *, 0 l from bank where vec_id % 3 = 0 union all select *, 1 l from bank), f as (select class_id, file_key, min(l) l from a group by all) select a.vec_id, a.class_id, a.file_key from a join f using (class_id, file_key, l)")
+@query(f"with {P}, a as (select *, 0 l from bank where vec_id in (select doc_id from labels where quality = 1) union all select *, 1 l from bank), f as (select class_id, file_key, min(l) l from a group by all) select a.vec_id, a.class_id, a.file_key from a join f using (class_id, file_key, l)")
 def overlay_first_wins(spark, sf):
     b = bank_of(patches(spark, sf)).select("vec_id", "class_id", "file_key")
-    return banks.overlay_first(b.where("vec_id % 3 = 0"), b)
+    good = read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return banks.overlay_first(b.join(good, "vec_id", "left_semi").select(*b.columns), b)
 
 
 @query(f"with {VOTES}, c as (select distinct class_id from bank), o as (select class_id, min(score) s from sc where image_id < 4 and score >= 0.2 group by 1), b as (select class_id, min(score) s from sc where score >= 0.3 group by 1) select class_id, round(coalesce(o.s, b.s, case when class_id < 5 then 0.4 end, 0.65), 6) floor from c left join o using (class_id) left join b using (class_id)")
@@ -525,11 +528,11 @@ def cache_keys(spark, sf):
     return read(spark, sf, "pages").select("page_id", names.cache_key(u).alias("own_key"), F.substring(F.sha1(u), 1, 12).alias("short_hash"), names.basename(u).alias("base"))
 
 
-@query("with n as (select distinct original_name from (select split_part(text, ' ', 1) original_name from documents union all select split_part(text, ' ', 2) from documents) where original_name is not null), c as (select original_name, " + _SANE.format(c="original_name") + " clean from n), k as (select *, row_number() over (partition by clean order by original_name) k from c), a as (select *, case when k = 1 then clean else clean || ' (' || k || ')' end nm from k), b as (select *, row_number() over (partition by nm order by k, original_name) j from a) select (row_number() over (order by original_name))::int category_id, case when j = 1 then nm else nm || ' (' || j || ')' end as name, original_name from b")
+@query("with n as (select distinct original_name from (select p_name original_name from part union all select p_type from part union all select source from documents) where original_name is not null), c as (select original_name, " + _SANE.format(c="original_name") + " clean from n), k as (select *, row_number() over (partition by clean order by original_name) k from c), a as (select *, case when k = 1 then clean else clean || ' (' || k || ')' end nm from k), b as (select *, row_number() over (partition by nm order by k, original_name) j from a) select (row_number() over (order by original_name))::int category_id, case when j = 1 then nm else nm || ' (' || j || ')' end as name, original_name from b")
 def vocabulary_ids(spark, sf):
-    d = read(spark, sf, "documents")
-    both = d.select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name")).unionByName(d.select(F.split_part("text", F.lit(" "), F.lit(2)).alias("name")))
-    return names.vocabulary(both)
+    p, d = read(spark, sf, "part"), read(spark, sf, "documents")
+    every = p.select(F.col("p_name").alias("name")).unionByName(p.select(F.col("p_type").alias("name"))).unionByName(d.select(F.col("source").alias("name")))
+    return names.vocabulary(every)
 
 
 @query("select 'except' op, count(*) n from (select c_custkey from customer except select o_custkey from orders) union all select 'intersect', count(*) from (select c_custkey from customer intersect select o_custkey from orders) union all select 'union', count(*) from (select c_custkey from customer union select o_custkey from orders)")
@@ -570,11 +573,12 @@ def missing_counts(spark, sf):
     return protocol.missing_counts(read(spark, sf, "customer"), present, ("c_custkey",), "c_nationkey")
 
 
-@query("with a as (select user_id class_id, count(*) n from events where event_id % 2 = 0 group by 1), b as (select user_id class_id, count(*) n from events where event_id % 3 = 0 group by 1) select class_id, max(n) n from (select * from a union all select * from b) group by 1")
+@query("with a as (select user_id class_id, count(*) n from events where value > 50 group by 1), b as (select user_id class_id, count(distinct event_type) n from events group by 1) select class_id, max(n) n from (select * from a union all select * from b) group by 1")
 def resume_merge(spark, sf):
     e = read(spark, sf, "events")
-    n = lambda c: e.where(c).groupBy(F.col("user_id").alias("class_id")).agg(F.count("*").alias("n"))
-    return protocol.merged_resume(n("event_id % 2 = 0"), n("event_id % 3 = 0"))
+    user = F.col("user_id").alias("class_id")
+    noted, seen = e.where("value > 50").groupBy(user).agg(F.count("*").alias("n")), e.groupBy(user).agg(F.countDistinct("event_type").alias("n"))
+    return protocol.merged_resume(noted, seen)
 
 
 @query("select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and user_id is not null)")
@@ -590,10 +594,10 @@ def equivalence_report(spark, sf):
     return banks.equivalence(search.votes(b, t), search.votes_sql(b, t))
 
 
-@query("with d as (select regexp_replace('docs/' || doc_id || '.txt', '^.*/|[.][^.]*$', '', 'g') stem, 'docs/' || doc_id || '.txt' image_path from documents where doc_id % 3 <> 0), m as (select page_id::varchar stem, 'pages/' || page_id || '.png' mask_path from pages where page_id % 2 = 0) select stem, image_path, mask_path from d full join m using (stem)")
+@query("with d as (select regexp_replace('docs/' || doc_id || '.txt', '^.*/|[.][^.]*$', '', 'g') stem, 'docs/' || doc_id || '.txt' image_path from documents), m as (select page_id::varchar stem, 'pages/' || page_id || '.png' mask_path from pages) select stem, image_path, mask_path from d full join m using (stem)")
 def image_pairing(spark, sf):
-    d = read(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
-    m = read(spark, sf, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    d = read(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    m = read(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
     return protocol.paired(d, m)
 
 
