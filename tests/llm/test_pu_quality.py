@@ -55,6 +55,17 @@ def test_null_ids_beside_large_ones(spark):
     assert {r.doc_id: r.held_out for r in rows} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids}
 
 
+def test_a_bounded_sample_ranks_texts(spark):
+    good, bad = _texts(300, 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in range(250)], "doc_id long, quality int")
+    rows = pu.score_quality(docs, labels, sample=80).collect()  # too few rows for the prior, enough for the order
+    fine, poor = (np.array([r.score for r in rows if (r.doc_id < 300) == f]) for f in (True, False))
+    assert len(rows) == 375 and (fine[:, None] > poor[None]).mean() > 0.9
+    same = spark.createDataFrame([(7, t) for t in good[:40]], "doc_id long, text string")  # one id: all below the bound or none
+    assert pu.score_quality(same, labels, sample=5).count() == 40
+
+
 def test_unlearned_columns_do_not_matter(spark):
     good, bad = _texts(60, 3)
     rows = [(i, t) for i, t in enumerate(good + bad)]
