@@ -67,15 +67,26 @@ def cluster_number(value: Column) -> Column:
     return optional_number(value).cast("int")
 
 
-def ignore_policy(dataset: Column) -> Column:
-    """How pixels without a class count, by words in the data set's name; see query_rule."""
-    low = F.lower(dataset)
-    return F.when(low.contains("pascal") | low.contains("voc"), "ignore_255").when(low.contains("city"), "ignore_unlabelled").when(low.contains("ade"), "ignore_0").when(low.contains("lvis"), "not_exhaustive").otherwise("none")
+#: The label of pixels that do not count, and the kind of mask that queries are judged by, for all data sets.
+IGNORE_LABEL, MASK_TYPE = 0, "semantic_union_binary_from_annotations"
 
 
-def query_rule(dataset: Column) -> Column:
-    """Which images are asked for a class: all that hold it, but of data sets that list unchecked classes only checked ones."""
-    return F.when(F.lower(dataset).contains("lvis"), "exhaustive_only").otherwise("class_present")
+def dataset_family(root: Column) -> Column:
+    """The family of a data set, by the name of its folder."""
+    low = F.lower(basename(root))
+    known = F.when(low.contains("ade20k_150"), "ade20k_150").when(low.contains("cityscapes"), "cityscapes")
+    return known.when(low.contains("pc-59") | low.contains("pc59"), "pc59").when(low.contains("lvis"), "lvis").otherwise("other")
+
+
+def ignore_policy(root: Column) -> Column:
+    """struct<ignore_label, family>: how unlabelled pixels of a data set count."""
+    return F.struct(F.lit(IGNORE_LABEL).alias("ignore_label"), dataset_family(root).alias("family"))
+
+
+def query_rule(root: Column) -> Column:
+    """struct<mask_type, united>: a class's truth in an image is the union of its instances (data sets of instances) or annotations."""
+    united = F.when(dataset_family(root) == "lvis", "instances").otherwise("annotations")
+    return F.struct(F.lit(MASK_TYPE).alias("mask_type"), united.alias("united"))
 
 
 def utc_text(time: Column) -> Column:

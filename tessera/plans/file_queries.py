@@ -369,12 +369,13 @@ def optional_values(spark, sf):
     return p.select("p_partkey", names.optional_number(F.col("p_size").cast("string")).alias("parsed"), names.cluster_number(F.lit(" Auto ")).alias("clusters"), names.split_name(F.lit("ann_2017.json")).alias("split"), names.stem(path).alias("stem"))
 
 
-@query("""select n_nationkey, case n_nationkey % 5 when 0 then 'ignore_255' when 1 then 'ignore_unlabelled' when 2 then 'ignore_0' when 3 then 'not_exhaustive' else 'none' end policy,
-case n_nationkey % 5 when 3 then 'exhaustive_only' else 'class_present' end rule from nation""")
+@query("""select n_nationkey, 0 ignore_label, case n_nationkey % 5 when 0 then 'pc59' when 1 then 'cityscapes' when 2 then 'ade20k_150' when 3 then 'lvis' else 'other' end family,
+'semantic_union_binary_from_annotations' mask_type, case n_nationkey % 5 when 3 then 'instances' else 'annotations' end united from nation""")
 def ignore_policy(spark, sf):
-    roots = F.array(*[F.lit(x) for x in ("/d/PascalVOC", "/d/Cityscapes", "/d/ADE20K", "/d/LVIS_v1", "/d/fields")])
+    roots = F.array(*[F.lit(x) for x in ("/d/PC-59", "/lvis/Cityscapes", "/d/ADE20K_150", "/d/LVIS_v1", "/lvis/fields")])
     n = read(spark, sf, "nation").withColumn("root", F.get(roots, F.col("n_nationkey") % 5))
-    return n.select("n_nationkey", names.ignore_policy(F.col("root")).alias("policy"), names.query_rule(F.col("root")).alias("rule"))
+    both = n.select("n_nationkey", names.ignore_policy(F.col("root")).alias("p"), names.query_rule(F.col("root")).alias("r"))
+    return both.select("n_nationkey", "p.*", "r.*")
 
 
 @query("select event_id, epoch_us(ts) // 1000000 epoch, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' utc, round((epoch_us(ts) - epoch_us(timestamp '2020-01-01')) / 1e6::double, 1) elapsed from events")
