@@ -210,17 +210,19 @@ def first_n(bank: DataFrame, n: int) -> DataFrame:
 
 
 def quota(annotations: DataFrame, max_images: int | None = None, max_features: int | None = None) -> DataFrame:
-    """Annotations (class_id, image_id, ann_id, n_patches) that a sequential build under one quota would take.
+    """Annotations (class_id, image_id, ann_id, n_patches) that a sequential build under one quota or both would take.
 
-    max_images: those of a class's first images with a patch; max_features: those before which the class had fewer. The two
-    quotas together depend on the order of images across classes and are refused."""
-    if (max_images is None) == (max_features is None):
-        raise ValueError("one quota, not both or none")
-    own = annotations.where("n_patches > 0")
+    max_images: those of a class's first images with a patch; max_features: those before which the class had fewer. Each keeps
+    a first part of a class's annotations in order of image and annotation, so both together keep the shorter."""
+    if max_images is None and max_features is None:
+        raise ValueError("no quota")
+    out = annotations.where("n_patches > 0")
     if max_images is not None:
-        return own.withColumn("_k", F.dense_rank().over(Window.partitionBy("class_id").orderBy("image_id"))).where(F.col("_k") <= max_images).drop("_k")
-    before = Window.partitionBy("class_id").orderBy("image_id", "ann_id").rowsBetween(Window.unboundedPreceding, -1)
-    return own.withColumn("_b", F.coalesce(F.sum("n_patches").over(before), F.lit(0))).where(F.col("_b") < max_features).drop("_b")
+        out = out.withColumn("_k", F.dense_rank().over(Window.partitionBy("class_id").orderBy("image_id"))).where(F.col("_k") <= max_images).drop("_k")
+    if max_features is not None:
+        before = Window.partitionBy("class_id").orderBy("image_id", "ann_id").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("_b", F.coalesce(F.sum("n_patches").over(before), F.lit(0))).where(F.col("_b") < max_features).drop("_b")
+    return out
 
 
 def cluster_report(bank: DataFrame, low: float = 0.65, high: float = 0.82, factor: float = 0.90, smallest: int = 5) -> DataFrame:
@@ -239,24 +241,6 @@ def bank_counts(bank: DataFrame) -> DataFrame:
     return bank.groupBy("class_id").agg(F.count("*").alias("features"), F.countDistinct("file_key").alias("files"), F.countDistinct("image_id").alias("images"))
 
 
-def build_quotas(annotations: DataFrame, max_images: int, max_features: int) -> set[tuple[int, int]]:
-    """(class_id, image_id) that a sequential build under both quotas takes.
-
-    Images come in id order; one is skipped when every class in it has reached a quota; else all its annotations count for
-    their classes that have not. Which images count depends on all classes before, so the walk is sequential: over one row an
-    (image, class), streamed, with two counters a class."""
-    own = annotations.where("n_patches > 0").groupBy("image_id", "class_id").agg(F.sum("n_patches").alias("n")).orderBy("image_id", "class_id")
-    images: dict[int, int] = {}
-    features: dict[int, int] = {}
-    taken = set()
-    for r in own.toLocalIterator(prefetchPartitions=True):
-        if images.get(r.class_id, 0) < max_images and features.get(r.class_id, 0) < max_features:
-            taken.add((r.class_id, r.image_id))
-            images[r.class_id] = images.get(r.class_id, 0) + 1
-            features[r.class_id] = features.get(r.class_id, 0) + r.n
-    return taken
-
-
 def report(bank: DataFrame, keep: Column) -> DataFrame:
     """One row per class: counts, removal, precision, and the summary of scores (lower median, population deviation)."""
     s = F.col("score")

@@ -19,7 +19,7 @@ from ..sources import exports, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
 from .engine import Config, Engine
-from .queries import KEEP, P, QUERIES, SQL, VOTES, patches, query, read, scored_bank
+from .queries import _ANN, KEEP, P, QUERIES, SQL, VOTES, _annotations, patches, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -532,3 +532,8 @@ def engine_mask_totals(spark, sf):
     merged = engine.merge(side("vec_id % 3 <> 0", 0.5), side("vec_id % 4 <> 0 and image_id % 2 = 0", 0.7))
     truth = p.where("pixel % 5 <> 0").select("image_id", "class_id", F.lit(0).alias("inst"), "pixel")
     return engine.evaluate_masks(merged, truth)[1].select("tp", "fp", "fn", F.round("iou", 6).alias("iou"), F.round("miou", 6).alias("miou"))
+
+
+@query(f"with {_ANN}, r as (select *, dense_rank() over (partition by class_id order by image_id) k, coalesce(sum(n_patches) over (partition by class_id order by image_id, ann_id rows between unbounded preceding and 1 preceding), 0) b from ann where n_patches > 0) select class_id, image_id, ann_id, n_patches from r where b < 12 and k <= 5")
+def quota_both(spark, sf):
+    return banks.quota(_annotations(spark, sf), 5, 12)

@@ -68,16 +68,20 @@ def test_first_rows_of_a_class_with_a_third_of_all(spark):
         assert sorted(got[c]) == sorted(r[2] for r in want)
 
 
-def test_both_quotas_walk_in_image_order(spark):
+def test_both_quotas_equal_a_walk(spark):
     rng = random.Random(5)
-    rows = [(c, i, i * 10 + c, rng.randrange(0, 4)) for i in range(30) for c in range(4) if rng.random() < 0.7]
-    got = banks.build_quotas(spark.createDataFrame(rows, "class_id int, image_id long, ann_id long, n_patches int"), 5, 9)
-    images, features, want = {}, {}, set()
-    for c, i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
-        if n and images.get(c, 0) < 5 and features.get(c, 0) < 9:
-            want.add((c, i))
-            images[c], features[c] = images.get(c, 0) + 1, features.get(c, 0) + n
-    assert got == want
+    rows = [(c, i, i * 100 + c * 10 + k, rng.randrange(0, 4)) for i in range(30) for c in range(4) for k in range(rng.randrange(0, 3))]
+    table = spark.createDataFrame(rows, "class_id int, image_id long, ann_id long, n_patches int")
+    for most_images, most_features in ((5, 9), (3, 40), (30, 12)):
+        got = {(r.class_id, r.ann_id) for r in banks.quota(table, most_images, most_features).collect()}
+        images, features, want = {}, {}, set()
+        for c, i, a, n in sorted(rows, key=lambda r: (r[1], r[2])):
+            own = images.setdefault(c, set())
+            if n and features.get(c, 0) < most_features and (i in own or len(own) < most_images):
+                want.add((c, a))
+                own.add(i)
+                features[c] = features.get(c, 0) + n
+        assert got == want
 
 
 def test_window_maxima_equal_a_plain_search():

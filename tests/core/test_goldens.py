@@ -167,8 +167,9 @@ def test_bank_order_and_quota(spark):
     a = spark.createDataFrame([(1, 1, 1, 3), (1, 1, 2, 3), (1, 2, 3, 0), (1, 3, 4, 3)], "class_id int, image_id long, ann_id long, n_patches long")
     assert sorted(r.ann_id for r in bank.quota(a, max_images=1).collect()) == [1, 2]
     assert sorted(r.ann_id for r in bank.quota(a, max_features=4).collect()) == [1, 2]
-    with pytest.raises(ValueError, match="one quota"):
-        bank.quota(a, 1, 1)
+    assert sorted(r.ann_id for r in bank.quota(a, 1, 1).collect()) == [1]  # both at once: the shorter part
+    with pytest.raises(ValueError, match="no quota"):
+        bank.quota(a)
 
 
 def test_dense_ids(spark):
