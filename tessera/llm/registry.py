@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_ledger", "mixing", "url_filter", "minhash", "packing", "pii", "vector_graph", "pu_quality", "quotes", "ngram_lm", "pieces", "lexical")
+MODULES = ("quality_ledger", "mixing", "url_filter", "minhash", "packing", "pii", "vector_graph", "pu_quality", "quotes", "ngram_lm", "pieces", "lexical", "spelling")
 
 
 def _gather(what: str) -> dict:
