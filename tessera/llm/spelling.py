@@ -133,5 +133,27 @@ def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rooted(durable(forms(vocab), "forms")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+#: The crc32 of id and run from the table of its 256 single bytes, then the near words by joins on open positions and on deletions.
+FORMS_SQL = """
+WITH RECURSIVE
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY doc_id, run),
+hexed AS (SELECT run, n, hex(encode(coalesce(cast(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: cast('0x' || substr(x, cast(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295) AS h FROM hexed, bits),
+words AS (SELECT word, cast(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+keys AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: substr(word, 1, i) || '*' || substr(word, i + 2))) AS k FROM words),
+cuts AS (SELECT word, n, unnest(list_distinct(list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2)))) AS k FROM words),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word
+  UNION ALL SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.k
+  UNION ALL SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.k),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.form_n >= 5 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 5 * w.n THEN b.form_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk AS (SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT k.word, f.form, steps + 1 FROM walk k JOIN forms f ON f.word = k.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
 QUERIES = {"op12_spelling_forms": op12_spelling_forms}
-SQL: dict[str, str] = {}
+SQL = {"op12_spelling_forms": FORMS_SQL}

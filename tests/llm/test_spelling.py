@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tessera.llm import spelling
@@ -92,4 +93,8 @@ def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{dir_}/documents.parquet").collect()]
     got = spelling.op12_spelling_forms(spark, dir_)
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
-    assert sorted(map(tuple, got.collect()), key=str) == brute(brute_words(docs))
+    want = brute(brute_words(docs))
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{dir_}/documents.parquet'")
+    assert sorted(con.execute(spelling.FORMS_SQL).fetchall(), key=str) == want
