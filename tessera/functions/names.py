@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import numbered
+
 
 def prompt_text(name: Column) -> Column:
     """"bean_leaf" -> "a bean leaf"; an empty name takes "an"."""
@@ -131,4 +133,4 @@ def vocabulary(names: DataFrame, column: str = "name") -> DataFrame:
     named = own.withColumn("k", F.row_number().over(order)).withColumn("name", F.when(F.col("k") == 1, F.col("clean")).otherwise(F.concat("clean", F.lit(" ("), F.col("k").cast("string"), F.lit(")"))))
     again = Window.partitionBy("name").orderBy("k", "original_name")
     named = named.withColumn("j", F.row_number().over(again)).withColumn("name", F.when(F.col("j") == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), (F.col("j")).cast("string"), F.lit(")"))))
-    return named.select(F.row_number().over(Window.orderBy("original_name")).alias("category_id"), "name", "original_name")
+    return numbered(named, "original_name", name="category_id").select("category_id", "name", "original_name")

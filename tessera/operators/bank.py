@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import adaptive_threshold, ratio
 from ..sources.stored import stored
 from . import search
+from .running import Ranged, ranked
 
 #: Order of a bank: file key as text, then patch.
 ORDER = ("file_key", "patch_no")
@@ -63,10 +64,6 @@ def one_shot(bank: DataFrame, min_matches: int = 3) -> DataFrame:
     return got.select("vec_id", "class_id", "image_id", F.when(fine, F.col("sim")).alias("score"), F.when(fine, max(1, min_matches)).otherwise(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(True).alias("match_counts_are_synthetic"))
 
 
-def _rank(*order: Column, by: tuple[str, ...] = ("class_id",)) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order, *[F.col(c) for c in ORDER]))
-
-
 def top_k(bank: DataFrame, threshold: float | None, k: int | None) -> DataFrame:
     """Rows with score >= threshold, the k best of each class."""
     out = bank.where("score is not null")
@@ -174,8 +171,9 @@ def keep_floor(bank: DataFrame, threshold: float, min_ratio: float = 0.30) -> Da
     need = F.greatest(F.lit(1), F.floor(F.col("_n") * min_ratio).cast("long"))
     out = bank.join(counts.select("class_id", need.alias("_need"), (F.col("_s") >= need).alias("_enough")), "class_id")
     full = out.where("_enough").withColumn("keep", passes)
-    short = out.where("not _enough").withColumn("keep", _rank(F.desc(F.coalesce("score", F.lit(0.5)))) <= F.col("_need"))
-    return full.unionByName(short).drop("_need", "_enough")
+    short = out.where("not _enough").withColumn("_as", F.coalesce("score", F.lit(0.5)))
+    short = ranked(short, ("class_id",), (("_as", True), *[(c, False) for c in ORDER]), "_rank").withColumn("keep", F.col("_rank") <= F.col("_need"))
+    return full.unionByName(short.drop("_as", "_rank")).drop("_need", "_enough")
 
 
 def cap_references(bank: DataFrame, n: int) -> DataFrame:
@@ -218,10 +216,11 @@ def quota(annotations: DataFrame, max_images: int | None = None, max_features: i
         raise ValueError("no quota")
     out = annotations.where("n_patches > 0")
     if max_images is not None:
-        out = out.withColumn("_k", F.dense_rank().over(Window.partitionBy("class_id").orderBy("image_id"))).where(F.col("_k") <= max_images).drop("_k")
+        first = first_rows(out.select("class_id", "image_id").distinct(), ("class_id",), [F.col("image_id")], max_images)
+        out = out.join(first, ["class_id", "image_id"], "left_semi")
     if max_features is not None:
-        before = Window.partitionBy("class_id").orderBy("image_id", "ann_id").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("_b", F.coalesce(F.sum("n_patches").over(before), F.lit(0))).where(F.col("_b") < max_features).drop("_b")
+        ranged = Ranged(out, ("class_id",), (("image_id", False), ("ann_id", False)))
+        out = ranged.scan(ranged.rows, own=False, _before=("sum", F.col("n_patches"))).where(F.col("_before") < max_features).drop("_before", "_part")
     return out
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ratio
 from .geometry import by_group
+from .running import Ranged
 
 
 def pixel_counts(pred: DataFrame, gt: DataFrame, by: tuple[str, ...] = ("class_id",), on: tuple[str, ...] = ("image_id", "class_id", "pixel")) -> DataFrame:
@@ -36,22 +37,10 @@ def average_precision(records: DataFrame, gt_counts: DataFrame, by: str = "class
     """(by, gt_count, ap). records: (by, score, is_tp, tie); gt_counts: (by, gt_count). The precision envelope from the right
     times the steps of recall; 0 without records or ground truth.
 
-    A class's records are first ranked by range of score: a class with a third of all records is spread over score buckets,
-    whose totals are summed up along a short window."""
-    buckets = records.groupBy(by).agg(F.expr("percentile_approx(score, array(0.125,0.25,0.375,0.5,0.625,0.75,0.875), 1000)").alias("_q"))
-    rows = records.join(buckets, by).withColumn("_b", F.size(F.filter("_q", lambda q: q > F.col("score")))).drop("_q")
-    inside = Window.partitionBy(by, "_b").orderBy(F.desc("score"), tie)
-    run = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_tp", F.sum("is_tp").over(run)).withColumn("_n", F.count("*").over(run))
-    whole = rows.groupBy(by, "_b").agg(F.sum("is_tp").alias("_bt"), F.count("*").alias("_bn"))
-    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select(by, "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_n0"))
-    rows = rows.join(whole, [by, "_b"]).withColumn("_p", (F.col("_t0") + F.col("_tp")) / (F.col("_n0") + F.col("_n")))
-    right = Window.partitionBy(by, "_b").orderBy(F.asc("score"), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    tops = rows.groupBy(by, "_b").agg(F.max("_p").alias("_m"))
-    after = Window.partitionBy(by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(by, "_b", F.max("_m").over(after).alias("_later"))
-    rows = rows.withColumn("_own", F.max("_p").over(right)).join(tops, [by, "_b"]).withColumn("_env", F.greatest("_own", F.coalesce("_later", F.lit(0.0))))
+    Running counts and the envelope are carried over ranges of a class's records (Ranged), so no task holds a whole class."""
+    ranged = Ranged(records, (by,), (("score", True), (tie, False)))
+    rows = ranged.scan(ranged.rows, _tp=("sum", F.col("is_tp")), _n=("sum", F.lit(1)))
+    rows = ranged.scan(rows.withColumn("_p", F.col("_tp") / F.col("_n")), backward=True, _env=("max", F.col("_p")))
     area = rows.groupBy(by).agg(F.sum(F.when(F.col("is_tp") == 1, F.col("_env")).otherwise(F.lit(0.0))).alias("_a"))
     return gt_counts.join(area, by, "left").select(by, "gt_count", F.when(F.col("gt_count") > 0, F.coalesce("_a", F.lit(0.0)) / F.col("gt_count")).otherwise(F.lit(0.0)).alias("ap"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import category_name, split_name, stem
 from ..functions.vectors import ratio
 from ..sources.stored import stored
+from .running import numbered, ranked  # noqa: F401 (numbered is part of this module)
 
 SHOTS = (1, 5, 20, 50, 100)
 
@@ -51,8 +52,8 @@ def support_order(supports: DataFrame, quality: DataFrame) -> DataFrame:
     q = quality.select("class_id", "image_id", "max_score", "mean_score", "median_score", "file_count", F.lit(True).alias("_q"))
     out = supports.join(q, ["class_id", "image_id"], "left").withColumn("has_scores", F.coalesce(F.col("max_score").isNotNull(), F.lit(False)))
     out = out.withColumn("selection_source", F.when(F.col("_q"), "filtered_bank").otherwise("prefilter_fallback")).drop("_q")
-    order = Window.partitionBy("class_id").orderBy(F.desc("has_scores"), F.desc_nulls_last("max_score"), F.desc_nulls_last("mean_score"), F.desc_nulls_last("median_score"), F.desc_nulls_last("file_count"), "image_id")
-    return out.withColumn("rank_within_class", F.row_number().over(order))
+    order = tuple((c, True) for c in ("has_scores", "max_score", "mean_score", "median_score", "file_count"))
+    return ranked(out, ("class_id",), (*order, ("image_id", False)), "rank_within_class")
 
 
 def k_shots(ordered: DataFrame, shots: tuple[int, ...] = SHOTS) -> DataFrame:
@@ -177,18 +178,6 @@ def zipped(objects: Column, instances: Column) -> Column:
     return F.arrays_zip(F.slice(objects, F.lit(1), n).alias("object"), F.slice(instances, F.lit(1), n).alias("instance"))
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """Dense ids from 1 in the given order, without a single task for all rows: rows are ranged into partitions, the
-    partitions counted, and each row's place added to the count before its partition."""
-    keys = [F.col(c) for c in order]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.monotonically_increasing_id())
-    kept = stored(ranged)  # what is counted is what is numbered: a second reading could be cut differently
-    placed = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys, "_r")))
-    counts = kept.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return placed.join(before, "_p").withColumn(name, F.col("_b") + F.col("_k")).drop("_p", "_r", "_k", "_b")
-
-
 def merged_resume(checkpoint: DataFrame, scanned: DataFrame) -> DataFrame:
     """Element-wise greatest count of (class_id, n)."""
     return checkpoint.unionByName(scanned).groupBy("class_id").agg(F.max("n").alias("n"))
