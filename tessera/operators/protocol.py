@@ -90,14 +90,15 @@ STATE_VERSION = 1
 def fill_to_shots(available: DataFrame, candidates: DataFrame, judge, target: int, batch: int = 5, least_targets: int = 2, state: DataFrame | None = None, rounds: int = 1000):
     """(taken, state): supports added until a class has target of them or no candidate is left.
 
-    Each round takes the next batch candidates of every open class in id order, judges them together with what the class has
-    (judge(rows) -> rows with a column accepted: scoring and refiltering as one plan), and adds the accepted ones. available:
+    Each round takes the next batch candidates of every open class in id order, judges them
+    (judge(rows) -> rows with a column accepted), and adds the accepted ones; with refiltering in between, see operators.refill.
+    available:
     (class_id, n); candidates: (class_id, image_id). state: (class_id, state, n, seen, version) of an earlier run: classes go on
     after the candidates that were seen; records of another version begin anew. A class with fewer than least_targets
     candidates and supports together cannot be scored. The loop's data stay in tables; the driver sees counts."""
     order = Window.partitionBy("class_id").orderBy("image_id")
-    ranked = candidates.withColumn("_k", F.row_number().over(order))
-    total = ranked.groupBy("class_id").agg(F.max("_k").alias("total"))
+    placed = stored(ranked(candidates, ("class_id",), (("image_id", False),), "_k"))
+    total = placed.groupBy("class_id").agg(F.max("_k").alias("total"))
     now = available.select("class_id", "n").join(total, "class_id", "left").fillna(0, ["total"]).withColumn("seen", F.lit(0))
     if state is not None:
         old = state.where(F.col("version") == STATE_VERSION).select("class_id", F.col("n").alias("_n"), F.col("seen").alias("_seen"))
@@ -105,7 +106,7 @@ def fill_to_shots(available: DataFrame, candidates: DataFrame, judge, target: in
     now, taken = stored(now), candidates.select("class_id", "image_id").limit(0)
     for _ in range(rounds):
         open_ = now.where((F.col("n") < target) & (F.col("seen") < F.col("total")) & (F.col("n") + F.col("total") >= least_targets))
-        asked = ranked.join(open_.select("class_id", "seen"), "class_id").where((F.col("_k") > F.col("seen")) & (F.col("_k") <= F.col("seen") + batch)).select("class_id", "image_id")
+        asked = placed.join(open_.select("class_id", "seen"), "class_id").where((F.col("_k") > F.col("seen")) & (F.col("_k") <= F.col("seen") + batch)).select("class_id", "image_id")
         if asked.isEmpty():
             break
         good = judge(asked).where("accepted").select("class_id", "image_id")

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import bank as banks
-from ..operators import masks, metrics, protocol
+from ..operators import masks, metrics, protocol, refill
 from ..sources import exports, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
 from .engine import Config, Engine
-from .queries import _ANN, KEEP, P, QUERIES, SQL, VOTES, _annotations, patches, query, read, scored_bank
+from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -476,6 +476,48 @@ def filled_supports(spark, sf):
     return protocol.fill_to_shots(available, pool, lambda asked: asked.join(good, ["class_id", "image_id"]), 20, batch=20)[0]
 
 
+_REFILL = f"""with recursive {VOTES}, base as (select * from sc where image_id % 4 = 0), t as (select class_id, count(distinct image_id) t from bank group by 1),
+cand as (select class_id, image_id, row_number() over (partition by class_id order by image_id) k from (select distinct class_id, image_id from bank where image_id % 4 = 2)),
+acc as (select class_id, image_id, k, row_number() over (partition by class_id order by k) j from cand join (select distinct class_id, image_id from sc where tp + fp >= 3 and score >= {KEEP}) using (class_id, image_id)),
+total as (select class_id, count(*) total from cand group by 1), many as (select class_id, count(*) a from acc group by 1),
+point as (select class_id, unnest(range(0, coalesce(a, 0) + 1)) j from t left join many using (class_id)),
+layer as (select p.class_id, p.j, b.image_id, b.score from point p join base b using (class_id) union all select p.class_id, p.j, s.image_id, s.score from point p join acc a on a.class_id = p.class_id and a.j <= p.j join sc s on s.class_id = a.class_id and s.image_id = a.image_id and s.score >= {KEEP}),
+thr as (select class_id, j, least({HIGH}, greatest({LOW}, quantile_cont(score, 0.75) * 0.9)) threshold from layer where score is not null group by all),
+e as (select p.class_id, p.j, count(distinct l.image_id) n, any_value(threshold) threshold from point p left join thr using (class_id, j) left join layer l on l.class_id = p.class_id and l.j = p.j and l.score >= threshold group by all),
+walk as (select e.class_id, 0 j, e.n, null::double threshold, 0 refilters from e where e.j = 0
+  union all select w.class_id, e.j, e.n, e.threshold, refilters + 1 from walk w join t using (class_id) join many m on m.class_id = w.class_id join e on e.class_id = w.class_id and e.j = least(w.j + greatest(1, least(2, 4 - w.n)), m.a) where w.n < 4 and w.j < m.a and t.t >= 2),
+final as (select class_id, max(j) j, arg_max(n, refilters) n, arg_max(threshold, refilters) threshold, max(refilters) refilters from walk group by 1)
+"""
+
+
+@query(_REFILL + "select class_id, case when n >= 4 then 'done' when t.t < 2 then 'insufficient_targets' else 'exhausted' end state, n, j accepted, round(threshold, 6) threshold, refilters from final join t using (class_id)")
+def refilled_supports(spark, sf):
+    """Supports filled to four by class: candidates pass a gate, every second one the bank is filtered anew."""
+    return _refill(spark, sf)[1].select("class_id", "state", "n", "accepted", F.round("threshold", 6).alias("threshold"), "refilters")
+
+
+@query(_REFILL + "select class_id, l.image_id, count(*) vectors from final join layer l using (class_id, j) where refilters > 0 and l.score >= threshold group by all")
+def refilled_overlay(spark, sf):
+    """The overlay that the last refilter of each class leaves."""
+    run, _, entry = _refill(spark, sf)
+    return run.overlay(entry).groupBy("class_id", "image_id").agg(F.count("*").alias("vectors"))
+
+
+def _refill(spark: SparkSession, sf: str) -> tuple[refill.Refill, DataFrame, dict]:
+    b = bank_of(patches(spark, sf))
+    policy = refill.Policy(target=4, every=2, gate=KEEP, top_k=None, low=LOW, high=HIGH, block=10)
+    targets = stored(banks.targets(b, banks.target_images(b, 100)))
+    vectors = b.select("class_id", "image_id", "file_key", "patch_no", "vec_id", "embedding")
+    score = refill.against(vectors, targets)
+    base = stored(score(b.where("image_id % 4 = 0").select("class_id", "image_id").distinct()))
+    left = refill.refiltered(base, policy).groupBy("class_id").agg(F.countDistinct("image_id").alias("_n"))
+    images = b.groupBy("class_id").agg(F.countDistinct("image_id").alias("n"))
+    available = images.select("class_id").join(left, "class_id", "left").select("class_id", F.coalesce("_n", F.lit(0)).alias("n"))
+    run = refill.Refill(place(spark, "refill"), base, available, b.where("image_id % 4 = 2").select("class_id", "image_id"), images, score, policy)
+    entry = run.run()
+    return run, run.state(entry), entry
+
+
 _MERGE = f"{P}, t as (select image_id, class_id, patch_no pixel from p where vec_id % 3 <> 0), q as (select image_id, class_id, patch_no pixel from p where vec_id % 4 <> 0 and image_id % 2 = 0), u as (select * from t union select * from q), g as (select image_id, class_id, patch_no pixel from p where patch_no % 5 <> 0), j as (select coalesce(u.class_id, g.class_id) class_id, (u.class_id is not null)::int a, (g.class_id is not null)::int b from u full join g using (image_id, class_id, pixel)), k as (select class_id, sum(a * b) tp, sum(a * (1 - b)) fp, sum((1 - a) * b) fn from j group by 1)"
 
 
