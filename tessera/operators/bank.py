@@ -48,6 +48,13 @@ def targets(patches: DataFrame, images: DataFrame) -> DataFrame:
     return patches.select("image_id", "patch_no", "embedding", F.col("class_id").alias("_c")).join(images, "image_id").select("class_id", "image_id", "patch_no", (F.col("_c") == F.col("class_id")).alias("inside"), "embedding")
 
 
+def class_gate(bank: DataFrame, targets: DataFrame) -> DataFrame:
+    """(class_id, targets) of the classes that can be scored: with two target images or more, or with a single source image."""
+    n = targets.groupBy("class_id").agg(F.countDistinct("image_id").alias("targets"))
+    sources = bank.groupBy("class_id").agg(F.countDistinct("image_id").alias("_src"))
+    return n.join(sources, "class_id", "left").where("targets >= 2 or _src = 1").drop("_src")
+
+
 def scored(bank: DataFrame, patches: DataFrame, sim_floor: float = 0.0, min_matches: int = 3, limit: int | None = 100) -> DataFrame:
     """bank with tp, fp and score = tp / (tp + fp), null below min_matches votes. A class is scored if it has two target
     images or more; a class of one image takes one_shot()."""

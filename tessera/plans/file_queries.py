@@ -6,6 +6,7 @@ The files lie in a folder of the workspace that driver and executors share. SQL
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from ..sources import exports, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
 from .engine import Config, Engine
-from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, query, read, scored_bank
+from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, queries_of, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -460,9 +461,7 @@ def scores_by_file(spark, sf):
 def class_gate(spark, sf):
     """Classes with two target images, or with a single source image."""
     b = patches(spark, sf).where("image_id % 2 = 0")
-    targets = banks.target_images(b, None).groupBy("class_id").agg(F.count("*").alias("targets"))
-    sources = b.where("image_id % 4 = 0").groupBy("class_id").agg(F.countDistinct("image_id").alias("src"))
-    return targets.join(sources, "class_id", "left").where("targets >= 2 or src = 1").drop("src")
+    return banks.class_gate(b.where("image_id % 4 = 0"), banks.target_images(b, None))
 
 
 @query("""with a as (select c_nationkey class_id, count(*) filter (c_custkey % 5 = 0) n from customer group by 1), c as (select c_nationkey class_id, c_custkey image_id, c_acctbal > 2000 ok, row_number() over (partition by c_nationkey order by c_custkey) k from customer where c_custkey % 5 <> 0),
@@ -559,12 +558,46 @@ def engine_shots(spark, sf):
     """A run of the engine's stages up to the k-shot lists."""
     p = patches(spark, sf)
     refs = p.where("image_id % 2 = 0")
-    config = Config(filter="fixed", keep_threshold=KEEP, end_stage=6, start_stage=6, shots=(1, 3), images_per_class=10_000)
+    config = Config(filter="fixed", keep_threshold=KEEP, end_stage=6, shots=(1, 3), images_per_class=10_000)
     supports = refs.select("class_id", "image_id").distinct()
-    out = Engine(config, place(spark, "run")).run(refs, refs.select("class_id", "image_id", "row", "col", "embedding").limit(0), supports=supports)
+    out = Engine(config, place(spark, "run")).run(refs, queries_of(p), supports=supports)
     return out["shots"].select("shot", "class_id", "image_id", "rank_within_class")
 
 
+@query(f"with {VOTES}, f as (select class_id, image_id, count(*) vectors from sc where score >= {KEEP} group by all) select * from f")
+def engine_resumed(spark, sf):
+    """A filtered bank of a run that ended after half of the classes and was gone on with; stage 2 reads stage 1."""
+    refs = patches(spark, sf).where("image_id % 2 = 0")
+    config = Config(filter="fixed", keep_threshold=KEEP, end_stage=1, images_per_class=10_000)
+    folder, none = place(spark, "resumed"), refs.select("class_id", "image_id", "row", "col", "embedding")
+    engine = Engine(config, folder, batches=3)
+    engine.run(refs, none, classes=refs.where("class_id % 2 = 0").select("class_id"))
+    engine.run(refs, none, resume=True)
+    engine.config = replace(config, start_stage=2, end_stage=2)
+    return engine.run(refs, none, resume=True)["filtered"].groupBy("class_id", "image_id").agg(F.count("*").alias("vectors"))
+
+
+@query(f"""with {VOTES}, f as (select *, coalesce(score >= 0.25, true) ok, count(*) over (partition by class_id) n, row_number() over (partition by class_id order by coalesce(score, 0.5) desc, file_key, patch_no) k from sc), g as (select *, sum(ok::int) over (partition by class_id) s, greatest(1, floor(n * 0.3)) need from f),
+h as (select *, case when s >= need then ok else k <= need end keep from g), c as (select *, row_number() over (partition by class_id order by keep desc, coalesce(score, 0.5) desc, file_key, patch_no) j from h),
+ea as (select *, row_number() over (partition by class_id order by file_key, patch_no) r from sc where score >= {KEEP})
+select 'floor' as mode, vec_id, class_id, 1.0::double weight from c where keep and j <= 6 union all select 'early', vec_id, class_id, 1.0 from ea where r <= 4
+union all select 'reweight', vec_id, class_id, round(least(1, greatest(0, coalesce(score, 0.5))), 6) from sc""")
+def engine_filter_modes(spark, sf):
+    """The engine's other selections: least share and cap of references, the first ones that pass, weights instead of a cut."""
+    s = stored(scored_bank(spark, sf))
+    modes = {
+        "floor": Config(filter="floor", keep_threshold=0.25, target_references=6), "reweight": Config(filter="reweight"),
+        "early": Config(filter="fixed", keep_threshold=KEEP, target_references=4, early_accept=True),
+    }
+    out = None
+    for name, config in modes.items():
+        rows = Engine(config).filter(s)
+        rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
+        rows = rows.select(F.lit(name).alias("mode"), "vec_id", "class_id", F.round("weight", 6).alias("weight"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"with {_MERGE} select tp::bigint tp, fp::bigint fp, fn::bigint fn, round(iou, 6) iou, round(miou, 6) miou from (select sum(tp) tp, sum(fp) fp, sum(fn) fn, sum(tp) / sum(tp + fp + fn) iou, avg(case when tp + fn > 0 then tp / (tp + fp + fn) end) miou from k)")
 def engine_mask_totals(spark, sf):
     """Merging and evaluation as the engine's stage: text and point masks against the truth."""
