@@ -5,35 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import cell_centre
 
 
 def by_group(rows: DataFrame, by: tuple[str, ...], columns: tuple[str, ...], fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """fn over the rows (tuples of columns) of each group. Groups are small and very many: partitions are sorted by key and
-    streamed, without a data frame per group."""
-    names = [x.split()[0] for x in schema.split(",")]
-    n = len(by)
+    streamed, without a data frame per group. Values pass as Arrow arrays: nulls are None, whole numbers stay exact beside
+    them, and the rows of a null key are one group."""
+    n, out_schema = len(by), StructType.fromDDL(schema)
+    types = [to_arrow_type(f.dataType) for f in out_schema]
     dealt = rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        values = zip(*found, strict=True) if found else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], out_schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for x in batches:
             out: list[tuple] = []
-            for row in zip(*[x[c].tolist() for c in (*by, *columns)], strict=True):
+            for row in zip(*[c.to_pylist() for c in x.columns], strict=True):
                 if row[:n] != key:
                     if held:
                         out += [(*key, *r) for r in fn(held)]
                     key, held = row[:n], []
                 held.append(row[n:])
-            yield pd.DataFrame(out, columns=names)
+            yield table(out)
         if held:
-            yield pd.DataFrame([(*key, *r) for r in fn(held)], columns=names)
+            yield table([(*key, *r) for r in fn(held)])
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, out_schema)
 
 
 _NEIGHBOURS = {4: ((-1, 0), (0, -1)), 8: ((-1, 0), (0, -1), (-1, -1), (-1, 1))}
@@ -66,7 +73,8 @@ def label_cells(rows: list[int], cols: list[int], connectivity: int = 8) -> list
 
 
 def components(cells: DataFrame, by: tuple[str, ...] = ("image_id", "class_id"), connectivity: int = 8) -> DataFrame:
-    """cells (by..., row, col, ...) with component. A group is one image's grid."""
+    """cells (by..., row, col, ...) with component. A group is one image's grid; cells without a row or col are left out."""
+    cells = cells.where("row is not null and col is not null")
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     others = tuple(c for c in cells.columns if c not in by)
     r, c = others.index("row"), others.index("col")
@@ -96,8 +104,9 @@ def suppress(points: list[tuple], distance: float) -> list[int]:
 
 
 def nms_points(points: DataFrame, distance: float, value: str = "sim", by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
-    """points in order of value, greedily suppressed within each group (ties by row, col)."""
-
+    """points in order of value, greedily suppressed within each group (ties by row, col). Points without a value or a place are
+    left out."""
+    points = points.where(F.col(value).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     others = tuple(c for c in points.columns if c not in by)
     v, r, c = others.index(value), others.index("row"), others.index("col")

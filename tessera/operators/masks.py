@@ -154,12 +154,12 @@ def merged_confidence(text: DataFrame, point: DataFrame, by: tuple[str, ...] = (
     Sides: (by..., row, col, score). The score of a mask is the greatest of its components'."""
     keys = list(by)
     side = lambda d, n: d.groupBy(*keys, "row", "col").agg(F.max("score").alias(n))
-    cells = side(text, "_t").join(side(point, "_p"), [*keys, "row", "col"], "full")
+    cells = side(text, "_t").join(side(point, "_p"), [*keys, "row", "col"], "full").where("row is not null and col is not null")
 
     def choose(rows: list[tuple]) -> list[tuple]:
         best: dict[int, list[float]] = {}
         comps = label_cells([x[0] for x in rows], [x[1] for x in rows], 4)
-        known = [(t is not None and t == t, p is not None and p == p) for _, _, t, p in rows]
+        known = [(t is not None, p is not None) for _, _, t, p in rows]
         for (_, _, t, p), (has_t, has_p), k in zip(rows, known, comps, strict=True):
             b = best.setdefault(k, [0.0, 0.0])
             b[0], b[1] = max(b[0], t if has_t else 0.0), max(b[1], p if has_p else 0.0)
@@ -186,7 +186,8 @@ def pair_iou(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "cla
 
 def nms_masks(instances: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
     """(by..., inst, score) kept greedily by score: one goes if its IoU with a kept one exceeds threshold (strictly).
-    instances: (by..., inst, score, pixels array<long>); empty ones are skipped."""
+    instances: (by..., inst, score, pixels array<long>); empty ones and those without a score are skipped."""
+    instances = instances.where("score is not null and inst is not null and pixels is not null")
     kinds = {f.name: f.dataType.simpleString() for f in instances.schema.fields}
 
     def thin(rows: list[tuple]) -> list[tuple]:

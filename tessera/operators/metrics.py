@@ -89,7 +89,7 @@ def greedy_match(predictions: DataFrame, pairs: DataFrame, threshold: float = 0.
         for inst, score, other, iou in found:
             each.setdefault((-score, inst), []).append((other, iou))
         for (score, inst), options in sorted(each.items()):
-            free = [(-iou, other) for other, iou in options if other is not None and other == other and other not in taken]
+            free = [(-iou, other) for other, iou in options if other is not None and other not in taken]
             hit = bool(free) and -min(free)[0] >= threshold
             if hit:
                 taken.add(min(free)[1])

@@ -21,15 +21,19 @@ def matrix(rows: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
 
 
-def block_join(left: DataFrame, right: DataFrame, group: str, right_unit: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """kernel(left block, right block) for all pairs of blocks of each group. Rows of one right_unit stay together (a unit
-    is an image: of bounded size)."""
-    nl = left.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nl"))
-    nr = right.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nr"))
-    sizes = nl.join(nr, group)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(sizes, group).withColumn("_i", F.pmod(F.xxhash64(*left.columns[:1]), F.col("_nl")).cast("int")).withColumn("_j", each("_nr")).drop("_nl", "_nr")
-    b = right.join(sizes, group).withColumn("_j", F.pmod(F.xxhash64(right_unit), F.col("_nr")).cast("int")).withColumn("_i", each("_nl")).drop("_nl", "_nr")
+def block_join(left: DataFrame, right: DataFrame, group: str | None, right_unit: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """kernel(left block, right block) for all pairs of blocks of each group, or of all rows if group is None. Rows of one
+    right_unit stay together (a unit is an image: of bounded size)."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if group is None:
+        nl, nr = (F.lit(max(1, -(-x.count() // block))) for x in (left, right))
+        keys, a, b = ["_i", "_j"], left, right
+    else:
+        nl = left.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nl"))
+        sizes = nl.join(right.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nr")), group)
+        keys, a, b, nl, nr = [group, "_i", "_j"], left.join(sizes, group), right.join(sizes, group), F.col("_nl"), F.col("_nr")
+    a = a.withColumn("_i", F.pmod(F.xxhash64(*left.columns[:1]), nl).cast("int")).withColumn("_j", each(nr)).drop("_nl", "_nr")
+    b = b.withColumn("_j", F.pmod(F.xxhash64(right_unit), nr).cast("int")).withColumn("_i", each(nl)).drop("_nl", "_nr")
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides may come from one table
     names = [x.split()[0] for x in schema.split(",")]
 
@@ -38,7 +42,7 @@ def block_join(left: DataFrame, right: DataFrame, group: str, right_unit: str, k
             return pd.DataFrame({n: [] for n in names})
         return kernel(x, y)[names]
 
-    return a.groupBy(group, "_i", "_j").cogroup(b.groupBy(group, "_i", "_j")).applyInPandas(run, schema)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def votes(bank: DataFrame, targets: DataFrame, sim_floor: float = 0.0) -> DataFrame:
@@ -90,21 +94,46 @@ def best_similarity(queries: DataFrame, bank: DataFrame) -> DataFrame:
 def other_similarity(queries: DataFrame, bank: DataFrame, margin: float = 0.0) -> DataFrame:
     """best_similarity less the largest cosine to the banks of all other classes and a margin (column conf).
 
-    One pass over every class: the two largest per-class maxima of a cell tell the largest of the others."""
-    classes = bank.select(F.col("class_id").alias("_c")).distinct()
-    cells = queries.select("image_id", "row", "col", "embedding").dropDuplicates(["image_id", "row", "col"])
-    listed = classes.agg(F.array_sort(F.collect_set("_c")).alias("_all"))  # one short row: the label set
-    asked = cells.join(listed).withColumn("class_id", F.explode("_all")).drop("_all")
-    per = best_similarity(asked, bank)
-    tops = per.groupBy("image_id", "row", "col").agg(F.max_by("class_id", F.struct("sim", -F.col("class_id"))).alias("c1"), F.max("sim").alias("s1"))
-    second = per.join(tops, ["image_id", "row", "col"]).where("class_id <> c1").groupBy("image_id", "row", "col").agg(F.max("sim").alias("s2"))
-    own = queries.select("class_id", "image_id", "row", "col").join(per, ["class_id", "image_id", "row", "col"]).join(tops, ["image_id", "row", "col"]).join(second, ["image_id", "row", "col"], "left")
-    other = F.when(F.col("class_id") == F.col("c1"), F.coalesce("s2", F.lit(0.0))).otherwise(F.col("s1"))
-    return own.select("class_id", "image_id", "row", "col", "sim", (F.col("sim") - other - F.lit(float(margin))).alias("conf"))
+    Blocks of the bank mix classes; the product with a block of cells is reduced per class, and of each cell only its two best
+    classes in the block and the classes that it is asked for are given out. The two best classes over all blocks are among
+    those: where a class reaches its maximum, at most one class of the two best exceeds it. Rows grow with cells and blocks of
+    the bank, not with classes."""
+    cells = queries.select("image_id", "row", "col", "class_id", "embedding").groupBy("image_id", "row", "col").agg(F.collect_set("class_id").alias("asked"), F.first("embedding").alias("embedding"))
+
+    def kernel(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("class_id", kind="stable")
+        classes, starts = np.unique(v["class_id"].to_numpy(), return_index=True)
+        x, y = matrix(v["embedding"]), matrix(q["embedding"])
+        top = np.concatenate([np.maximum.reduceat(y[i : i + 1024] @ x.T, starts, axis=1) for i in range(0, len(y), 1024)])
+        best = np.argsort(-top, axis=1, kind="stable")[:, :2]  # the lesser class of equal ones first
+        place = {int(c): k for k, c in enumerate(classes)}
+        picks = [sorted({*b, *(place[c] for c in own if c in place)}) for b, own in zip(best.tolist(), (map(int, o) for o in q["asked"]), strict=True)]
+        at = np.repeat(np.arange(len(q)), [len(p) for p in picks])
+        col = np.fromiter((k for p in picks for k in p), np.int64, len(at))
+        return q[["image_id", "row", "col"]].iloc[at].assign(class_id=classes[col], sim=top[at, col])
+
+    part = block_join(bank.select("vec_id", "class_id", "embedding"), cells.select("image_id", "row", "col", "asked", "embedding"), None, "image_id", kernel, "image_id long, row int, col int, class_id int, sim double")
+    per = part.groupBy("image_id", "row", "col", "class_id").agg(F.max("sim").alias("sim"))
+    found = per.groupBy("image_id", "row", "col").agg(F.max(F.struct("sim", (-F.col("class_id")).alias("c"))).alias("_one"), F.collect_list(F.struct("class_id", "sim")).alias("_all"))
+    # A cell's list has its asked classes and two per block of the bank.
+    second = F.array_max(F.transform(F.filter("_all", lambda a: a["class_id"] != -F.col("_one.c")), lambda a: a["sim"]))
+    tops = found.select("image_id", "row", "col", F.col("_one.sim").alias("s1"), (-F.col("_one.c")).alias("c1"), F.coalesce(second, F.lit(0.0)).alias("s2"), F.explode("_all").alias("_a"))
+    own = queries.select("class_id", "image_id", "row", "col")
+    scored = tops.select("image_id", "row", "col", "s1", "c1", "s2", F.col("_a.class_id").alias("class_id"), F.col("_a.sim").alias("sim"))
+    other = F.when(F.col("class_id") == F.col("c1"), F.col("s2")).otherwise(F.col("s1"))
+    return own.join(scored, ["class_id", "image_id", "row", "col"]).select("class_id", "image_id", "row", "col", "sim", (F.col("sim") - other - F.lit(float(margin))).alias("conf"))
 
 
 def self_similarity(bank: DataFrame) -> DataFrame:
-    """(vec_id, class_id, image_id, sim): the largest cosine to any other vector of the same class and image."""
-    other = bank.select("class_id", "image_id", F.col("vec_id").alias("_o"), F.col("embedding").alias("_e"))
-    pairs = bank.join(other, ["class_id", "image_id"], "left").withColumn("s", F.when(F.col("vec_id") != F.col("_o"), cosine(F.col("embedding"), F.col("_e"))))
-    return pairs.groupBy("vec_id", "class_id", "image_id").agg(F.max("s").alias("sim"))
+    """(vec_id, class_id, image_id, sim): the largest cosine to any other vector of the same class and image, null without one.
+    Blocks of an image's vectors are multiplied, a vector's product with itself is masked, and maxima are all that leaves."""
+    keys = bank.select(F.concat_ws(":", F.col("class_id").cast("string"), F.col("image_id").cast("string")).alias("_g"), "vec_id", "class_id", "image_id", "embedding")
+
+    def kernel(v: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        x, y, mine, theirs = matrix(v["embedding"]), matrix(o["embedding"]), v["vec_id"].to_numpy(), o["vec_id"].to_numpy()
+        best = np.concatenate([np.where(mine[i : i + 1024, None] == theirs, -np.inf, x[i : i + 1024] @ y.T).max(axis=1) for i in range(0, len(x), 1024)])
+        return v[["vec_id", "class_id", "image_id"]].assign(sim=best)
+
+    part = block_join(keys.select("vec_id", "class_id", "image_id", "embedding", "_g"), keys.select("vec_id", "embedding", "_g"), "_g", "vec_id", kernel, "vec_id long, class_id int, image_id long, sim double")
+    found = F.when(F.col("sim") > float("-inf"), F.col("sim"))
+    return part.groupBy("vec_id", "class_id", "image_id").agg(F.max(found).alias("sim"))
