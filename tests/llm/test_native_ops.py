@@ -115,7 +115,7 @@ def test_url_rules_and_trust(spark):
             7: ("friend.net", "/a", None, "allow"), 8: ("shill.net", "/a", None, "block"), 9: ("", "", None, "allow"), 10: ("", "", None, "allow"), 11: ("notorg", "/x", None, "allow"), 12: ("other.org", "", None, "allow"), 13: ("example.org", "/en/2", "org/", "allow")}
     for k, v in want.items():
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == v
-    assert got[7].trust > 0 and got[8].distrust > 0.15
+    assert got[7].trust_share > 0.15 and got[8].distrust_share > 0.15
     assert url_filter.judge(docs.limit(0)).count() == 0
 
 
@@ -157,20 +157,56 @@ def test_propagation_reaches_its_limit(spark):
         assert [got[h][way] for h in hosts] == pytest.approx(solved(hosts, edges, seeds, way).tolist(), abs=url_filter.TOLERANCE)
 
 
+def shares(edges, seeds, way):
+    """Of what comes over links the part that comes from seeds, by solved systems."""
+    hosts = list(seeds)
+    own, every = solved(hosts, edges, seeds, way), solved(hosts, edges, {h: (1, 1) for h in hosts}, way)
+    return {h: 1.0 if seeds[h][way] else min(1.0, o / (e - 1)) if e > 1 + 1e-12 else 0.0 for h, o, e in zip(hosts, own, every, strict=True)}
+
+
+def judged(spark, pages):
+    return {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def anchors(*hosts):
+    return "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+
+
+def test_shares_and_verdicts_equal_solved_systems(spark):
+    rng = random.Random(11)
+    names = ["good.org", "fine.org", "bad.com", "worse.com", *[f"h{k}.net" for k in range(16)]]
+    out = {h: rng.sample([x for x in names if x != h], rng.randrange(4)) for h in names}
+    pages = [(k, f"http://{h}/de/" if h.endswith("com") else f"http://{h}/", anchors(*out[h])) for k, h in enumerate(names)]
+    seeds = {h: (h.endswith("org"), h.endswith("com")) for h in names}
+    edges = {(a, b): 1 for a, x in out.items() for b in x}
+    trust, distrust = shares(edges, seeds, 0), shares(edges, seeds, 1)
+    got = judged(spark, pages)
+    for k, h in enumerate(names):
+        assert (got[k].trust_share, got[k].distrust_share) == pytest.approx((trust[h], distrust[h]), abs=1e-4)
+        if h.startswith("h"):
+            assert got[k].verdict == ("block" if distrust[h] >= 0.15 and distrust[h] > trust[h] else "allow")
+    verdicts = {got[k].verdict for k, h in enumerate(names) if h.startswith("h")}
+    assert verdicts == {"allow", "block"}
+    # each of the two scores decides: there are hosts that only trust keeps and hosts that only distrust blocks
+    assert any(distrust[h] >= 0.15 and trust[h] >= distrust[h] for h in names[4:]) and any(distrust[h] >= 0.15 > trust[h] for h in names[4:])
+
+
 def test_a_chain_is_blocked_as_far_as_the_threshold_goes(spark):
-    pages = [(0, "http://bad.com/de/1", "")] + [(k, f"http://c{k}.net/", f'<a href="http://{"bad.com" if k == 1 else f"c{k - 1}.net"}/">t</a>') for k in range(1, 14)]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert {k for k in got if got[k] == "block"} == set(range(12))
+    pages = [(0, "http://bad.com/de/1", "")] + [(k, f"http://c{k}.net/", anchors("bad.com" if k == 1 else f"c{k - 1}.net")) for k in range(1, 14)]
+    hosts = ["bad.com", *[f"c{k}.net" for k in range(1, 14)]]
+    part = shares({(hosts[k], hosts[k - 1]): 1 for k in range(1, 14)}, {h: (False, h == "bad.com") for h in hosts}, 1)
+    got = judged(spark, pages)
+    assert {k for k in got if got[k].verdict == "block"} == {k for k, h in enumerate(hosts) if part[h] >= 0.15} == set(range(5))
 
 
 @pytest.mark.parametrize("n", [1, 6, 40])
 def test_verdicts_do_not_depend_on_how_many_link_to_a_seed(spark, n):
-    a = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
-    pages = [(0, "http://bad.com/de/1", a("b.net")), (1, "http://site.org/", a("fine.net", *[f"l{k}.net" for k in range(50)]))] + [(k, f"http://s{k}.net/", a("bad.com")) for k in range(2, n + 2)]
-    pages += [(100, "http://fine.net/", a("bad.com", *["x.net"] * 4)), (101, "http://far.net/", a("s2.net", "y.net")), (102, "http://little.net/", a("bad.com", *["x.net"] * 9)), (103, "http://b.net/", a("bad.com"))]
-    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert {k for k, r in got.items() if r.verdict == "block"} == {0, 101, 103, *range(2, n + 2)}
-    assert [got[k].exposure for k in (0, 2, 100, 101, 102)] == pytest.approx([1, 0.85, 0.17, 0.85**2 / 2, 0.085]) and got[100].backing == pytest.approx(0.85)
+    pages = [(0, "http://bad.com/de/1", anchors("b.net")), (1, "http://site.org/", anchors("fine.net", *[f"l{k}.net" for k in range(50)]))] + [(k, f"http://s{k}.net/", anchors("bad.com")) for k in range(2, n + 2)]
+    pages += [(100, "http://fine.net/", anchors("bad.com")), (102, "http://clean.net/", anchors("x.net"))]
+    got = judged(spark, pages)
+    # fine.net is linked by a trusted host and links to a blocked one: what comes to it is all trusted one way, all not the other
+    assert {k for k, r in got.items() if r.verdict == "block"} == {0, *range(2, n + 2)}
+    assert [got[k].distrust_share for k in (0, 2, 100, 102)] == pytest.approx([1, 1, 1, 0], abs=1e-6) and got[100].trust_share == pytest.approx(1, abs=1e-6)
 
 
 @pytest.mark.parametrize("rows", [4000, 90])
