@@ -306,14 +306,16 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     """One row of docs per component, columns unchanged. Of rows that repeat the kept id, the one with the least hash of its
     columns (of those that can be hashed) stays. Rows without an id all stay."""
     judged = durable(near_duplicates(docs, width, percent, doc_id, text), "mh-judged")
-    out = docs.join(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col(doc_id) == F.col("_gone"), "left_anti")
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    # a document's columns travel as one struct: no name of theirs meets one of these
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_d"), F.xxhash64(*plain).alias("_h"))
+    out = rows.join(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col("_d") == F.col("_gone"), "left_anti")
     repeated = durable(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many")), "mh-repeated")
     if repeated.isEmpty():
-        return out
-    one = out.join(repeated, F.col(doc_id) == F.col("_many"), "left_anti")
-    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    many = out.join(repeated, F.col(doc_id) == F.col("_many"), "left_semi").groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row"))
-    return one.unionByName(many.select("_row.*"))
+        return out.select("_row.*")
+    one = out.join(repeated, F.col("_d") == F.col("_many"), "left_anti")
+    many = out.join(repeated, F.col("_d") == F.col("_many"), "left_semi").groupBy("_d").agg(F.min_by("_row", "_h").alias("_row"))
+    return one.select("_row.*").unionByName(many.select("_row.*"))
 
 
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,21 +75,22 @@ def emit(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str =
 
     Rows are matched by id. Where ids repeat or are null, they are matched by id, source, size and the text's hash, and rows
     that are alike in these by their number."""
-    copies = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_c"), F.col("_text").alias("_h"))
+    copies = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("copies").cast("int").alias("_c"), F.col("_text").alias("_h"))
     shared = durable(copies.groupBy("_i").agg(F.count("*").alias("n")).where("n > 1 or _i is null").select(F.col("_i").alias("_r")), "mix-repeats")
-    own = docs.columns
+    # a document's columns travel as one struct: no name of theirs meets one of these
+    docs = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_d"), F.col(source).alias("_o"), F.col(text).alias("_x"))
 
     def repeat(rows: DataFrame) -> DataFrame:
-        return rows.where("_c > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*own)
+        return rows.where("_c > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_c")))).select("_row.*")
 
     if shared.isEmpty():
-        return repeat(docs.join(copies, F.col(doc_id) == F.col("_i")))
+        return repeat(docs.join(copies, F.col("_d") == F.col("_i")))
     one, many = (lambda x, i: x.join(shared, F.col(i).eqNullSafe(F.col("_r")), "left_anti")), (lambda x, i: x.join(shared, F.col(i).eqNullSafe(F.col("_r")), "left_semi"))
-    hashed = docs.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    alike = many(hashed, doc_id).withColumn("_k", F.row_number().over(Window.partitionBy(doc_id, source, "_hash").orderBy(F.lit(0))))
+    hashed = docs.withColumn("_m", F.md5(F.coalesce(F.col("_x"), F.lit("")).cast("binary")))
+    alike = many(hashed, "_d").withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_o", "_m").orderBy(F.lit(0))))
     counted = many(copies, "_i").withColumn("_j", F.row_number().over(Window.partitionBy("_i", "_s", "_h").orderBy("_c")))
-    same = F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h")) & (F.col("_k") == F.col("_j"))
-    return repeat(one(docs, doc_id).join(one(copies, "_i"), F.col(doc_id) == F.col("_i"))).unionByName(repeat(alike.join(counted, same)))
+    same = F.col("_d").eqNullSafe(F.col("_i")) & F.col("_o").eqNullSafe(F.col("_s")) & (F.col("_m") == F.col("_h")) & (F.col("_k") == F.col("_j"))
+    return repeat(one(docs, "_d").join(one(copies, "_i"), F.col("_d") == F.col("_i"))).unionByName(repeat(alike.join(counted, same)))
 
 
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

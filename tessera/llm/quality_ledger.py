@@ -55,16 +55,19 @@ def _shift(a: Column, by: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the MEASURES. A window of 8 words is known by a 64-bit hash built by doubling (1, 2, 4, 8 words)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """Adds the MEASURES. A window of 8 words is known by a 64-bit hash built by doubling (1, 2, 4, 8 words). The columns of docs
+    travel as one struct, so that no name of theirs meets one of the steps."""
+    names = [c for c in docs.columns if c.lower() not in MEASURES]
+    docs = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    t = F.coalesce(F.col("text"), F.lit(""))
     blank = F.translate(t, WS + " ", "")
-    own = [c for c in docs.columns if c not in MEASURES]
+    own = ["row"]
     out = docs.select(
         *own,
         F.length(blank).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WS + " ", "")) > 0).alias("_l"),
-        F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_h"),
+        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"),
     )
     out = out.select(*own, "word_chars", "n_symbols", F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_h").cast("long").alias("n_words"), "_h")
     keep = [*own, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
@@ -82,7 +85,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.select(*keep, F.sort_array(F.filter(twice, lambda x: x.isNotNull())).alias("_p"))
     gaps = F.zip_with("_p", _shift(F.col("_p"), 1), lambda a, b: F.when(b.isNull(), F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), b - a)))
-    return out.select(*keep, F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *MEASURES[:-1], F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
