@@ -201,7 +201,7 @@ def test_a_chain_is_blocked_as_far_as_the_threshold_goes(spark):
 
 @pytest.mark.parametrize("n", [1, 6, 40])
 def test_verdicts_do_not_depend_on_how_many_link_to_a_seed(spark, n):
-    pages = [(0, "http://bad.com/de/1", anchors("b.net")), (1, "http://site.org/", anchors("fine.net", *[f"l{k}.net" for k in range(50)]))] + [(k, f"http://s{k}.net/", anchors("bad.com")) for k in range(2, n + 2)]
+    pages = [(0, "http://bad.com/de/1", ""), (1, "http://site.org/", anchors("fine.net", *[f"l{k}.net" for k in range(50)]))] + [(k, f"http://s{k}.net/", anchors("bad.com")) for k in range(2, n + 2)]
     pages += [(100, "http://fine.net/", anchors("bad.com")), (102, "http://clean.net/", anchors("x.net"))]
     got = judged(spark, pages)
     # fine.net is linked by a trusted host and links to a blocked one: what comes to it is all trusted one way, all not the other
