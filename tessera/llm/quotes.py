@@ -11,9 +11,9 @@ and depths come from the parents by pointer doubling, and (thread, depth, conv_i
 stands before its replies; position counts the messages of a thread in it from 1. Texts are given back without quotes and
 without the attribution lines directly above them.
 
-Defined results: null and empty texts have no lines; rows without conv_id or turn are threads of their own at depth 0 and
-neither quote nor are quoted; rows that repeat a (conv_id, turn) are one message with several texts, each returned; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts have no lines; very long texts, lines and rows of quote marks are read whole; rows without
+conv_id or turn are threads of their own at depth 0 and neither quote nor are quoted; rows that repeat a (conv_id, turn) are one
+message with several texts, each returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.protocol import numbered
+from ..operators.running import Ranged, numbered
 from .common import durable, table
 
 #: Fixed value: words that end an attribution line above a quotation.
 _ATTRIBUTION = r"(?m)^[^\n>]*(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+(?=[ \t]*>)"
-_MARKS = r"^[ \t]*(?:>[ \t]*)+"
+_MARKS = r"^[ \t]*>[> \t]*"
 #: Shorter lines are linked within the conversation, and elsewhere only where a single other conversation has them.
 LEAST = 4
 #: Lines of at most so many messages are joined to them one by one; a matter of cost, not of results.
@@ -82,8 +82,9 @@ def _source(asked: DataFrame, own: DataFrame) -> DataFrame:
     extra = [c for c in asked.columns if c not in ("conv_id", "turn", "key")]
     none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
     events = own.select("conv_id", "turn", "key", F.col("turn").alias("src"), *none).unionByName(asked.withColumn("src", F.lit(None).cast("long")))
-    back = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = events.withColumn("src", F.max("src").over(back)).where("passage is not null")
+    # ranges of (conversation, key): one that a third of all messages share is no single task; of one turn, who asks comes first
+    ranged = Ranged(events.withColumn("has", F.col("src").isNotNull()), ("conv_id", "key"), (("turn", False), ("has", False)))
+    near = ranged.scan(ranged.rows, own=False, near=("max", F.col("src"))).where("passage is not null").withColumn("src", F.col("near")).drop("near", "has", "_part")
     hit = near.join(own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.max("conv_id").alias("last")), "key", "left")
     before = F.col("first") < F.struct("conv_id", "turn")
     if "short" in extra:
@@ -145,8 +146,8 @@ def link(messages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     passages = durable(passages, "quote-passages")
     direct = passages.where("level = 1 and source_conv is not null").groupBy("conv_id", "turn", "source_conv", "source_turn").agg(F.sum("matched").alias("n")).groupBy("conv_id", "turn").agg(F.max(F.struct("n", "source_conv", "source_turn")).alias("p"))
     nodes = read.where(whole).select("conv_id", "turn").distinct()
-    along = Window.partitionBy("conv_id").orderBy("turn")
-    placed = nodes.withColumn("prev", F.lag("turn").over(along)).join(direct, ["conv_id", "turn"], "left")
+    ranged = Ranged(nodes, ("conv_id",), (("turn", False),))
+    placed = ranged.scan(ranged.rows, own=False, prev=("max", F.col("turn"))).drop("_part").join(direct, ["conv_id", "turn"], "left")
     placed = durable(placed.select("conv_id", "turn", F.coalesce("p.source_conv", F.when(F.col("prev").isNotNull(), F.col("conv_id"))).alias("pc"), F.coalesce("p.source_turn", "prev").alias("pt"), F.col("p").isNotNull().alias("quotes_parent")), "quote-parents")
     tree = _positions(placed.join(_roots(placed), ["conv_id", "turn"]))
     stats = passages.groupBy("conv_id", "turn").agg(F.max("level").alias("quote_depth"), F.count("*").alias("n_passages"), F.count("source_conv").alias("n_linked"))
@@ -167,24 +168,30 @@ def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_quote_linking": op1_quote_linking}
 LINK_SQL = r"""
 with recursive raw as (select row_number() over () rid, conv_id, turn, role, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)^[^\n>]*(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*\n+([ \t]*>)', '\1', 'g'), chr(10)) ls from conversations),
-ln as (select rid, conv_id, turn, unnest(generate_series(1, len(ls))) pos, unnest(ls) l from raw),
+tx as (select conv_id, turn, ls, min(rid) tid from raw where conv_id is not null and turn is not null group by all),
+ln as (select tid, conv_id, turn, unnest(generate_series(1, len(ls))) pos, unnest(ls) l from tx),
 lv as (select *, len(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+')) - len(replace(regexp_extract(l, '^[ \t]*(?:>[ \t]*)+'), '>', '')) lvl, regexp_replace(l, '^[ \t]*(?:>[ \t]*)+', '') body from ln),
-nm as (select *, trim(regexp_replace(regexp_replace(lower(body), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) norm from lv where conv_id is not null and turn is not null),
-ps as (select *, sum(case when lvl is not distinct from pl then 0 else 1 end) over (partition by conv_id, turn order by pos rows unbounded preceding) passage from (select *, lag(lvl) over (partition by conv_id, turn order by pos) pl from nm)),
-quoted as (select conv_id, turn, passage, pos, lvl, norm from ps where lvl > 0 and len(norm) >= 4),
-own as (select distinct conv_id, turn, norm from nm where lvl = 0 and len(norm) >= 4),
-fst as (select norm, min((conv_id, turn)) f from own group by norm),
-hit as (select q.*, (select max(o.turn) from own o where o.conv_id = q.conv_id and o.norm = q.norm and o.turn < q.turn) near, f from quoted q left join fst using (norm)),
-src as (select conv_id, turn, passage, lvl, case when near is not null then (conv_id, near) when f < (conv_id, turn) then f end s from hit),
-votes as (select conv_id, turn, passage, lvl, s, count(*) n from src where s is not null group by all),
-chosen as (select conv_id, turn, passage, lvl, max((n, s)) v from votes group by all),
-direct as (select conv_id, turn, (max((n, s)))[2] p from (select conv_id, turn, v[2] s, sum(v[1]) n from chosen where lvl = 1 group by all) group by all),
+nm as (select *, trim(regexp_replace(regexp_replace(lower(body), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) norm from lv),
+ps as (select *, sum(case when lvl is not distinct from pl then 0 else 1 end) over (partition by tid order by pos rows unbounded preceding) passage from (select *, lag(lvl) over (partition by tid order by pos) pl from nm)),
+quoted as (select conv_id, turn, tid, passage, pos, lvl, norm from ps where lvl > 0),
+texts as (select conv_id, turn, tid, passage, list(norm order by pos) hs, count(*) lines, max(len(norm)) < 4 short from quoted where norm <> '' group by all),
+own as (select conv_id, turn, tid, norm, row_number() over (partition by tid order by pos) i from nm where lvl = 0 and norm <> ''),
+al as (select tid, list(norm order by i) a from own group by tid),
+runs as (select distinct o.conv_id, o.turn, k.hs from (select distinct hs from texts) k join own o on o.norm = k.hs[1] join al using (tid) where list_slice(a, o.i, o.i + len(k.hs) - 1) = k.hs),
+fst as (select hs, min((conv_id, turn)) f, max(conv_id) l from runs group by hs),
+near as (select t.tid, t.passage, max(r.turn) n from texts t join runs r on r.hs = t.hs and r.conv_id = t.conv_id and r.turn < t.turn group by all),
+exact as (select t.*, case when n is not null then (t.conv_id, n) when f < (t.conv_id, t.turn) and (not short or f[1] = l) then f end s from texts t left join near using (tid, passage) left join fst using (hs)),
+votes as (select q.tid, q.passage, q.conv_id, o.conv_id sc, o.turn st, count(*) n from quoted q join exact e on e.tid = q.tid and e.passage = q.passage and s is null join (select distinct conv_id, turn, norm from own) o on o.norm = q.norm and (len(q.norm) >= 4 or o.conv_id = q.conv_id)
+  where q.norm <> '' and (o.conv_id, o.turn) < (q.conv_id, q.turn) group by all),
+voted as (select tid, passage, (sc, st) s, n from (select *, row_number() over (partition by tid, passage order by n desc, sc = conv_id desc, case when sc = conv_id then -st else sc end, st) k from votes) where k = 1),
+chosen as (select q.*, coalesce(e.s, v.s) s, case when e.s is not null then e.lines else v.n end n from (select distinct conv_id, turn, tid, passage, lvl from quoted) q left join exact e on e.tid = q.tid and e.passage = q.passage left join voted v on v.tid = q.tid and v.passage = q.passage),
+direct as (select conv_id, turn, (max((n, s)))[2] p from (select conv_id, turn, s, sum(n) n from chosen where lvl = 1 and s is not null group by all) group by all),
 node as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prev from (select distinct conv_id, turn from raw where conv_id is not null and turn is not null)),
 par as (select n.conv_id, n.turn, case when p is not null then p[1] when prev is not null then n.conv_id end pc, case when p is not null then p[2] else prev end pt from node n left join direct d on d.conv_id = n.conv_id and d.turn = n.turn),
 tree as (select conv_id, turn, conv_id rc, turn rt, 0::bigint depth from par where pc is null union all select p.conv_id, p.turn, rc, rt, depth + 1 from par p join tree t on t.conv_id = p.pc and t.turn = p.pt),
 ps2 as (select conv_id, turn, row_number() over (partition by rc, rt order by depth, conv_id, turn) position from tree),
-st as (select q.conv_id, q.turn, max(q.lvl) quote_depth, count(*) n_passages, count(v) n_linked from (select distinct conv_id, turn, passage, lvl from quoted) q left join chosen c on c.conv_id = q.conv_id and c.turn = q.turn and c.passage = q.passage group by all),
-clean as (select rid, trim(string_agg(body, chr(10) order by pos) filter (where lvl = 0), ' ' || chr(10) || chr(9)) t from lv group by rid)
+st as (select conv_id, turn, max(lvl) quote_depth, count(*) n_passages, count(s) n_linked from chosen group by all),
+clean as (select rid, trim(string_agg(regexp_replace(l, '^[ \t]*(?:>[ \t]*)+', ''), chr(10) order by pos) filter (where not regexp_matches(l, '^[ \t]*>')), ' ' || chr(10) || chr(9)) t from (select rid, unnest(generate_series(1, len(ls))) pos, unnest(ls) l from raw) group by rid)
 select r.conv_id, r.turn, r.role, coalesce(t, '') as text, coalesce(quote_depth, 0)::int quote_depth, coalesce(n_passages, 0)::bigint n_passages, coalesce(n_linked, 0)::bigint n_linked, pc parent_conv, pt parent_turn, coalesce(rc, r.conv_id) thread_conv, coalesce(rt, r.turn) thread_turn, coalesce(depth, 0)::bigint depth, coalesce(position, 1)::bigint position
 from raw r left join clean using (rid) left join par p on p.conv_id = r.conv_id and p.turn = r.turn left join tree x on x.conv_id = r.conv_id and x.turn = r.turn left join st s on s.conv_id = r.conv_id and s.turn = r.turn left join ps2 y on y.conv_id = r.conv_id and y.turn = r.turn
 """

@@ -73,16 +73,49 @@ def test_rows_equal_the_sql_on_quoted_conversations(spark, tmp_path):
             said.append(own)
             rows.append((conv, turn * 2, rng.choice(["user", "assistant"]), "\n".join(text)))
     rows += [(90, 0, "user", None), (90, 3, "user", "")]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = quotes.op1_quote_linking(spark, str(tmp_path))
+    assert same_as_sql(spark, tmp_path, rows) > 40
+
+
+def same_as_sql(spark, tmp_path, rows):
+    """How many messages have linked passages, after the query's rows were found equal to the SQL's."""
+    at = tmp_path / f"t{len(list(tmp_path.iterdir()))}"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(at / "conversations.parquet"))
+    got = quotes.op1_quote_linking(spark, str(at))
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    con.execute(f"create view conversations as select * from '{at}/conversations.parquet/*.parquet'")
     want = con.execute(quotes.SQL["op1_quote_linking"])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     plain = lambda xs, order: sorted(str([x[order.index(c)] for c in sorted(order)]) for x in xs)
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), names)
-    assert got.where("n_linked > 0").count() > 40
+    return got.where("n_linked > 0").count()
+
+
+def test_rows_equal_the_sql_where_lines_repeat(spark, tmp_path):
+    """Openings that several messages share, short lines, lines of many messages, repeated rows, and passages of other conversations."""
+    common = ["Yes", "ok", "no", "the same opening line", "another line that many write", "a third one", ":-)", "Yes"]
+    for seed in range(2):
+        rng, rows = random.Random(seed), []
+        for conv in range(14):
+            said = []
+            for turn in range(rng.randrange(1, 7)):
+                own = [rng.choice(common) if rng.random() < 0.7 else f"only here {conv} {turn} {k}" for k in range(rng.randrange(1, 5))]
+                quote = []
+                for level in (1, 2, 1)[: rng.randrange(4)]:
+                    lines = rng.choice(said) if said and rng.random() < 0.6 else [rng.choice(common) for _ in range(rng.randrange(1, 4))]
+                    quote += ["> " * level + x for x in lines[rng.randrange(2) :]] + rng.choice(([], ["between"]))
+                said.append(own)
+                rows.append((conv, turn, "user", "\n".join(quote + own)))
+        rows += [rows[3], (rows[5][0], rows[5][1], "user", "> Yes\na second text"), (None, 1, "user", "> Yes"), (2, None, "user", "> ok")]
+        assert same_as_sql(spark, tmp_path, rows) > 15
+
+
+def test_the_sql_links_the_whole_passage_and_short_lines(spark, tmp_path):
+    lines = [f"L{k} of the text" for k in range(1, 6)]
+    said = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join(lines[:3])), (1, 2, "user", "\n".join(f"> {x}" for x in lines)), (2, 0, "user", "Yes"), (2, 1, "user", "well"), (2, 2, "user", "> Yes")]
+    assert same_as_sql(spark, tmp_path, said) == 2
+    long = "word " * 50_000
+    assert same_as_sql(spark, tmp_path, [(1, 0, "user", long), (1, 1, "user", f"> {long}\nso long"), (1, 2, "user", "> > " * 2000 + "x")]) == 1
 
 
 def test_positions_follow_the_reply_order(spark):
