@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.vectors import ratio
 from ..operators import bank as banks
-from ..operators import geometry, masks, matching, metrics, protocol, search
+from ..operators import geometry, masks, matching, metrics, protocol, runs, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -560,6 +560,51 @@ def union_of_runs(spark, sf):
     return masks.union_runs(read(spark, sf, "lineitem").selectExpr("l_orderkey image_id", "l_returnflag class_id", "cast(l_linenumber as bigint) start", "cast(l_quantity as bigint) % 4 + 1 len"))
 
 
+_SIDES = """x as (select distinct l_orderkey image_id, l_returnflag class_id, l_linenumber::bigint + g pixel from lineitem, generate_series(0, 2) t(g) where g <= l_quantity % 3),
+y as (select distinct l_orderkey image_id, l_returnflag class_id, l_linenumber::bigint + 2 * g pixel from lineitem, generate_series(0, 1) t(g) where g <= l_suppkey % 2),
+isle as (select * from (select *, pixel - row_number() over (partition by op, image_id, class_id order by pixel) g from (select 'union' op, * from (select * from x union select * from y) union all select 'both', * from (select * from x intersect select * from y) union all select 'less', * from (select * from x except select * from y))))"""
+
+
+@query(f"with {_SIDES} select op, image_id, class_id, min(pixel) as start, count(*) len from isle group by op, image_id, class_id, g")
+def runs_algebra(spark, sf):
+    """Union, intersection and difference of two relations of runs, by a sweep over their ends."""
+    a, b = _run_sides(spark, sf)
+    named = [d.withColumn("op", F.lit(n)) for n, d in (("union", runs.union(a, b)), ("both", runs.intersection(a, b)), ("less", runs.difference(a, b)))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).select("op", "image_id", "class_id", "start", "len")
+
+
+@query(f"with {_SIDES}, j as (select coalesce(x.class_id, y.class_id) class_id, x.pixel is not null a, y.pixel is not null b from x full join y using (image_id, class_id, pixel)) select class_id, sum((a and b)::int)::bigint tp, sum((a and not b)::int)::bigint fp, sum((b and not a)::int)::bigint fn from j group by 1")
+def runs_counts(spark, sf):
+    """Pixel counters of two relations of runs."""
+    return runs.counts(*_run_sides(spark, sf))
+
+
+@query(f"with {_SIDES}, a as (select image_id, class_id, count(*) n from x group by all), b as (select image_id, class_id, count(*) n from y group by all), i as (select x.image_id, x.class_id ca, y.class_id cb, count(*) i from x join y using (image_id, pixel) group by all) select i.image_id, ca inst_a, cb inst_b, round(i / (a.n + b.n - i), 6) iou from i join a on a.image_id = i.image_id and a.class_id = ca join b on b.image_id = i.image_id and b.class_id = cb")
+def runs_pair_iou(spark, sf):
+    """IoU of all overlapping instances of an image, from runs."""
+    a, b = (runs.merged(runs.covered(("image_id", "class_id"), s=d), ("image_id", "class_id")).withColumnRenamed("class_id", "inst") for d in _run_sides(spark, sf))
+    return runs.pair_iou(a, b, ("image_id",)).select("image_id", "inst_a", "inst_b", F.round("iou", 6).alias("iou"))
+
+
+def _run_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf, "lineitem").selectExpr("l_orderkey image_id", "l_returnflag class_id", "cast(l_linenumber as bigint) n", "cast(l_quantity as bigint) % 3 + 1 len", "l_suppkey % 2 odd")
+    second = rows.withColumn("start", F.explode(F.when(F.col("odd") == 1, F.array("n", F.col("n") + 2)).otherwise(F.array("n"))))
+    return rows.select("image_id", "class_id", F.col("n").alias("start"), "len"), second.select("image_id", "class_id", "start", F.lit(1).cast("long").alias("len"))
+
+
+@query("""with s as (select s_suppkey id, s_suppkey % 17 + 1 x, s_suppkey % 5 + 1 y, s_nationkey % 6 + 1 w, s_nationkey % 4 + 1 h from supplier)
+select id, (c * 12 + y)::bigint as start, h::bigint len from s, lateral (select unnest(generate_series(x, x + w - 1)) c) where id % 3 = 0
+union all select id, (k * 9 + x)::bigint, y::bigint from s, generate_series(0, 2) t(k) where id % 3 = 1""")
+def decoded_runs(spark, sf):
+    """Polygons and run-length objects in JSON as runs, by a table function in a LATERAL join; what is no mask has none."""
+    runs.register(spark)
+    s = read(spark, sf, "supplier").selectExpr("s_suppkey id", "s_suppkey % 17 + 1 x", "s_suppkey % 5 + 1 y", "s_nationkey % 6 + 1 w", "s_nationkey % 4 + 1 h")
+    polygon = "format_string('[[%d, %d, %d, %d, %d, %d, %d, %d]]', x, y, x + w, y, x + w, y + h, x, y + h)"
+    listed = "concat('{\"size\": [12, 30], \"counts\": [', array_join(array(x, y, 9 - y, y, 9 - y, y), ', '), ']}')"
+    s.selectExpr("id", f"case id % 3 when 0 then {polygon} when 1 then {listed} else '{{broken' end segmentation").createOrReplaceTempView("_raw_masks")
+    return spark.sql("SELECT a.id, r.start, r.len FROM _raw_masks a, LATERAL mask_runs(a.segmentation, 12, 30) r")
+
+
 @query("with s as (select s_suppkey id, [-5.0::double, (s_suppkey % 120)::double, 300.0] xs, [(s_suppkey % 7)::double, 20.0, 90.0] ys from supplier where s_suppkey % 4 <> 0), c as (select id, list_transform(xs, lambda v: least(greatest(v, 0), 99.0)) a, list_transform(ys, lambda v: least(greatest(v, 0), 49.0)) b from s) select id, abs(a[1] * b[2] - a[2] * b[1] + a[2] * b[3] - a[3] * b[2] + a[3] * b[1] - a[1] * b[3]) / 2 area, a[1] x1, a[3] x3, b[3] y3 from c")
 def polygon_clamp(spark, sf):
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.lit(-5.0), (F.col("s_suppkey") % 120).cast("double"), F.lit(300.0)).alias("xs"), F.when(F.col("s_suppkey") % 4 != 0, F.array((F.col("s_suppkey") % 7).cast("double"), F.lit(20.0), F.lit(90.0))).otherwise(F.array(F.lit(1.0))).alias("ys"))
