@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import feature_cache_name, normal_text
 from ..operators import geometry, masks, protocol
 from . import png, readers, writers
+from .keyed import Keyed
 
 
 def local(path: str) -> str:
@@ -138,48 +139,33 @@ def reusable(spark: SparkSession, root: str, files: tuple[str, ...] = ("export_s
         return json.load(f)
 
 
+def _prompts(spark: SparkSession, path: str, method: str, fingerprint: str) -> Keyed:
+    return Keyed(spark, f"{path}/method={method}/fingerprint={fingerprint}", ("file_name", "class_id"), one=False)
+
+
 def merged_prompts(rows: DataFrame, path: str, method: str, fingerprint: str, configuration: dict | None = None) -> None:
     """Prompt cache: rows (file_name, class_id, ...) replace those of the same file and class, all others stay. The first write
     also leaves the configuration beside them."""
-    spark = rows.sparkSession
-    here = f"{path}/method={method}/fingerprint={fingerprint}"
-    old = [c for c in (f"{here}/a", f"{here}/b") if readers.exists(spark, f"{c}/_SUCCESS")]
-    merged = rows
-    if old:
-        kept = spark.read.parquet(old[0]).join(rows.select("file_name", "class_id").distinct(), ["file_name", "class_id"], "left_anti")
-        merged = kept.unionByName(rows)
-    new = f"{here}/b" if old and old[0].endswith("/a") else f"{here}/a"
-    merged.write.mode("overwrite").parquet(new)
-    for c in old:
-        removed(spark, c)
-    if configuration is not None and not readers.exists(spark, f"{here}/metadata.json"):
+    cache = _prompts(rows.sparkSession, path, method, fingerprint)
+    cache.put(rows)
+    here = cache.versions.root
+    if configuration is not None and not readers.exists(rows.sparkSession, f"{here}/metadata.json"):
         writers.json_atomic(f"{local(here)}/metadata.json", configuration)
 
 
 def prompt_lookup(wanted: DataFrame, path: str, method: str, fingerprint: str) -> DataFrame:
     """wanted (file_name, class_id, ...) with the cached rows; a miss has nulls."""
-    spark = wanted.sparkSession
-    here = f"{path}/method={method}/fingerprint={fingerprint}"
-    at = next(c for c in (f"{here}/a", f"{here}/b") if readers.exists(spark, f"{c}/_SUCCESS"))
-    return wanted.join(spark.read.parquet(at), ["file_name", "class_id"], "left")
+    return wanted.join(_prompts(wanted.sparkSession, path, method, fingerprint).rows(), ["file_name", "class_id"], "left")
 
 
 def feature_cache(rows: DataFrame, path: str) -> None:
     """Features by image key, under their cache names; a repeated write of a name replaces it."""
-    spark = rows.sparkSession
-    named = rows.withColumn("cache_name", feature_cache_name(F.col("image_key")))
-    if readers.exists(spark, f"{path}/current/_SUCCESS"):
-        old = spark.read.parquet(f"{path}/current").join(named.select("cache_name").distinct(), "cache_name", "left_anti")
-        named = old.unionByName(named)
-    named.write.mode("overwrite").parquet(f"{path}/next")
-    removed(spark, f"{path}/current")
-    fs, at = _fs(spark, f"{path}/next")
-    fs.rename(at, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current"))
+    Keyed(rows.sparkSession, path, ("cache_name",)).put(rows.withColumn("cache_name", feature_cache_name(F.col("image_key"))))
 
 
 def cached_features(wanted: DataFrame, path: str) -> DataFrame:
     """wanted (image_key, ...) with their cached features, by cache name; a miss has nulls."""
-    cached = wanted.sparkSession.read.parquet(f"{path}/current").drop("image_key")
+    cached = Keyed(wanted.sparkSession, path, ("cache_name",)).rows().drop("image_key")
     return wanted.withColumn("cache_name", feature_cache_name(F.col("image_key"))).join(cached, "cache_name", "left")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.keyed import Keyed
 
 
 def run_available(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, files_per_batch: int = 64) -> int:
@@ -17,12 +18,13 @@ def run_available(spark: SparkSession, source: str, schema: str, transform: Call
     return len([p for p in query.recentProgress if p["numInputRows"] > 0])
 
 
-def upsert_available(spark: SparkSession, source: str, schema: str, keys: tuple[str, ...], target: str, checkpoint: str) -> None:
-    """Like run_available, but a later row of a key replaces the earlier. Each batch writes a table of its own number, so a
-    repeated batch overwrites itself."""
+def upsert_available(spark: SparkSession, source: str, schema: str, keys: tuple[str, ...], target: str, checkpoint: str, order: tuple[str, ...] = ()) -> None:
+    """Like run_available, but a later row of a key replaces the earlier: of a batch's rows of a key the last by order (then by
+    all columns). The target (sources.keyed) notes each batch with its rows, so a repeated batch changes nothing."""
+    table = Keyed(spark, target, keys, order=order)
 
     def apply(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        table.put(rows, checkpoint, batch)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -30,6 +32,4 @@ def upsert_available(spark: SparkSession, source: str, schema: str, keys: tuple[
 
 def latest(spark: SparkSession, target: str, keys: tuple[str, ...]) -> DataFrame:
     """The newest row of each key of an upsert_available target."""
-    rows = spark.read.parquet(target)
-    others = [c for c in rows.columns if c not in (*keys, "_batch", "batch")]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in others])
+    return Keyed(spark, target, keys).rows()
