@@ -60,27 +60,32 @@ class Scorer:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self._forward(np.clip((x - self.mean) / self.scale, -6, 6))[1]
 
+    def _gradients(self, p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+        """Of the risk of a batch (standardised positives p, unlabelled u) by parameter. With a prior: where the part that stands
+        for negatives has fallen below 0, its gradient is reversed."""
+        sig = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        z = np.concatenate([p, u])
+        h, s = self._forward(z)
+        sp, su = s[: len(p)], s[len(p) :]
+        if prior is None:
+            g = np.concatenate([-sig(-sp) / len(sp), sig(su) / len(su)])
+        else:
+            slope_p, slope_u = sig(sp) * sig(-sp), sig(su) * sig(-su)
+            g_plus = np.concatenate([-prior * slope_p / len(sp), np.zeros(len(su))])
+            g_minus = np.concatenate([-prior * slope_p / len(sp), slope_u / len(su)])
+            g = -g_minus if sig(su).mean() < prior * sig(sp).mean() else g_plus + g_minus
+        dh = np.outer(g, self.params[2]) * (1 - h**2)
+        return [z.T @ dh + 1e-3 * self.params[0], dh.sum(axis=0), h.T @ g + 1e-3 * self.params[2], g.sum()]
+
     def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None) -> Scorer:
         """By the non-negative risk; without a prior, a plain logistic fit of positives against unlabelled."""
         rng, m, v, step = np.random.default_rng(SEED), [0.0] * 4, [0.0] * 4, 0
         p, u = (np.clip((x - self.mean) / self.scale, -6, 6) for x in (pos, unl))
-        sig = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         for _ in range(min(EPOCHS, -(-STEPS * BATCH // max(BATCH, len(u))))):
             order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
             for i in range(0, len(u), BATCH):
                 up, uu = order_p[np.arange(i, i + min(BATCH, len(u) - i)) % len(p)], order_u[i : i + BATCH]
-                z = np.concatenate([p[up], u[uu]])
-                h, s = self._forward(z)
-                sp, su = s[: len(up)], s[len(up) :]
-                if prior is None:
-                    g = np.concatenate([-sig(-sp) / len(sp), sig(su) / len(su)])
-                else:
-                    slope_p, slope_u = sig(sp) * sig(-sp), sig(su) * sig(-su)
-                    g_plus = np.concatenate([-prior * slope_p / len(sp), np.zeros(len(su))])
-                    g_minus = np.concatenate([-prior * slope_p / len(sp), slope_u / len(su)])
-                    g = -g_minus if sig(su).mean() < prior * sig(sp).mean() else g_plus + g_minus
-                dh = np.outer(g, self.params[2]) * (1 - h**2)
-                grads = [z.T @ dh + 1e-3 * self.params[0], dh.sum(axis=0), h.T @ g + 1e-3 * self.params[2], g.sum()]
+                grads = self._gradients(p[up], u[uu], prior)
                 step += 1
                 for k, q in enumerate(grads):
                     m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -33,6 +34,48 @@ def test_non_negative_risk_reverses_overfitting():
     assert minus > -0.1
 
 
+def plain_risk(model, p, u, prior):
+    """The risk of a batch by plain loops: what the step follows, and the part that stands for negatives."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    a, b, c, d = model.params
+
+    def logit(row):
+        hidden = [math.tanh(sum(row[i] * a[i][j] for i in range(len(row))) + b[j]) for j in range(len(b))]
+        return sum(h * w for h, w in zip(hidden, c, strict=True)) + float(d)
+
+    sp, su = [logit(r) for r in p], [logit(r) for r in u]
+    decay = 0.5e-3 * (sum(x * x for row in a for x in row) + sum(x * x for x in c))
+    if prior is None:
+        return sum(math.log1p(math.exp(-s)) for s in sp) / len(sp) + sum(math.log1p(math.exp(s)) for s in su) / len(su) + decay, None
+    plus = prior * sum(1 - sig(s) for s in sp) / len(sp)
+    minus = sum(sig(s) for s in su) / len(su) - prior * sum(sig(s) for s in sp) / len(sp)
+    return (plus + minus if minus >= 0 else -minus) + decay, minus
+
+
+@pytest.mark.parametrize("prior, sign", [(None, 0), (0.3, 1), (0.95, -1)])
+def test_gradients_are_those_of_the_plain_risk(prior, sign):
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.5 * (sign < 0), 1, (5, 4)), rng.normal(-1.0 * (sign < 0), 1, (7, 4))
+    model = pu._fresh(np.concatenate([p, u]))
+    model.params = [rng.normal(0, 0.7, np.shape(q)) + (sign < 0) * 0.1 for q in model.params]
+    if sign < 0:  # unlabelled rows that all look negative
+        model.params[3] = np.float64(-3.0)
+        p = -p
+        model.params[2] = np.abs(model.params[2]) * 0 + model.params[0].T @ p.mean(axis=0)
+    minus = plain_risk(model, p, u, prior)[1]
+    assert sign == 0 or np.sign(minus) == sign
+    grads = model._gradients(p, u, prior)
+    for k, q in enumerate(model.params):
+        for at in np.ndindex(np.shape(q)):
+            risks = []
+            for step in (1e-6, -1e-6):
+                model.params[k] = np.array(q, float)
+                model.params[k][at] += step
+                risks.append(plain_risk(model, p, u, prior)[0])
+            model.params[k] = q
+            assert grads[k][at] == pytest.approx((risks[0] - risks[1]) / 2e-6, abs=1e-6) if np.shape(q) else float(grads[k]) == pytest.approx((risks[0] - risks[1]) / 2e-6, abs=1e-6)
+
+
 def test_rows(spark):
     good, bad = _texts(120, 2)
     rows = [(i, t, "label") for i, t in enumerate(good + bad)] + [(None, "null id", "x"), (900, None, "x"), (901, "", "x"), (5, good[5], "x")]
