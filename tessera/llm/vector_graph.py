@@ -223,8 +223,13 @@ def _counted(linked: DataFrame) -> DataFrame:
     return linked.where("node = other").select("node", "n").unionByName(ends).groupBy("node").agg(F.sum("n").alias("n"))
 
 
+class RecallTooLow(RuntimeError):
+    """The widest search missed too many of the audited links."""
+
+
 def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", audit: int = AUDIT, least: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row. The audit's figures are logged."""
+    """(vec_id, n_links, component_id, kept) per row. The audit's figures are logged; RecallTooLow is raised if the widest search
+    stays below the least recall."""
     e = F.col("embedding")
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     fine = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -243,6 +248,8 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_i
         _log.info("recall audited on up to %d vectors: %s of %s links", 2 * audit, seen["found_links"], seen["true_links"])
         if seen["true_links"] is None or seen["recall"] >= least:
             break
+    else:
+        raise RecallTooLow(f"{seen['found_links']} of {seen['true_links']} audited links after {TRIES} searches, below {least}: no result is given")
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")]
     linked = rows.where("node is not null").select("vec_id", "node").join(found, "node").select("vec_id", "n_links", F.col("low").alias("component_id"))
     out = linked.unionByName(rows.where("node is null").select("vec_id", *alone))

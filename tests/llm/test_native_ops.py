@@ -267,6 +267,8 @@ def test_low_recall_is_seen_and_the_search_widened(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "_searched", blunt)
     out = vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
     assert tried == [1, 2, 4] and out.where("n_links > 0").count() > 300
+    with pytest.raises(vector_graph.RecallTooLow):  # no result below the bound
+        vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), least=1.1)
 
 
 def test_a_link_counts_whichever_shared_shard_finds_it(spark):
