@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import feature_cache_name, normal_text
 from ..operators import geometry, masks, protocol
 from . import png, readers, writers
+from .json_documents import written
 from .keyed import Keyed
 
 
@@ -110,15 +111,9 @@ def object_split(scenes: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def finalised(spark: SparkSession, lines: str, target: str) -> None:
-    """Prediction lines as one JSON array, streamed through the driver in the lines' order by (image, category, score)."""
-    rows = readers.json_lines(spark, lines).orderBy("image_id", "category_id", F.desc("score"))
-    path = local(target)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator(prefetchPartitions=True)):
-            f.write("," * (i > 0) + row["j"])
-        f.write("]")
-    os.replace(f"{path}.tmp", path)
+    """Prediction lines as one JSON array in order of (image, category, score), each task writing its rows at their place."""
+    rows = readers.json_lines(spark, lines).repartitionByRange("image_id", "category_id", F.desc("score")).sortWithinPartitions("image_id", "category_id", F.desc("score"))
+    written(local(target), [("[", rows, "]")])
 
 
 def results(spark: SparkSession, path: str, payload: dict, checkpoint: str) -> None:

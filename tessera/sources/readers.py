@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
+from ..operators.running import numbered
 from . import png
+from .json_documents import elements
 
 COCO = (
     "images array<struct<id:bigint,width:int,height:int,file_name:string,coco_url:string,not_exhaustive_category_ids:array<int>>>, "
@@ -25,12 +28,14 @@ SCENES = "image struct<bytes:binary,path:string>, filename string, folder string
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories). file_name falls back to the base name of coco_url; images without either drop out;
     segmentation stays raw JSON."""
-    doc = spark.read.option("multiLine", True).schema(COCO).json(path)
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
+    found = elements(spark, path)
+    shape = {f.name: f.dataType.elementType for f in StructType.fromDDL(COCO)}
+    of = lambda key: found.where(F.col("key") == key).select(F.from_json("element", shape[key]).alias("x"), "block", "seq")
+    images = of("images").select("x.*")
     name = F.coalesce(F.nullif(F.trim("file_name"), F.lit("")), F.nullif(F.element_at(F.split(F.trim("coco_url"), "/"), -1), F.lit("")))
     images = images.withColumn("file_name", name).where("file_name is not null").withColumn("not_exhaustive_category_ids", F.coalesce("not_exhaustive_category_ids", F.array().cast("array<int>")))
-    annotations = doc.select(F.explode("annotations").alias("a")).select("a.*")
-    return images, annotations, doc.select(F.posexplode("categories").alias("ord", "c")).select("c.*", "ord")
+    categories = numbered(of("categories").select("x.*", "block", "seq"), "block", "seq", name="_n").withColumn("ord", (F.col("_n") - 1).cast("int")).drop("block", "seq", "_n")
+    return images, of("annotations").select("x.*"), categories
 
 
 def grouped_annotations(annotations: DataFrame) -> DataFrame:
@@ -54,7 +59,8 @@ def json_lines(spark: SparkSession, path: str, schema: str = PREDICTIONS) -> Dat
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(PREDICTIONS).json(path)
+    """The objects of one JSON array."""
+    return elements(spark, path).select(F.from_json("element", PREDICTIONS).alias("x")).select("x.*")
 
 
 def manifest(spark: SparkSession, path: str, item: str) -> DataFrame:

@@ -9,16 +9,12 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .json_documents import written
+
 
 def bank(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Bank (raw, scored, filtered or reweighted: more columns) by class; only the classes written are replaced."""
-    spark = rows.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode(mode).partitionBy("class_name").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("class_name").parquet(path)
 
 
 def predictions(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -41,17 +37,8 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
 
 def coco_single_file(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """One compact JSON document for tools that want it; streamed row by row through the driver, never held whole."""
-    aside = f"{path}.tmp"
-    with open(aside, "w", encoding="utf-8") as f:
-        f.write("{")
-        for k, (name, rows) in enumerate((("images", images), ("annotations", annotations), ("categories", categories))):
-            f.write("," * (k > 0) + f'"{name}":[')
-            for i, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator(prefetchPartitions=True)):
-                f.write("," * (i > 0) + row["j"])
-            f.write("]")
-        f.write("}")
-    os.replace(aside, path)
+    """One compact JSON document for tools that want it; every task writes its rows at their place in the file."""
+    written(path, [('{"images":[', images, "]"), (',"annotations":[', annotations, "]"), (',"categories":[', categories, "]}")])
 
 
 def json_atomic(path: str, payload: dict, tries: int = 3) -> None:
