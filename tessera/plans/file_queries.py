@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import bank as banks
 from ..operators import masks, metrics, protocol, refill
-from ..sources import exports, readers, writers
+from ..sources import exports, mat, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
 from .engine import Config, Engine
@@ -538,6 +538,26 @@ def distinct_labels(spark, sf):
     return runs.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("label") - 1)).cast("array<string>"), ",").alias("labels"))
 
 
+@query(f"with {P} select image_id, class_id * 300 as label, count(*) pixels from p group by all")
+def mat_label_maps(spark, sf):
+    """Pixels by label of label maps that were written as MAT files (plain and compressed, both byte orders) and scanned."""
+    cells = patches(spark, sf).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("patch_no", "class_id"))).alias("c"))
+    folder = exports.local(place(spark, "mat"))
+    os.makedirs(folder)
+
+    def write(batches):
+        for x in batches:
+            for image, c in zip(x["image_id"], x["c"], strict=True):
+                grid = np.array([v["class_id"] for v in c], np.uint16) * 300
+                with open(f"{folder}/{image}.mat", "wb") as f:
+                    f.write(mat.encoded({"Other": np.eye(2), "LabelMap": grid.reshape(1, -1)}, bool(image % 2), "<" if image % 3 else ">"))
+            yield x[["image_id"]]
+
+    stored(cells.mapInPandas(write, "image_id long"))
+    found = readers.label_masks(readers.image_files(spark, folder, "*.mat"))
+    return found.groupBy(names.stem(F.col("path")).cast("long").alias("image_id"), F.col("label").cast("long").alias("label")).agg(F.sum("len").alias("pixels"))
+
+
 @query(f"with {_CELLS} select distinct image_id, 'copied' status from m")
 def copied_files(spark, sf):
     """Mask files copied to another folder."""

@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators.running import numbered
-from . import png
+from . import mat, png
 from .json_documents import elements
 
 COCO = (
@@ -255,15 +255,13 @@ def image_root(spark: SparkSession, root: str, candidates: list[str], samples: l
 
 
 def label_masks(images: DataFrame, content: str = "content") -> DataFrame:
-    """(path, label, start, len): column-major runs of each label of label images (PNG, .npy, and .mat with the key LabelMap
-    through a scientific library); files that cannot be read give no rows."""
+    """(path, label, start, len): column-major runs of each label of label images (PNG, .npy, and level-5 .mat with the
+    matrix LabelMap); files that cannot be read give no rows."""
     import io
 
     def load(path: str, data: bytes):
         if path.endswith(".mat"):
-            from scipy.io import loadmat
-
-            return np.asarray(loadmat(io.BytesIO(data))["LabelMap"])
+            return mat.variables(data)["LabelMap"].astype(np.int64)
         if path.endswith(".npy"):
             return np.load(io.BytesIO(data))
         return png.decode(bytes(data))
