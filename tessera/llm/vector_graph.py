@@ -246,7 +246,7 @@ def near_vectors(vectors: DataFrame, at_least: float = 0.9, vec_id: str = "vec_i
         true = _counted_by_force(asked, every, n, 1, at_least).join(found.select(F.col("node").alias("q"), "n_links", "mult"), "q")
         seen = _recall(true.select("n", (F.col("n_links") - F.col("mult") + 1).alias("n_links"))).first()
         _log.info("recall audited on up to %d vectors: %s of %s links", 2 * audit, seen["found_links"], seen["true_links"])
-        if seen["true_links"] is None or seen["recall"] >= least:
+        if not seen["true_links"] or seen["recall"] >= least:  # nothing to find, or enough found
             break
     else:
         raise RecallTooLow(f"{seen['found_links']} of {seen['true_links']} audited links after {TRIES} searches, below {least}: no result is given")

@@ -267,6 +267,9 @@ def test_low_recall_is_seen_and_the_search_widened(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "_searched", blunt)
     out = vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
     assert tried == [1, 2, 4] and out.where("n_links > 0").count() > 300
+    apart = spark.createDataFrame([(i, [float(i == j) for j in range(30)]) for i in range(30)], "vec_id long, embedding array<double>")
+    tried.clear()
+    assert vector_graph.near_vectors(apart).where("n_links = 0 and kept").count() == 30 and tried == [1]  # no links, none missed
     with pytest.raises(vector_graph.RecallTooLow):  # no result below the bound
         vector_graph.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), least=1.1)
 
