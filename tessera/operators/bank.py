@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import adaptive_threshold, ratio
-from ..sources.stored import stored
 from . import search
+from .clusters import cluster_count, with_clusters  # noqa: F401  (part of the bank's policies)
 from .running import Ranged, ranked
 
 #: Order of a bank: file key as text, then patch.
@@ -93,83 +91,6 @@ def clustered(bank: DataFrame, low: float = 0.65, high: float = 0.82, factor: fl
     return top_k(out.where("score >= threshold"), None, k)
 
 
-def cluster_count(n: int) -> int:
-    """round(sqrt(n / 250)) between 2 and 8 and at most n / 25; 1 below 200."""
-    return 1 if n < 200 else max(1, min(max(2, min(8, round((n / 250) ** 0.5))), max(1, n // 25)))
-
-
-def _nearest(m: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (2 * m @ c.T - (c**2).sum(axis=1)).argmax(axis=1)
-
-
-def _lloyd(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
-    """One round over all rows of the classes in centres: their new centres and their mean variance per dimension."""
-
-    def part(batches):
-        held: dict = {}
-        for x in batches:
-            for c, own in x.groupby("class_id"):
-                m, at = search.matrix(own["embedding"]).astype(float), centres[int(c)]
-                hot = np.eye(len(at))[_nearest(m, at)]
-                n, total, squares = held.get(int(c), (0.0, 0.0, 0.0))
-                held[int(c)] = n + hot.sum(axis=0), total + hot.T @ m, squares + float((m**2).sum())
-        yield pd.DataFrame([(c, n.tolist(), t.ravel().tolist(), q) for c, (n, t, q) in held.items()], columns=["class_id", "n", "total", "squares"])
-
-    def whole(x: pd.DataFrame) -> pd.DataFrame:
-        add = lambda c: np.sum([np.asarray(v, float) for v in x[c]], axis=0)
-        return pd.DataFrame({"class_id": x["class_id"].iloc[:1], "n": [add("n").tolist()], "total": [add("total").tolist()], "squares": [x["squares"].sum()]})
-
-    shape = "class_id int, n array<double>, total array<double>, squares double"
-    moving = rows.where(F.col("class_id").isin(list(centres))).select("class_id", "embedding")
-    out = {}
-    for r in moving.mapInPandas(part, shape).groupBy("class_id").applyInPandas(whole, shape).collect():
-        old, n = centres[r.class_id], np.array(r.n)
-        total = np.array(r.total).reshape(old.shape)
-        mean = total.sum(axis=0) / n.sum()
-        out[r.class_id] = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old), (r.squares / n.sum() - float(mean @ mean)) / old.shape[1]
-    return out
-
-
-def with_clusters(bank: DataFrame, sample: int = 20_000, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
-    """bank with a k-means cluster per class. Starting centres are fitted on a sample of each class; then Lloyd rounds go over
-    all rows of a class until its centres move by less than tolerance of the mean variance (the reference's rule and number of
-    rounds). Centres, at most 8 per class, pass through the driver. Labels are not comparable with those of other libraries."""
-    bank = stored(bank.withColumn("class_id", F.col("class_id").cast("int")))
-    sizes = bank.groupBy("class_id").agg(F.count("*").alias("_n"))
-    picked = bank.join(sizes, "class_id").where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("_n")) < sample)
-
-    def fit(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("vec_id")
-        m, k = search.matrix(x["embedding"]), cluster_count(int(x["_n"].iloc[0]))
-        rng = np.random.default_rng(seed)
-        c = m[rng.choice(len(m), min(k, len(m)), replace=False)]
-        for _ in range(20):
-            near = _nearest(m, c)
-            c = np.array([m[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
-        return pd.DataFrame({"class_id": x["class_id"].iloc[0], "_centres": [c.tolist()]})
-
-    first = picked.select("class_id", "vec_id", "embedding", "_n").groupBy("class_id").applyInPandas(fit, "class_id int, _centres array<array<double>>")
-    centres = {r.class_id: np.array(r._centres) for r in first.collect()}
-    moving = {c: v for c, v in centres.items() if len(v) > 1}
-    for _ in range(rounds):
-        if not moving:
-            break
-        got = _lloyd(bank, moving)
-        far = [c for c, (v, spread) in got.items() if ((v - moving[c]) ** 2).sum() > tolerance * spread]
-        centres |= {c: v for c, (v, _) in got.items()}
-        moving = {c: centres[c] for c in far}
-
-    @F.pandas_udf("int")
-    def nearest(e: pd.Series, c: pd.Series) -> pd.Series:
-        out = np.zeros(len(e), dtype="int32")
-        for one in c.unique():
-            at = (c == one).to_numpy()
-            out[at] = _nearest(search.matrix(e[at]), centres[int(one)])
-        return pd.Series(out)
-
-    return bank.withColumn("cluster", nearest("embedding", "class_id"))
-
-
 def keep_floor(bank: DataFrame, threshold: float, min_ratio: float = 0.30) -> DataFrame:
     """bank with keep: unscored or score >= threshold; if fewer than max(1, int(ratio * n)) of a class survive, its best so
     many are kept instead, unscored ranked as 0.5. Only classes that fall short are ranked."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.vectors import ratio
 from ..operators import bank as banks
-from ..operators import geometry, masks, matching, metrics, protocol, runs, search
+from ..operators import clusters, geometry, masks, matching, metrics, protocol, runs, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,25 @@ def filter_clustered_kmeans(spark, sf):
     return banks.clustered(rows, LOW, HIGH, smallest=5).select("vec_id", "class_id", "cluster", q6("score"))
 
 
+_GROUPS = "with s as (select count(*) n from embeddings), k as (select case when n < 200 then 1 else greatest(1, least(greatest(2, least(8, round(sqrt(n / 250)))), n // 25))::int end k from s), r as (select vec_id, vec_id % k g from embeddings cross join k)"
+
+
+def _separated(spark, sf):
+    """All vectors as one class, moved far apart along as many axes as the class's size asks for clusters."""
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    k = clusters.cluster_count(v.count())
+    away = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.pmod("vec_id", F.lit(k)), 50.0).otherwise(0.0))
+    return v.select("vec_id", F.lit(1).alias("class_id"), away.alias("embedding"))
+
+
+@query(f"{_GROUPS} select vec_id, min(vec_id) over (partition by g) first_vec_id, count(*) over (partition by g) cluster_size from r")
+def kmeans_separable(spark, sf):
+    """K-means of all vectors as one class in groups that lie far apart: the cluster of each by its first member, and its size."""
+    got = clusters.with_clusters(_separated(spark, sf)).select("vec_id", "cluster")
+    sizes = got.groupBy("cluster").agg(F.min("vec_id").alias("first_vec_id"), F.count("*").alias("cluster_size"))
+    return got.join(sizes, "cluster").select("vec_id", "first_vec_id", "cluster_size")
+
+
 _FLOOR = f"with {VOTES}, f as (select *, coalesce(score >= {{t}}, true) ok, count(*) over (partition by class_id) n, row_number() over (partition by class_id order by coalesce(score, 0.5) desc, file_key, patch_no) k from sc), g as (select *, sum(ok::int) over (partition by class_id) s, greatest(1, floor(n * 0.3)) need from f), h as (select *, case when s >= need then ok else k <= need end keep from g)"
 
 

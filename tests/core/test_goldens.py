@@ -223,7 +223,7 @@ def test_kmeans_centres_come_from_all_rows(spark):
     m = np.vstack([far[k % 3] + rng.normal(size=2) for k in range(900)])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, 1 + i // 600, v.tolist()) for i, v in enumerate(m)], "vec_id long, class_id int, embedding array<float>")
-    got = {r.vec_id: r.cluster for r in bank.with_clusters(rows, sample=12).collect()}
+    got = {r.vec_id: r.cluster for r in bank.with_clusters(rows).collect()}
     assert len(got) == 900
     for c in (range(600), range(600, 900)):
         own, near = m[list(c)], np.array([got[i] for i in c])
