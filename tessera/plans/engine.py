@@ -19,6 +19,8 @@ from ..operators import masks, matching, metrics, protocol
 from ..sources.stored import stored
 from ..sources.stored import workspace as shared
 from ..sources.versions import Versions
+from . import evaluation
+from .models import MaskModel
 
 METHODS = ("absolute", "relative", "hybrid")
 FILTERS = ("fixed", "adaptive", "clustered", "floor", "reweight")
@@ -56,6 +58,7 @@ class Config:
     min_component: int = 4
     hybrid_threshold: float | None = 0.8
     max_references: int | None = 10_000
+    max_points: int | None = None
     grid: tuple[int, int] = (96, 96)
     size: tuple[float, float] = (1536.0, 1536.0)
     start_stage: int = 1
@@ -134,6 +137,17 @@ class Engine:
         points = prompts.select("image_id", "class_id", F.monotonically_increasing_id().alias("point_id"), "x", "y", F.lit(width).alias("width"), F.lit(height).alias("height"))
         return metrics.point_metrics(points, instances)
 
+    def predict(self, images: DataFrame, asked: DataFrame, load: Callable[[], MaskModel], prompts: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
+        """A mask model's answers (evaluation.ANSWERS) for the classes asked of each image, by text, by the points of prompts, or
+        by both, as the segmentation asks for. Prompts as the hybrid matcher gives them are cut at its threshold first; a pair
+        that loses all of them still counts as one of which prompts are known."""
+        c = self.config
+        if prompts is None or c.segmentation == "text":
+            return evaluation.predicted(evaluation.requests(images, asked), load, c.segmentation)
+        known = prompts if cached is None else cached
+        used = matching.validated(prompts, c.hybrid_threshold) if c.method == "hybrid" else prompts
+        return evaluation.predicted(evaluation.requests(images, asked, used, known, c.max_points), load, c.segmentation)
+
     def merge(self, text: DataFrame, point: DataFrame) -> DataFrame:
         """The masks that the segmentation asks for: one side's pixels or the union of both. Sides: (image_id, class_id, pixel,
         score)."""

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import bank as banks
 from ..operators import masks, metrics, protocol, refill
-from ..sources import exports, mat, readers, writers
+from ..sources import exports, mat, png, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
+from . import evaluation
 from .engine import Config, Engine
 from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, queries_of, query, read, scored_bank
 
@@ -531,6 +532,91 @@ def merge_and_evaluate(spark, sf):
     return metrics.with_ratios(counts).select("class_id", "tp", "fp", "fn", F.round("iou", 6).alias("iou"))
 
 
+_ASKED = f"""{P}, i as (select distinct image_id from p), g as (select i.image_id, k // 5 "row", k % 5 col, coalesce(p.class_id + 1, 0) label from i cross join range(25) r(k) left join p on p.image_id = i.image_id and p.patch_no = k),
+s as (select image_id, (sum(label) % 97 + 1) / 98.0::double s from g group by 1), a as (select image_id, class_id, (image_id + class_id) % 5 <> 0 cached, class_id % 10 = 3 bad from p group by all),
+t as (select image_id, class_id, "row", count(*) n, min(col) lo, max(col) hi from p group by all),
+pt as (select a.image_id, a.class_id, k "row", k + 1 rank, coalesce(case when a.image_id % 2 = 0 then lo else hi end, (a.image_id + k) % 5) col, ((a.image_id * 7 + k * 13 + a.class_id) % 101 + 1) / 102.0::double ps
+  from a cross join range(5) r(k) left join t on t.image_id = a.image_id and t.class_id = a.class_id and t."row" = k where cached),
+pm as (select pt.image_id, pt.class_id, pt."row", pt.rank, o.label, count(*) n from pt join g o on o.image_id = pt.image_id and o."row" = pt."row" and o.col = pt.col
+  join g m on m.image_id = pt.image_id and m."row" = pt."row" and m.label = o.label and m.col <= pt.col where pt.col < 4 group by all),
+pr as (select *, row_number() over (partition by image_id, class_id order by rank) j from pm)"""
+_ANSWERED = f"""{_ASKED}, ok as (select 'point' "mode", image_id, class_id from a where cached union all select m, image_id, class_id from a cross join (values ('text'), ('text_point')) v(m)),
+px as (select 'text' "mode", image_id, class_id, 0 inst, s score, "row" from p join s using (image_id) where "row" < 2 or col < 4
+  union all select 'text_point', p.image_id, p.class_id, case when cached and not bad then 0 else ("row" >= 2)::int end, case when cached and not bad then s * 0.9 when "row" < 2 then s / 2 else s end, "row"
+  from p join s using (image_id) join a on a.image_id = p.image_id and a.class_id = p.class_id where case when cached and not bad then "row" >= 2 else "row" < 2 or col < 4 end),
+pc as (select "mode", image_id, class_id, inst, score, "row", count(*) i from px group by all), ov as (select *, sum(i) over (partition by "mode", image_id, class_id, inst) size from pc),
+rec as (select "mode", image_id, class_id, inst, score, max((i / (size + n - i) >= 0.5)::int) hit, max(size) tp, 0 fp from ov join t using (image_id, class_id, "row") group by all
+  union all select 'point', pr.image_id, pr.class_id, j - 1, q.ps * s, (label = pr.class_id + 1 and pr.n / t.n >= 0.5)::int, case when label = pr.class_id + 1 then pr.n else 0 end, case when label = pr.class_id + 1 then 0 else pr.n end
+  from pr join s using (image_id) join pt q on q.image_id = pr.image_id and q.class_id = pr.class_id and q.rank = j left join t on t.image_id = pr.image_id and t.class_id = pr.class_id and t."row" = pr."row"),
+gt as (select "mode", class_id, count(*) gt_count, sum(n) pixels from ok join t using (image_id, class_id) group by all),
+c as (select "mode", class_id, sum(tp) tp, sum(fp) fp from rec group by all),
+w as (select *, sum(hit) over (partition by "mode", class_id order by score desc, image_id, inst rows between unbounded preceding and current row) / row_number() over (partition by "mode", class_id order by score desc, image_id, inst) pre from rec),
+e as (select *, max(pre) over (partition by "mode", class_id order by score desc, image_id, inst rows between current row and unbounded following) env from w),
+ap as (select "mode", class_id, sum(hit * env) x from e group by all)"""
+
+
+def _mask_model():
+    """A model of grey images whose samples are classes plus 1. For a text: the pixels of its class, those of the first two rows
+    apart. For points: the pixels of the sample at the point in its row up to the point's column, none in the last column. For
+    both: the pixels of the class from the third row on; it fails for classes that end in 3."""
+
+    def model(content, prompt, points):
+        image = png.decode(content)
+        image = image.reshape(image.shape[0], image.shape[1], -1)[:, :, 0].astype(int)
+        row, col = np.indices(image.shape)
+        s = (int(image.sum()) % 97 + 1) / 98.0
+        if not prompt:
+            at = [(int(x), int(y)) for x, y in points]
+            return [((image == image[y, x]) & (row == y) & (col <= x) & (x < 4), s) for x, y in at]
+        cls = int(prompt.rsplit("c", 1)[1])
+        own = image == cls + 1
+        if points:
+            if cls % 10 == 3:
+                raise ValueError("points")
+            return [(own & (row >= 2), s * 0.9)]
+        return [(own & (row < 2), s / 2), (own & (row >= 2) & (col < 4), s)]
+
+    return model
+
+
+def _answers(spark, sf) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(truth, answers by mode): every image asked for its classes by text, by points, and by both."""
+    p = patches(spark, sf)
+    images = _mask_files(spark, sf).select("image_id", "content", F.lit(5).alias("height"), F.lit(5).alias("width"))
+    asked = p.select("image_id", "class_id").distinct().withColumn("prompt", names.prompt_text(F.concat(F.lit("c"), "class_id")))
+    cached = asked.where("(image_id + class_id) % 5 <> 0")
+    ends = p.groupBy("image_id", "class_id", "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    rows = cached.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(ends, ["image_id", "class_id", "row"], "left")
+    col = F.coalesce(F.when(F.expr("image_id % 2 = 0"), F.col("lo")).otherwise(F.col("hi")), F.expr("(image_id + row) % 5"))
+    prompts = rows.select("image_id", "class_id", (F.col("row") + 1).alias("rank"), (col + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), F.expr("((image_id * 7 + row * 13 + class_id) % 101 + 1) / 102D").alias("score"))
+    engine = {m: Engine(Config(segmentation=m, hybrid_threshold=None)) for m in evaluation.MODES}
+    answers = {m: stored(e.predict(images, asked, _mask_model, prompts)) for m, e in engine.items()}
+    truth = p.select("image_id", "class_id", F.col("row").alias("inst"), (F.col("col") * 5 + F.col("row")).cast("long").alias("start"), F.lit(1).cast("long").alias("len"))
+    return truth, answers
+
+
+@query(f"with {_ANSWERED} select gt.\"mode\", gt.class_id, coalesce(tp, 0)::bigint tp, coalesce(fp, 0)::bigint fp, (pixels - coalesce(tp, 0))::bigint fn, gt_count, round(coalesce(x, 0) / gt_count, 6) ap from gt left join c using (\"mode\", class_id) left join ap using (\"mode\", class_id)")
+def predicted_masks(spark, sf):
+    """Masks predicted from texts, from points and from both, evaluated per class by pixels and by average precision."""
+    truth, answers = _answers(spark, sf)
+    out = None
+    for mode, found in answers.items():
+        one = evaluation.class_results(*evaluation.evaluated(found, truth, mode))
+        one = one.select(F.lit(mode).alias("mode"), "class_id", "tp", "fp", "fn", "gt_count", F.round("ap", 6).alias("ap"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {_ASKED}, h as (select distinct image_id, class_id, true got from pr) select 'text' \"mode\", count(*) pairs, 0::bigint missing_prompts, 0::bigint text_only_fallbacks, 0::bigint combined_prediction_errors, 0::bigint skipped_prediction_errors from a union all select 'point', count(*), sum((not cached)::int)::bigint, 0, 0, sum((cached and got is null)::int)::bigint from a left join h using (image_id, class_id) union all select 'text_point', count(*), sum((not cached)::int)::bigint, sum((not cached or bad)::int)::bigint, sum((cached and bad)::int)::bigint, 0 from a")
+def prediction_counters(spark, sf):
+    """How often no prompts were known, the text alone was asked, and the model failed."""
+    out = None
+    for mode, found in _answers(spark, sf)[1].items():
+        one = evaluation.counters(found, mode).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("select image_id, array_to_string(list_sort(list(distinct label)), ',') labels from (select vec_id // 25 image_id, label from embeddings) group by 1")
 def distinct_labels(spark, sf):
     """The labels of each mask file, sorted."""
