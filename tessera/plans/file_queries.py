@@ -5,6 +5,7 @@ The files lie in a folder of the workspace that driver and executors share. SQL
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import replace
 
@@ -19,7 +20,7 @@ from ..operators import masks, metrics, protocol, refill
 from ..sources import exports, mat, png, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
-from . import evaluation
+from . import building, evaluation
 from .engine import Config, Engine
 from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, queries_of, query, read, scored_bank
 
@@ -617,6 +618,38 @@ def prediction_counters(spark, sf):
     return out
 
 
+def _cell_encoder():
+    """An encoder of grey images: the sample and the place of each cell. It fails on images whose samples add up to a multiple of 7."""
+
+    def encoder(batch):
+        out = []
+        for content in batch:
+            image = png.decode(content)
+            image = image.reshape(image.shape[0], image.shape[1], -1)[:, :, 0].astype(float)
+            if int(image.sum()) % 7 == 0:
+                raise ValueError("unreadable")
+            row, col = np.indices(image.shape)
+            out.append(np.stack([image, row, col], axis=2))
+        return out
+
+    return encoder
+
+
+@query(f"""with {_CELLS}, fine as (select image_id from m group by 1 having sum(label) % 7 <> 0), own as (select m.*, dense_rank() over (partition by label order by image_id) k from m join fine using (image_id))
+select label::int - 1 class_id, image_id, image_id * 10 + label - 1 ann_id, image_id || '_' || (image_id * 10 + label - 1) || '.pt' file_key, count(*) vectors, sum("row" * 5 + col)::bigint places, round(sum(label / sqrt(label * label + "row" * "row" + col * col)), 4) total from own where k <= 3 group by all""")
+def built_bank(spark, sf):
+    """A bank of the first three readable images of each class, from image files and run-length annotations."""
+    p = patches(spark, sf)
+
+    @F.pandas_udf("string")
+    def runs(places: pd.Series) -> pd.Series:
+        return places.map(lambda k: json.dumps(masks.encode(np.bincount(k, minlength=25).reshape(5, 5))))
+
+    anns = p.groupBy("image_id", "class_id", "ann_id").agg(F.collect_list("patch_no").alias("k")).select("image_id", "class_id", "ann_id", runs("k").alias("segmentation"), F.lit(5).alias("height"), F.lit(5).alias("width"))
+    got = building.built(_mask_files(spark, sf).select("image_id", "content"), anns, _cell_encoder, max_images=3, size=10, patch=2)
+    return got.groupBy("class_id", "image_id", "ann_id", "file_key").agg(F.count("*").alias("vectors"), F.sum("patch_no").cast("long").alias("places"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("total"))
+
+
 @query("select image_id, array_to_string(list_sort(list(distinct label)), ',') labels from (select vec_id // 25 image_id, label from embeddings) group by 1")
 def distinct_labels(spark, sf):
     """The labels of each mask file, sorted."""

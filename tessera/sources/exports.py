@@ -182,3 +182,67 @@ def resized_masks(files: DataFrame, height: int, width: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "label", "pixels"])
 
     return files.select("path", "content").mapInPandas(run, "path string, label int, pixels long")
+
+
+def support_masks(manifest: DataFrame, runs: DataFrame, references: DataFrame, folder: str, dataset: str, overwrite: bool = False) -> DataFrame:
+    """The support manifest's items, and per item one mask of 0 and 255, the union of the class's annotations in the image, at
+    <folder>/reference_masks/<class>/<file stem>.png. Masks that are there stay, unless overwrite.
+
+    manifest: (class_id, class_name, image_id, file_name, height, width, ann_ids); runs: (image_id, class_id, start, len), which
+    may overlap; references: (image_id, relative_output_path), images without one are left out. Items without runs get an empty
+    mask. A task writes each mask aside and renames it, so that a lost task leaves no broken file."""
+    target = local(folder)
+    spans = runs.where("len > 0").groupBy("image_id", "class_id").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("runs"))
+    stem = F.regexp_replace(F.replace("file_name", F.lit("/"), F.lit("__")), r"(?<=[^.])\.[^.]*$", "")
+    rows = manifest.join(references.select("image_id", "relative_output_path").dropDuplicates(["image_id"]), "image_id").join(spans, ["image_id", "class_id"], "left")
+    items = rows.select(
+        F.lit(dataset).alias("dataset"), F.lit("train").alias("split"), "class_id", "class_name", "image_id", F.concat(F.lit("reference_imgs/"), "relative_output_path").alias("image_path"),
+        F.concat(F.lit("reference_masks/"), "class_name", F.lit("/"), stem, F.lit(".png")).alias("mask_path"), "ann_ids", F.lit("semantic_union_binary").alias("mask_type"),
+        F.col("file_name").alias("source_image_name"), "height", "width", "runs",
+    )
+    kept = items.drop("height", "width", "runs")
+
+    def write(batches):
+        for x in batches:
+            for rel, h, w, own in zip(x["mask_path"], x["height"], x["width"], x["runs"], strict=True):
+                path = os.path.join(target, rel)
+                if os.path.exists(path) and not overwrite:
+                    continue
+                flat = np.zeros(int(h) * int(w), np.uint8)
+                for r in own if own is not None else ():
+                    flat[r["start"] : r["start"] + r["len"]] = 255
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(png.encode(flat.reshape(int(w), int(h)).T))
+                os.replace(f.name, path)
+            yield x.drop(columns=["height", "width", "runs"])
+
+    return items.mapInPandas(write, kept.schema)
+
+
+def manifest_document(items: DataFrame, path: str, order: tuple[str, ...] = ("class_name", "image_id")) -> None:
+    """A manifest as one JSON document {"items": [...]} in the given order, every task writing its rows at their place."""
+    written(local(path), [('{"items":[', items.repartitionByRange(*order).sortWithinPartitions(*order), "]}")])
+
+
+def support_protocol(items: DataFrame, categories: DataFrame, path: str, about: dict) -> None:
+    """The protocol beside a support manifest: the classes in order of id with their number of supports (0 where there is none),
+    and about, the caller's own entries. As many rows as classes pass through the driver. categories: (class_id, class_name)."""
+    n = items.groupBy("class_id").agg(F.count("*").alias("support_count"))
+    rows = categories.join(n, "class_id", "left").select("class_id", "class_name", F.coalesce("support_count", F.lit(0)).alias("support_count")).orderBy("class_id")
+    writers.json_atomic(local(path), {**about, "class_vocabulary": [r.asDict() for r in rows.collect()]})
+
+
+def mapping_reports(mapping: DataFrame, low: DataFrame, folder: str, payload: dict) -> None:
+    """A label mapping as four JSON documents: summary (payload, with the counts of mapped and doubtful labels), mapping (raw to
+    reference), mapping_detailed, low_confidence_mapping. A row per label passes through the driver."""
+    target = local(folder)
+    os.makedirs(target, exist_ok=True)
+    plain = lambda d: [r.asDict(recursive=True) for r in d.orderBy("raw").collect()]
+    rows, doubtful = plain(mapping), plain(low)
+    documents = {
+        "summary": {**payload, "mapped_raw_ids": len(rows), "low_confidence_raw_ids": len(doubtful)}, "mapping": {"mapping": {str(r["raw"]): r["target"] for r in rows}},
+        "mapping_detailed": rows, "low_confidence_mapping": doubtful,
+    }
+    for name, document in documents.items():
+        writers.json_atomic(f"{target}/{name}.json", document)
