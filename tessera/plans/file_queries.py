@@ -22,7 +22,7 @@ from ..sources.stored import place, stored
 from ..streaming import resume
 from . import building, evaluation
 from .engine import Config, Engine
-from .queries import _ANN, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, bank_of, patches, queries_of, query, read, scored_bank
+from .queries import _ANN, _IMAGES, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, _images, bank_of, patches, queries_of, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -650,6 +650,41 @@ def built_bank(spark, sf):
     return got.groupBy("class_id", "image_id", "ann_id", "file_key").agg(F.count("*").alias("vectors"), F.sum("patch_no").cast("long").alias("places"), F.round(F.sum(F.col("embedding")[0].cast("double")), 4).alias("total"))
 
 
+@query(f"with {P}, {_IMAGES}, c as (select class_id, image_id, ann_id, count(*) pixels from p where image_id % 2 = 0 group by all) select class_id, 'c' || class_id class_name, image_id, 'reference_imgs/' || file_name image_path, 'reference_masks/c' || class_id || '/' || replace(replace(file_name, '/', '__'), '.jpg', '.png') mask_path, ann_id::varchar ann_ids, pixels from c join im using (image_id)")
+def support_masks(spark, sf):
+    """Support masks of 0 and 255 and their manifest document, both read back: an item's pixels of 255."""
+    p = patches(spark, sf)
+    images = _images(spark, sf)
+    anns, refs = p.select("class_id", "image_id", "ann_id").distinct(), bank_of(p).select("class_id", "image_id")
+    manifest = protocol.support_manifest(anns, images, p.select("class_id").distinct(), refs).withColumns({"class_name": F.concat(F.lit("c"), "class_id"), "height": F.lit(5), "width": F.lit(5)})
+    runs = p.select("image_id", "class_id", (F.col("col") * 5 + F.col("row")).cast("long").alias("start"), F.lit(1).cast("long").alias("len"))
+    folder = place(spark, "support")
+    items = stored(exports.support_masks(manifest, runs, images.withColumnRenamed("file_name", "relative_output_path"), folder, "tables"))
+    path = f"{exports.local(folder)}/support_manifest.json"
+    exports.manifest_document(items, path)
+    held = readers.manifest(spark, path, "class_id:int,class_name:string,image_id:bigint,image_path:string,mask_path:string,ann_ids:array<bigint>")
+    files = readers.image_files(spark, f"{folder}/reference_masks", "*.png")
+    pixels = readers.label_masks(files).where("label = 255").groupBy("path").agg(F.sum("len").alias("pixels"))
+    pixels = pixels.select(F.concat(F.lit("reference_masks/"), F.element_at(F.split("path", "/reference_masks/"), -1)).alias("mask_path"), "pixels")
+    return held.join(pixels, "mask_path").select("class_id", "class_name", "image_id", "image_path", "mask_path", F.array_join(F.col("ann_ids").cast("array<string>"), ",").alias("ann_ids"), "pixels")
+
+
+@query("""with n as (select l_suppkey % 40 raw, l_linenumber % 3 as ref, count(*) n from lineitem group by 1, 2), m as (select raw, arg_min("ref", (-n, "ref")) target, max(n) top, sum(n) total from n group by 1)
+select 'mapping' report, raw::bigint raw, target::bigint target from m union all select 'low_confidence_mapping', raw, target from m where top / total < 0.95 union all select 'summary', count(*), count(*) filter (top / total < 0.95) from m""")
+def mapping_documents(spark, sf):
+    """The documents of a label mapping, read back."""
+    li = read(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("raw"), (F.col("l_linenumber") % 3).alias("ref"))
+    mapping = stored(protocol.label_mapping(protocol.confusion(li, "raw", "ref")))
+    folder = exports.local(place(spark, "mapping"))
+    exports.mapping_reports(mapping, protocol.low_confidence(mapping), folder, {"seed": 20260324})
+    text = lambda name, shape: spark.read.option("multiLine", True).schema(shape).json(f"{folder}/{name}.json")
+    pairs = text("mapping", "mapping map<string,bigint>").select(F.explode("mapping").alias("raw", "target"))
+    out = pairs.select(F.lit("mapping").alias("report"), F.col("raw").cast("long").alias("raw"), "target")
+    doubtful = text("low_confidence_mapping", "raw long, target long").select(F.lit("low_confidence_mapping").alias("report"), "raw", "target")
+    counted = text("summary", "mapped_raw_ids long, low_confidence_raw_ids long").select(F.lit("summary").alias("report"), F.col("mapped_raw_ids").alias("raw"), F.col("low_confidence_raw_ids").alias("target"))
+    return out.unionByName(doubtful).unionByName(counted)
+
+
 @query("select image_id, array_to_string(list_sort(list(distinct label)), ',') labels from (select vec_id // 25 image_id, label from embeddings) group by 1")
 def distinct_labels(spark, sf):
     """The labels of each mask file, sorted."""
