@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import adaptive_threshold, ratio
 from . import search
 from .clusters import cluster_count, with_clusters  # noqa: F401  (part of the bank's policies)
-from .running import Ranged, ranked
+from .running import Ranged, numbered, ranked
 
 #: Order of a bank: file key as text, then patch.
 ORDER = ("file_key", "patch_no")
@@ -135,6 +135,17 @@ def first_n(bank: DataFrame, n: int) -> DataFrame:
     return first_rows(bank, ("class_id",), [F.col(c) for c in ORDER], n)
 
 
+def with_prototypes(bank: DataFrame, prototypes: DataFrame, instead: bool = True) -> DataFrame:
+    """bank (vec_id, class_id, file_key, patch_no, embedding) with the prototypes (class_id, place, embedding) of its classes:
+    instead of a class's vectors, or as its last file. A class may have prototypes only. Prototypes have negative vec_ids."""
+    own = numbered(prototypes.where("embedding is not null"), "class_id", "place", name="_n")
+    kinds = {f.name: f.dataType for f in bank.schema.fields}
+    columns = {"vec_id": -F.col("_n"), "class_id": F.col("class_id"), "file_key": F.lit("prototypes.pt"), "patch_no": F.col("place"), "embedding": F.col("embedding")}
+    rows = own.select(*[e.cast(kinds[c]).alias(c) for c, e in columns.items()])
+    held = bank.select(*columns)
+    return (held.join(rows.select("class_id").distinct(), "class_id", "left_anti").select(*columns) if instead else held).unionByName(rows)
+
+
 def quota(annotations: DataFrame, max_images: int | None = None, max_features: int | None = None) -> DataFrame:
     """Annotations (class_id, image_id, ann_id, n_patches) that a sequential build under one quota or both would take.
 

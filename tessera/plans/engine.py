@@ -123,9 +123,12 @@ class Engine:
             return banks.adaptive(kept, c.adaptive_low, c.adaptive_high, c.adaptive_factor, c.top_k)
         return banks.clustered(banks.with_clusters(kept), c.adaptive_low, c.adaptive_high, c.adaptive_factor, c.min_cluster_size, c.top_k)
 
-    def match(self, queries: DataFrame, bank: DataFrame) -> DataFrame:
-        """Prompts with score. queries: (class_id, image_id, row, col, embedding), a class per image it is asked for."""
+    def match(self, queries: DataFrame, bank: DataFrame, prototypes: DataFrame | None = None) -> DataFrame:
+        """Prompts with score. queries: (class_id, image_id, row, col, embedding), a class per image it is asked for. prototypes
+        (class_id, place, embedding) stand in for the vectors of their classes; the absolute matcher takes them as one file more."""
         c = self.config
+        if prototypes is not None:
+            bank = banks.with_prototypes(bank, prototypes, c.method != "absolute")
         used = bank if c.max_references is None else banks.first_n(bank, c.max_references)
         if c.method == "absolute":
             return matching.absolute(queries, used, c.num_points, c.sim_threshold, c.grid, c.size).withColumnRenamed("sim", "score")

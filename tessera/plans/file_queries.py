@@ -11,18 +11,18 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import bank as banks
-from ..operators import masks, metrics, protocol, refill
+from ..operators import masks, metrics, protocol, refill, search
 from ..sources import exports, mat, png, readers, writers
 from ..sources.stored import place, stored
 from ..streaming import resume
 from . import building, evaluation
 from .engine import Config, Engine
-from .queries import _ANN, _IMAGES, HIGH, KEEP, LOW, P, QUERIES, SQL, VOTES, _annotations, _images, bank_of, patches, queries_of, query, read, scored_bank
+from .queries import _ANN, _IMAGES, HIGH, KEEP, LOW, P, QUERIES, SIM, SQL, VOTES, _annotations, _images, bank_of, patches, queries_of, query, read, scored_bank
 
 __all__ = ["QUERIES", "SQL"]
 IMAGES = """im as (select s_suppkey image_id, coalesce(case when s_suppkey % 5 <> 0 then s_name || '.jpg' end,
@@ -685,6 +685,43 @@ def mapping_documents(spark, sf):
     return out.unionByName(doubtful).unionByName(counted)
 
 
+@query(f"""with {P}, c as (select distinct image_id, class_id, "row" from p), o as (select image_id, class_id, class_id % 4 rank, row_number() over (partition by image_id order by class_id) k, count(*) over (partition by image_id) n from (select distinct image_id, class_id from p)),
+v as (select c.image_id, c."row", arg_max(o.class_id, o.rank * 1000 + o.class_id) class_id from c join o using (image_id, class_id) where class_id % 5 <> 4 and not (c.image_id % 3 = 0 and k = n) group by all)
+select image_id, image_id % 3 = 0 and (select count(distinct class_id) from p where p.image_id = v.image_id) > 1 mismatched, class_id + 1 as label, 5 * count(*) pixels from v group by all""")
+def scene_label_maps(spark, sf):
+    """Label maps of scenes whose objects overlap: each covers the rows that its class lies in, some lack their instance."""
+    p = patches(spark, sf)
+
+    @F.pandas_udf("binary")
+    def mask(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda k: png.encode(np.repeat(np.isin(np.arange(5), k)[:, None], 5, axis=1).astype(np.uint8) * 255))
+
+    each = p.groupBy("image_id", "class_id").agg(F.collect_set("row").alias("rows")).select("image_id", "class_id", mask("rows").alias("mask"))
+    name = F.concat(F.lit(" c"), F.col("class_id").cast("string"), F.lit("  "))
+    one = F.struct("class_id", F.struct(name.alias("name"), F.lit(None).cast("string").alias("raw_name"), (F.col("class_id") % 4).cast("int").alias("depth_ordering_rank")).alias("object"), F.struct(F.col("mask").alias("bytes")).alias("instance"))
+    scenes = each.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("a"))
+    n = F.size("a") - F.expr("cast(image_id % 3 = 0 as int)")
+    scenes = scenes.select(F.col("image_id").cast("string").alias("filename"), F.lit(5).alias("width"), F.lit(5).alias("height"), F.col("a.object").alias("objects"), F.slice(F.col("a.instance"), F.lit(1), n).alias("instances"))
+    categories = p.select("class_id").distinct().where("class_id % 5 <> 4").select((F.col("class_id") + 1).alias("category_id"), F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("name"))
+    runs = exports.scene_labels(scenes, categories).where("label > 0")
+    return runs.groupBy(F.col("filename").cast("long").alias("image_id"), "mismatched", "label").agg(F.sum("len").alias("pixels"))
+
+
+@query(f"with {SIM}, b as (select * from bank where class_id % 3 <> 0 or patch_no < 5), x as (select a.class_id, q.image_id, q.\"row\", q.col, max(list_inner_product(b.e, q.e) / (b.m * q.m)) sim from q join asked a using (image_id) join b on b.class_id = a.class_id group by all) select class_id, image_id, \"row\", col, round(sim, 6) sim from x")
+def prototype_similarity(spark, sf):
+    """Similarity to a bank of which a third of the classes has prototypes, written beside it and read back, in their place."""
+    p = patches(spark, sf)
+    folder, own = place(spark, "prototypes"), bank_of(p)
+    named = own.withColumn("class_name", F.concat(F.lit("c"), F.col("class_id").cast("string")))
+    writers.bank(named.select("class_name", "image_id", "ann_id", "patch_no", "embedding", F.lit(None).cast("float").alias("score"), F.lit(0).alias("tp"), F.lit(0).alias("fp")), folder)
+    protos = named.where("class_id % 3 = 0 and patch_no < 5").withColumn("place", F.row_number().over(Window.partitionBy("class_name").orderBy("vec_id")))
+    writers.prototypes(protos, folder)
+    number = F.expr("cast(substr(class_name, 2) as int)").alias("class_id")
+    held = readers.bank(spark, folder).withColumns({"vec_id": F.col("image_id") * 25 + F.col("patch_no"), "file_key": banks.file_key(F.col("image_id"), F.col("ann_id"))}).select("vec_id", number, "file_key", "patch_no", "embedding")
+    used = banks.with_prototypes(held, readers.prototypes(spark, folder).select(number, "place", "embedding"))
+    return search.best_similarity(queries_of(p), used).withColumn("sim", F.round("sim", 6))
+
+
 @query("select image_id, array_to_string(list_sort(list(distinct label)), ',') labels from (select vec_id // 25 image_id, label from embeddings) group by 1")
 def distinct_labels(spark, sf):
     """The labels of each mask file, sorted."""

@@ -110,6 +110,46 @@ def object_split(scenes: DataFrame, categories: DataFrame) -> DataFrame:
     return protocol.numbered(out, "filename", "pos")
 
 
+def scene_labels(scenes: DataFrame, categories: DataFrame) -> DataFrame:
+    """(filename, mismatched, label, start, len): column-major runs of the label map of each scene, from its objects paired by
+    place with the masks of its instances, the shorter list's length; mismatched: the lists differ in length. Painted by rising
+    depth rank (9999 where unknown), later over earlier; names that are not known and masks that cannot be read paint nothing.
+
+    scenes: (filename, width, height, objects, instances) with a PNG per instance, above 0 inside; categories: (category_id,
+    name), which every task gets as a map: as many entries as there are classes."""
+    known = categories.agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("category_id").cast("int")))).alias("_ids"))
+    pairs = F.transform(
+        protocol.zipped(F.col("objects"), F.col("instances")),
+        lambda v, i: F.struct(F.coalesce(v["object"]["depth_ordering_rank"], F.lit(9999)).alias("rank"), i.alias("at"), normal_text(v["object"]["name"], v["object"]["raw_name"]).alias("name"), v["instance"]["bytes"].alias("mask")),
+    )
+    mismatched = (F.size("objects") != F.size("instances")) & (F.size("objects") > 0) & (F.size("instances") > 0)
+    rows = scenes.select("filename", "width", "height", F.array_sort(pairs).alias("pairs"), mismatched.alias("mismatched")).withColumn("_ids", known.scalar())
+    named = rows.select("filename", "mismatched", "width", "height", F.transform("pairs", lambda v: F.struct(F.element_at("_ids", v["name"]).alias("label"), v["mask"].alias("mask"))).alias("pairs"))
+
+    def paint(batches):
+        import pandas as pd
+
+        for x in batches:
+            out = []
+            for name, odd, w, h, own in zip(x["filename"], x["mismatched"], x["width"], x["height"], x["pairs"], strict=True):
+                flat = np.zeros((int(h), int(w)), np.int32)
+                for v in own if own is not None else ():
+                    if v["label"] is None or v["mask"] is None:
+                        continue
+                    try:
+                        mask = png.decode(bytes(v["mask"]))
+                    except (ValueError, KeyError, OSError):
+                        continue
+                    flat[masks.normal_mask(mask.reshape(mask.shape[0], mask.shape[1], -1)[:, :, 0], int(h), int(w)) > 0] = v["label"]
+                line = flat.ravel(order="F")
+                edges = np.flatnonzero(np.diff(line)) + 1
+                starts, ends = np.r_[0, edges], np.r_[edges, line.size]
+                out += [(name, odd, int(line[a]), int(a), int(b - a)) for a, b in zip(starts, ends, strict=True)]
+            yield pd.DataFrame(out, columns=["filename", "mismatched", "label", "start", "len"])
+
+    return named.mapInPandas(paint, "filename string, mismatched boolean, label int, start long, len long")
+
+
 def finalised(spark: SparkSession, lines: str, target: str) -> None:
     """Prediction lines as one JSON array in order of (image, category, score), each task writing its rows at their place."""
     rows = readers.json_lines(spark, lines).repartitionByRange("image_id", "category_id", F.desc("score")).sortWithinPartitions("image_id", "category_id", F.desc("score"))

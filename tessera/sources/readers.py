@@ -88,6 +88,13 @@ def bank(spark: SparkSession, path: str, classes: list[str] | None = None, score
     return out.where("score is not null") if scored else out
 
 
+def prototypes(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
+    """(class_name, place, embedding) kept beside a bank; no rows if it has none."""
+    at, shape = f"{path.rstrip('/')}/_prototypes", "class_name string, place int, embedding array<float>"
+    out = spark.read.schema(shape).parquet(at) if exists(spark, at) else spark.createDataFrame([], shape)
+    return out if classes is None else out.where(F.col("class_name").isin(classes))
+
+
 def bank_classes(banks: DataFrame) -> DataFrame:
     return banks.select("class_name").distinct().where(~F.col("class_name").startswith("_")).orderBy("class_name")
 

@@ -17,6 +17,11 @@ def bank(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("class_name").parquet(path)
 
 
+def prototypes(rows: DataFrame, path: str) -> None:
+    """Prototypes (class_name, place, embedding) of a bank's classes, in the bank's folder under a name that scans leave out."""
+    rows.select("class_name", "place", "embedding").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("class_name").parquet(f"{path.rstrip('/')}/_prototypes")
+
+
 def predictions(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 

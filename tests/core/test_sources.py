@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import bank as banks
 from tessera.operators import masks, protocol
 from tessera.plans import models
 from tessera.plans.engine import Config, Engine
-from tessera.sources import readers, writers
+from tessera.sources import exports, png, readers, writers
 from tessera.streaming import resume
 
 
@@ -188,3 +189,51 @@ def test_image_root_and_label_masks(spark, tmp_path):
     inst = masks.label_instances(runs.withColumn("image_id", F.lit(1)).withColumn("height", F.lit(2)))
     assert {r.label: (r.area, r.bbox_x, r.bbox_y, r.bbox_w, r.bbox_h) for r in inst.collect()} == {1: (3, 0, 0, 2, 2), 2: (1, 2, 1, 1, 1)}
     assert masks.normal_mask(np.array([[[0.2, -1.0]]]), 2, 2).tolist() == [[1, 0], [1, 0]]
+
+
+def test_scene_labels_paint_in_depth_order_over_the_shorter_list(spark):
+    png_of = lambda *rows: {"bytes": bytearray(png.encode(np.array(rows, np.uint8)))}
+    obj = lambda name, raw, rank: {"name": name, "raw_name": raw, "depth_ordering_rank": rank}
+    left, right, full = png_of([255, 0], [255, 0]), png_of([0, 9], [0, 9]), png_of([1, 1], [1, 1])
+    shape = "filename string, width int, height int, objects array<struct<name:string,raw_name:string,depth_ordering_rank:int>>, instances array<struct<bytes:binary>>"
+    rows = [
+        ("a", 2, 2, [obj("wall", None, None), obj(" ", " big  tree ", 1)], [left, full]),  # an unknown rank comes last
+        ("b", 2, 2, [obj("wall", None, 1), obj("wall", None, 2), obj("x", None, 3)], [right, {"bytes": bytearray(b"no")}]),
+        ("c", 2, 2, None, [full]),
+    ]
+    scenes = spark.createDataFrame(rows, shape)
+    categories = spark.createDataFrame([(3, "wall"), (7, "big tree")], "category_id int, name string")
+    got = {}
+    for r in exports.scene_labels(scenes, categories).collect():
+        got.setdefault((r.filename, bool(r.mismatched)), []).append((r.start, r.len, r.label))
+    assert {k: sorted(v) for k, v in got.items()} == {("a", False): [(0, 2, 3), (2, 2, 7)], ("b", True): [(0, 2, 0), (2, 2, 3)], ("c", False): [(0, 4, 0)]}
+
+
+def test_prototypes_stand_in_for_a_class_or_come_last(spark, tmp_path):
+    bank = spark.createDataFrame([(1, 1, "5_1.pt", 0, [1.0, 0.0]), (2, 2, "5_2.pt", 0, [0.0, 1.0])], "vec_id long, class_id int, file_key string, patch_no int, embedding array<float>")
+    protos = spark.createDataFrame([(1, 0, [0.5, 0.5]), (1, 1, [0.5, 0.4]), (3, 0, [0.1, 0.9]), (2, 0, None)], "class_id int, place int, embedding array<float>")
+    rows = banks.with_prototypes(bank, protos).collect()
+    assert sorted((r.class_id, r.file_key, r.patch_no) for r in rows) == [(1, "prototypes.pt", 0), (1, "prototypes.pt", 1), (2, "5_2.pt", 0), (3, "prototypes.pt", 0)]
+    assert len({r.vec_id for r in rows}) == 4
+    both = banks.first_n(banks.with_prototypes(bank, protos, instead=False), 2).collect()
+    assert sorted((r.class_id, r.file_key) for r in both) == [(1, "5_1.pt"), (1, "prototypes.pt"), (2, "5_2.pt"), (3, "prototypes.pt")]
+    assert readers.prototypes(spark, str(tmp_path)).count() == 0
+
+
+def test_support_masks_stay_unless_overwritten(spark, tmp_path):
+    manifest = spark.createDataFrame([(1, "leaf", 7, "val/a.b.jpg", 2, 3, [4]), (1, "leaf", 8, "c.jpg", 2, 3, [5])], "class_id int, class_name string, image_id long, file_name string, height int, width int, ann_ids array<long>")
+    refs = spark.createDataFrame([(7, "val/a.jpg")], "image_id long, relative_output_path string")
+    runs = lambda *r: spark.createDataFrame([(7, 1, a, n) for a, n in r], "image_id long, class_id int, start long, len long")
+    write = lambda r, **k: exports.support_masks(manifest, r, refs, str(tmp_path), "d", **k).collect()
+    (item,) = write(runs((1, 2), (2, 2)))
+    assert (item.image_path, item.mask_path, item.ann_ids) == ("reference_imgs/val/a.jpg", "reference_masks/leaf/val__a.b.png", [4])
+    held = lambda: png.decode((tmp_path / item.mask_path).read_bytes()).ravel(order="F").tolist()
+    assert held() == [0, 255, 255, 255, 0, 0]
+    write(runs((0, 1)))
+    assert held() == [0, 255, 255, 255, 0, 0]
+    write(runs((0, 1)), overwrite=True)
+    assert held() == [255, 0, 0, 0, 0, 0]
+    categories = spark.createDataFrame([(2, "stem"), (1, "leaf")], "class_id int, class_name string")
+    exports.support_protocol(spark.createDataFrame([item]), categories, str(tmp_path / "support_protocol.json"), {"dataset": "d"})
+    found = json.loads((tmp_path / "support_protocol.json").read_text())
+    assert found["class_vocabulary"] == [{"class_id": 1, "class_name": "leaf", "support_count": 1}, {"class_id": 2, "class_name": "stem", "support_count": 0}]
