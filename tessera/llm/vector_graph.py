@@ -3,9 +3,11 @@
 Cluster centres are fitted on a bounded sample; every vector goes to the shards of its nearest centres (overlap). In each
 shard candidates are pruned by the robust rule (an edge goes if a kept neighbour is, by the factor alpha, nearer to its
 end than the vector is), adjacency lists of overlapping shards are united per vector, and every vector is then searched
-from the shard's medoid: greedily until the beam is settled, then expanding every vector in range over all edges, those that
-point to a vector as well as its own. Hits are verified by the cosine in double precision. A pair with a single shard in
-common is counted in its task, others are gathered and counted once; for the components a shard gives out spanning links only.
+from the shard's medoid and from itself: greedily until the beam is settled, then expanding every vector in range over all
+edges, those that point to a vector as well as its own. Hits are verified by the cosine in double precision. A pair that shares
+several shards is counted in the first of them, but one joined by an edge (an edge is the same in all shards, and such pairs are
+as many as edges) is gathered from each that finds it and counted once. Beside these a shard gives out a count per vector and the
+spanning links of its components: rows grow with vectors, not with pairs, and a task works on a bounded number of pairs at a time.
 
 Recall is audited in every run: the links of up to AUDIT vectors, chosen by a hash, are counted by brute force against all
 rows in blocks and compared with what was found. Below RECALL the search is repeated with twice the overlap, beam and slack.
@@ -39,6 +41,8 @@ from .graph import components
 SAMPLE, CENTRES, SHARD_TARGET, SHARD_ROWS, OVERLAP = 20_000, 1024, 1000, 4000, 3
 DEGREE, NEAREST, ALPHA, BEAM, SLACK = 24, 48, 1.2, 32, 0.04
 AUDIT, RECALL, TRIES = 200, 0.9, 3
+#: Queries searched at a time, and numbers gathered at a time (32 MB).
+QUERIES_AT_ONCE, NUMBERS = 128, 1 << 22
 _log = logging.getLogger(__name__)
 
 
@@ -57,6 +61,8 @@ def _centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
 
 def _shards(x: np.ndarray, first: np.ndarray, second: np.ndarray | None, overlap: int) -> np.ndarray:
     """Ids of the shards of each row, ascending."""
+    if len(x) > 1024:
+        return np.concatenate([_shards(x[i : i + 1024], first, second, overlap) for i in range(0, len(x), 1024)])
     a = np.argsort(-(x @ first.T), axis=1)[:, :overlap]
     if second is None:
         return np.sort(a, axis=1)
@@ -92,6 +98,12 @@ def _pruned(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows a and b, gathered in pieces."""
+    step = max(1, NUMBERS // max(1, x.shape[1]))
+    return np.concatenate([(x[a[i : i + step]] * x[b[i : i + step]]).sum(axis=1) for i in range(0, max(1, len(a)), step)])
+
+
 def _ranged(x: np.ndarray, adjacency: np.ndarray, edges: tuple[np.ndarray, np.ndarray], start: int, queries: np.ndarray, at_least: float, wider: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) with inner product >= at_least that the search meets. The greedy phase follows adjacency (n, degree; -1
     padded), the expansion all edges: those of row i are edges[1][edges[0][i] : edges[0][i + 1]]."""
@@ -103,7 +115,13 @@ def _ranged(x: np.ndarray, adjacency: np.ndarray, edges: tuple[np.ndarray, np.nd
     sims = np.full((q, beam), -3.0)
     done = np.ones((q, beam), bool)
     ids[:, 0], sims[:, 0], done[:, 0] = start, x[queries] @ x[start], False
-    hit_q, hit_x, hit_s = [rows], [np.full(q, start)], [sims[:, 0].copy()]
+    hits = []
+
+    def met(of: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
+        near = s >= at_least - slack
+        hits.append((of[near], row[near], s[near]))
+
+    met(rows, np.full(q, start), sims[:, 0])
     while True:
         pick = np.where(done, -9.0, sims).argmax(axis=1)
         live = rows[~done[rows, pick]]
@@ -115,35 +133,34 @@ def _ranged(x: np.ndarray, adjacency: np.ndarray, edges: tuple[np.ndarray, np.nd
         got = np.where(fresh, np.einsum("qrd,qd->qr", x[near], x[queries[live]]), -3.0)
         qq, rr = np.nonzero(fresh)
         seen[live[qq], near[qq, rr]] = True
-        hit_q.append(live[qq])
-        hit_x.append(near[qq, rr])
-        hit_s.append(got[qq, rr])
+        met(live[qq], near[qq, rr], got[qq, rr])
         all_s, all_i = np.concatenate([sims[live], got], 1), np.concatenate([ids[live], near], 1)
         all_d = np.concatenate([done[live], ~fresh], 1)
         top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
         sims[live], ids[live], done[live] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1), np.take_along_axis(all_d, top, 1)
-    qs, xs, ss = np.concatenate(hit_q), np.concatenate(hit_x), np.concatenate(hit_s)
-    near_by = ss >= at_least - slack
-    found_q, found_x, edge_q, edge_x = [qs[ss >= at_least]], [xs[ss >= at_least]], qs[near_by], xs[near_by]
+    itself = rows[~seen[rows, queries]]
+    seen[itself, queries[itself]] = True
+    met(itself, queries[itself], np.ones(len(itself)))
+    edge_q, edge_x, s = (np.concatenate(c) for c in zip(*hits, strict=True))
+    found = [(edge_q[s >= at_least], edge_x[s >= at_least])]
+    flat, slot = seen.reshape(-1), np.zeros(q * n, np.int32)
     while len(edge_q):  # every vector in range (or nearly) is expanded
-        next_q, next_x = [], []
-        for i in range(0, len(edge_q), 20_000):
-            from_ = edge_x[i : i + 20_000]
-            many = first[from_ + 1] - first[from_]
-            qq = np.repeat(edge_q[i : i + 20_000], many)
-            near = ends[np.repeat(first[from_] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-            key = np.unique(qq.astype(np.int64) * n + near)
+        many = first[edge_x + 1] - first[edge_x]
+        part, upcoming = np.cumsum(many) // (NUMBERS // 8), []
+        for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]), strict=True):
+            from_, m = edge_x[lo:hi], many[lo:hi]
+            near = ends[np.repeat(first[from_] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            key = np.repeat(edge_q[lo:hi], m).astype(np.int64) * n + near
+            key = key[~flat[key]]
+            slot[key] = np.arange(len(key))  # one of equal keys
+            key = key[slot[key] == np.arange(len(key))]
+            flat[key] = True
             qq, near = key // n, key % n
-            new = ~seen[qq, near]
-            qq, near = qq[new], near[new]
-            seen[qq, near] = True
-            s = np.einsum("kd,kd->k", x[near], x[queries[qq]])
-            found_q.append(qq[s >= at_least])
-            found_x.append(near[s >= at_least])
-            next_q.append(qq[s >= at_least - slack])
-            next_x.append(near[s >= at_least - slack])
-        edge_q, edge_x = np.concatenate(next_q), np.concatenate(next_x)
-    return np.concatenate(found_q), np.concatenate(found_x)
+            s = _dots(x, near, queries[qq])
+            found.append((qq[s >= at_least], near[s >= at_least]))
+            upcoming.append((qq[s >= at_least - slack], near[s >= at_least - slack]))
+        edge_q, edge_x = (np.concatenate(c) for c in zip(*upcoming, strict=True))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _scaled(rows: pd.Series) -> np.ndarray:
@@ -159,12 +176,15 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 
 def _linked_in_task(g: pd.DataFrame, percent: float, wider: int = 1) -> pd.DataFrame:
-    """Partial link counts, pairs that share further shards, and spanning links of one shard or pair of blocks."""
+    """Partial link counts, pairs along edges that share further shards, and spanning links of one shard or pair of blocks."""
     shard, side = int(g["shard"].iloc[0]), g["side"].to_numpy()
     raw = _scaled(g["embedding"])
     norm = np.sqrt((raw**2).sum(axis=1))
     x = raw / norm[:, None]
-    ids, mult, lists, n = g["node"].to_numpy(), g["mult"].to_numpy(), g["shards"].tolist(), len(g)
+    ids, mult, n = g["node"].to_numpy(), g["mult"].to_numpy(), len(g)
+    shards = np.full((n, max(map(len, g["shards"]))), shard, np.int64)
+    for i, a in enumerate(g["shards"]):
+        shards[i, : len(a)] = a
     place = {v: i for i, v in enumerate(ids.tolist())}
     adjacency = [[place[v] for v in a if v in place] for a in g["near"].tolist()]
     local = np.full((n, max(1, *map(len, adjacency))), -1, np.int32)
@@ -182,38 +202,36 @@ def _linked_in_task(g: pd.DataFrame, percent: float, wider: int = 1) -> pd.DataF
     for j, a in back.items():
         extra[j, : len(a[:DEGREE])] = a[:DEGREE]
     graph = np.concatenate([local, extra], axis=1)
-    found = []
-    for i in range(0, n, 1024):
-        queries = np.arange(i, min(n, i + 1024))
+    found = np.zeros((n, n), bool)  # a pair once, at the lesser row
+    step = max(1, min(QUERIES_AT_ONCE, NUMBERS // (graph.shape[1] * max(1, x.shape[1]))))
+    for i in range(0, n, step):
+        queries = np.arange(i, min(n, i + step))
         q, r = _ranged(x, graph, (first, ends), middle, queries, percent - 1e-9, wider)
-        found.append(np.minimum(queries[q], r).astype(np.int64) * n + np.maximum(queries[q], r))
-    key = np.unique(np.concatenate(found))
-    a, b = key // n, key % n
-    cos = (raw[a] * raw[b]).sum(axis=1) / (norm[a] * norm[b])
-    ok = (a != b) & (cos >= percent) & ((side[a] != side[b]) | (side.min() == side.max()))
-    a, b = a[ok], b[ok]
-    sets = [set(map(int, s)) for s in lists]
-    own = np.array([sets[i] & sets[j] == {shard} for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-    links = np.zeros(n, np.int64)
-    np.add.at(links, a[own], mult[b[own]])
-    np.add.at(links, b[own], mult[a[own]])
-    root = list(range(n))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        return v
-
-    out = [(int(ids[i]), int(ids[i]), int(k), 0) for i, k in enumerate(links) if k]  # a count; rows of two nodes are links
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(i), find(j)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((int(ids[i]), int(ids[j]), 0, 0))
-    # pairs that another shard may find too: n is what the link counts for node, m what it counts for other
-    i, j = np.where(ids[a] < ids[b], a, b)[~own], np.where(ids[a] < ids[b], b, a)[~own]
-    shared = pd.DataFrame({"node": ids[i], "other": ids[j], "n": mult[j], "m": mult[i]}, dtype="int64")
-    return pd.concat([pd.DataFrame(out, columns=["node", "other", "n", "m"], dtype="int64"), shared], ignore_index=True)
+        found[np.minimum(queries[q], r), np.maximum(queries[q], r)] = True
+    links, group, spans, shared = np.zeros(n, np.int64), np.arange(n), [], []
+    for row in range(n):
+        b = np.flatnonzero(found[row, row + 1 :]) + row + 1
+        if side.min() != side.max():
+            b = b[side[b] != side[row]]
+        b = b[_dots(raw, np.full(len(b), row), b) / (norm[row] * norm[b]) >= percent]
+        both = np.isin(shards[b], shards[row])
+        near = np.isin(b, ends[first[row] : first[row + 1]]) & (both & (shards[b] != shard)).any(axis=1)
+        mine = ~near & ~(both & (shards[b] < shard)).any(axis=1)
+        links[row] += mult[b[mine]].sum()
+        links[b[mine]] += mult[row]
+        shared.append((np.full(near.sum(), row), b[near]))
+        b = b[near | mine]
+        other, at = np.unique(group[b], return_index=True)
+        at, other = at[other != group[row]], other[other != group[row]]
+        spans += [(row, int(k)) for k in b[at]]
+        if len(other):
+            group[np.isin(group, other)] = group[row]
+    i, j = (np.concatenate(c) for c in zip(*shared, strict=True))
+    i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+    some, (k, m) = np.flatnonzero(links), np.array(spans, np.int64).reshape(-1, 2).T
+    # a count; rows of two nodes are links; of shared pairs n is what the link counts for node, m what it counts for other
+    out = [(ids[some], ids[some], links[some], 0), (ids[k], ids[m], 0, 0), (ids[i], ids[j], mult[j], mult[i])]
+    return pd.concat([pd.DataFrame(dict(zip(("node", "other", "n", "m"), c, strict=True)), dtype="int64") for c in out], ignore_index=True)
 
 
 def _counted(linked: DataFrame) -> DataFrame:

@@ -291,5 +291,21 @@ def test_a_link_counts_whichever_shared_shard_finds_it(spark):
     assert counts(missed) == {3: 1, 4: 1} and counts(missed, found) == {1: 3, 2: 1, 3: 1, 4: 1} == counts(task(0, ring), found)
 
 
+def test_rows_of_a_dense_group_grow_with_its_vectors(spark):
+    g, n = np.random.default_rng(4), 700
+    x = np.ones(32) + 0.05 * g.normal(size=(n, 32))
+    adjacency = vector_graph._pruned(x / np.linalg.norm(x, axis=1, keepdims=True))
+    near = [a[a >= 0].tolist() for a in adjacency]
+
+    def task(shard):
+        rows = [(shard, 0, v, 1 + v % 2, x[v].tolist(), [0, 1] if v % 3 else [1], near[v]) for v in range(n) if shard or v % 3]
+        return vector_graph._linked_in_task(pd.DataFrame(rows, columns=["shard", "side", "node", "mult", "embedding", "shards", "near"]), 0.9)
+
+    both = pd.concat([task(0), task(1)])
+    assert len(both) < 3 * n * vector_graph.DEGREE < n * n / 4  # all pairs are links, most share both shards
+    counted = {r.node: r.n for r in vector_graph._counted(spark.createDataFrame(both, "node long, other long, n long, m long")).collect()}
+    assert counted == {v: sum(1 + w % 2 for w in range(n) if w != v) for v in range(n)}
+
+
 def test_seeded_offsets_are_those_of_the_sql():
     assert int(hashlib.md5(b"mix-1:ssrc0").hexdigest()[:8], 16) / 2**32 < 1
