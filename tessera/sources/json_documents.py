@@ -26,6 +26,8 @@ from .stored import stored
 _ESCAPE = re.compile(r"\\.", re.S)
 _OTHER = re.compile(r"[^][{}]+")
 _GAP = re.compile(r'"((?:[^"\\]|\\.)*)"\s*(:?)|[][{}]|"', re.S)
+#: Elements that a task holds at a time.
+ROWS = 4096
 _PART = "path string, block long, seq long, kind string, key string, text string"
 
 
@@ -161,33 +163,38 @@ class _Cutter:
         return self.rows
 
 
+def _cut(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], tuple[bool, str, bool]]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PART of the blocks' segments, at most ROWS and the block's last ones at a time."""
+
+    def out(at: tuple[str, int], first: int, rows: list[tuple]) -> pa.RecordBatch:
+        rows = [(*at, first + i, *r) for i, r in enumerate(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["path", "block", "seq", "kind", "key", "text"])
+
+    at, held, cutter, given = None, None, None, 0
+    for here, value in _runs(batches):
+        if here != at:
+            if at is not None:
+                cutter.add(held, not starts[at][2])
+                yield out(at, given, [*cutter.done(), ("k", cutter.key, None)])
+            at, held, cutter, given = here, None, _Cutter(*starts[here][:2]), 0
+        if held is not None:
+            cutter.add(held, True)
+            if len(cutter.rows) >= ROWS:
+                yield out(at, given, cutter.rows)
+                given, cutter.rows = given + len(cutter.rows), []
+        held = value
+    if at is not None:
+        cutter.add(held, not starts[at][2])
+        yield out(at, given, [*cutter.done(), ("k", cutter.key, None)])
+
+
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """(path, key, block, seq, element): the objects in a document's arrays as JSON text, key null in a top-level array; (block,
     seq) is their order. Kept as a table, so that several tables of one document parse it once."""
     segments = _blocks(spark, path)
     starts = _starts(segments)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(at: tuple[str, int], c: _Cutter) -> pa.RecordBatch:
-            rows = [(*at, i, *r) for i, r in enumerate(c.done())]
-            rows.append((*at, len(rows), "k", c.key, None))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["path", "block", "seq", "kind", "key", "text"])
-
-        at, held, cutter = None, None, None
-        for here, value in _runs(batches):
-            if here != at:
-                if at is not None:
-                    cutter.add(held, not starts[at][2])
-                    yield out(at, cutter)
-                at, held, cutter = here, None, _Cutter(*starts[here][:2])
-            if held is not None:
-                cutter.add(held, True)
-            held = value
-        if at is not None:
-            cutter.add(held, not starts[at][2])
-            yield out(at, cutter)
-
-    parts = stored(segments.mapInArrow(run, _PART), "json-parts")
+    parts = stored(segments.mapInArrow(lambda batches: _cut(batches, starts), _PART), "json-parts")
     along = Window.partitionBy("path").orderBy("block")  # a row per block
     keys = parts.where("kind = 'k'").select("path", "block", F.last("key", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_key"))
     named = parts.where("kind in ('e', 't')").join(keys, ["path", "block"]).withColumn("key", F.coalesce("key", "_key")).drop("_key")

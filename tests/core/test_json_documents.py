@@ -1,10 +1,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import exports, readers, writers
+from tessera.sources import exports, json_documents, readers, writers
 from tessera.sources.json_documents import elements, written
 
 
@@ -67,3 +68,14 @@ def test_documents_are_written_in_parallel(spark, tmp_path, monkeypatch):
     exports.finalised(spark, str(tmp_path / "lines"), str(tmp_path / "p.json"))
     assert [(x["image_id"], x["score"]) for x in json.loads((tmp_path / "p.json").read_text())] == [(1, 0.9), (1, 0.1), (2, 0.5)]
     assert sorted((r.image_id, r.score) for r in readers.predictions(spark, str(tmp_path / "p.json")).collect()) == [(1, 0.1), (1, 0.9), (2, 0.5)]
+
+
+def test_a_block_is_given_out_in_pieces(spark, tmp_path):
+    (tmp_path / "many.json").write_text("[" + ", ".join(f'{{"a": {k}}}' for k in range(10_000)) + "]")
+    segments = json_documents._blocks(spark, str(tmp_path / "many.json"))
+    starts = json_documents._starts(segments)
+    batches = list(json_documents._cut(iter([pa.RecordBatch.from_pandas(segments.toPandas())]), starts))
+    assert len(batches) > 2 and max(b.num_rows for b in batches) <= json_documents.ROWS + 2
+    assert [s for b in batches for s in b["seq"].to_pylist()] == list(range(10_001))
+    got = json_documents.elements(spark, str(tmp_path / "many.json")).orderBy("block", "seq").collect()
+    assert [r.element for r in got] == [f'{{"a": {k}}}' for k in range(10_000)]
