@@ -67,3 +67,16 @@ def test_groups_keep_whole_numbers_beside_nulls(spark):
     side = lambda s: spark.createDataFrame([(big, 1, 0, 0, s), (None, 1, 0, 0, s)], "image_id long, class_id int, row int, col int, score double")
     merged = masks.merged_confidence(side(0.4), side(0.6).where(F.col("image_id").isNotNull()))
     assert {(r.image_id, r.side) for r in merged.collect()} == {(big, "point"), (None, "text")}
+
+
+def test_votes_by_sql_deal_a_class_in_parts(spark):
+    rng = random.Random(3)
+    rows = [(k, 1 + k % 11 // 10, k // 25, k % 25, [rng.gauss(0, 1) for _ in range(4)], k % 2 == 0) for k in range(600)]
+    p = spark.createDataFrame(rows, "vec_id long, class_id int, image_id long, patch_no int, embedding array<float>, inside boolean")
+    bank, targets = p.drop("inside"), p.where("image_id < 9").select("class_id", "image_id", "patch_no", "inside", "embedding")
+    got = search.votes_sql(bank, targets, 0.1, part=50)
+    assert got.rdd.getNumPartitions() >= 4
+    kept = lambda d: sorted((r.vec_id, r.class_id, r.tp, r.fp) for r in d.where("tp + fp > 0").collect())
+    assert kept(got) == kept(search.votes(bank, targets, 0.1)) and len(kept(got)) > 500
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_p" in plan and "CartesianProduct" not in plan
