@@ -137,11 +137,10 @@ def runs_of(annotations: DataFrame) -> DataFrame:
 
 
 def to_runs(pixels: DataFrame, by: tuple[str, ...] = ("image_id", "class_id"), pixel: str = "pixel") -> DataFrame:
-    """Maximal runs of consecutive pixels."""
-    own = pixels.select(*by, pixel).distinct()
-    order = Window.partitionBy(*by).orderBy(pixel)
-    island = F.col(pixel) - F.row_number().over(order)
-    return own.withColumn("_g", island).groupBy(*by, "_g").agg(F.min(pixel).alias("start"), F.count("*").alias("len")).drop("_g")
+    """Maximal runs of consecutive pixels. Equal pixels have one rank, so that one shuffle and one sort do."""
+    island = F.col(pixel) - F.dense_rank().over(Window.partitionBy(*by).orderBy(pixel))
+    length = F.coalesce(F.max(pixel) - F.min(pixel) + 1, F.lit(1)).cast("long")
+    return pixels.select(*by, pixel).withColumn("_g", island).groupBy(*by, "_g").agg(F.min(pixel).alias("start"), length.alias("len")).drop("_g")
 
 
 def to_pixels(runs: DataFrame) -> DataFrame:

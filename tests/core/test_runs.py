@@ -117,3 +117,10 @@ def test_table_function_in_a_lateral_join(spark):
     spark.createDataFrame([(1, '{"size": [2, 3], "counts": [1, 2, 3]}'), (2, "?"), (3, None)], "id int, s string").createOrReplaceTempView("raw_masks")
     got = spark.sql("SELECT id, start, len FROM raw_masks, LATERAL mask_runs(s, 2, 3)").collect()
     assert [tuple(r) for r in got] == [(1, 1, 2)]
+
+
+def test_runs_of_pixels_take_one_shuffle(spark):
+    rows = [(1, 1, p) for p in (4, 5, 5, 6, 9, 9, 1)] + [(1, 2, 5), (2, 1, None), (2, 1, 0), (2, 1, 1)]
+    got = masks.to_runs(spark.createDataFrame(rows, "image_id long, class_id int, pixel long"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1, 1), (1, 1, 4, 3), (1, 1, 9, 1), (1, 2, 5, 1), (2, 1, None, 1), (2, 1, 0, 2)}
