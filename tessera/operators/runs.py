@@ -54,6 +54,13 @@ def difference(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "c
     return merged(covered(by, a=a, b=b).where("a > 0 and b = 0"), by)
 
 
+def algebra(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
+    """(op, by..., start, len): union, intersection (both) and difference (less) of two relations by one sweep."""
+    ops = F.array(F.lit("union"), F.when(F.expr("a > 0 and b > 0"), "both"), F.when(F.expr("a > 0 and b = 0"), "less"))
+    named = covered(by, a=a, b=b).select(F.explode(F.array_compact(ops)).alias("op"), *by, "start", "len")
+    return merged(named, ("op", *by))
+
+
 def counts(pred: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("class_id",), on: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
     """(by..., tp, fp, fn) pixels of two relations, each a union mask per on."""
     both = covered(on, p=pred, g=truth)

@@ -588,8 +588,7 @@ isle as (select * from (select *, pixel - row_number() over (partition by op, im
 def runs_algebra(spark, sf):
     """Union, intersection and difference of two relations of runs, by a sweep over their ends."""
     a, b = _run_sides(spark, sf)
-    named = [d.withColumn("op", F.lit(n)) for n, d in (("union", runs.union(a, b)), ("both", runs.intersection(a, b)), ("less", runs.difference(a, b)))]
-    return named[0].unionByName(named[1]).unionByName(named[2]).select("op", "image_id", "class_id", "start", "len")
+    return runs.algebra(a, b).select("op", "image_id", "class_id", "start", "len")
 
 
 @query(f"with {_SIDES}, j as (select coalesce(x.class_id, y.class_id) class_id, x.pixel is not null a, y.pixel is not null b from x full join y using (image_id, class_id, pixel)) select class_id, sum((a and b)::int)::bigint tp, sum((a and not b)::int)::bigint fp, sum((b and not a)::int)::bigint fn from j group by 1")

@@ -124,3 +124,12 @@ def test_runs_of_pixels_take_one_shuffle(spark):
     got = masks.to_runs(spark.createDataFrame(rows, "image_id long, class_id int, pixel long"))
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {tuple(r) for r in got.collect()} == {(1, 1, 1, 1), (1, 1, 4, 3), (1, 1, 9, 1), (1, 2, 5, 1), (2, 1, None, 1), (2, 1, 0, 2)}
+
+
+def test_all_operations_by_one_sweep(spark):
+    rng = random.Random(8)
+    side = lambda: spark.createDataFrame([(rng.randrange(3), rng.randrange(2), rng.randrange(40), rng.randrange(6)) for _ in range(60)], "image_id long, class_id int, start long, len long")
+    a, b = side(), side()
+    got = {tuple(r) for r in runs.algebra(a, b).select("op", "image_id", "class_id", "start", "len").collect()}
+    each = (("union", runs.union), ("both", runs.intersection), ("less", runs.difference))
+    assert got == {(n, *r) for n, f in each for r in f(a, b).select("image_id", "class_id", "start", "len").collect()} and len(got) > 20
