@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .geometry import by_group
-from .masks import decode, encode_runs
+from .masks import decode, encode_runs, union_runs
 
 #: Pixels of a stretch in which runs of two relations meet.
 STRETCH = 4096
@@ -21,18 +21,18 @@ STRETCH = 4096
 
 def covered(by: tuple[str, ...], **sides: DataFrame) -> DataFrame:
     """(by..., start, len, and a count per side): the stretches between neighbouring ends that some side covers, each with how
-    many of the side's runs lie over it."""
+    many of the side's runs lie over it. Equal ends have no stretch between them, so that one shuffle and one sort do."""
     ends = None
     for name in sides:
-        d = sides[name].where("len > 0")
-        for at, step in ((F.col("start"), 1), (F.col("start") + F.col("len"), -1)):
-            one = d.select(*by, at.cast("long").alias("start"), *[F.lit(step if n == name else 0).cast("long").alias(n) for n in sides])
-            ends = one if ends is None else ends.unionByName(one)
-    ends = ends.groupBy(*by, "start").agg(*[F.sum(n).alias(n) for n in sides])
+        at = lambda c, step: F.struct(c.cast("long").alias("start"), F.lit(step).cast("long").alias("step"))
+        both = F.explode(F.array(at(F.col("start"), 1), at(F.col("start") + F.col("len"), -1)))
+        one = sides[name].where("len > 0").select(*by, both.alias("_e"))
+        one = one.select(*by, "_e.start", *[(F.col("_e.step") if n == name else F.lit(0).cast("long")).alias(n) for n in sides])
+        ends = one if ends is None else ends.unionByName(one)
     order = Window.partitionBy(*by).orderBy("start")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     out = ends.select(*by, "start", (F.lead("start").over(order) - F.col("start")).alias("len"), *[F.sum(n).over(upto).alias(n) for n in sides])
-    return out.where(" or ".join(f"{n} > 0" for n in sides))
+    return out.where("len > 0").where(" or ".join(f"{n} > 0" for n in sides))
 
 
 def merged(stretches: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -42,6 +42,11 @@ def merged(stretches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return stretches.withColumn("_new", new).withColumn("_g", F.sum("_new").over(order)).groupBy(*by, "_g").agg(F.min("start").alias("start"), F.sum("len").alias("len")).drop("_g")
 
 
+def normal(runs: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
+    """Maximal disjoint runs (by..., start, len) of one relation's runs, which may overlap."""
+    return union_runs(runs.where("len > 0"), by)
+
+
 def union(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
     return merged(covered(by, a=a, b=b), by)
 
@@ -92,13 +97,12 @@ def _cut(runs: DataFrame, width: Column) -> DataFrame:
 
 def pair_iou(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
     """(by..., inst_a, inst_b, iou) of overlapping instances (by..., inst, start, len), the runs of each disjoint. Runs meet in
-    the stretches that both reach."""
-    keys, width = list(by), F.lit(STRETCH)
-    sizes = lambda d, n: d.groupBy(*keys, F.col("inst").alias(f"inst_{n}")).agg(F.sum("len").alias(f"n{n}"))
-    side = lambda d, n: _cut(d.select(*keys, "inst", "start", "len"), width).select(*keys, "piece", F.col("inst").alias(f"inst_{n}"), F.col("start").alias(f"s{n}"), (F.col("start") + F.col("len")).alias(f"e{n}"))
+    the stretches that both reach and bring the sizes of their instances along."""
+    keys, width, size = list(by), F.lit(STRETCH), F.sum("len").over(Window.partitionBy(*by, "inst"))
+    side = lambda d, n: _cut(d.where("inst is not null").select(*keys, "inst", "start", "len", size.alias(f"n{n}")), width).select(*keys, "piece", F.col("inst").alias(f"inst_{n}"), f"n{n}", F.col("start").alias(f"s{n}"), (F.col("start") + F.col("len")).alias(f"e{n}"))
     met = side(a, "a").join(side(b, "b"), [*keys, "piece"]).where("sa < eb and sb < ea")
-    inter = met.groupBy(*keys, "inst_a", "inst_b").agg(F.sum(F.least("ea", "eb") - F.greatest("sa", "sb")).alias("i"))
-    return inter.join(sizes(a, "a"), [*keys, "inst_a"]).join(sizes(b, "b"), [*keys, "inst_b"]).select(*keys, "inst_a", "inst_b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("iou"))
+    inter = met.groupBy(*keys, "inst_a", "inst_b").agg(F.sum(F.least("ea", "eb") - F.greatest("sa", "sb")).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return inter.select(*keys, "inst_a", "inst_b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("iou"))
 
 
 def merged_union(text: DataFrame, point: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:

@@ -600,7 +600,7 @@ def runs_counts(spark, sf):
 @query(f"with {_SIDES}, a as (select image_id, class_id, count(*) n from x group by all), b as (select image_id, class_id, count(*) n from y group by all), i as (select x.image_id, x.class_id ca, y.class_id cb, count(*) i from x join y using (image_id, pixel) group by all) select i.image_id, ca inst_a, cb inst_b, round(i / (a.n + b.n - i), 6) iou from i join a on a.image_id = i.image_id and a.class_id = ca join b on b.image_id = i.image_id and b.class_id = cb")
 def runs_pair_iou(spark, sf):
     """IoU of all overlapping instances of an image, from runs."""
-    a, b = (runs.merged(runs.covered(("image_id", "class_id"), s=d), ("image_id", "class_id")).withColumnRenamed("class_id", "inst") for d in _run_sides(spark, sf))
+    a, b = (runs.normal(d).withColumnRenamed("class_id", "inst") for d in _run_sides(spark, sf))
     return runs.pair_iou(a, b, ("image_id",)).select("image_id", "inst_a", "inst_b", F.round("iou", 6).alias("iou"))
 
 

@@ -133,3 +133,20 @@ def test_all_operations_by_one_sweep(spark):
     got = {tuple(r) for r in runs.algebra(a, b).select("op", "image_id", "class_id", "start", "len").collect()}
     each = (("union", runs.union), ("both", runs.intersection), ("less", runs.difference))
     assert got == {(n, *r) for n, f in each for r in f(a, b).select("image_id", "class_id", "start", "len").collect()} and len(got) > 20
+
+
+def test_pair_iou_takes_a_shuffle_per_side_and_two_more(spark):
+    shape = "image_id long, class_id int, start long, len long"
+    one = [(1, 1, 0, 4), (1, 1, 2, 3), (1, 1, 5, 1), (1, 1, 9, 0), (1, 1, 4090, 10), (1, None, 0, 9), (None, 1, 0, 9), (1, 1, None, 3)]
+    two = [(1, 2, 3, 2), (1, 2, 3, 2), (1, 2, 4098, 5), (1, 3, 6, 2), (1, None, 1, 1), (None, 2, 0, 9)]
+    a, b = (runs.normal(spark.createDataFrame(r, shape)).withColumnRenamed("class_id", "inst") for r in (one, two))
+    got = runs.pair_iou(a, b, ("image_id",))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 5
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 2, 4 / 19)]  # 16 and 7 pixels, of which 3, 4, 4098 and 4099 are in both
+
+
+def test_a_sweep_takes_one_shuffle_and_gives_no_empty_stretch(spark):
+    d = spark.createDataFrame([(1, 1, 2, 3), (1, 1, 2, 3), (1, 1, 5, 1), (1, 1, None, 2), (1, 1, 7, 0)], "image_id long, class_id int, start long, len long")
+    got = runs.covered(("image_id", "class_id"), s=d)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.start, r.len, r.s) for r in got.collect()) == [(2, 3, 2), (5, 1, 1)]
