@@ -19,16 +19,28 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
+def _in_byte() -> np.ndarray:
+    """Place of the r-th set bit of byte b, at r << 8 | b."""
+    out = np.zeros((8, 256), np.uint8)
+    for b in range(256):
+        for r, at in enumerate(i for i in range(8) if b >> i & 1):
+            out[r, b] = at
+    return out.ravel()
+
+
+_BYTE, _EACH, _TOPS = _in_byte(), np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_B1, _B2, _B4 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
 def _select(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th (from 0) set bit of each word."""
-    x, r, at = x.copy(), r.copy(), np.zeros(len(x), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = _popcount(x & np.uint64((1 << width) - 1))
-        go = r >= low
-        r -= low * go
-        at += width * go
-        x >>= (width * go).astype(np.uint64)
-    return at
+    """Place of the r-th (from 0) set bit of each word, by the counts of set bits up to each of its bytes."""
+    r = r.astype(np.uint64)
+    upto = x - (x >> _ONE & _B1)
+    upto = (upto & _B2) + (upto >> np.uint64(2) & _B2)
+    upto = (upto + (upto >> np.uint64(4)) & _B4) * _EACH
+    at = np.bitwise_count((r * _EACH | _TOPS) - upto & _TOPS).astype(np.uint64) << np.uint64(3)  # bytes that end before it
+    r -= upto << np.uint64(8) >> at & np.uint64(255)
+    return (at + _BYTE[r << np.uint64(8) | x >> at & np.uint64(255)]).astype(np.int64)
 
 
 class EliasFano:
@@ -94,12 +106,17 @@ class EliasFano:
         start = self.samples[k // RATE].astype(np.int64)
         left, word = k % RATE, start >> 6
         zeros = ~self.high[word] & (_ALL << (start & 63).astype(np.uint64))
-        while len(live):
-            have = _popcount(zeros)
-            here = left < have
-            out[live[here]] = (word[here] << 6) + _select(zeros[here], left[here])
-            live, left, word = live[~here], (left - have)[~here], word[~here] + 1
-            zeros = ~self.high[word]
+        have = _popcount(zeros)
+        go = np.flatnonzero(left >= have)
+        have = have[go]
+        while len(go):  # on to the next word
+            rest, at = left[go] - have, word[go] + 1
+            here = ~self.high[at]
+            left[go], word[go], zeros[go] = rest, at, here
+            have = _popcount(here)
+            more = rest >= have
+            go, have = go[more], have[more]
+        out[live] = (word << 6) + _select(zeros, left)
         return out
 
     def bounds(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,35 +139,33 @@ class EliasFano:
 
     def find(self, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word >= word in its range, whether it is equal). The index may be end."""
-        lo, hi, want = begin.copy(), end.copy(), word.astype(np.uint64)
-        equal = np.zeros(len(lo), bool)
-        live, rounds = np.flatnonzero(lo < hi), 0
-        share = np.minimum(want.astype(np.float64) / self.words, 1.0)
-        while len(live):
-            a, b = lo[live], hi[live]
-            size = b - a
-            if not rounds:  # words are numbered by hash, so a context's words are spread evenly
-                mid = a + np.minimum((size * share[live]).astype(np.int64), size - 1)
-            else:
-                mid = a + (size >> 1)
-            got, asked = self.word(mid), want[live]
-            less, same = got < asked, got == asked
-            if not rounds:  # the place lies near: a second probe brackets it
-                reach = (2.0 * np.sqrt(size)).astype(np.int64) + 2
-                probe = np.where(less, mid + reach, mid - reach)
-                inner = np.flatnonzero((probe >= a) & (probe < b) & ~same)
-                at = probe[inner]
-                below = self.word(at) < asked[inner]
-                lo[live[inner[below]]], hi[live[inner[~below]]] = at[below] + 1, at[~below]
-            lo[live[less]] = np.maximum(lo[live[less]], mid[less] + 1)
-            hi[live[~less]] = np.minimum(hi[live[~less]], mid[~less])
-            lo[live[same]] = hi[live[same]] = mid[same]
-            equal[live[same]] = True
-            live = live[lo[live] < hi[live]]
-            rounds += 1
-        rest = np.flatnonzero(~equal & (lo < end))
-        equal[rest] = self.word(lo[rest]) == want[rest]
-        return lo, equal
+        index, equal = begin.copy(), np.zeros(len(begin), bool)
+        live = np.flatnonzero(begin < end)
+        a, b, want = begin[live], end[live], word[live].astype(np.uint64)
+        # words are numbered by hash, so a context's words are spread evenly
+        size = b - a
+        mid = a + np.minimum((size * np.minimum(want.astype(np.float64) / self.words, 1.0)).astype(np.int64), size - 1)
+        less, a, b = self._halved(live, a, b, want, mid, equal)
+        # the place lies near: a second probe brackets it
+        reach = (2.0 * np.sqrt(size)).astype(np.int64) + 2
+        probe = np.where(less, mid + reach, mid - reach)
+        near = np.flatnonzero((probe >= a) & (probe < b))
+        _, a[near], b[near] = self._halved(live[near], a[near], b[near], want[near], probe[near], equal)
+        while True:
+            more = a < b
+            over = ~more
+            index[live[over]] = a[over]
+            live, a, b, want = live[more], a[more], b[more], want[more]
+            if not len(live):
+                return index, equal
+            _, a, b = self._halved(live, a, b, want, (a + b) >> 1, equal)
+
+    def _halved(self, live: np.ndarray, a: np.ndarray, b: np.ndarray, want: np.ndarray, mid: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the word at mid is less, a, b): ranges cut at mid, closed where the word is found, which is noted in equal."""
+        got = self.word(mid)
+        less, same = got < want, got == want
+        equal[live[same]] = True
+        return less, np.where(less, mid + 1, np.where(same, mid, a)), np.where(less, b, mid)
 
 
 def _or_at(out: np.ndarray, where: np.ndarray, values: np.ndarray) -> None:

@@ -364,22 +364,20 @@ def build(train: DataFrame, texts: int) -> str:
             # a pair's successors are looked for under the pair, which also occurs as a pair of its own
             keys, back = np.unique(_pairs_of(ids, ~inner, v), return_inverse=True)
             count = np.bincount(back).astype("<u4")
-            parent = np.concatenate([[0], back[:-1]])[inner].astype(np.uint64)
-            follow, times = np.unique(parent << np.uint64(32) | ids[inner].astype(np.uint64), return_counts=True)
-            owner = (follow >> np.uint64(32)).astype(np.int64)
             shard, row = v.contexts(keys)
             keys = row.astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
-            out = []
-            rank = np.empty(len(keys), np.int64)
             order = np.lexsort((keys, shard))
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rank[order] = np.arange(len(keys)) - edges[shard[order]]
-            order3 = np.lexsort((follow & np.uint64(0xFFFFFFFF), rank[owner], shard[owner]))
-            edges3 = np.searchsorted(shard[owner][order3], np.arange(shards + 1))
+            place = np.empty(len(keys), np.uint64)
+            place[order] = np.arange(len(keys), dtype=np.uint64)
+            # in order of the pairs' places, successors come out by shard, pair and word
+            follow, times = np.unique(place[np.concatenate([[0], back[:-1]])[inner]] << np.uint64(32) | ids[inner].astype(np.uint64), return_counts=True)
+            owner, follow, times = (follow >> np.uint64(32)).astype(np.int64), follow.astype("<u4"), times.astype("<u4")
+            edges3 = np.searchsorted(owner, edges)
+            out = []
             for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                mine, mine3 = order[edges[s] : edges[s + 1]], order3[edges3[s] : edges3[s + 1]]
-                f3 = follow[mine3]
-                out.append((s, _planes(keys[mine]), _planes(count[mine]), _planes(np.bincount(rank[owner[mine3]], minlength=len(mine)).astype("<u4")), _planes((f3 & np.uint64(0xFFFFFFFF)).astype("<u4")), _planes(times[mine3].astype("<u4"))))
+                mine, after = order[edges[s] : edges[s + 1]], slice(edges3[s], edges3[s + 1])
+                out.append((s, _planes(keys[mine]), _planes(count[mine]), _planes(np.bincount(owner[after] - edges[s], minlength=len(mine)).astype("<u4")), _planes(follow[after]), _planes(times[after])))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["shard", "a", "b", "c", "d", "e"]).astype({"shard": "int32"}), preserve_index=False)
 
     def merge_pairs(key: tuple, x: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessera.llm import elias_fano
 from tessera.llm.elias_fano import EliasFano
 
 
@@ -38,3 +39,19 @@ def test_a_level_is_compact_and_skewed_words_are_found():
     skewed = EliasFano.build(np.zeros(3000, np.int64), low, 1, 10**9)
     index, equal = skewed.find(np.zeros(3000, np.int64), np.full(3000, 3000), low)
     assert equal.all() and (index == np.arange(3000)).all()
+
+
+def test_select_and_a_walk_of_many_words_that_selects_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([1, 1 << 63, 2**64 - 1], np.uint64)])
+    for r in range(64):
+        some = x[np.bitwise_count(x) > r]
+        want = [[i for i in range(64) if int(w) >> i & 1][r] for w in some]
+        assert elias_fano._select(some, np.full(len(some), r)).tolist() == want
+    calls, plain = [], elias_fano._select
+    monkeypatch.setattr(elias_fano, "_select", lambda x, r: calls.append(len(x)) or plain(x, r))
+    context = np.repeat(np.arange(64), rng.integers(0, 90, 64))  # ranges of more than one word of 64 bits
+    level = elias_fano.EliasFano.build(context, np.arange(len(context)), 64, len(context))
+    begin = np.searchsorted(context, np.arange(64))
+    found = level._zero(np.arange(64))
+    assert found.tolist() == (np.append(begin[1:], len(context)) + np.arange(64)).tolist() and calls == [64]
