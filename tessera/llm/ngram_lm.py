@@ -30,13 +30,14 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,62 +45,65 @@ from pyspark.sql import functions as F
 from .common import memo_of, shared_dir, swept, table
 from .elias_fano import EliasFano
 
-MU2, MU3, CHUNK, SCORE_CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 600_000, 1_000_000, 4000, (7, 2)
+MU2, MU3, CHUNK, SCORE_CHUNK, WORD_CHUNK, DOCS_PER_SHARD, HELD_OUT = 2000.0, 10.0, 600_000, 1_000_000, 2_000_000, 4000, (7, 2)
 LOWEST, STEPS = -12.0, 65535
-MEMO = 300_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of texts that are split at a time.
+PIECE = 1 << 20
 END = xxhash.xxh3_64_intdigest(b" end")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _open: dict = {}
 
 
-class _Words(dict):
-    """word -> number in order of appearance, with hashes and, once looked up, vocabulary ids and counts by number.
-    Number 0 is the end token. A new one is begun when it is full: a bound on memory, not on vocabulary."""
+class _Words:
+    """Distinct words of a chunk by number: hashes and, once looked up, vocabulary ids and counts. Number 0 is the end token."""
 
-    def __init__(self) -> None:
-        self.hashes = array("Q", [END])
-        self.ids, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return i
+    def __init__(self, distinct: pa.Array) -> None:
+        self.hashes = np.fromiter(chain([END], map(xxhash.xxh3_64_intdigest, distinct.cast(pa.binary()).to_numpy(zero_copy_only=False))), np.uint64, len(distinct) + 1)
 
     def look(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) by number; only words new since the last call are searched for."""
-        new = np.array(self.hashes[len(self.ids) :], np.uint64)
-        if len(new):
-            order = np.argsort(new)
-            ids, counts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-            ids[order], counts[order] = vocabulary.look(new[order])
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        """(ids, counts) by number."""
+        order = np.argsort(self.hashes)
+        self.ids, self.counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.ids[order], self.counts[order] = vocabulary.look(self.hashes[order])
         return self.ids, self.counts
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, words of each): A-Z lower-cased, cut at runs of the bytes \\x20 and \\x09-\\x0D."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)  # none at the ends of texts
+    return words.filter(some), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, _Words]]:
     """(other columns' values per row, word numbers of all tokens, their text's number, words) over whole texts, about size
     tokens at a time. The last column of a batch is the text."""
     memo_of("ngram_lm")
-    words = _Words()
     rows, parts, lengths, n = [], [], [], 0
+
+    def chunk() -> tuple[list[tuple], np.ndarray, np.ndarray, _Words]:
+        coded, tokens = pa.concat_arrays(parts).dictionary_encode(), np.concatenate(lengths) + 1
+        numbers, inner = np.zeros(int(tokens.sum()), np.int32), np.ones(int(tokens.sum()), bool)
+        inner[np.cumsum(tokens) - 1] = False
+        numbers[inner] = coded.indices.to_numpy() + 1
+        return rows, numbers, np.repeat(np.arange(len(tokens), dtype=np.int32), tokens), _Words(coded.dictionary)
+
     for x in batches:
-        *others, texts = (c.to_pylist() for c in x.columns)
-        for k, text in enumerate(texts):
-            ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-            part = np.zeros(len(ws) + 1, np.int32)
-            part[:-1] = np.fromiter(map(words.__getitem__, ws), np.int32, len(ws))
-            rows.append(tuple(o[k] for o in others))
-            parts.append(part)
-            lengths.append(len(part))
-            n += len(part)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(x.column(x.num_columns - 1)), 0).to_numpy(zero_copy_only=False)) // PIECE
+        cuts = np.flatnonzero(np.diff(upto, prepend=-1, append=np.iinfo(np.int64).max))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            *others, texts = x.slice(lo, hi - lo).columns
+            words, each = _split(texts)
+            rows += zip(*(o.to_pylist() for o in others), strict=True) if others else [()] * len(each)
+            parts.append(words)
+            lengths.append(each)
+            n += len(words) + len(each)
             if n >= size:
-                yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), lengths), words
+                yield chunk()
                 rows, parts, lengths, n = [], [], [], 0
-                if len(words) > MEMO:
-                    words = _Words()
     if rows:
-        yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), lengths), words
+        yield chunk()
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -304,8 +308,7 @@ def build(train: DataFrame, texts: int) -> str:
     os.makedirs(folder, exist_ok=True)
     shards = max(4, texts // DOCS_PER_SHARD)
 
-    def packed(words: _Words, counts: np.ndarray, n: int) -> pd.DataFrame:
-        h, c = np.array(words.hashes, np.uint64)[: len(counts)], counts
+    def packed(h: np.ndarray, c: np.ndarray, n: int) -> pd.DataFrame:
         order = np.argsort(h)
         h, c = h[order], c[order]
         edges = np.searchsorted(_range_of(h, shards), np.arange(shards + 1))
@@ -313,16 +316,8 @@ def build(train: DataFrame, texts: int) -> str:
         return pd.DataFrame({"shard": np.array(full, np.int32), "n": np.array([n if k == 0 else 0 for k in range(len(full))], np.int64), "a": [h[edges[r] : edges[r + 1]].tobytes() for r in full], "b": [_planes(c[edges[r] : edges[r + 1]].astype("<i8")) for r in full]})
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, n = None, np.zeros(0, np.int64), 0
-        for rows, numbers, _, words in _chunks(batches):
-            if held is not None and held is not words:
-                yield pa.RecordBatch.from_pandas(packed(held, counts, n), preserve_index=False)
-                counts, n = np.zeros(0, np.int64), 0
-            more = np.bincount(numbers, minlength=max(len(words.hashes), len(counts)))
-            more[: len(counts)] += counts
-            held, counts, n = words, more, n + len(rows)
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(packed(held, counts, n), preserve_index=False)
+        for rows, numbers, _, words in _chunks(batches, WORD_CHUNK):
+            yield pa.RecordBatch.from_pandas(packed(words.hashes, np.bincount(numbers, minlength=len(words.hashes)), len(rows)), preserve_index=False)
 
     def merge_words(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])

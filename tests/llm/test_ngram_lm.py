@@ -94,3 +94,19 @@ def test_frequent_words_are_dealt_over_shards(spark):
 
 def test_empty_table(spark):
     assert lm.train_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunks_split_as_bytes_do():
+    """Every ASCII byte, other blanks, capitals beyond A-Z, nulls, blank and empty texts; chunks of several and of single texts."""
+    texts = ["".join(map(chr, range(128))), "AÄİ b c\u0085d \x1cE\x1f", None, "", " \t\n\x0b\x0c\r ", "  a  B a\r\n", "x", "word " * 3000 + "End"]
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    hashed = lambda t: [*map(lm.xxhash.xxh3_64_intdigest, (t or "").encode().translate(lower).split()), lm.END]
+    batch = lm.pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": lm.pa.array(texts, lm.pa.string())})
+    for size in (1, 6, 10**6):
+        got = {}
+        for rows, numbers, text, words in lm._chunks(iter([batch, batch.slice(0, 0)]), size):
+            for i, (k,) in enumerate(rows):
+                got[k] = words.hashes[numbers[text == i]].tolist()
+            assert len(set(words.hashes.tolist())) == len(words.hashes)
+        assert got == dict(enumerate(map(hashed, texts)))
+    assert [len(r[0]) for r in lm._chunks(iter([batch.select(["text"])]))] == [len(texts)]
