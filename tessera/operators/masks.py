@@ -197,12 +197,12 @@ def merged_confidence(text: DataFrame, point: DataFrame, by: tuple[str, ...] = (
 
 
 def pair_iou(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
-    """(by..., inst_a, inst_b, iou) of overlapping instances. a, b: (by..., inst, pixel)."""
-    keys = list(by)
-    na = a.groupBy(*keys, "inst").agg(F.count("*").alias("na")).withColumnRenamed("inst", "inst_a")
-    nb = b.groupBy(*keys, "inst").agg(F.count("*").alias("nb")).withColumnRenamed("inst", "inst_b")
-    inter = a.withColumnRenamed("inst", "inst_a").join(b.withColumnRenamed("inst", "inst_b"), [*keys, "pixel"]).groupBy(*keys, "inst_a", "inst_b").agg(F.count("*").alias("inter"))
-    return inter.join(na, [*keys, "inst_a"]).join(nb, [*keys, "inst_b"]).select(*keys, "inst_a", "inst_b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
+    """(by..., inst_a, inst_b, iou) of overlapping instances. a, b: (by..., inst, pixel). Pixels bring the sizes of their
+    instances along."""
+    keys, size = list(by), F.count("*").over(Window.partitionBy(*by, "inst"))
+    side = lambda d, n: d.where("inst is not null").select(*keys, "pixel", F.col("inst").alias(f"inst_{n}"), size.alias(f"n{n}"))
+    inter = side(a, "a").join(side(b, "b"), [*keys, "pixel"]).groupBy(*keys, "inst_a", "inst_b").agg(F.count("*").alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return inter.select(*keys, "inst_a", "inst_b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
 
 
 def nms_masks(instances: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:

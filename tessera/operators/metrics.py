@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ratio
-from .geometry import by_group
 from .running import Ranged
 
 
@@ -79,24 +78,21 @@ def point_metrics(points: DataFrame, instances: DataFrame) -> DataFrame:
 
 def greedy_match(predictions: DataFrame, pairs: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
     """predictions (by..., inst_a, score) with is_tp: by score each takes the unmatched instance of greatest IoU, a hit from
-    threshold on. pairs: (by..., inst_a, inst_b, iou) of overlapping ones."""
-    rows = predictions.join(pairs, [*by, "inst_a"], "left")
+    threshold on. pairs: (by..., inst_a, inst_b, iou) of overlapping ones; those below the threshold change nothing."""
+    rows = predictions.join(pairs.where(F.col("iou") >= threshold), [*by, "inst_a"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def match(found: list[tuple]) -> list[tuple]:
-        taken, out = set(), []
-        each: dict[tuple, list] = {}
-        for inst, score, other, iou in found:
-            each.setdefault((-score, inst), []).append((other, iou))
-        for (score, inst), options in sorted(each.items()):
-            free = [(-iou, other) for other, iou in options if other is not None and other not in taken]
-            hit = bool(free) and -min(free)[0] >= threshold
-            if hit:
-                taken.add(min(free)[1])
-            out.append((inst, -score, int(hit)))
-        return out
-
-    return by_group(rows, by, ("inst_a", "score", "inst_b", "iou"), match, ", ".join(f"{c} {kinds[c]}" for c in (*by, "inst_a", "score")) + ", is_tp int")
+    row = F.struct((-F.col("score")).alias("s"), "inst_a", (-F.col("iou")).alias("u"), "inst_b", "score")
+    own = lambda x: F.struct(x["s"].alias("s"), x["inst_a"].alias("inst_a"))
+    none = F.struct(F.array().cast(f"array<{kinds['inst_b']}>").alias("taken"), F.array().cast(f"array<struct<s:{rows.select(row['s']).dtypes[0][1]},inst_a:{kinds['inst_a']}>>").alias("hit"))
+
+    def match(m: Column, x: Column) -> Column:
+        free = ~F.array_contains(m["taken"], x["inst_b"]) & ~F.array_contains(m["hit"], own(x))
+        return F.when(free, F.struct(F.array_append(m["taken"], x["inst_b"]).alias("taken"), F.array_append(m["hit"], own(x)).alias("hit"))).otherwise(m)
+
+    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+    groups = groups.withColumn("_hit", F.aggregate(F.filter("_r", lambda x: x["inst_b"].isNotNull()), none, match, lambda m: m["hit"]))
+    each = groups.select(*by, "_hit", F.explode(F.array_distinct(F.transform("_r", lambda x: F.struct(x["s"].alias("s"), x["inst_a"].alias("inst_a"), x["score"].alias("score"))))).alias("_p"))
+    return each.select(*by, "_p.inst_a", "_p.score", F.array_contains("_hit", own(F.col("_p"))).cast("int").alias("is_tp"))
 
 
 def merged_state(*states: DataFrame) -> DataFrame:

@@ -257,6 +257,12 @@ def _instances(spark, sf):
     return read(spark, sf, "lineitem").selectExpr("l_orderkey image_id", "l_returnflag class_id", "cast(l_quantity as int) % 3 inst", "cast(l_linenumber as bigint) pixel", "l_tax score")
 
 
+def _pixels(instances: DataFrame, condition: str) -> DataFrame:
+    """Distinct pixels of instances, dealt by instance."""
+    own = ("image_id", "class_id", "inst")
+    return instances.where(condition).select(*own, "pixel").repartition(*own).distinct()
+
+
 @query("""with recursive i as (select l_orderkey image_id, l_returnflag class_id, l_quantity::int % 3 inst, l_linenumber::bigint pixel, l_tax score from lineitem),
 g as (select image_id, class_id, inst, max(score) score, list(distinct pixel) px from i group by all),
 o as (select *, row_number() over (partition by image_id, class_id order by score desc, inst) k from g),
@@ -346,8 +352,7 @@ w as (select image_id, class_id, inst, score, k, case when options[1].iou >= 0.5
 select image_id, class_id, inst inst_a, score, hit is_tp from w""")
 def greedy_gt_match(spark, sf):
     i = _instances(spark, sf)
-    a = i.where("score >= 0.03").select("image_id", "class_id", "inst", "pixel").distinct()
-    b = i.where("score <= 0.05").select("image_id", "class_id", "inst", "pixel").distinct()
+    a, b = _pixels(i, "score >= 0.03"), _pixels(i, "score <= 0.05")
     preds = i.where("score >= 0.03").groupBy("image_id", "class_id", F.col("inst").alias("inst_a")).agg(F.max("score").alias("score"))
     return metrics.greedy_match(preds, masks.pair_iou(a, b), 0.5)
 
@@ -383,8 +388,7 @@ _INST = "i as (select l_orderkey image_id, l_returnflag class_id, l_quantity::in
 @query(f"with {_INST}, a as (select distinct image_id, class_id, inst, pixel from i where score >= 0.03), b as (select distinct image_id, class_id, inst, pixel from i where score <= 0.05), na as (select image_id, class_id, inst, count(*) n from a group by all), nb as (select image_id, class_id, inst, count(*) n from b group by all), x as (select a.image_id, a.class_id, a.inst inst_a, b.inst inst_b, count(*) c from a join b using (image_id, class_id, pixel) group by all) select x.image_id, x.class_id, inst_a, inst_b, c / (na.n + nb.n - c) iou from x join na on na.image_id = x.image_id and na.class_id = x.class_id and na.inst = inst_a join nb on nb.image_id = x.image_id and nb.class_id = x.class_id and nb.inst = inst_b")
 def pixel_pair_iou(spark, sf):
     i = _instances(spark, sf)
-    cut = lambda c: i.where(c).select("image_id", "class_id", "inst", "pixel").distinct()
-    return masks.pair_iou(cut("score >= 0.03"), cut("score <= 0.05"))
+    return masks.pair_iou(_pixels(i, "score >= 0.03"), _pixels(i, "score <= 0.05"))
 
 
 @query("with x as (select distinct l_suppkey image_id, l_returnflag class_id, (l_partkey % 64)::int y, (l_orderkey % 64)::int x from lineitem) select image_id, class_id, (y // 16)::int \"row\", (x // 16)::int col, count(*) / 256.0::double coverage from x group by all")

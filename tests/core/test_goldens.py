@@ -239,3 +239,12 @@ def test_coverage_of_bank_and_target_patches(spark):
     assert {r.vec_id for r in Engine(Config(images_per_class=2)).build(patches).collect()} == {1, 7, 8}
     got = {(r.image_id, r.patch_no): r.inside for r in bank.targets(patches, spark.createDataFrame([(1, i) for i in (1, 2, 3)], "class_id int, image_id long")).collect()}
     assert got == {(1, 0): True, (1, 1): True, (2, 0): True, (2, 1): False, (3, 0): True, (3, 1): False}
+
+
+def test_greedy_match_below_threshold_and_ties(spark):
+    """The best free instance counts if it reaches the threshold; equal overlaps go to the lesser instance; all in the JVM."""
+    preds = spark.createDataFrame([(1, 1, 0, 0.9), (1, 1, 1, 0.9), (1, 1, 2, 0.5), (1, 1, 3, 0.4), (None, 1, 0, 0.1)], "image_id long, class_id int, inst_a int, score double")
+    pairs = spark.createDataFrame([(1, 1, 0, 7, 0.6), (1, 1, 0, 5, 0.6), (1, 1, 1, 5, 0.9), (1, 1, 1, 6, 0.4), (1, 1, 2, 7, 0.5), (1, 1, 3, 7, 0.8)], "image_id long, class_id int, inst_a int, inst_b int, iou double")
+    got = metrics.greedy_match(preds, pairs)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.image_id, r.inst_a, r.score, r.is_tp) for r in got.collect()} == {(1, 0, 0.9, 1), (1, 1, 0.9, 0), (1, 2, 0.5, 1), (1, 3, 0.4, 0), (None, 0, 0.1, 0)}

@@ -150,3 +150,12 @@ def test_a_sweep_takes_one_shuffle_and_gives_no_empty_stretch(spark):
     got = runs.covered(("image_id", "class_id"), s=d)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted((r.start, r.len, r.s) for r in got.collect()) == [(2, 3, 2), (5, 1, 1)]
+
+
+def test_pixel_pair_iou_takes_a_shuffle_per_side_and_two_more(spark):
+    shape = "image_id long, class_id int, inst int, pixel long"
+    a = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 1, 3), (1, 1, None, 3), (None, 1, 1, 3), (1, 1, 1, None)], shape)
+    b = spark.createDataFrame([(1, 1, 5, 2), (1, 1, 5, 3), (1, 1, 6, 9), (1, 1, None, 1), (None, 1, 5, 3)], shape)
+    got = masks.pair_iou(a, b)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 5
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 1, 5, 2 / 4)]
