@@ -1,8 +1,10 @@
 """K-means per class over packed blocks: oversampled starts, then Lloyd rounds, all over every row of a class.
 
-Rows are packed once into blocks (class_id, ids, vectors as bytes) of at most BLOCK rows. Each round joins the blocks with the
-centres of their own class, so no task sees other classes' centres and nothing but counts comes to the driver; a class with a
-third of all rows is only more blocks."""
+Rows are packed once into blocks (class_id, ids, vectors as bytes) of at most BLOCK rows. A class of at most WHOLE numbers is
+fitted in one task, all rounds in memory. For larger classes each round is a job that joins the blocks with the centres of their
+own class, so that a class with a third of all rows is only more blocks. Both ways draw the same rows and follow the same rule of
+convergence. Nothing but counts comes to the driver; the centres sent to all tasks are those of larger classes only, of which
+there are few by their size."""
 
 from __future__ import annotations
 
@@ -17,6 +19,10 @@ from ..sources.stored import stored
 from .search import matrix
 
 BLOCK = 256
+#: Numbers (rows times their width, counted as LEAST_WIDTH at least) of a class that one task fits: 32 MB as doubles.
+WHOLE, LEAST_WIDTH = 1 << 22, 64
+#: Rows of a class whose distances a task holds at a time.
+SLICE = 4096
 #: Parts in which a class's partial sums are added up first.
 SALTS = 32
 CENTRES = "class_id int, k int, centres array<array<double>>"
@@ -61,6 +67,26 @@ def _centres(cell) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in cell])
 
 
+def _tally(m: np.ndarray, c: np.ndarray) -> tuple:
+    """(n, total, squares, cost) of rows, as in sums."""
+    d = _distances(m, c)
+    hot = np.eye(len(c))[d.argmin(axis=1)]
+    return hot.sum(axis=0), (hot.T @ m).ravel(), (m**2).sum(), d.min(axis=1).sum()
+
+
+def _added(tallies) -> tuple:
+    return tuple(sum(x[1:], x[0]) for x in zip(*tallies, strict=True))
+
+
+def _stepped(old: np.ndarray, n: np.ndarray, total: np.ndarray, squares: float, tolerance: float) -> tuple[np.ndarray, bool]:
+    """The centres after a Lloyd round, and whether they moved. A centre without rows stays."""
+    total = total.reshape(old.shape)
+    mean = total.sum(axis=0) / n.sum()
+    new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
+    variance = (float(squares) / n.sum() - float(mean @ mean)) / old.shape[1]
+    return new, bool(((new - old) ** 2).sum() > tolerance * max(variance, 0.0) + 1e-15)
+
+
 def _summed(partial: DataFrame) -> DataFrame:
     """(class_id, n, total, squares, cost) added up per class: first in salted parts, so that no task adds more than a part."""
 
@@ -73,24 +99,31 @@ def _summed(partial: DataFrame) -> DataFrame:
     return part.groupBy("class_id").applyInPandas(add, shape)
 
 
-def sums(blocks: DataFrame, centres: DataFrame) -> DataFrame:
-    """(class_id, n, total, squares, cost) over all rows of the classes in centres: rows and their sum (flat) per nearest centre,
-    sum of squares, and the sum of squared distances to the nearest centre."""
+_TALLY = "n array<double>, total array<double>, squares double, cost double"
+
+
+def _partial(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+    """sums per task and class, with the class's k and centres."""
 
     def run(batches):
-        held: dict = {}
+        held, own = {}, {}
         for x in batches:
-            for cls, ids, vectors, cell in zip(x["class_id"], x["ids"], x["vectors"], x["centres"], strict=True):
-                m, c = _rows(vectors, len(ids)), _centres(cell)
-                d = _distances(m, c)
-                hot = np.eye(len(c))[d.argmin(axis=1)]
-                new = hot.sum(axis=0), (hot.T @ m).ravel(), (m**2).sum(), d.min(axis=1).sum()
-                old = held.get(int(cls))
-                held[int(cls)] = new if old is None else tuple(a + b for a, b in zip(old, new, strict=True))
-        yield pd.DataFrame([(c, n.tolist(), t.tolist(), float(q), float(e)) for c, (n, t, q, e) in held.items()], columns=["class_id", "n", "total", "squares", "cost"])
+            for cls, k, ids, vectors, cell in zip(x["class_id"], x["k"], x["ids"], x["vectors"], x["centres"], strict=True):
+                if cls not in own:
+                    own[cls] = int(k), _centres(cell)
+                new = _tally(_rows(vectors, len(ids)), own[cls][1])
+                held[cls] = _added((held[cls], new)) if cls in held else new
+        rows = [(int(c), own[c][0], own[c][1].tolist(), n.tolist(), t.tolist(), float(q), float(e)) for c, (n, t, q, e) in held.items()]
+        yield pd.DataFrame(rows, columns=["class_id", "k", "centres", "n", "total", "squares", "cost"])
+
+    met = blocks.select("class_id", "ids", "vectors").join(centres.select("class_id", "k", "centres"), "class_id")
+    return met.select("class_id", "k", "ids", "vectors", "centres").mapInPandas(run, f"{CENTRES}, {_TALLY}")
 
-    met = blocks.join(centres.select("class_id", "centres"), "class_id").select("class_id", "ids", "vectors", "centres")
-    return _summed(met.mapInPandas(run, "class_id int, n array<double>, total array<double>, squares double, cost double"))
+
+def sums(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+    """(class_id, n, total, squares, cost) over all rows of the classes in centres: rows and their sum (flat) per nearest centre,
+    sum of squares, and the sum of squared distances to the nearest centre."""
+    return _summed(_partial(blocks, centres).drop("k", "centres"))
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -102,6 +135,13 @@ def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
         return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
 
 
+def _hits(m: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, cost: float, salt: int, over: float) -> np.ndarray:
+    """Which rows a round of k-means|| takes."""
+    d = _distances(m, c).min(axis=1)
+    d[d < 1e-12] = 0.0
+    return _uniform(ids, salt) * cost < over * k * d
+
+
 def _one_per_class(blocks: DataFrame, seed: int) -> DataFrame:
     """centres of one row per class: that of the least draw."""
 
@@ -132,9 +172,7 @@ def starts(blocks: DataFrame, seed: int = 42, rounds: int = 5, over: float = 2.0
                 out = []
                 for cls, k, ids, vectors, cell, cost in zip(x["class_id"], x["k"], x["ids"], x["vectors"], x["centres"], x["cost"], strict=True):
                     m, ids = _rows(vectors, len(ids)), np.asarray(ids)
-                    d = _distances(m, _centres(cell)).min(axis=1)
-                    d[d < 1e-12] = 0.0
-                    hit = _uniform(ids, salt) * cost < over * k * d
+                    hit = _hits(m, ids, _centres(cell), k, cost, salt, over)
                     out += [(int(cls), int(i), v.tolist()) for i, v in zip(ids[hit], m[hit], strict=True)]
                 yield pd.DataFrame(out, columns=["class_id", "vec_id", "v"])
 
@@ -178,15 +216,12 @@ def weighted(c: np.ndarray, w: np.ndarray, k: int, seed: int, tries: int = 8, ro
 
 def lloyd(blocks: DataFrame, first: DataFrame, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
     """CENTRES after Lloyd rounds over all rows of a class until its centres move, squared, by less than tolerance times the mean
-    variance per dimension. A centre without rows stays. Settled classes are not read again."""
+    variance per dimension. A centre without rows stays. Settled classes are not read again. A round is one job: the sums of a
+    task's rows, one row per class, and one shuffle of these."""
 
     def step(x: pd.DataFrame) -> pd.DataFrame:
-        old, n = _centres(x["centres"].iloc[0]), np.asarray(x["n"].iloc[0], float)
-        total = np.asarray(x["total"].iloc[0], float).reshape(old.shape)
-        mean = total.sum(axis=0) / n.sum()
-        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
-        variance = (float(x["squares"].iloc[0]) / n.sum() - float(mean @ mean)) / old.shape[1]
-        moved = bool(((new - old) ** 2).sum() > tolerance * max(variance, 0.0) + 1e-15)
+        tallies = [(np.asarray(n, float), np.asarray(t, float), q) for n, t, q in zip(x["n"], x["total"], x["squares"], strict=True)]
+        new, moved = _stepped(_centres(x["centres"].iloc[0]), *_added(tallies), tolerance)
         return pd.DataFrame({"class_id": x["class_id"].iloc[:1], "k": int(x["k"].iloc[0]), "centres": [new.tolist()], "moved": moved})
 
     now = stored(first.withColumn("moved", F.lit(True)), "centres")
@@ -194,11 +229,48 @@ def lloyd(blocks: DataFrame, first: DataFrame, rounds: int = 300, tolerance: flo
         moving = now.where("moved")
         if moving.isEmpty():
             break
-        new = moving.drop("moved").join(sums(blocks, moving).drop("cost"), "class_id").groupBy("class_id").applyInPandas(step, CENTRES + ", moved boolean")
+        new = _partial(blocks, F.broadcast(moving)).drop("cost").groupBy("class_id").applyInPandas(step, CENTRES + ", moved boolean")
         now = stored(now.where("not moved").unionByName(new), "centres")
     return now.drop("moved")
 
 
+def fit(ids: np.ndarray, m: np.ndarray, k: int, seed: int, rounds: int, tolerance: float, draws: int = 5, over: float = 2.0) -> np.ndarray:
+    """starts and lloyd of one class in memory: the same draws and the same rounds."""
+    order = np.argsort(ids, kind="stable")
+    ids, m = ids[order], m[order]
+    parts = [slice(i, i + SLICE) for i in range(0, len(m), SLICE)]
+    tally = lambda c: _added(_tally(m[p], c) for p in parts)
+    u = _uniform(ids, seed)
+    at = np.array([min(m[u == u.min()].tolist())])
+    if k > 1:
+        for r in range(draws):
+            cost = tally(at)[3]
+            hit = np.concatenate([_hits(m[p], ids[p], at, k, cost, seed + 1 + r, over) for p in parts])
+            drawn = sorted(zip(ids[hit].tolist(), m[hit].tolist(), strict=True))
+            at = np.array(at.tolist() + [v for _, v in drawn])
+        at = weighted(at, tally(at)[0], k, seed)
+    for _ in range(rounds):
+        n, total, squares, _cost = tally(at)
+        at, moved = _stepped(at, n, total, squares, tolerance)
+        if not moved:
+            break
+    return at
+
+
+def whole(blocks: DataFrame, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
+    """CENTRES of classes of at most WHOLE numbers, a class at a time in a task."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.asarray(i, np.int64) for i in x["ids"]])
+        m = np.concatenate([_rows(v, len(i)) for i, v in zip(x["ids"], x["vectors"], strict=True)])
+        k = int(x["k"].iloc[0])
+        return pd.DataFrame({"class_id": x["class_id"].iloc[:1], "k": k, "centres": [fit(ids, m, k, seed, rounds, tolerance).tolist()]})
+
+    # A given number of partitions is not merged: a merged one would fit its classes one after another.
+    parts = max(64, -(-blocks.count() // 256))
+    return blocks.repartition(parts, "class_id").groupBy("class_id").applyInPandas(run, CENTRES)
+
+
 def assigned(blocks: DataFrame, centres: DataFrame) -> DataFrame:
     """(class_id, vec_id, cluster): the nearest centre of the row's class, the first of equals."""
 
@@ -220,7 +292,12 @@ def inertia(blocks: DataFrame, centres: DataFrame) -> DataFrame:
 def fitted(rows: DataFrame, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(blocks, centres) of the k-means of each class of rows (class_id, vec_id, embedding)."""
     blocks = stored(packed(rows), "blocks")
-    return blocks, lloyd(blocks, starts(blocks, seed), rounds, tolerance)
+    width = F.greatest(F.length("vectors") / 4, F.size("ids") * LEAST_WIDTH)
+    large = stored(blocks.groupBy("class_id").agg(F.sum(width).alias("_numbers")).where(F.col("_numbers") > WHOLE).select("class_id"), "large")
+    if large.isEmpty():
+        return blocks, stored(whole(blocks, seed, rounds, tolerance), "centres")
+    few, many = (blocks.join(F.broadcast(large), "class_id", how) for how in ("left_anti", "left_semi"))
+    return blocks, stored(whole(few, seed, rounds, tolerance).unionByName(lloyd(many, starts(many, seed), rounds, tolerance)), "centres")
 
 
 def with_clusters(bank: DataFrame, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:

@@ -69,3 +69,32 @@ def test_column_and_plain_count_agree(spark):
 def test_a_block_meets_its_own_class_only(spark):
     plan = clusters.sums(spark.createDataFrame([], "class_id int, k int, ids array<long>, vectors binary"), spark.createDataFrame([], clusters.CENTRES))
     assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def cells(centres):
+    return {r.class_id: (r.k, np.array(r.centres)) for r in centres.collect()}
+
+
+def test_a_bounded_class_takes_no_job_per_round(spark):
+    rows = frame(spark, {c: unit(np.random.default_rng(c).normal(size=(400, 8))) for c in (1, 2)})
+    jobs = []
+    for rounds in (1, 300):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        clusters.fitted(rows, rounds=rounds)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1] < 30
+
+
+def test_classes_above_and_below_the_bound_have_the_same_centres(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = frame(spark, {1: unit(rng.normal(size=(900, 5))), 2: unit(rng.normal(size=(300, 5))), 3: unit(rng.normal(size=(30, 5)))})
+    monkeypatch.setattr(clusters, "SLICE", 100)
+    every = cells(clusters.fitted(rows, rounds=6)[1])
+    assert set(every) == {1, 2, 3}
+    for bound in (500 * clusters.LEAST_WIDTH, 0):  # the largest class by rounds, then all of them
+        monkeypatch.setattr(clusters, "WHOLE", bound)
+        got = cells(clusters.fitted(rows, rounds=6)[1])
+        assert set(got) == set(every)
+        for c, (k, at) in every.items():
+            assert got[c][0] == k and np.allclose(got[c][1], at, atol=1e-9)
