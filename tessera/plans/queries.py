@@ -52,9 +52,10 @@ def queries_of(p: DataFrame) -> DataFrame:
     return q.drop("class_id").join(asked, "image_id").select("class_id", "image_id", "row", "col", "embedding")
 
 
-def scored_bank(spark: SparkSession, sf: str) -> DataFrame:
+def scored_bank(spark: SparkSession, sf: str, limit: int | None = 100) -> DataFrame:
+    """The bank with its votes in the first limit target images of each class, or in all of them."""
     p = patches(spark, sf)
-    return banks.scored(bank_of(p), p.where("image_id % 2 = 0"), 0.0, 3, 100)
+    return banks.scored(bank_of(p), p.where("image_id % 2 = 0"), 0.0, 3, limit)
 
 
 P = """p as (select vec_id, vec_id // 25 image_id, (vec_id % 25)::int patch_no, ((vec_id % 25) // 5)::int "row", (vec_id % 5)::int col, label class_id, embedding::double[] e,
@@ -105,7 +106,7 @@ def filter_clustered_adaptive(spark, sf):
 
 @query()
 def filter_clustered_kmeans(spark, sf):
-    rows = banks.with_clusters(scored_bank(spark, sf).where("score is not null"))
+    rows = banks.with_clusters(scored_bank(spark, sf, None).where("score is not null"))
     return banks.clustered(rows, LOW, HIGH, smallest=5).select("vec_id", "class_id", "cluster", q6("score"))
 
 

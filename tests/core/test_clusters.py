@@ -3,6 +3,7 @@
 import numpy as np
 
 from tessera.operators import bank, clusters
+from tessera.plans import queries
 
 
 def plain_inertia(m, k, tries=40, seed=0):
@@ -98,3 +99,28 @@ def test_classes_above_and_below_the_bound_have_the_same_centres(spark, monkeypa
         assert set(got) == set(every)
         for c, (k, at) in every.items():
             assert got[c][0] == k and np.allclose(got[c][1], at, atol=1e-9)
+
+
+def test_kmeans_query_votes_in_every_target_image(spark, tmp_path):
+    """130 images a class, past the 100 of the capped queries: each row's score is that of a plain loop over all of them."""
+    rng = np.random.default_rng(11)
+    n, label = 260 * 25, np.arange(260 * 25) // 50 % 2 + 1
+    label[::25] = 3 - label[::25]  # both classes in every image
+    m = unit(rng.normal(size=(n, 4)) + np.where(np.arange(n) < n // 2, 2.0, -2.0)[:, None] * np.eye(4)[label]).astype("<f4")
+    spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(m, label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    even = np.arange(n) // 25 % 2 == 0
+    x, own = unit(m[even].astype(float)), (np.arange(n) // 25)[even]
+    own_class, images = label[even], np.unique(own)
+    tp, total = np.zeros(len(x)), np.zeros(len(x))
+    for i in images:
+        at = np.flatnonzero(own == i)
+        best = np.round(x @ x[at].T, 12)
+        near, fine = best.argmax(axis=1), (best.max(axis=1) >= 0) & (own != i)
+        tp += fine & (own_class[at][near] == own_class)
+        total += fine
+    score = {int(v): t / k for v, t, k in zip(np.arange(n)[even], tp, total, strict=True) if k >= 3}
+    got = {r.vec_id: r.score for r in queries.QUERIES["filter_clustered_kmeans"](spark, str(tmp_path)).collect()}
+    assert len(images) == 130 and got
+    assert all(abs(s - score[v]) < 1e-6 for v, s in got.items())
+    sure = {v for v, s in score.items() if s >= queries.HIGH}
+    assert len(sure - set(got)) <= 2 * 8 * 4  # only clusters below five rows go
