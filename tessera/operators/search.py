@@ -7,30 +7,61 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPS, dot, norm
 
 BLOCK = 4096
+#: Rows of WIDTH numbers in a block of votes, bank and targets: a row is sent once per block of the other side.
+VOTERS, TARGETS, WIDTH = 1 << 17, 1 << 16, 64
+#: Rows of a product that votes holds at a time, and its columns.
+TALL, WIDE = 1024, 512
 
 
-def matrix(rows: pd.Series) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     """Unit rows as doubles."""
-    x = np.array(rows.tolist(), np.float64)
+    x = np.asarray(x, np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
 
 
-def block_join(left: DataFrame, right: DataFrame, group: str | None, right_unit: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+def matrix(rows: pd.Series) -> np.ndarray:
+    """Unit rows as doubles."""
+    return unit(np.array(rows.tolist(), np.float64))
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column as a matrix."""
+    c = column.combine_chunks()
+    sizes = pc.unique(pc.list_value_length(c))
+    if c.null_count or len(sizes) != 1:
+        raise ValueError("embeddings that are null or of different lengths")
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+
+def _single(x: np.ndarray) -> np.ndarray:
+    """Unit rows as floats."""
+    out = np.empty(x.shape, np.float32)
+    for i in range(0, len(x), BLOCK):
+        out[i : i + BLOCK] = unit(x[i : i + BLOCK])
+    return out
+
+
+def block_join(left: DataFrame, right: DataFrame, group: str | None, right_unit: str, kernel: Callable, schema: str, block: int | tuple[int, int] = BLOCK, arrow: bool = False) -> DataFrame:
     """kernel(left block, right block) for all pairs of blocks of each group, or of all rows if group is None. Rows of one
-    right_unit stay together (a unit is an image: of bounded size)."""
+    right_unit stay together (a unit is an image: of bounded size). A kernel takes and gives pandas frames or, with arrow, Arrow
+    tables; block is then in rows of WIDTH numbers."""
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    bl, br = block if isinstance(block, tuple) else (block, block)
     if group is None:
-        nl, nr = (F.lit(max(1, -(-x.count() // block))) for x in (left, right))
+        nl, nr = (F.lit(max(1, -(-x.count() // n))) for x, n in ((left, bl), (right, br)))
         keys, a, b = ["_i", "_j"], left, right
     else:
-        nl = left.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nl"))
-        sizes = nl.join(right.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_nr")), group)
+        rows = F.sum(F.greatest(F.lit(1.0), F.size("embedding") / WIDTH)) if arrow else F.count("*")
+        nl = left.groupBy(group).agg(F.ceil(rows / bl).cast("int").alias("_nl"))
+        sizes = nl.join(right.groupBy(group).agg(F.ceil(rows / br).cast("int").alias("_nr")), group)
         keys, a, b, nl, nr = [group, "_i", "_j"], left.join(sizes, group), right.join(sizes, group), F.col("_nl"), F.col("_nr")
     a = a.withColumn("_i", F.pmod(F.xxhash64(*left.columns[:1]), nl).cast("int")).withColumn("_j", each(nr)).drop("_nl", "_nr")
     b = b.withColumn("_j", F.pmod(F.xxhash64(right_unit), nr).cast("int")).withColumn("_i", each(nl)).drop("_nl", "_nr")
@@ -42,7 +73,55 @@ def block_join(left: DataFrame, right: DataFrame, group: str | None, right_unit:
             return pd.DataFrame({n: [] for n in names})
         return kernel(x, y)[names]
 
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
+    met = a.groupBy(*keys).cogroup(b.groupBy(*keys))
+    return met.applyInArrow(kernel, schema) if arrow else met.applyInPandas(run, schema)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, inside: np.ndarray, sim_floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of x: whether it votes at its most similar row of y (the first of equals), and whether that is inside."""
+    sims = np.round(unit(x) @ unit(y).T, 12)
+    best = sims.argmax(axis=1)
+    return sims[np.arange(len(x)), best] >= sim_floor, inside[best]
+
+
+def _voted(x: np.ndarray, own: np.ndarray, y: np.ndarray, image: np.ndarray, inside: np.ndarray, sim_floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tp, fp) of each row of x. y: patches in order of image and patch.
+
+    A vote is a hit if the largest similarity inside the class exceeds that outside. Products are of floats; where two
+    numbers to be compared differ by less than these can be wrong by, the pair of vector and image is looked at in doubles."""
+    starts = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+    sizes = np.diff(np.r_[starts, len(image)])
+    within = np.add.reduceat(inside.astype(np.int64), starts)
+    tp, fp = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    xt, flat = np.ascontiguousarray(_single(x).T), _single(y)
+    unsure_by = 2 * (x.shape[1] + 8) * 2.0**-24
+    for size, first in np.unique(np.stack([sizes, within], axis=1), axis=0).tolist():
+        alike = np.flatnonzero((sizes == size) & (within == first))
+        step, wide = max(1, TALL // size), max(64, min(WIDE, TALL * WIDE // size))
+        for at in (alike[i : i + step] for i in range(0, len(alike), step)):
+            rows = starts[at][:, None] + np.arange(size)
+            rows = np.take_along_axis(rows, np.argsort(~inside[rows], axis=1, kind="stable"), axis=1)  # those inside first
+            patches, ids, unsure = flat[rows.ravel()], image[starts[at]][:, None], []
+            for c in range(0, len(x), wide):
+                sims = (patches @ xt[:, c : c + wide]).reshape(len(at), size, -1)
+                none = np.full((len(at), sims.shape[2]), -np.inf, np.float32)
+                hit = sims[:, :first].max(axis=1) if first else none
+                miss = sims[:, first:].max(axis=1) if first < size else none
+                gap, top, other = hit - miss, np.maximum(hit, miss), own[c : c + wide] != ids
+                sure = (np.abs(gap) > unsure_by) & (top > sim_floor + unsure_by) & other
+                hits = np.count_nonzero(sure & (gap > 0), axis=0)
+                tp[c : c + wide] += hits
+                fp[c : c + wide] += np.count_nonzero(sure, axis=0) - hits
+                i, k = np.nonzero(other & ~sure & ~(top < sim_floor - unsure_by))
+                unsure.append((i, k + c))
+            i, k = (np.concatenate(u) for u in zip(*unsure, strict=True))
+            for one in np.unique(i):
+                s, own_rows = starts[at[one]], k[i == one]
+                for part in (own_rows[p : p + BLOCK] for p in range(0, len(own_rows), BLOCK)):
+                    valid, good = _exact(x[part], y[s : s + size], inside[s : s + size], sim_floor)
+                    tp[part] += valid & good
+                    fp[part] += valid & ~good
+    return tp, fp
 
 
 def votes(bank: DataFrame, targets: DataFrame, sim_floor: float = 0.0) -> DataFrame:
@@ -50,22 +129,21 @@ def votes(bank: DataFrame, targets: DataFrame, sim_floor: float = 0.0) -> DataFr
     inside, embedding). In every target image but its own a vector votes at its most similar patch (the first of equals):
     a hit if that patch lies inside the class, a miss if not, none below sim_floor."""
 
-    def kernel(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["image_id", "patch_no"], kind="stable")
-        image, starts = np.unique(t["image_id"].to_numpy(), return_index=True)
-        inside, y, own = t["inside"].to_numpy(bool), matrix(t["embedding"]), v["image_id"].to_numpy()
-        tp, fp = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
-        x, ends = matrix(v["embedding"]), [*starts[1:], len(t)]
-        for k, s, e in zip(image, starts, ends, strict=True):
-            sims = x @ y[s:e].T
-            best = np.round(sims, 12).argmax(axis=1)
-            valid = (sims[np.arange(len(x)), best] >= sim_floor) & (own != k)
-            hit = inside[s:e][best]
-            tp += valid & hit
-            fp += valid & ~hit
-        return pd.DataFrame({"vec_id": v["vec_id"], "class_id": v["class_id"], "tp": tp, "fp": fp})
-
-    part = block_join(bank.select("vec_id", "class_id", "image_id", "embedding"), targets.select("class_id", "image_id", "patch_no", "inside", "embedding"), "class_id", "image_id", kernel, "vec_id long, class_id int, tp long, fp long")
+    def kernel(v: pa.Table, t: pa.Table) -> pa.Table:
+        tp = fp = np.zeros(0, np.int64)
+        if v.num_rows and t.num_rows:
+            # Images by number: a vector's image may be null, and then is no target image.
+            named = pa.chunked_array([*v["image_id"].chunks, *t["image_id"].chunks]).combine_chunks().dictionary_encode()
+            number = pc.fill_null(named.indices, -1).to_numpy(zero_copy_only=False)
+            own, t = number[: v.num_rows], t.append_column("_image", pa.array(number[v.num_rows :]))
+            t = t.take(pc.sort_indices(t.drop_columns(["embedding"]), [("_image", "ascending"), ("patch_no", "ascending")]))
+            inside = pc.fill_null(t["inside"], False).to_numpy()
+            tp, fp = _voted(_vectors(v["embedding"]), own, _vectors(t["embedding"]), t["_image"].to_numpy(), inside, sim_floor)
+        return pa.table({"vec_id": v["vec_id"].slice(0, len(tp)), "class_id": v["class_id"].slice(0, len(tp)), "tp": tp, "fp": fp})
+
+    bank = bank.select(F.col("vec_id").cast("long"), F.col("class_id").cast("int"), "image_id", "embedding")
+    targets = targets.select(F.col("class_id").cast("int"), F.col("image_id").cast(bank.schema["image_id"].dataType), "patch_no", "inside", "embedding")
+    part = block_join(bank, targets, "class_id", "image_id", kernel, "vec_id long, class_id int, tp long, fp long", block=(VOTERS, TARGETS), arrow=True)
     return part.groupBy("vec_id", "class_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
 
 

@@ -79,3 +79,39 @@ def test_votes_by_sql_deal_a_class_in_parts(spark):
     assert kept(got) == kept(search.votes(bank, targets, 0.1)) and len(kept(got)) > 500
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_p" in plan
+
+
+@pytest.mark.parametrize("block", ((1 << 17, 1 << 16), (40, 30)))
+def test_votes_equal_plain_loops_at_ties_zeros_and_broken_vectors(spark, monkeypatch, block):
+    """Equal patches in and out of the class, vectors of zeros, NaN, similarities at the floor, images of different sizes, ids
+    next to each other past 2^53, and vectors without an image. A vote goes to the first of equals, in doubles."""
+    inner = search.block_join
+    monkeypatch.setattr(search, "block_join", lambda *a, **k: inner(*a, **(k | {"block": block})))
+    rng, big = np.random.default_rng(5), 1 << 60
+    pool = rng.integers(-2, 3, (9, 3)).astype(float)
+    pool[0], pool[1] = 0.0, [np.nan, 1.0, 1.0]
+    rows = []
+    for image in range(23):
+        size = 1 + image % 7
+        for no in rng.permutation(size).tolist():
+            v = pool[rng.integers(9)] if image != 3 else pool[1]
+            rows.append((len(rows), big + image, no, int(rng.integers(1, 3)), (v * (1 + rng.integers(3)) + (image % 5 == 0) * 1e-9 * rng.normal(size=3)).tolist()))
+    rows += [(len(rows) + k, None, k, 1, pool[2 + k].tolist()) for k in range(3)]
+    p = spark.createDataFrame(rows, "vec_id long, image_id long, patch_no int, class_id int, embedding array<double>")
+    images = p.where("image_id is not null").select("class_id", "image_id").distinct()
+    targets = p.withColumnRenamed("class_id", "_c").join(images, "image_id").select("class_id", "image_id", "patch_no", (F.col("_c") == F.col("class_id")).alias("inside"), "embedding")
+    own = {(c, i) for _, i, _, c, _ in rows if i is not None}
+    unit = lambda e: np.array(e) / max(np.linalg.norm(e), search.EPS)
+    for floor in (0.0, -1.0, 0.5):
+        want = {}
+        for v, i, _, c, e in rows:
+            tp = fp = 0
+            for image in sorted(j for d, j in own if d == c and j != i):
+                there = sorted((no, d, x) for _, j, no, d, x in rows if j == image)
+                sims = np.round([float(unit(e) @ unit(x)) for _, _, x in there], 12)
+                best = int(sims.argmax())
+                if sims[best] >= floor:
+                    tp, fp = (tp + 1, fp) if there[best][1] == c else (tp, fp + 1)
+            want[v] = (tp, fp)
+        got = {r.vec_id: (r.tp, r.fp) for r in search.votes(p, targets, floor).collect()}
+        assert {v: t for v, t in got.items() if t != want[v]} == {} and len(got) == len(want)
